@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,25 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     return build_session(f"local[{n}]", **conf)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers.
+
+    Nothing is to be done where workers inherit its folder through PYTHONPATH or it was submitted with --py-files;
+    else it is zipped and handed to Spark, once per context.
+    """
+    root, sc = Path(__file__).resolve().parent, spark.sparkContext
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if not root.is_dir() or root.parent in on_path or getattr(sc, "_folium_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="folium-")) / "folium.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._folium_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; only Spark's reader touches the path."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
