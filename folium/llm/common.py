@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the contracts: runs of anything but space and the controls 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
+from folium.session import ship_package, table
 
+__all__ = ["WORD", "Scratch", "components", "int_array", "number_array", "shared_folder", "table", "utf8", "words_of"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Words of the contracts: runs of anything but space and the controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +34,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
+        ship_package(spark)
         self.spark, self.base = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
 

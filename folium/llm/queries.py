@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from folium.llm import mixing, pii, sharding
+from folium.llm import mixing, neardup, packing, pii, sharding
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_packing": packing.op4_packing,
+    "op6_neardup": neardup.op6_neardup,
     "op8_pii": pii.op8_pii,
     "op10_sharding": sharding.op10_sharding,
 }
