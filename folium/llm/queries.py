@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from folium.llm import mixing, neardup, packing, pii, sharding
+from folium.llm import fingerprints, mixing, neardup, packing, pii, sharding, tokencounts, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_neardup": neardup.op6_neardup,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_pii": pii.op8_pii,
+    "op9_token_counts": tokencounts.op9_token_counts,
     "op10_sharding": sharding.op10_sharding,
 }
 
