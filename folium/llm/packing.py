@@ -29,7 +29,7 @@ from folium.llm.common import Scratch, table, utf8
 
 CAPACITY, END = 2048, 0
 #: Words a worker remembers the ids of, and pieces of one length that one window may hold.
-CACHE_WORDS, RANKED_TOGETHER = 300_000, 200_000
+CACHE_WORDS, RANKED_TOGETHER = 600_000, 200_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -50,20 +50,30 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.marks = {m.encode(): np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.split()
+        # the tokenizer lower-cases; only its special tokens, which hold "<|", are told apart by case
+        words = (text if b"<|" in text else text.lower()).split()
         parts = list(map(self.known.get, words))
         if None in parts:
-            new = list({w for w, p in zip(words, parts, strict=True) if p is None})
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            own = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
+            own = self.encode({w for w, p in zip(words, parts, strict=True) if p is None})
             parts = [own[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-            if len(self.known) < CACHE_WORDS:
-                self.known.update((w, p) for w, p in own.items() if len(w) < 40)
         return b"".join(parts)
 
+    def encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, which are then remembered. Letters and a closing mark are tokens apart, so the mark is set aside."""
+        bare = {w: w[:-1] for w in words if w[-1:] in self.marks and w[:-1].decode().isalpha()}
+        own = {w: self.known[b] for w, b in bare.items() if b in self.known}
+        ask = list({bare.get(w, w) for w in words if w not in own})
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in ask], add_special_tokens=False)
+        made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(ask, encoded, strict=True)}
+        out = {w: (own[w] if w in own else made[bare.get(w, w)]) + (self.marks[w[-1:]] if w in bare else b"") for w in words}
+        if len(self.known) < CACHE_WORDS:
+            self.known.update((w, p) for w, p in (made | out).items() if len(w) < 40)
+        return out
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
