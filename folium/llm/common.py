@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folium.session import ship_package, table
 
-__all__ = ["WORD", "Scratch", "components", "int_array", "number_array", "shared_folder", "table", "utf8", "words_of"]
+__all__ = ["WORD", "Scratch", "by_ids", "components", "int_array", "number_array", "shared_folder", "table", "utf8", "words_of"]
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +63,15 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+#: Ids are joined by broadcast up to so many (8 bytes each, about 64 MB in a task); beyond, by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of wide rows with a written table of distinct ids; rows are not shuffled unless ids are many."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def int_array(values: list[int]) -> Column:
     """A constant array of longs, made from one literal so that a long one stays cheap to plan."""
     if not values:

@@ -7,9 +7,10 @@ signatures: after each batch the posterior of the similarity (uniform prior) dec
 chance of reaching the threshold is below MISS. What survives is verified exactly, on the full sets.
 
 Only components are asked for, so not every pair of a large group is needed. First every representative is compared
-with one pivot, the smallest representative in any of its buckets. Then, in buckets that still hold several components,
-all pairs across components are compared, in blocks of bounded size: those outside the bucket's largest component
-against all others. Pairs inside one component are already joined. Nothing is capped or sampled.
+with one pivot, the smallest representative in any of its buckets. Then, in buckets that still hold several components, those outside the
+bucket's largest component are compared with that component and with each other, in blocks of bounded size that hold
+signatures and sets; a block gives one confirmed link per document and component, not the pairs. Pairs inside one
+component are already joined. Nothing is capped or sampled.
 
 Cases: texts without words have an empty set and link with nothing; fewer than five words are one shingle; a null
 doc_id links with nothing and is kept; rows that repeat a doc_id are one vertex with the links of each; an empty table
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import Scratch, components, table, utf8, words_of
+from folium.llm.common import Scratch, by_ids, components, table, utf8, words_of
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, BATCH = 24, 5, 24
@@ -145,25 +146,31 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "sa", "sb").mapInPandas(judge, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a written table) whose full sets are similar enough. Sets are made again for the documents in pairs only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+def full_sets(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, s): the full sets of the documents with these ids (distinct, in doc_id), made again from their texts."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "s": [shingle_set(words_of(utf8(t))).tobytes() for t in batch["text"]]})
 
-    sets = scratch.write(texts.mapInPandas(make, "id long, s binary"), "sets")
+    wanted = scratch.write(ids, "ids")
+    texts = by_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id", "left_semi")
+    return scratch.write(texts.mapInPandas(make, "id long, s binary"), "sets")
+
+
+def linked(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a written table) whose full sets are similar enough."""
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), scratch)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[[linked(x, y) for x, y in zip(batch["sa"], batch["sb"], strict=True)], ["a", "b"]]
 
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -172,66 +179,55 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return links
 
 
-def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs of different components that share a bucket, each from the first bucket that it shares."""
+def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Confirmed links (a, b) between different components that share a bucket; one at least per pair of them that has any."""
     least = fewest_matches(PERCENT / 100)
     members = buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed_buckets = sizes.groupBy("bucket").agg(
-        F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("n_comps")
+    several = sizes.groupBy("bucket").agg(
+        F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), (F.sum("n") - F.max("n")).alias("n_minor"), F.count("*").alias("n_comps")
     ).where("n_comps > 1")
-    rows = members.join(mixed_buckets, "bucket").join(reps.select("rep", "sig"), "rep")
-    rows = rows.withColumn("minor", F.col("comp") != F.col("main"))
-    minor_blocks, main_blocks = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), minor_blocks).otherwise(main_blocks)).cast("int")
-    rows = rows.withColumn("own", own)
-    i, j, left = F.col("x.i").alias("i"), F.col("x.j").alias("j"), F.col("x.l").alias("is_left")
-
-    def cell(i, j, is_left):
-        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(is_left).alias("l"))
-
-    # j counts the blocks of the main component from -1 down, those of the others from 0 up
-    others = F.filter(F.sequence(F.lit(0), minor_blocks - 1), lambda b: b >= F.col("own"))
-    earlier = F.filter(F.sequence(F.lit(0), minor_blocks - 1), lambda b: b <= F.col("own"))
-    all_minor = F.sequence(F.lit(0), minor_blocks - 1)
-    all_main = F.sequence(F.lit(1), main_blocks)
-    of_minor = F.concat(
-        F.transform(all_main, lambda b: cell(F.col("own"), -b, True)),
-        F.transform(others, lambda b: cell(F.col("own"), b, True)),
-        F.transform(earlier, lambda b: cell(b, F.col("own"), False)),
+    minors = scratch.write(members.join(several, "bucket").where("comp <> main"), "minors")
+
+    # a minor and the whole main component, once, in however many buckets they meet
+    with_main = minors.select("rep", "comp", "main").distinct()
+    mains = with_main.select(F.col("main").alias("comp")).distinct()
+    of_main = comps.select(F.col("id").alias("rep"), "comp").join(mains, "comp").union(
+        reps.select("rep", F.col("rep").alias("comp")).join(mains, "comp").join(comps.select(F.col("id").alias("rep")), "rep", "left_anti").select("rep", "comp")
     )
-    of_main = F.transform(all_minor, lambda b: cell(b, -F.col("own") - 1, False))
-    dealt = rows.withColumn("x", F.explode(F.when(F.col("minor"), of_minor).otherwise(of_main))).select("bucket", i, j, left, "rep", "comp", "sig")
+    blocks = of_main.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    right = of_main.join(blocks, "comp").select(F.col("comp").alias("cell"), F.lit(-1).alias("i"), F.pmod(F.xxhash64("rep"), "nb").cast("int").alias("j"), F.lit(False).alias("is_left"), "rep", "comp")
+    left = with_main.join(blocks.withColumnRenamed("comp", "main"), "main")
+    left = left.select(F.col("main").alias("cell"), F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("is_left"), "rep", "comp")
+
+    # minors of a bucket with each other, block against block
+    many = minors.where("n_comps > 2").withColumn("nb", F.ceil(F.col("n_minor") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    low = many.withColumn("o", F.explode(F.filter(every, lambda b: b >= F.col("own")))).select(F.col("bucket").alias("cell"), F.col("own").alias("i"), F.col("o").alias("j"), F.lit(True).alias("is_left"), "rep", "comp")
+    high = many.withColumn("o", F.explode(F.filter(every, lambda b: b <= F.col("own")))).select(F.col("bucket").alias("cell"), F.col("o").alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"), "rep", "comp")
+    cells = scratch.write(left.union(right).union(low).union(high), "cells")
+    if cells.isEmpty():
+        return cells.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sets = full_sets(docs, cells.select(F.col("rep").alias("doc_id")).distinct(), scratch)
+    loaded = cells.join(reps, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         l, r = block[block["is_left"]], block[~block["is_left"]]
-        out_a, out_b = [], []
+        found = []
         if len(l) and len(r):
-            ls, rs, rep, comp = unpack(l["sig"]), unpack(r["sig"]), r["rep"].to_numpy(), r["comp"].to_numpy()
-            same_block = bool(l["j"].iat[0] == l["i"].iat[0])
-            here = block["bucket"].iat[0]
-            for sig, a, c in zip(ls, l["rep"], l["comp"], strict=True):
-                at = np.flatnonzero((comp != c) & ((rep > a) if same_block else True))
-                if not len(at):
-                    continue
+            rs, rep, comp, sets_r = unpack(r["sig"]), r["rep"].to_numpy(), r["comp"].to_numpy(), r["s"].to_numpy()
+            for sig, a, c, s in zip(unpack(l["sig"]), l["rep"], l["comp"], l["s"], strict=True):
+                at = np.flatnonzero(comp != c)
                 at = at[survives(np.broadcast_to(sig, (len(at), HASHES)), rs[at], least)]
-                if len(at):
-                    first = first_bucket(sig, rs[at])
-                    at = at[first == here]
-                    out_a += [a] * len(at)
-                    out_b += rep[at].tolist()
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
+                at = at[np.argsort(-(rs[at] == sig).sum(axis=1), kind="stable")]
+                joined = set()
+                for i in at:
+                    if comp[i] not in joined and linked(s, sets_r[i]):
+                        joined.add(comp[i])
+                        found.append((a, rep[i]))
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-def first_bucket(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """The bucket of the first band in which others agree with sig."""
-    equal = (others.reshape(-1, BANDS, ROWS) == sig.reshape(BANDS, ROWS)).all(axis=2)
-    band = equal.argmax(axis=1)
-    parts = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    h = mixed((parts * BAND_MULTIPLY).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return h.view(np.int64)[band]
+    return loaded.groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
@@ -252,15 +248,15 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     pairs = buckets.groupBy("rep").agg(F.min("pivot").alias("b")).where("rep <> b").select(F.col("rep").alias("a"), "b")
     links = confirmed(scratch.write(likely(pairs, reps), "first-candidates"), docs, scratch)
     comps = scratch.write(components(spark, scratch, links), "first-components")
-    more = scratch.write(across(buckets.select("bucket", "rep"), comps, reps), "cross-candidates")
+    more = scratch.write(across(buckets.select("bucket", "rep"), comps, reps, docs, scratch), "cross-links")
     if not more.isEmpty():
-        links = links.union(confirmed(more, docs, scratch))
-        comps = scratch.write(components(spark, scratch, links), "components")
+        comps = scratch.write(components(spark, scratch, links.union(more)), "components")
 
     stands_for = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
     found = rows.select("doc_id", "n_shingles", "k1", "k2").join(stands_for, ["k1", "k2"], "left")
     # rows that repeat a doc_id with other texts belong to the smallest of their components
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    scratch.drop(buckets, reps)
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
 
@@ -269,8 +265,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
     groups = scratch.write(near_duplicate_groups(docs), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = scratch.write(groups.where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "gone")
+    kept = by_ids(docs, gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept
