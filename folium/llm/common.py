@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.session import ship_package, table
 
-__all__ = ["WORD", "Scratch", "by_ids", "components", "int_array", "number_array", "shared_folder", "table", "utf8", "words_of"]
+__all__ = ["WORD", "Scratch", "by_ids", "components", "int_array", "map_groups", "number_array", "shared_folder", "table", "utf8", "words_of"]
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,6 +75,42 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def map_groups(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """work on the columns of each group of rows with equal keys (whole numbers), as applyInPandas, for many small groups.
+
+    Rows are shuffled and sorted by key and streamed; one group at a time is held, and its columns are plain arrays.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last, out = [], None, []
+        for batch in batches:
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            key = np.stack([columns[k] for k in keys], axis=1) if len(batch) else np.empty((0, len(keys)))
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                here = tuple(key[i].tolist())
+                if held and here != last:
+                    out += work({c: np.concatenate([h[c] for h in held]) if len(held) > 1 else held[0][c] for c in held[0]})
+                    held = []
+                held.append({c: v[i:j] for c, v in columns.items()})
+                last = here
+            if len(out) >= 5000:
+                yield frame(out)
+                out = []
+        if held:
+            out += work({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+        if out:
+            yield frame(out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def int_array(values: list[int]) -> Column:
     """A constant array of longs, made from one literal so that a long one stays cheap to plan."""
     if not values:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import Scratch, by_ids, components, table, utf8, words_of
+from folium.llm.common import Scratch, by_ids, components, map_groups, table, utf8, words_of
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, BATCH = 24, 5, 24
@@ -97,7 +97,7 @@ def survives(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
     return rows
 
 
-def unpack(column: pd.Series) -> np.ndarray:
+def unpack(column: pd.Series | np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, HASHES)
 
 
@@ -211,23 +211,24 @@ def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
     sets = full_sets(docs, cells.select(F.col("rep").alias("doc_id")).distinct(), scratch)
     loaded = cells.join(reps, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        l, r = block[block["is_left"]], block[~block["is_left"]]
-        found = []
-        if len(l) and len(r):
-            rs, rep, comp, sets_r = unpack(r["sig"]), r["rep"].to_numpy(), r["comp"].to_numpy(), r["s"].to_numpy()
-            for sig, a, c, s in zip(unpack(l["sig"]), l["rep"], l["comp"], l["s"], strict=True):
-                at = np.flatnonzero(comp != c)
-                at = at[survives(np.broadcast_to(sig, (len(at), HASHES)), rs[at], least)]
-                at = at[np.argsort(-(rs[at] == sig).sum(axis=1), kind="stable")]
-                joined = set()
-                for i in at:
-                    if comp[i] not in joined and linked(s, sets_r[i]):
-                        joined.add(comp[i])
-                        found.append((a, rep[i]))
-        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
-
-    return loaded.groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def compare(block: dict[str, np.ndarray]) -> list[tuple]:
+        found, here = [], block["is_left"].astype(bool)
+        if not here.any() or here.all():
+            return found
+        sigs, rep, comp, own = unpack(block["sig"]), block["rep"], block["comp"], block["s"]
+        right = np.flatnonzero(~here)
+        for i in np.flatnonzero(here):
+            at = right[comp[right] != comp[i]]
+            at = at[survives(np.broadcast_to(sigs[i], (len(at), HASHES)), sigs[at], least)]
+            at = at[np.argsort(-(sigs[at] == sigs[i]).sum(axis=1), kind="stable")]
+            joined = set()
+            for j in at:
+                if comp[j] not in joined and linked(own[i], own[j]):
+                    joined.add(comp[j])
+                    found.append((int(rep[i]), int(rep[j])))
+        return found
+
+    return map_groups(loaded, ["cell", "i", "j"], compare, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from folium.llm import fingerprints, mixing, neardup, packing, pii, sharding, tokencounts, toxicity
+from folium.llm import embeddings, fingerprints, lm, mixing, neardup, packing, pii, sharding, tokencounts, toxicity
 
 QUERIES = {
+    "op1_embeddings": embeddings.op1_embeddings,
     "op2_mixing": mixing.op2_mixing,
+    "op3_lm_score": lm.op3_lm_score,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_neardup": neardup.op6_neardup,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_embeddings": embeddings.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op8_pii": pii.OP8_SQL,
 }
