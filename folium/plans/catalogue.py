@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folium.operators import citations, retrieval  # noqa: F401
+from folium.operators import citations, keywords, library, retrieval  # noqa: F401
 from folium.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "u01_hybrid_fusion"
