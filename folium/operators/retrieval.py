@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +59,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def normalise(v: Column) -> Column:
     norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), x))
 
 
 def dense_search(vectors: DataFrame, query_vector: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -79,10 +82,20 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int, alpha: float = 0.5, key:
 
 def hashing_embedder(text: Column, width: int = 64) -> Column:
     """The offline default of the embedder interface: signed hashed tokens, L2-normalised; blank texts are all zeros."""
-    toks = tokens(text)
-    hits = F.transform(toks, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(width)).cast("int").alias("at"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(hits, lambda h: h["at"] == i), F.lit(0.0), lambda s, h: s + h["s"]))
-    return normalise(raw)
+
+    @F.pandas_udf("array<double>")
+    def embed(toks: pd.Series) -> pd.Series:
+        out = []
+        for words in toks:
+            v = np.zeros(width)
+            for word in words if words is not None else ():
+                h = zlib.crc32(word.encode())
+                v[h % width] += 1.0 if h >> 16 & 1 else -1.0
+            norm = np.linalg.norm(v)
+            out.append(v / norm if norm else v)
+        return pd.Series(out)
+
+    return embed(tokens(text))
 
 
 EMBEDDERS: dict[str, Callable[[Column], Column]] = {"hashing": hashing_embedder}

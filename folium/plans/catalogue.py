@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from folium.operators import citations, keywords, library, retrieval  # noqa: F401
+from folium.operators import citations, documents, keywords, layout, library, retrieval  # noqa: F401
 from folium.plans.registry import QUERIES, SQL
+from folium.streaming import status  # noqa: F401
 
 FLAGSHIP = "u01_hybrid_fusion"
 
