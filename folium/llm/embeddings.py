@@ -4,7 +4,8 @@ Equal vectors are one class. Centres are fitted on at most SAMPLE vectors (those
 every vector is assigned. A vector's home is the cell of its nearest centre. It is also a guest of each cell c whose
 bisecting plane with its home h is no farther than a linked vector can lie, (x.h - x.c) / |h - c| <= sqrt(2 - 2t), so a
 home vector meets every vector it links with in its own cell: the cells lose no link at the threshold t. How many
-centres to use is chosen on the sample, as the number that costs the fewest comparisons with its guests.
+centres to use is chosen on the sample, by the comparisons and guests each number would cost; where vectors don't cluster, most
+would be guests of most cells, and few cells with many blocks are the cheaper exact plan.
 
 Large cells are cut into blocks of at most BLOCK rows, compared block against block as one matrix product in double
 precision. A block pair gives each home vector's number of links and, instead of the pairs, a tree for each group it
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from folium.llm.common import Scratch, components, table
 
-THRESHOLD, SAMPLE, BLOCK = 0.95, 20_000, 1024
+THRESHOLD, SAMPLE, BLOCK = 0.95, 20_000, 4096
+#: Rows of a block that are multiplied at once, and comparisons that cost as much as one guest.
+STRIP, GUEST = 512, 4000
 #: Vectors per cell aimed at, the most cells, and rounds of k-means.
 PER_CELL, MAX_CELLS, ITERATIONS = 1000, 2048, 12
 
@@ -60,17 +63,15 @@ def membership(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np
 
 
 def fit_centres(sample: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """Centres for n vectors; halved in number while that saves comparisons."""
+    """Centres for n vectors: of halving numbers, the one with the least cost of comparisons and guests."""
     k = int(min(MAX_CELLS, max(1, n // PER_CELL), max(1, len(sample) // 8)))
     best, cost = None, np.inf
     while k >= 1:
         centres = spherical_kmeans(sample, k)
         home, members = membership(sample, centres, threshold)
-        here = float((np.bincount(home, minlength=k) * members.sum(axis=0)).sum())
+        here = float((np.bincount(home, minlength=k) * members.sum(axis=0)).sum()) * n / len(sample) + GUEST * float(members.sum())
         if here < cost:
             best, cost = centres, here
-        elif best is not None:
-            break
         k //= 2
     return best
 
@@ -146,13 +147,15 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         none = np.array([], np.int64)
         out = [(none, none, none, none)]
         if len(l) and len(r):
-            near = unit(l["v"]) @ unit(r["v"]).T >= threshold
+            lv, rv, copies = unit(l["v"]), unit(r["v"]), r["copies"].to_numpy(np.int64)
             lk, rk = l[["rep", "k1"]].to_numpy(np.int64), r[["rep", "k1"]].to_numpy(np.int64)
-            near &= ~((lk[:, None, 0] == rk[None, :, 0]) & (lk[:, None, 1] == rk[None, :, 1]))
-            n = near @ r["copies"].to_numpy(np.int64)
+            pairs = [np.nonzero(lv[at : at + STRIP] @ rv.T >= threshold) for at in range(0, len(lv), STRIP)]
+            i, j = np.concatenate([p[0] + n * STRIP for n, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs])
+            others = (lk[i] != rk[j]).any(axis=1)
+            i, j = i[others], j[others]
+            n = np.bincount(i, copies[j], len(lk)).astype(np.int64)
             some = n > 0
             out.append((np.zeros(some.sum(), np.int64), lk[some, 0], lk[some, 1], n[some]))
-            i, j = np.nonzero(near)
             a, b = labels_of(i, j, lk[:, 0], rk[:, 0])
             ids, least = np.concatenate([lk[:, 0], rk[:, 0]]), np.concatenate([a, b])
             tree = ids != least
