@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraph digests.
 
-A text's paragraphs (lines) are cut into blocks of about eight words, at places that the bytes before a blank decide,
+A text's paragraphs (lines) are cut into blocks of about four words, at places that the bytes before a blank decide,
 so an edit changes the blocks around it and no others. A block's digest hashes its bytes and how often they came before
 in the text, which makes a set. The sketch of a set adds every digest to one cell of each third of the table: a count,
 the xor of the digests and the xor of their checks. Subtracting two sketches leaves what differs, and peeling (cells of
@@ -56,7 +56,7 @@ def blocks(text: bytes) -> list[bytes]:
     blank = np.flatnonzero((b == 32) | (b == 10))
     at = blank[blank >= 4]
     h = b[at - 1].astype(np.uint32) * np.uint32(0x9E3779B1) + b[at - 2] * np.uint32(0x85EBCA77) + b[at - 3] * np.uint32(0xC2B2AE3D) + b[at - 4] * np.uint32(0x27D4EB2F)
-    cut = at[((h >> np.uint32(20)) & np.uint32(7) == 0) | (b[at] == 10)]
+    cut = at[((h >> np.uint32(20)) & np.uint32(3) == 0) | (b[at] == 10)]
     early = blank[blank < 4]
     edges = [0, *(early[b[early] == 10] + 1).tolist(), *(cut + 1).tolist(), len(text)]
     return [piece for i, j in zip(edges, edges[1:], strict=False) if (piece := text[i:j].strip())]
