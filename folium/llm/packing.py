@@ -29,7 +29,7 @@ from folium.llm.common import Scratch, table, utf8
 
 CAPACITY, END = 2048, 0
 #: Words a worker remembers the ids of, and pieces of one length that one window may hold.
-CACHE_WORDS, RANKED_TOGETHER = 600_000, 200_000
+CACHE_WORDS, RANKED_TOGETHER = 400_000, 200_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

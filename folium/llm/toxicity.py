@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from folium.llm.common import table, utf8, words_of
 
 #: The bound on labelled rows the model is fitted on.
-SAMPLE = 16_000
+SAMPLE = 12_000
 TELLING, FACTORS, EPOCHS, BATCH, RATE, DECAY = 11.0, 8, 12, 64, 0.1, 1e-5
 #: Steps of few samples at least.
 STEPS = 3000
@@ -68,7 +68,11 @@ class Machine:
 def telling_terms(samples: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """Sorted hashes of the terms whose presence and the label depend on one another (G statistic, two by two)."""
     positive = np.concatenate([np.array([], np.uint32), *(t for y, t in samples if y)])
-    terms, n = np.unique(np.concatenate([t for _, t in samples]), return_counts=True)
+    every = np.concatenate([t for _, t in samples])
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    terms, n = every[first], np.diff(np.append(first, len(every)))
+    del every
     hits, k = np.unique(positive, return_counts=True)
     toxic = np.zeros(len(terms))
     toxic[np.searchsorted(terms, hits)] = k
@@ -141,9 +145,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5) -> Machine:
-    rows = training_rows(docs, labels, parts).collect()
-    return fit(sorted(((r["toxic"], np.frombuffer(bytes(r["terms"]), np.uint32)) for r in rows), key=lambda x: (x[0], x[1].tobytes())))
-
+    rows, samples = training_rows(docs, labels, parts).collect(), []
+    while rows:  # freed as they are taken: the driver holds the sample once
+        r = rows.pop()
+        samples.append((r["toxic"], np.frombuffer(bytes(r["terms"]), np.uint32)))
+    return fit(sorted(samples, key=lambda x: (x[0], zlib.crc32(x[1]), len(x[1]))))
 
 
 def score_texts(docs: DataFrame, model: Machine, out: str = "score") -> DataFrame:
