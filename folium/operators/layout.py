@@ -71,7 +71,7 @@ def x_clusters(lines: DataFrame, page: str, x: str, gap: float = 10.0) -> DataFr
     """Islands of sorted x with gaps of at most `gap`: (page, cluster, n, centre)."""
     w = Window.partitionBy(page).orderBy(x)
     new = F.coalesce((F.col(x) - F.lag(x).over(w) > gap).cast("int"), F.lit(1))
-    c = lines.withColumn("__n", new).withColumn("cluster", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = lines.withColumn("__n", new).withColumn("cluster", F.sum("__n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return c.groupBy(page, "cluster").agg(F.count("*").alias("n"), F.avg(x).alias("centre"))
 
 
@@ -138,7 +138,7 @@ s AS (SELECT page, coalesce(avg(b) FILTER (b > 0 AND b < 50), 12) AS spacing FRO
     lambda spark, sf_dir: isolated(_lines(spark, sf_dir), "page", "pos", "y").select("page", "pos", "isolated")
 )
 query("a26_items_to_lines")(lambda spark, sf_dir: items_to_lines(_lines(spark, sf_dir).where("pos < 8000"), "page", "pos", "x", "y", "font"))
-query("a24_x_clusters", f"""WITH l AS (SELECT * FROM ({_DUCK}) WHERE x % 17 < 2), g AS (SELECT *, coalesce((x - lag(x) OVER (PARTITION BY page ORDER BY x) > 10)::INT, 1) AS n FROM l), c AS (SELECT page, x, sum(n) OVER (PARTITION BY page ORDER BY x ROWS UNBOUNDED PRECEDING) AS cluster FROM g)
+query("a24_x_clusters", f"""WITH l AS (SELECT * FROM ({_DUCK}) WHERE x % 17 < 2), g AS (SELECT *, coalesce((x - lag(x) OVER (PARTITION BY page ORDER BY x) > 10)::INT, 1) AS n FROM l), c AS (SELECT page, x, sum(n) OVER (PARTITION BY page ORDER BY x) AS cluster FROM g)
 SELECT page, cluster::BIGINT AS cluster, count(*) AS n, round(avg(x), 6) AS centre FROM c GROUP BY page, cluster""")(
     lambda spark, sf_dir: x_clusters(_lines(spark, sf_dir).where("x % 17 < 2"), "page", "x").withColumn("centre", F.round("centre", 6))
 )
