@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from folium.llm import mixing, neardup, packing, pii, toxicity
 from folium.llm.common import Scratch, table
 
+#: Documents are near duplicates from this Jaccard similarity of their runs of five words on, in percent.
+SIMILAR_PERCENT = 80
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine calls toxic go."""
@@ -18,7 +21,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, SIMILAR_PERCENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

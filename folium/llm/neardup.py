@@ -1,6 +1,7 @@
 """MinHash near-duplicate groups with sequential Bayesian verification.
 
-A document's set holds the hashes of its runs of five words. Documents with equal word sequences are one class, met by a
+A document's set holds the hashes of its runs of five words. Two sets link from `percent` of Jaccard similarity on: 85 in
+`op6_neardup`, 80 in the pipeline; at these, all bands miss a pair with a chance of about 8e-7 and 7e-5. Documents with equal word sequences are one class, met by a
 128-bit digest; its smallest doc_id stands for it from here on. Signatures of the representatives are cut into bands;
 representatives that share a band's bucket are candidates. A candidate pair is first compared on batches of its two
 signatures: after each batch the posterior of the similarity (uniform prior) decides, and the pair is dropped once the
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from folium.llm.common import Scratch, by_ids, components, map_groups, table, utf8, words_of
 
-SHINGLE, PERCENT = 5, 85
+SHINGLE = 5
+#: The similarity of op6_neardup, in percent.
+PERCENT = 85
 BANDS, ROWS, BATCH = 24, 5, 24
 HASHES = BANDS * ROWS
 #: The chance at which a batch may drop a pair that does reach the threshold.
@@ -132,9 +135,9 @@ def banded(reps: DataFrame) -> DataFrame:
     return reps.mapInPandas(bands, "bucket long, rep long")
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the signatures don't rule out."""
-    least = fewest_matches(PERCENT / 100)
+    least = fewest_matches(percent / 100)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,19 +161,19 @@ def full_sets(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(texts.mapInPandas(make, "id long, s binary"), "sets")
 
 
-def linked(x: bytes, y: bytes) -> bool:
+def linked(x: bytes, y: bytes, percent: int) -> bool:
     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """The pairs (a written table) whose full sets are similar enough."""
     sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), scratch)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.loc[[linked(x, y) for x, y in zip(batch["sa"], batch["sb"], strict=True)], ["a", "b"]]
+            yield batch.loc[[linked(x, y, percent) for x, y in zip(batch["sa"], batch["sb"], strict=True)], ["a", "b"]]
 
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -179,9 +182,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return links
 
 
-def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Confirmed links (a, b) between different components that share a bucket; one at least per pair of them that has any."""
-    least = fewest_matches(PERCENT / 100)
+    least = fewest_matches(percent / 100)
     members = buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     several = sizes.groupBy("bucket").agg(
@@ -223,7 +226,7 @@ def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
             at = at[np.argsort(-(sigs[at] == sigs[i]).sum(axis=1), kind="stable")]
             joined = set()
             for j in at:
-                if comp[j] not in joined and linked(own[i], own[j]):
+                if comp[j] not in joined and linked(own[i], own[j], percent):
                     joined.add(comp[j])
                     found.append((int(rep[i]), int(rep[j])))
         return found
@@ -231,7 +234,7 @@ def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
     return map_groups(loaded, ["cell", "i", "j"], compare, "a long, b long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -247,9 +250,9 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     buckets = scratch.write(buckets.join(shared, "bucket"), "buckets")
 
     pairs = buckets.groupBy("rep").agg(F.min("pivot").alias("b")).where("rep <> b").select(F.col("rep").alias("a"), "b")
-    links = confirmed(scratch.write(likely(pairs, reps), "first-candidates"), docs, scratch)
+    links = confirmed(scratch.write(likely(pairs, reps, percent), "first-candidates"), docs, scratch, percent)
     comps = scratch.write(components(spark, scratch, links), "first-components")
-    more = scratch.write(across(buckets.select("bucket", "rep"), comps, reps, docs, scratch), "cross-links")
+    more = scratch.write(across(buckets.select("bucket", "rep"), comps, reps, docs, scratch, percent), "cross-links")
     if not more.isEmpty():
         comps = scratch.write(components(spark, scratch, links.union(more)), "components")
 
@@ -261,11 +264,11 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group: the one whose doc_id names it, the first by text where rows repeat that doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
-    groups = scratch.write(near_duplicate_groups(docs), "groups")
+    groups = scratch.write(near_duplicate_groups(docs, percent), "groups")
     gone = scratch.write(groups.where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "gone")
     kept = by_ids(docs, gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
@@ -277,5 +280,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    groups = near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), PERCENT)
     return groups.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

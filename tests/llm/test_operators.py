@@ -228,6 +228,32 @@ def test_one_document_of_each_group_stays(spark, odd_docs):
     assert len(ids) == len(set(ids)) and None in ids and 40 in ids and not {41, 42, 43, 44, 50, 51} & set(ids)
 
 
+def test_pipeline_drops_pairs_from_a_similarity_of_0_80(spark, tmp_path):
+    """Against all pairs: copies between 0.80 and 0.85 go in the pipeline and stay apart in op6_neardup, those below 0.80 stay in both."""
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{i}" for i in range(200 + g)]
+        rows.append((10 * g, " ".join(words)))
+        changed = list(words)
+        for i in range(20, 20 + (3 + g % 4) * 25, 25):
+            changed[i] = f"other{g}x{i}"
+        rows.append((10 * g + 1, " ".join(changed)))
+    sets = [(d, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for d, w in ((d, t.split()) for d, t in rows)]
+    like = {(a, b): len(x & y) / len(x | y) for a, x in sets for b, y in sets if a < b}
+    between = [p for p, s in like.items() if 0.80 <= s < 0.85]
+    assert len(between) >= 8 and sum(0.7 < s < 0.80 for s in like.values()) >= 8 and sum(s >= 0.85 for s in like.values()) >= 8
+
+    def reach(least):
+        return smallest_reachable([d for d, _ in rows], [p for p, s in like.items() if s >= least])
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert kept == {d for d, low in reach(0.80).items() if d == low}
+    assert not kept & {b for _, b in between}
+    assert {r["doc_id"]: r["component_id"] for r in neardup.op6_neardup(spark, str(tmp_path)).collect()} == reach(0.85)
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     rng, least = np.random.default_rng(0), neardup.fewest_matches(0.85)
     equal = rng.random((20_000, neardup.HASHES)) < 0.85
