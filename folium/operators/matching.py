@@ -54,24 +54,25 @@ def match_percentage(chunk: pd.Series, span: pd.Series) -> pd.Series:
 
 def best_spans(chunks: DataFrame, spans: DataFrame, threshold: float = 0.75, longest: int = 100) -> DataFrame:
     """For each chunk (page, chunk_id, text) the run of its page's spans (page, pos, text) that matches it best, in percent
-    of the chunk. Runs start at spans like the chunk's first words and grow while the match does. One page is one group."""
+    of the chunk. Runs start at spans like the chunk's first ten, five or two words, and every run of up to `longest` spans
+    from there is scored; of equal ones the first stays. One page is one group."""
 
     def search(key: tuple, c: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         s, out = s.sort_values("pos"), []
         texts, places = s["text"].tolist(), s["pos"].tolist()
         for chunk_id, chunk in zip(c["chunk_id"], c["text"], strict=True):
-            best, seed = (0.0, -1, -1), " ".join(chunk.split()[:5])
-            starts = [i for i, t in enumerate(texts) if SequenceMatcher(None, seed, t[: len(seed) + 5], autojunk=False).ratio() >= 0.4] or range(len(texts))
+            best, words = (0.0, -1, -1), chunk.split()
+            seeds = [" ".join(words[:n]) for n in (10, 5, 2) if len(words) >= n]
+            starts = [i for i, t in enumerate(texts) if any(SequenceMatcher(None, t, seed, autojunk=False).ratio() >= 0.4 for seed in seeds)] or range(len(texts))
             for i in starts:
-                run, last = "", 0.0
+                run = ""
+                if best[0] >= 100:  # nothing is better
+                    break
                 for j in range(i, min(len(texts), i + longest)):
                     run = f"{run} {texts[j]}".strip()
                     score = 100 * sum(m.size for m in SequenceMatcher(None, chunk, run, autojunk=False).get_matching_blocks()) / max(1, len(chunk))
                     if score > best[0]:
                         best = (score, places[i], places[j])
-                    if score <= last:
-                        break
-                    last = score
             if best[0] >= threshold:
                 out.append((key[0], chunk_id, best[1], best[2], round(best[0], 2)))
         return pd.DataFrame(out, columns=["page", "chunk_id", "first", "last", "score"])
