@@ -146,7 +146,7 @@ def components(spark: SparkSession, scratch: Scratch, links: DataFrame) -> DataF
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").union(least.select("v", F.col("m").alias("u"))).distinct()
         small = scratch.write(small, "small")
-        state = small.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        state = small.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         scratch.drop(large, current)
         current = small
         if before == state:

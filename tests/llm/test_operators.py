@@ -13,6 +13,7 @@ from folium.llm import embeddings, fingerprints, lm, mixing, neardup, packing, p
 from folium.llm.queries import QUERIES, SQL
 
 from ..conftest import rows_of
+from .brute import cosine_links, shingles, similar_pairs, smallest_reachable
 
 
 @pytest.fixture(scope="module")
@@ -38,38 +39,14 @@ def test_sql_on_odd_tables(name, spark, odd_docs, duck):
     assert rows_of(QUERIES[name](spark, odd_docs).toPandas()) == rows_of(duck(SQL[name], odd_docs))
 
 
-def smallest_reachable(ids, links):
-    reach = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in links:
-            low = min(reach[a], reach[b])
-            changed |= reach[a] != low or reach[b] != low
-            reach[a] = reach[b] = low
-    return reach
-
-
 def test_embeddings_against_all_pairs(spark, odd_docs):
-    rows = spark.read.parquet(f"{odd_docs}/embeddings.parquet").collect()
-    good = [(r["vec_id"], np.array(r["embedding"], float)) for r in rows if r["embedding"] and None not in r["embedding"]]
-    good = [(i, v / np.linalg.norm(v)) for i, v in good if np.isfinite(v).all() and v.any()]
-    links = [(i, j) for i, u in good for j, v in good if i != j and len(u) == len(v) and u @ v >= 0.95]
-    reach, degree = smallest_reachable([r["vec_id"] for r in rows], links), Counter(i for i, _ in links)
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{odd_docs}/embeddings.parquet").collect()]
+    links = cosine_links(rows)
+    reach, degree = smallest_reachable([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in links]), Counter(rows[a][0] for a, _ in links)
     for r in embeddings.op1_embeddings(spark, odd_docs).collect():
         assert (r["n_links"], r["component_id"]) == (degree[r["vec_id"]], reach[r["vec_id"]])
 
 
-def test_cells_lose_no_link():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, 6))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centres = embeddings.spherical_kmeans(x, 12)
-    home, members = embeddings.membership(x, centres, 0.95)
-    i, j = np.nonzero(x @ x.T >= 0.95)
-    assert members[j, home[i]].all()
-
-
 def test_mixing_emits_what_the_plan_says(spark, odd_docs):
     table = spark.read.parquet(f"{odd_docs}/documents.parquet")
     plan = mixing.plan_mix(table).toPandas()
@@ -196,15 +173,10 @@ def test_machine_learns_an_interaction():
 
 
 def test_near_duplicates_against_all_pairs(spark, odd_docs, docs):
-    sets = []
-    for d, t in docs:
-        w = (t or "").encode().lower().split()
-        sets.append((d, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()))
-    links = [(a, b) for a, x in sets for b, y in sets if a is not None and b is not None and a < b and x and y and 100 * len(x & y) >= 85 * len(x | y)]
-    reach = smallest_reachable([d for d, _ in sets if d is not None], links)
+    reach = smallest_reachable([d for d, _ in docs if d is not None], similar_pairs(docs, 85))
     got = neardup.op6_neardup(spark, odd_docs).collect()
-    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == sorted((d, reach[d]) for d, _ in sets if d is not None)
-    assert sorted(r["n_shingles"] for r in got) == sorted(len(x) for _, x in sets)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == sorted((d, reach[d]) for d, _ in docs if d is not None)
+    assert sorted(r["n_shingles"] for r in got) == sorted(len(shingles(t)) for _, t in docs)
 
 
 def test_chains_across_components(spark):
