@@ -8,23 +8,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folium.session import ship_package, table
 
-__all__ = ["WORD", "Scratch", "by_ids", "components", "int_array", "map_groups", "number_array", "shared_folder", "table", "utf8", "words_of"]
+__all__ = ["WORD", "Scratch", "add_columns", "by_ids", "columns_of", "components", "fresh", "int_array", "map_groups", "number_array", "shared_folder", "table", "utf8", "words_of"]
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors see, from spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
         set_dir = spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         set_dir = "file://" + tempfile.mkdtemp(prefix="folium-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -56,6 +60,19 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the frames has, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z only) words of UTF-8 text. bytes.split() splits at exactly space and 9 to 13."""
     return text.lower().split()
@@ -75,6 +92,21 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def add_columns(rows: DataFrame, on: str, work: Callable[[pa.Array], list[pa.Array]], added: str) -> DataFrame:
+    """rows and, after their columns, those that work makes of each batch of the column `on`.
+
+    The other columns stay Arrow, which keeps them as they are; pandas would make whole numbers beside nulls doubles.
+    """
+    at, new = rows.columns.index(on), T.StructType.fromDDL(added).fields
+    names = [*rows.columns, *(f.name for f in new)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at))], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *new]))
+
+
 def map_groups(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
     """work on the columns of each group of rows with equal keys (whole numbers), as applyInPandas, for many small groups.
 

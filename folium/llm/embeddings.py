@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.llm.common import Scratch, components, table
+from folium.llm.common import Scratch, add_columns, components, table
 
 THRESHOLD = 0.95
 #: Bounds of the sample that centres are fitted on.
@@ -181,22 +182,18 @@ def found(rep: np.ndarray, k1: np.ndarray, n: np.ndarray, joint: np.ndarray) ->
 def packed_vectors(vectors: DataFrame, kind: type) -> DataFrame:
     """(vec_id, k1, k2, v): the bytes and their 128-bit digest, null for vectors that link with nothing."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for value in batch["embedding"]:
-                v = None if value is None or len(value) == 0 else np.array(value, np.float64)
-                if v is None or not np.isfinite(v).all() or not v.any():
-                    out.append((0, 0, None))
-                    continue
-                raw = (v + 0.0).astype(kind).tobytes()
-                out.append((*np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64), raw))
-            made = pd.DataFrame(out, columns=["k1", "k2", "v"])
-            made.insert(0, "vec_id", batch["vec_id"].array)
-            yield made
-
-    wanted = vectors.select(F.col("vec_id").cast("long"), F.when(~F.exists("embedding", lambda x: x.isNull()), F.col("embedding")).alias("embedding"))
-    return wanted.mapInPandas(pack, "vec_id long, k1 long, k2 long, v binary")
+    def pack(lists: pa.ListArray) -> list[pa.Array]:
+        values = lists.values.to_numpy(zero_copy_only=False).astype(kind) + kind(0)  # nulls become NaN, -0 becomes 0
+        there, raw, digests = lists.is_valid().to_numpy(zero_copy_only=False), [], []
+        for ok, start, end in zip(there, lists.offsets.to_numpy()[:-1], lists.offsets.to_numpy()[1:], strict=True):
+            v = values[start:end]
+            raw.append(v.tobytes() if ok and v.any() and np.isfinite(v).all() else None)
+            digests.append(xxhash.xxh3_128_digest(raw[-1] or b""))
+        keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(raw, pa.binary())]
+
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if kind is np.float32 else "array<double>").alias("embedding"))
+    return add_columns(rows, "embedding", pack, "k1 long, k2 long, v binary").drop("embedding")
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,21 +1,22 @@
 """MinHash near-duplicate groups with sequential Bayesian verification.
 
 A document's set holds the hashes of its runs of five words. Two sets link from `percent` of Jaccard similarity on: 85 in
-`op6_neardup`, 80 in the pipeline; at these, all bands miss a pair with a chance of about 8e-7 and 7e-5. Documents with equal word sequences are one class, met by a
-128-bit digest; its smallest doc_id stands for it from here on. Signatures of the representatives are cut into bands;
+`op6_neardup`, 80 in the pipeline; at these, all bands miss a pair with a chance of about 8e-7 and 7e-5. Documents with
+equal word sequences are one class, met by a 128-bit digest; its smallest doc_id stands for it from here on. Signatures of the representatives are cut into bands;
 representatives that share a band's bucket are candidates. A candidate pair is first compared on batches of its two
 signatures: after each batch the posterior of the similarity (uniform prior) decides, and the pair is dropped once the
 chance of reaching the threshold is below MISS. What survives is verified exactly, on the full sets.
 
 Only components are asked for, so not every pair of a large group is needed. First every representative is compared
-with one pivot, the smallest representative in any of its buckets. Then, in buckets that still hold several components, those outside the
-bucket's largest component are compared with that component and with each other, in blocks of bounded size that hold
-signatures and sets; a block gives one confirmed link per document and component, not the pairs. Pairs inside one
-component are already joined. Nothing is capped or sampled.
+with one pivot, the smallest representative in any of its buckets. Then, in buckets that still hold several components,
+those outside the bucket's largest component are compared with that component and with each other, block against block.
+Blocks hold signatures and sets, bounded in number and in bytes; a block gives one confirmed link per document and
+component, not the pairs. Pairs inside one component are already joined. Nothing is capped or sampled.
 
 Cases: texts without words have an empty set and link with nothing; fewer than five words are one shingle; a null
-doc_id links with nothing and is kept; rows that repeat a doc_id are one vertex with the links of each; an empty table
-gives an empty result; other columns are only carried by `drop_near_duplicates`.
+doc_id links with nothing and is kept; rows that repeat a doc_id are one vertex with the links of each in
+`near_duplicate_groups`, and documents of their own in `drop_near_duplicates`; an empty table gives an empty result; other
+columns are only carried by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import Scratch, by_ids, components, map_groups, table, utf8, words_of
+from folium.llm.common import Scratch, add_columns, by_ids, columns_of, components, fresh, map_groups, table, utf8, words_of
 
 SHINGLE = 5
 #: The similarity of op6_neardup, in percent.
@@ -38,8 +40,8 @@ BANDS, ROWS, BATCH = 24, 5, 24
 HASHES = BANDS * ROWS
 #: The chance at which a batch may drop a pair that does reach the threshold.
 MISS = 1e-5
-#: Rows of a block on either side of a comparison.
-BLOCK = 1024
+#: Rows of a block on either side of a comparison, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 16_000_000
 
 _RANDOM = np.random.default_rng(20240501)
 MULTIPLY = (_RANDOM.integers(0, 1 << 32, HASHES, np.uint32) | 1).astype(np.uint32)
@@ -107,19 +109,19 @@ def unpack(column: pd.Series | np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sig) from (doc_id, text); k1, k2 digest the word sequence."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = words_of(utf8(text))
-                shingles = shingle_set(words)
-                digest = xxhash.xxh3_128_digest(b" ".join(words))
-                out.append((len(shingles), *np.frombuffer(digest, np.int64), signature(shingles).tobytes() if len(shingles) else None))
-            made = pd.DataFrame(out, columns=["n_shingles", "k1", "k2", "sig"])
-            made.insert(0, "doc_id", batch["doc_id"].array)
-            yield made
+    def sketch(texts: pa.Array) -> list[pa.Array]:
+        n, digests, sigs = [], [], []
+        for text in texts:
+            words = words_of(utf8(text.as_py()))
+            shingles = shingle_set(words)
+            n.append(len(shingles))
+            digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            sigs.append(signature(shingles).tobytes() if len(shingles) else None)
+        keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return [pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sigs, pa.binary())]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sketch, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return add_columns(rows, "text", sketch, "n_shingles long, k1 long, k2 long, sig binary").drop("text")
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -182,29 +184,40 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, percent: int)
     return links
 
 
+def blocks_for() -> Column:
+    """How many blocks the rows (with n, the sizes of their sets) of a group need."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n") * 8) / BLOCK_BYTES)).cast("int")
+
+
 def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Confirmed links (a, b) between different components that share a bucket; one at least per pair of them that has any."""
     least = fewest_matches(percent / 100)
     members = buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     several = sizes.groupBy("bucket").agg(
-        F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), (F.sum("n") - F.max("n")).alias("n_minor"), F.count("*").alias("n_comps")
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("n_comps")
     ).where("n_comps > 1")
     minors = scratch.write(members.join(several, "bucket").where("comp <> main"), "minors")
 
     # a minor and the whole main component, once, in however many buckets they meet
-    with_main = minors.select("rep", "comp", "main").distinct()
+    sizes = reps.select("rep", "n")
+    with_main = scratch.write(minors.select("rep", "comp", "main").distinct().join(sizes, "rep"), "with-main")
     mains = with_main.select(F.col("main").alias("comp")).distinct()
     of_main = comps.select(F.col("id").alias("rep"), "comp").join(mains, "comp").union(
         reps.select("rep", F.col("rep").alias("comp")).join(mains, "comp").join(comps.select(F.col("id").alias("rep")), "rep", "left_anti").select("rep", "comp")
     )
-    blocks = of_main.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    right = of_main.join(blocks, "comp").select(F.col("comp").alias("cell"), F.lit(-1).alias("i"), F.pmod(F.xxhash64("rep"), "nb").cast("int").alias("j"), F.lit(False).alias("is_left"), "rep", "comp")
-    left = with_main.join(blocks.withColumnRenamed("comp", "main"), "main")
-    left = left.select(F.col("main").alias("cell"), F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("is_left"), "rep", "comp")
+    of_main = scratch.write(of_main.join(sizes, "rep").select("rep", "comp", "n"), "of-main")
+    dealt = of_main.groupBy("comp").agg(blocks_for().alias("nj")).join(with_main.groupBy(F.col("main").alias("comp")).agg(blocks_for().alias("ni")), "comp")
+    each_i, each_j = F.explode(F.sequence(F.lit(0), F.col("ni") - 1)), F.explode(F.sequence(F.lit(0), F.col("nj") - 1))
+    # -1 - i tells these blocks from those of a bucket
+    right = of_main.join(dealt, "comp").withColumn("i", each_i)
+    right = right.select(F.col("comp").alias("cell"), (-1 - F.col("i")).alias("i"), F.pmod(F.xxhash64("rep"), "nj").cast("int").alias("j"), F.lit(False).alias("is_left"), "rep", "comp")
+    left = with_main.join(dealt.withColumnRenamed("comp", "main"), "main").withColumn("j", each_j)
+    left = left.select(F.col("main").alias("cell"), (-1 - F.pmod(F.xxhash64("rep"), "ni")).cast("int").alias("i"), "j", F.lit(True).alias("is_left"), "rep", "comp")
 
     # minors of a bucket with each other, block against block
-    many = minors.where("n_comps > 2").withColumn("nb", F.ceil(F.col("n_minor") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
+    several_minors = minors.where("n_comps > 2").select("bucket", "rep", "comp").join(sizes, "rep")
+    many = several_minors.join(several_minors.groupBy("bucket").agg(blocks_for().alias("nb")), "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     low = many.withColumn("o", F.explode(F.filter(every, lambda b: b >= F.col("own")))).select(F.col("bucket").alias("cell"), F.col("own").alias("i"), F.col("o").alias("j"), F.lit(True).alias("is_left"), "rep", "comp")
     high = many.withColumn("o", F.explode(F.filter(every, lambda b: b <= F.col("own")))).select(F.col("bucket").alias("cell"), F.col("o").alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"), "rep", "comp")
@@ -212,7 +225,7 @@ def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
     if cells.isEmpty():
         return cells.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     sets = full_sets(docs, cells.select(F.col("rep").alias("doc_id")).distinct(), scratch)
-    loaded = cells.join(reps, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    loaded = cells.join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
 
     def compare(block: dict[str, np.ndarray]) -> list[tuple]:
         found, here = [], block["is_left"].astype(bool)
@@ -242,7 +255,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = rows.where("n_shingles > 0 and doc_id is not null")
     classes = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.write(
-        sets.select("doc_id", "k1", "k2", "sig").join(classes, ["k1", "k2"]).where("doc_id = rep").select("rep", "sig", "k1", "k2").dropDuplicates(["rep", "k1", "k2"]).select("rep", "sig"),
+        sets.select("doc_id", "k1", "k2", "sig", F.col("n_shingles").alias("n")).join(classes, ["k1", "k2"]).where("doc_id = rep").dropDuplicates(["rep", "k1", "k2"]).select("rep", "sig", "n"),
         "representatives",
     )
     buckets = banded(reps)
@@ -265,18 +278,31 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group: the one whose doc_id names it, the first by text where rows repeat that doc_id."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "dedup")
-    groups = scratch.write(near_duplicate_groups(docs, percent), "groups")
-    gone = scratch.write(groups.where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "gone")
-    kept = by_ids(docs, gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    ids = repeated.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType))
-    once = kept.join(ids, "doc_id", "left_semi").orderBy("doc_id", "text").dropDuplicates(["doc_id"])
-    return kept.join(ids, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(once)
+    """docs with one row of each group, that of its smallest doc_id; rows without words or doc_id stay.
+
+    Where doc_ids repeat, rows with other texts are documents of their own, told apart by a 64-bit hash of doc_id and text;
+    of rows that agree in both, the first by all columns stays.
+    """
+    spark, columns = docs.sparkSession, columns_of(docs)
+    scratch, own = Scratch(spark, "dedup"), F.col("doc_id").cast("long")
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeats.isEmpty():
+        groups = near_duplicate_groups(docs.select("doc_id", "text"), percent)
+        gone = scratch.write(groups.where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "gone")
+        return by_ids(docs, gone, "doc_id", "left_anti").select(*columns)
+    vertex, inner = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")), fresh("vertex", docs)
+    groups = scratch.write(near_duplicate_groups(docs.select(vertex.alias("doc_id"), "text"), percent).where("n_shingles > 0 and doc_id is not null"), "groups")
+    named = docs.select(vertex.alias("v"), own.alias("d")).where("v is not null").distinct().join(groups.select(F.col("doc_id").alias("v"), "component_id").distinct(), "v")
+    first = named.groupBy("component_id").agg(F.min(F.struct("d", "v"))["v"].alias(inner))
+    counted = groups.groupBy(F.col("doc_id").alias(inner)).agg(F.count("*").alias("n"))
+    once, several = (scratch.write(first.join(counted.where(c), inner).select(inner), name) for c, name in (("n = 1", "once"), ("n > 1", "several")))
+    dropped = scratch.write(groups.select(F.col("doc_id").alias(inner)).distinct().join(once, inner, "left_anti"), "gone")
+    with_vertex = docs.withColumn(inner, vertex)
+    # rows without a vertex are no match for any id, so they stay
+    kept = by_ids(with_vertex, dropped, inner, "left_anti").select(*columns)
+    row = F.struct(*columns)
+    firsts = by_ids(with_vertex, several, inner, "left_semi").groupBy(inner).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.unionByName(firsts.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folium.llm.common import Scratch, table, utf8
 
@@ -86,25 +88,29 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) from (doc_id, text)."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) from (doc_id, text); what else docs has besides its text stays too."""
     end = np.array([END], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keys, kinds = docs.drop("text").columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             out = []
-            for row, text in enumerate(batch["text"]):
-                ids = encode.ids(utf8(text)) + end
+            for row, text in enumerate(batch.column(len(keys))):
+                ids = encode.ids(utf8(text.as_py())) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             rows, *columns = zip(*out, strict=True) if out else [()] * 6
-            made = pd.DataFrame(dict(zip(("piece", "start", "length", "ids_crc32", "ids"), columns, strict=True)))
-            made.insert(0, "doc_id", batch["doc_id"].array.take(np.array(rows, int)) if rows else batch["doc_id"].array)
-            yield made if with_ids else made.drop(columns="ids")
+            kept = batch.select(range(len(keys))).take(pa.array(rows, pa.int64()))
+            made = [pa.array(values, kind) for values, kind, _ in zip(columns, kinds, names, strict=False)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*keys, *names])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    added = T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = docs.select(*keys, "text")
+    return rows.mapInArrow(cut, T.StructType([*rows.schema.fields[:-1], *added.fields]))
 
 
 def exact_fill(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class SpanEncoder:
         ids = np.array(self.encoding.encode_ordinary(text), np.int64)
         ends = np.cumsum(self.lengths[ids])
         starts = ends - self.lengths[ids]
-        raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         if len(raw) == len(text):
             return starts, ends - 1
         char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
@@ -94,11 +95,11 @@ def section_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), by_line
     """(doc_id, field, section, start, end, n_tokens, n_crossing, doc_tokens) for each section; places in code points of the joined fields."""
     where = path or tokenizer_path()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(where)
         for batch in batches:
             rows, out = [], []
-            for row, values in enumerate(zip(*(batch.iloc[:, 1 + i] for i in range(len(fields))), strict=True)):
+            for row, values in enumerate(zip(*(batch.column(1 + i).to_pylist() for i in range(len(fields))), strict=True)):
                 names, ends, parts, at = [], [], [], 0
                 for i, value in enumerate(values):
                     part = ("" if value is None else value) + ("\n" if i + 1 < len(values) else "")
@@ -110,15 +111,16 @@ def section_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), by_line
                 edges = np.array(ends, np.int64)
                 n, crossing = allocate(*encode.spans("".join(parts)), edges, rule)
                 rows += [row] * len(ends)
-                out.append(pd.DataFrame({"field": names, "section": np.arange(len(ends)), "start": np.concatenate([[0], edges[:-1]]), "end": edges, "n_tokens": n, "n_crossing": crossing, "doc_tokens": n.sum()}))
+                out.append((names, np.arange(len(ends), dtype=np.int32), np.concatenate([[0], edges[:-1]]), edges, n, crossing, np.full(len(ends), n.sum())))
             if out:
-                made = pd.concat(out, ignore_index=True)
-                made.insert(0, "doc_id", batch.iloc[:, 0].array.take(np.array(rows)))
-                yield made
+                names, *numbers = zip(*out, strict=True)
+                made = [pa.array(list(chain.from_iterable(names)), pa.string()), *(pa.array(np.concatenate(x)) for x in numbers)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *made], names=columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "field", "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"]
     chosen = docs.select("doc_id", *[F.col(f"`{f}`").cast("string") for f in fields])
-    return chosen.mapInPandas(count, f"doc_id {kind}, field string, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
+    return chosen.mapInArrow(count, f"doc_id {kind}, field string, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import table, utf8, words_of
+from folium.llm.common import add_columns, table, utf8, words_of
 
 #: The bound on labelled rows the model is fitted on.
 SAMPLE = 12_000
@@ -152,34 +153,45 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5) -> Machine:
     return fit(sorted(samples, key=lambda x: (x[0], zlib.crc32(x[1]), len(x[1]))))
 
 
+class Scorer:
+    """A machine and the rows of the words met so far."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.row_of = machine, {int(h): i for i, h in enumerate(machine.terms)}
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def rows(self, word: bytes) -> tuple[int, ...]:
+        found = self.known.get(word)
+        if found is None:
+            found = tuple(self.row_of[h] for h in terms_of(word) if h in self.row_of)
+            if len(self.known) < CACHE_WORDS and len(word) < 40:
+                self.known[word] = found
+        return found
+
+    def odds(self, text: bytes) -> float:
+        return self.machine.score(np.unique(np.fromiter(chain.from_iterable(map(self.rows, set(words_of(text)))), np.int64)))
+
+
+_SCORERS: list[Scorer] = []
+
+
+def scorer_of(machine: Machine) -> Scorer:
+    """That of the machine a worker process used last, or a new one."""
+    if not _SCORERS or _SCORERS[0].machine is not machine:
+        _SCORERS[:] = [Scorer(machine)]
+    return _SCORERS[0]
+
+
 def score_texts(docs: DataFrame, model: Machine, out: str = "score") -> DataFrame:
     """docs with the model's probability of label 1 in a new last column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = shared.value
-        row_of = {int(h): i for i, h in enumerate(machine.terms)}
-        known: dict[bytes, tuple[int, ...]] = {}
+    def score(texts: pa.Array) -> list[pa.Array]:
+        scorer = scorer_of(shared.value)
+        odds = np.array([scorer.odds(utf8(text.as_py())) for text in texts], np.float64)
+        return [pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))]
 
-        def rows(word: bytes) -> tuple[int, ...]:
-            found = known.get(word)
-            if found is None:
-                found = tuple(row_of[h] for h in terms_of(word) if h in row_of)
-                if len(known) < CACHE_WORDS and len(word) < 40:
-                    known[word] = found
-            return found
-
-        for batch in batches:
-            odds = []
-            for text in batch.iloc[:, at]:
-                present = np.fromiter(chain.from_iterable(map(rows, set(words_of(utf8(text))))), np.int64)
-                odds.append(machine.score(np.unique(present)))
-            scored = 1 / (1 + np.exp(-np.clip(np.array(odds), -500, 500)))
-            yield pd.concat([batch, pd.Series(scored, index=batch.index, name=out)], axis=1)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(score, f"{schema}, `{out}` double")
+    return add_columns(docs, "text", score, f"`{out}` double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,5 +39,10 @@ def shingles(text):
 
 def similar_pairs(docs, percent):
     """Pairs a < b of ids whose sets of runs have at least this similarity; docs are (id, text)."""
-    sets = [(d, shingles(t)) for d, t in docs if d is not None]
-    return [(a, b) for a, x in sets for b, y in sets if a < b and x and y and 100 * len(x & y) >= percent * len(x | y)]
+    sets, holders = [(d, shingles(t)) for d, t in docs if d is not None], {}
+    for n, (_, x) in enumerate(sets):
+        for run in x:
+            holders.setdefault(run, []).append(n)
+    pairs = {(m, n) for held in holders.values() for m in held for n in held if m < n}
+    like = [(sets[m], sets[n]) for m, n in pairs]
+    return [(min(a, b), max(a, b)) for (a, x), (b, y) in like if a != b and 100 * len(x & y) >= percent * len(x | y)]

@@ -200,6 +200,27 @@ def test_one_document_of_each_group_stays(spark, odd_docs):
     assert len(ids) == len(set(ids)) and None in ids and 40 in ids and not {41, 42, 43, 44, 50, 51} & set(ids)
 
 
+@pytest.mark.parametrize("first", [0, 1 << 62])
+def test_repeated_ids_of_other_texts_are_documents_of_their_own(spark, first):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(1, a, 1), (1, b, 2), (2, a + " end", 3), (3, b, 4), (5, "other text of few words here", 5), (5, "", 6), (5, "", 7), (None, a, 8), (6, "once more", 9), (6, "once more", 10)]
+    table = spark.createDataFrame([(d if d is None else first + d, t, n) for d, t, n in rows], "doc_id long, text string, `v``ertex` int")
+    kept = neardup.drop_near_duplicates(table)
+    assert kept.columns == table.columns and sorted(r[2] for r in kept.collect()) in ([1, 2, 5, 6, 7, 8, 9], [1, 2, 5, 6, 7, 8, 10])
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_of_every_document(spark, sf_dir, monkeypatch, block):
+    """All links of a full comparison are found, however small the blocks are."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    links = similar_pairs(docs, 85)
+    reach = smallest_reachable([d for d, _ in docs], links)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.op6_neardup(spark, folder).collect()}
+    assert len(links) > 50 and got == reach
+
+
 def test_pipeline_drops_pairs_from_a_similarity_of_0_80(spark, tmp_path):
     """Against all pairs: copies between 0.80 and 0.85 go in the pipeline and stay apart in op6_neardup, those below 0.80 stay in both."""
     rows = []
