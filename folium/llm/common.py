@@ -92,12 +92,12 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
-def add_columns(rows: DataFrame, on: str, work: Callable[[pa.Array], list[pa.Array]], added: str) -> DataFrame:
+def add_columns(rows: DataFrame, on: str, work: Callable[[pa.Array], list[pa.Array]], added: str | T.StructType) -> DataFrame:
     """rows and, after their columns, those that work makes of each batch of the column `on`.
 
     The other columns stay Arrow, which keeps them as they are; pandas would make whole numbers beside nulls doubles.
     """
-    at, new = rows.columns.index(on), T.StructType.fromDDL(added).fields
+    at, new = rows.columns.index(on), (T.StructType.fromDDL(added) if isinstance(added, str) else added).fields
     names = [*rows.columns, *(f.name for f in new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,16 @@
 
 A text's paragraphs (lines) are cut into blocks of about four words, at places that the bytes before a blank decide,
 so an edit changes the blocks around it and no others. A block's digest hashes its bytes and how often they came before
-in the text, which makes a set. The sketch of a set adds every digest to one cell of each third of the table: a count,
-the xor of the digests and the xor of their checks. Subtracting two sketches leaves what differs, and peeling (cells of
-count one whose check fits name a digest, which is then removed everywhere) recovers those digests; where that fails,
-both are sketched again four times larger, until it succeeds. The likeness of two texts is 1 - |difference| / (sum of set
-sizes), 1 if both are empty. The fingerprint is the sketch at FINGERPRINT cells, in base64.
+in the text, which makes a set. The sketch of a set adds every digest to one cell of each of three tables: a count, the
+xor of the digests and the xor of their checks. A table has a power of two of cells, about as many in all as the set has
+digests, so a sketch folds exactly into any smaller one.
+
+The fingerprint is the sketch, in base64, and all that a comparison needs. Two fingerprints are folded to a small size and
+subtracted, and peeling (cells of count one whose check fits name a digest, which is then removed everywhere) recovers the
+digests that differ; where that fails it is retried at four times the size, up to the smaller fingerprint's own. Differences
+beyond that, of texts with little in common, are estimated from the squared counts of the subtracted cells, within what the
+two sets' sizes allow. The likeness is 1 - |difference| / (sum of set sizes), 1 if both are empty; it is a function of the two
+strings (`likeness`).
 
 `successor_pairs` brings every document's text and that of the next doc_id to one task: ranges of doc_id between drawn
 splitters, each also given the first row of the next range, are sorted and streamed, so no window spans the table.
@@ -20,101 +25,153 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import Scratch, int_array, table
 
-FINGERPRINT, THIRDS = 24, 3
-#: First size of sketches that are compared, and the factor after a failure.
-FIRST, LARGER = 48, 4
+#: Cells of a table at least, and digests per cell of a table at most; the factor after a failure.
+LEAST, LOAD, LARGER = 16, 2.5, 4
+TABLES = 3
 #: Bytes of text in a range, the most ranges, drawn ids per range; texts sketched together.
-RANGE_BYTES, MAX_RANGES, DRAWN = 6_000_000, 1 << 15, 24
-TOGETHER, TOGETHER_BYTES = 1000, 8_000_000
+RANGE_BYTES, MAX_RANGES, DRAWN = 6_000_000, 1 << 17, 24
+TOGETHER, TOGETHER_BYTES = 1000, 1_500_000
 
-#: Added to digests before they are placed in a third.
-SALTS = [np.uint64((third + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for third in range(THIRDS)]
-C1, C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+U64 = np.uint64
+#: Added to digests before they are placed in a table.
+SALTS = [U64((n + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for n in range(TABLES)]
+C1, C2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
+#: An odd factor of the hash of blocks, and its inverse modulo 2 ** 64.
+FACTOR = 0x9DDFEA08EB382D69
+INVERSE = pow(FACTOR, -1, 1 << 64)
+CELL = np.dtype([("n", "<i4"), ("k", "<u8"), ("c", "<u4")])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * C1
-    h = (h ^ (h >> np.uint64(29))) * C2
-    return h ^ (h >> np.uint64(32))
-
-
-def blocks(text: bytes) -> list[bytes]:
-    """Paragraphs, cut where the four bytes before a blank say so."""
-    b = np.frombuffer(text, np.uint8)
-    if len(b) == 0:
-        return []
-    blank = np.flatnonzero((b == 32) | (b == 10))
-    at = blank[blank >= 4]
-    h = b[at - 1].astype(np.uint32) * np.uint32(0x9E3779B1) + b[at - 2] * np.uint32(0x85EBCA77) + b[at - 3] * np.uint32(0xC2B2AE3D) + b[at - 4] * np.uint32(0x27D4EB2F)
+    h = (h ^ (h >> U64(33))) * C1
+    h = (h ^ (h >> U64(29))) * C2
+    return h ^ (h >> U64(32))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=U64)
+
+
+@dataclass
+class Sets:
+    """Digests of many texts, distinct in each: text numbers in order, and digests."""
+
+    of: np.ndarray
+    digests: np.ndarray
+    count: int
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.bincount(self.of, minlength=self.count)
+
+
+def digest_sets(texts: list[bytes]) -> Sets:
+    """The sets of texts, all at once: blocks are cut after a line break, and after a blank whose four bytes before say so."""
+    gap = b"\n\n\n\n"
+    b = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
+    lengths = np.array([len(t) + len(gap) for t in texts], np.int64)
+    firsts = len(gap) + np.cumsum(lengths) - lengths
+    at = np.flatnonzero((b == 32) | (b == 10))
+    at = at[at >= 4]
+    h = np.zeros(len(at), np.uint32)
+    for back, odd in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F), 1):
+        h += b[at - back] * np.uint32(odd)
     cut = at[((h >> np.uint32(20)) & np.uint32(3) == 0) | (b[at] == 10)]
-    early = blank[blank < 4]
-    edges = [0, *(early[b[early] == 10] + 1).tolist(), *(cut + 1).tolist(), len(text)]
-    return [piece for i, j in zip(edges, edges[1:], strict=False) if (piece := text[i:j].strip())]
+    # places 0 to 3 hold line breaks too, and every text is followed by four
+    cut = np.concatenate([[3], cut])
+    start, end = cut[:-1] + 1, cut[1:]
+    some = end > start
+    start, end = start[some], end[some]
+    if not len(start):
+        return Sets(np.array([], np.int64), np.array([], U64), len(texts))
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum((b.astype(U64) + U64(1)) * powers(FACTOR, len(b)), dtype=U64)])
+    h = mixed((sums[end] - sums[start]) * powers(INVERSE, len(b))[start] + (end - start).astype(U64) * C2)
+    of = np.searchsorted(firsts, start, "right") - 1
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])
+    again = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    h = np.where(again > 0, mixed(h + again.astype(U64) * C1), h)
+    return Sets(of, h, len(texts))
 
 
 def digests(text: bytes) -> np.ndarray:
-    """Distinct digests of a text's blocks."""
-    parts, seen = blocks(text), {}
-    if len(set(parts)) == len(parts):
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-    out = []
-    for p in parts:
-        n = seen[p] = seen.get(p, -1) + 1
-        out.append(xxhash.xxh3_64_intdigest(p, n))
-    return np.unique(np.array(out, np.uint64))
+    return digest_sets([text]).digests
+
+
+def check(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys ^ U64(0x5851F42D4C957F2D)) >> U64(32)).astype(np.uint32)
 
 
 class Sketches:
-    """Sketches of many sets at once, `cells` cells each."""
-
-    def __init__(self, sets: int, cells: int):
-        self.sets, self.cells = sets, cells - cells % THIRDS
-        self.count = np.zeros(sets * self.cells, np.int32)
-        self.keys = np.zeros(sets * self.cells, np.uint64)
-        self.checks = np.zeros(sets * self.cells, np.uint32)
-
-    def places(self, of: np.ndarray, keys: np.ndarray, third: int) -> np.ndarray:
-        size = self.cells // THIRDS
-        h = mixed(keys + SALTS[third])
-        return of * self.cells + third * size + (h % np.uint64(size)).astype(np.int64)
-
-    @staticmethod
-    def check(keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
-
-    def add(self, of: np.ndarray, keys: np.ndarray, sign: np.ndarray | int = 1) -> None:
-        check = self.check(keys)
-        for third in range(THIRDS):
-            at = self.places(of, keys, third)
+    """Sketches of many sets at once; sketch i has TABLES tables of width[i] cells, a power of two."""
+
+    def __init__(self, width: np.ndarray):
+        self.width = width.astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(TABLES * self.width)])
+        total = int(self.first[-1])
+        self.count, self.keys, self.checks = np.zeros(total, np.int64), np.zeros(total, U64), np.zeros(total, np.uint32)
+
+    @classmethod
+    def of(cls, sets: Sets) -> Sketches:
+        out = cls(1 << np.ceil(np.log2(np.maximum(sets.sizes / LOAD, LEAST))).astype(np.int64))
+        out.add(sets.of, sets.digests, np.ones(len(sets.of), np.int64))
+        return out
+
+    def places(self, of: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+        return self.first[of] + n * self.width[of] + (mixed(keys + SALTS[n]) & (self.width[of] - 1).astype(U64)).astype(np.int64)
+
+    def add(self, of: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> None:
+        checks = check(keys)
+        for n in range(TABLES):
+            at = self.places(of, keys, n)
             np.add.at(self.count, at, sign)
             np.bitwise_xor.at(self.keys, at, keys)
-            np.bitwise_xor.at(self.checks, at, check)
+            np.bitwise_xor.at(self.checks, at, checks)
+
+    def folded(self, pick: np.ndarray, width: np.ndarray) -> Sketches:
+        """The sketches picked, at smaller widths."""
+        out = Sketches(width)
+        cells = TABLES * self.width[pick]
+        row = np.repeat(np.arange(len(pick)), cells)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells)
+        wide = self.width[pick][row]
+        to = out.first[row] + within // wide * out.width[row] + (within % wide) % out.width[row]
+        source = self.first[pick][row] + within
+        np.add.at(out.count, to, self.count[source])
+        np.bitwise_xor.at(out.keys, to, self.keys[source])
+        np.bitwise_xor.at(out.checks, to, self.checks[source])
+        return out
 
     def subtract(self, other: Sketches) -> Sketches:
-        out = Sketches(self.sets, self.cells)
+        out = Sketches(self.width)
         out.count, out.keys, out.checks = self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks
         return out
 
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1
+
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(set, digest, sign) of the recovered digests, and whether each set was recovered whole. Empties the sketches."""
-        found = [(np.array([], np.int64), np.array([], np.uint64), np.array([], np.int32))]
+        """(sketch, digest, sign) of the recovered digests, and whether each was recovered whole. Empties the sketches."""
+        found = [(np.array([], np.int64), np.array([], U64), np.array([], np.int64))]
         at = np.flatnonzero(np.abs(self.count) == 1)
         while True:
-            at = at[(np.abs(self.count[at]) == 1)]
-            at = at[self.check(self.keys[at]) == self.checks[at]]
+            at = at[np.abs(self.count[at]) == 1]
+            at = at[check(self.keys[at]) == self.checks[at]]
             if not len(at):
                 break
-            of, keys, sign = at // self.cells, self.keys[at], self.count[at]
+            of, keys, sign = self.owner(at), self.keys[at], self.count[at]
             # a digest is often alone in several cells: take it once
             order = np.lexsort((keys, of))
             of, keys, sign = of[order], keys[order], sign[order]
@@ -123,39 +180,58 @@ class Sketches:
             of, keys, sign = of[once], keys[once], sign[once]
             found.append((of, keys, sign))
             self.add(of, keys, -sign)
-            at = np.unique(np.concatenate([self.places(of, keys, third) for third in range(THIRDS)]))
-        whole = ~((self.count != 0) | (self.keys != 0)).reshape(self.sets, self.cells).any(axis=1)
+            at = np.unique(np.concatenate([self.places(of, keys, n) for n in range(TABLES)]))
+        whole = ~np.logical_or.reduceat((self.count != 0) | (self.keys != 0), self.first[:-1]) if len(self.width) else np.array([], bool)
         of, keys, sign = (np.concatenate(x) for x in zip(*found, strict=True))
         return of, keys, sign, whole
 
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.first[:-1]) if len(self.width) else np.array([], values.dtype)
+
     def encoded(self) -> list[str]:
-        packed = np.empty((self.sets, self.cells), [("n", "<i4"), ("k", "<u8"), ("c", "<u4")])
-        for name, values in (("n", self.count), ("k", self.keys), ("c", self.checks)):
-            packed[name] = values.reshape(self.sets, self.cells)
-        return [base64.b64encode(row.tobytes()).decode() for row in packed]
+        packed = np.empty(len(self.count), CELL)
+        packed["n"], packed["k"], packed["c"] = self.count, self.keys, self.checks
+        return [base64.b64encode(packed[i:j].tobytes()).decode() for i, j in zip(self.first, self.first[1:], strict=False)]
+
+    @classmethod
+    def decoded(cls, fingerprints: list[str]) -> Sketches:
+        cells = [np.frombuffer(base64.b64decode(f), CELL) for f in fingerprints]
+        out, packed = cls(np.array([len(c) // TABLES for c in cells], np.int64)), np.concatenate([np.empty(0, CELL), *cells])
+        out.count, out.keys, out.checks = packed["n"].astype(np.int64), packed["k"].copy(), packed["c"].copy()
+        return out
+
 
+def estimated(difference: Sketches, sizes: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The number of digests that differ, from the squared counts, between what the sizes of the two sets allow.
 
-def sketch(sets: list[np.ndarray], cells: int) -> Sketches:
-    out = Sketches(len(sets), cells)
-    if sets:
-        out.add(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets))
-    return out
+    In a table of w cells, d digests of which a surplus s has one sign make the squares add up to d + (s * s - d) / w.
+    """
+    w, surplus = difference.width, (sizes - other).astype(np.float64)
+    squares = difference.totals(difference.count**2) / TABLES
+    return np.clip((squares - surplus**2 / w) / (1 - 1 / w), np.abs(surplus), sizes + other)
 
 
-def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many digests two sets differ in, by peeling, pair by pair."""
-    out, todo, cells = np.zeros(len(left), np.int64), np.arange(len(left)), FIRST
+def likeness_of(left: Sketches, i: np.ndarray, right: Sketches, j: np.ndarray) -> np.ndarray:
+    """Of the sketches numbered i on the left and j on the right, pair by pair."""
+    sizes, other = (s.totals(s.count)[n] // TABLES for s, n in ((left, i), (right, j)))
+    most, differ = np.minimum(left.width[i], right.width[j]), np.zeros(len(i))
+    todo, width = np.arange(len(i)), np.full(len(i), LEAST)
     while len(todo):
-        of, _, _, whole = sketch([left[i] for i in todo], cells).subtract(sketch([right[i] for i in todo], cells)).peel()
-        n = np.bincount(of, minlength=len(todo))
-        out[todo[whole]] = n[whole]
-        todo, cells = todo[~whole], cells * LARGER
-    return out
+        now = np.minimum(width[todo], most[todo])
+        apart = left.folded(i[todo], now).subtract(right.folded(j[todo], now))
+        guess = estimated(apart, sizes[todo], other[todo])
+        of, _, _, whole = apart.peel()
+        done = whole | (now == most[todo])
+        differ[todo[done]] = np.where(whole, np.bincount(of, minlength=len(todo)), guess)[done]
+        todo, width = todo[~done], width * LARGER
+    both = sizes + other
+    return np.where(both > 0, 1 - differ / np.maximum(both, 1), 1.0)
 
 
-def likeness(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    both = np.array([len(a) + len(b) for a, b in zip(left, right, strict=True)], np.float64)
-    return np.where(both > 0, 1 - differences(left, right) / np.maximum(both, 1), 1.0)
+def likeness(left: list[str], right: list[str]) -> np.ndarray:
+    """How alike the texts of fingerprints are, from 0 to 1, pair by pair."""
+    every = np.arange(len(left))
+    return likeness_of(Sketches.decoded(left), every, Sketches.decoded(right), every)
 
 
 def rank_in(bounds: list[int], value: Column) -> Column:
@@ -219,16 +295,18 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
         ids, texts, after = zip(*group, strict=True)
         edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, after, strict=True)]
         raw = [t.encode("utf-8", "surrogatepass") for t in edited]
-        own, changed = [digests(t.encode("utf-8", "surrogatepass")) for t in texts], [digests(t) for t in raw]
-        following = [
-            own[i + 1] if i + 1 < len(group) and texts[i + 1] is after[i] else digests(after[i].encode("utf-8", "surrogatepass"))
-            for i in range(len(group))
-        ]
+        # the next document is mostly the next of the group; those that are not come last
+        m, every = len(group), np.arange(len(group))
+        apart = [i for i in range(m) if i + 1 == m or texts[i + 1] is not after[i]]
+        following = every + 1
+        following[apart] = m + np.arange(len(apart))
+        own = Sketches.of(digest_sets([t.encode("utf-8", "surrogatepass") for t in (*texts, *(after[i] for i in apart))]))
+        changed = Sketches.of(digest_sets(raw))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
-                pa.array(sketch(own, FINGERPRINT).encoded(), pa.string()), pa.array(sketch(changed, FINGERPRINT).encoded(), pa.string()),
-                pa.array(likeness(own, changed), pa.float64()), pa.array(likeness(own, following), pa.float64()),
+                pa.array(own.encoded()[:m], pa.string()), pa.array(changed.encoded(), pa.string()),
+                pa.array(likeness_of(own, every, changed, every)), pa.array(likeness_of(own, every, own, following)),
             ],
             names=[f.split()[0] for f in fields.split(", ")],
         )

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import WORD, Scratch, table
+from folium.llm.common import WORD, Scratch, columns_of, fresh, table
 
 #: Rates are joined by broadcast up to so many sources (about 10 MB); beyond, by a shuffle.
 BROADCAST_SOURCES = 100_000
@@ -56,33 +56,35 @@ def copies(doc_id: Column, rate: Column, seed: str) -> Column:
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int = 3, seed: str = "mix", text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs with a struct column __mix (size, source_size, target, copies)."""
+    """The rows of docs with a last column, named by mix_column(docs): a struct (size, source_size, target, copies)."""
     spark = docs.sparkSession
     sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     rates = Scratch(spark, "mix").write(source_targets(sizes, weights, max_repeat), "rates")
-    rates = rates.select(F.col("source").alias("__s"), F.struct("source_size", "target").alias("__t"))
+    n, s, t, mix = (fresh(name, docs) for name in ("n", "s", "t", "mix"))
+    rates = rates.select(F.col("source").alias(s), F.struct("source_size", "target").alias(t))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    sized = docs.withColumn("__size", word_count(F.col(text)))
-    joined = sized.join(rates, F.col(source).eqNullSafe(F.col("__s")))
-    rate = F.when(F.col("__t.source_size") > 0, F.least(F.lit(float(max_repeat)), F.col("__t.target") / F.col("__t.source_size"))).otherwise(0.0)
-    mix = F.struct(
-        F.col("__size").alias("size"), F.col("__t.source_size").alias("source_size"), F.col("__t.target").alias("target"),
-        copies(F.col(doc_id), rate, seed).alias("copies"),
-    )
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("__mix"))
+    joined = docs.withColumn(n, word_count(F.col(text))).join(rates, F.col(source).eqNullSafe(F.col(s)))
+    of_source, wanted = F.col(t)["source_size"], F.col(t)["target"]
+    rate = F.when(of_source > 0, F.least(F.lit(float(max_repeat)), wanted / of_source)).otherwise(0.0)
+    planned = F.struct(F.col(n).alias("size"), of_source.alias("source_size"), wanted.alias("target"), copies(F.col(doc_id), rate, seed).alias("copies"))
+    return joined.select(*columns_of(docs), planned.alias(mix))
+
+
+def mix_column(docs: DataFrame) -> str:
+    return fresh("mix", docs)
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs, each as often as the plan says."""
+    n, number = F.col(mix_column(docs))["copies"], fresh("copy", docs)
     planned = plan_mix(docs, **options)
-    repeated = planned.where("__mix.copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return planned.where(n > 0).select(*columns_of(docs), F.explode(F.sequence(F.lit(1), n)).alias(number)).select(*columns_of(docs))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    m = F.col("__mix")
+    m = F.col(mix_column(docs))
     return plan_mix(docs).select(
         "doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken")
     )

@@ -21,17 +21,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.llm.common import Scratch, table, utf8
+from folium.llm.common import Scratch, columns_of, fresh, int_array, table, utf8
 
 CAPACITY, END = 2048, 0
-#: Words a worker remembers the ids of, and pieces of one length that one window may hold.
-CACHE_WORDS, RANKED_TOGETHER = 400_000, 200_000
+#: Words a worker remembers the ids of, and pieces of one length that a window holds, about.
+CACHE_WORDS, RANKED_TOGETHER = 400_000, 20_000
+
+
+#: Sizes of windows are joined by broadcast up to so many (about 2 MB).
+MANY_WINDOWS = 100_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -109,7 +112,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bo
             yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*keys, *names])
 
     added = T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
-    rows = docs.select(*keys, "text")
+    rows = docs.select(*columns_of(docs.drop("text")), "text")
     return rows.mapInArrow(cut, T.StructType([*rows.schema.fields[:-1], *added.fields]))
 
 
@@ -216,34 +219,46 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (a written table) with sequence_id and offset."""
     counts = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_sequences(counts, capacity)
-    salts = max(1, -(-max(counts.values(), default=0) // RANKED_TOGETHER))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    by = Window.partitionBy("length", "__salt").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("__rank", (F.row_number().over(by) - 1).cast("long"))
-    if salts > 1:
-        sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
-        before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-        ranked = ranked.join(sizes, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    keys = plan[:, 0] << 44 | plan[:, 1]
-
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # each length has as many windows as it needs; their sizes, cumulated, are where their ranks begin
+    salt, rank, first = (fresh(name, pieces) for name in ("salt", "rank", "first"))
+    salts = int_array([max(1, -(-counts.get(length, 0) // RANKED_TOGETHER)) for length in range(1, capacity + 1)])
+    by_hash = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    salted = pieces.withColumn(salt, F.pmod(by_hash, F.element_at(salts, F.col("length").cast("int"))).cast("int"))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", salt, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    many = sum(n // RANKED_TOGETHER for n in counts.values()) > MANY_WINDOWS
+    within = Window.partitionBy("length", salt).orderBy(by_hash, "doc_id", "piece", "ids_crc32")
+    ranked = salted.withColumn(rank, (F.row_number().over(within) - 1).cast("long")).join(sizes if many else F.broadcast(sizes), ["length", salt])
+    rows = ranked.select(*columns_of(pieces), (F.col(rank) + F.col(first)).alias(rank))
+    keys, shared = plan[:, 0] << 44 | plan[:, 1], pieces.sparkSession.sparkContext.broadcast(plan)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch.pop("__rank").to_numpy(np.int64)
-            at = plan[np.searchsorted(keys, length << 44 | rank, "right") - 1]
-            yield batch.assign(sequence_id=at[:, 2] + rank - at[:, 1], offset=at[:, 3])
+            length, place = batch.column(at_length).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            at = plan[np.searchsorted(keys, length << 44 | place, "right") - 1]
+            made = [pa.array(at[:, 2] + place - at[:, 1]), pa.array(at[:, 3])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
 
-    kept = ranked.select(*pieces.columns, "__rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return kept.mapInPandas(look_up, schema)
+    at_length, names = pieces.columns.index("length"), [*pieces.columns, "sequence_id", "offset"]
+    return rows.mapInArrow(look_up, T.StructType([*pieces.schema.fields, *T.StructType.fromDDL("sequence_id long, offset long").fields]))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) for every piece of (doc_id, text)."""
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) for every piece of (doc_id, text).
+
+    Columns of docs beside these two, such as the number of a copy, come after doc_id and tell rows of one doc_id apart.
+    """
     pieces = pieces_of(docs, path or tokenizer_path(), capacity, with_ids)
     return place(Scratch(docs.sparkSession, "packing").write(pieces, "pieces"), capacity)
 
 
+def numbered_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, text): every row of a written table with a number of its own, which tells the copies of a doc_id apart."""
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The sequences themselves, (sequence_id, ids): a bounded group each, from pack_documents(with_ids=True)."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))

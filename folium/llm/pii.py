@@ -1,6 +1,6 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score. DataFrame operations only.
 
-A kind has a pattern, a validator and a score; a word of its context within CONTEXT characters before the span adds to
+A kind has a pattern, a validator and a score; a word of its context within CONTEXT characters before or after the span adds to
 the score, and a span is kept from THRESHOLD on. The base kinds score above it by themselves; the added ones are IBANs
 (mod 97), which do too, and US social security numbers and phone numbers without a country code, which need a word nearby.
 
@@ -116,8 +116,9 @@ def spans_of(text: Column, kind: Kind) -> Column:
         return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).cast(placed_type).alias("out"))
 
     def scored(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))))
-        score = F.lit(kind.score) + F.when(before.rlike(kind.context), 0.3).otherwise(0.0)
+        before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
+        nearby = F.lower(F.concat(before, F.lit("\n"), F.substring(text, x["end"] + 1, F.lit(CONTEXT))))
+        score = F.lit(kind.score) + F.when(nearby.rlike(kind.context), 0.3).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
 
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {placed_type})").alias("out"))
@@ -133,25 +134,21 @@ def find_spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
     return F.concat(*[spans_of(body, k) for k in kinds])
 
 
-def mask_text(text: Column, kind: Kind) -> Column:
-    """The text with the confirmed spans of one kind replaced by <KIND>."""
-    spans = spans_of(text, kind)
+def mask_text(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """The text with every span that find_spans gives replaced by <KIND>; of spans that overlap the first, the longer one on a tie."""
+    ordered = F.array_sort(F.transform(find_spans(text, kinds), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
 
     def cut(acc: Column, x: Column) -> Column:
-        return F.struct(
-            x["end"].alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(f"<{kind.name.upper()}>")).alias("out"),
-        )
+        masked = F.struct((-x["back"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out"))
+        return F.when(x["start"] >= acc["at"], masked).otherwise(acc)
 
-    folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(text.rlike(kind.hint), folded).otherwise(text)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.when(text.isNotNull(), F.aggregate(ordered, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
 
 
 def mask(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """docs with personal data masked, kind after kind; n_chars, where it is a column, follows the text. Nulls stay null."""
-    out = docs
-    for kind in kinds:
-        out = out.withColumn(text, mask_text(F.col(text), kind))
+    """docs with the spans of find_spans masked; n_chars, where it is a column, follows the text. Nulls stay null."""
+    out = docs.withColumn(text, mask_text(F.col(text), kinds))
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -195,11 +192,11 @@ k AS (
 ), q AS (
   SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS dg, replace(v, ' ', '') AS c,
     (CASE WHEN s > 0 THEN substring(text, s, 1) ELSE '' END) || substring(text, e + 1, 1) AS around,
-    lower(substring(text, greatest(s - 40, 0) + 1, least(s, 40))) AS before
+    lower(substring(text, greatest(s - 40, 0) + 1, least(s, 40)) || chr(10) || substring(text, e + 1, 40)) AS nearby
   FROM p
 ), ok AS (
   SELECT rid, ord, kind, s, e FROM q WHERE
-    (ctx = '' OR regexp_matches(before, ctx)) AND CASE kind
+    (ctx = '' OR regexp_matches(nearby, ctx)) AND CASE kind
       WHEN 'email' THEN true
       WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0
       WHEN 'card' THEN length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda j:

@@ -7,25 +7,25 @@ their doc_id, whatever the table's size) from the training part. Learned are the
 those with a likelihood-ratio statistic of at least TELLING; the many others would only add noise to long texts. Every
 text is scored whole.
 
-Cases: a null or empty text has no terms and scores the bias; labels that are null or not 0 or 1 are not learned from,
-of repeated labels of one doc_id the largest counts; repeated rows score alike; without both labels in the training
+Cases: a null or empty text has no terms and scores the bias; labels that are null or not 0 or 1, or of no document, are not
+learned from, of repeated labels of one doc_id the largest counts, of repeated documents the first text in order; repeated
+rows score alike; without both labels in the training
 part every score is the smoothed share of toxic rows; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folium.llm.common import add_columns, table, utf8, words_of
+from folium.llm.common import Scratch, add_columns, table, utf8, words_of
 
 #: The bound on labelled rows the model is fitted on.
 SAMPLE = 12_000
@@ -66,39 +66,32 @@ class Machine:
         return self.bias + float(self.linear[rows].sum()) + pair
 
 
-def telling_terms(samples: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Sorted hashes of the terms whose presence and the label depend on one another (G statistic, two by two)."""
-    positive = np.concatenate([np.array([], np.uint32), *(t for y, t in samples if y)])
-    every = np.concatenate([t for _, t in samples])
-    every.sort()
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    terms, n = every[first], np.diff(np.append(first, len(every)))
-    del every
-    hits, k = np.unique(positive, return_counts=True)
-    toxic = np.zeros(len(terms))
-    toxic[np.searchsorted(terms, hits)] = k
-    docs, all_toxic = len(samples), sum(y for y, _ in samples)
-    g = np.zeros(len(terms))
-    for seen, row, column in ((toxic, n, all_toxic), (n - toxic, n, docs - all_toxic), (all_toxic - toxic, docs - n, all_toxic), (docs - n - all_toxic + toxic, docs - n, docs - all_toxic)):
-        expected = row * (column / docs)
-        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    return terms[g >= TELLING]
-
-
-def fit(samples: list[tuple[int, np.ndarray]]) -> Machine:
-    """A machine from (label, distinct hashed terms) pairs."""
+def g_statistic(n: Column, hits: Column, docs: int, toxic: int) -> Column:
+    """How strongly presence (in n of docs samples, hits of the toxic ones) and the label depend on one another."""
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    cells = ((hits, n * toxic), (n - hits, n * (docs - toxic)), (toxic - hits, (docs - n) * toxic), (docs - n - toxic + hits, (docs - n) * (docs - toxic)))
+    return F.lit(2.0) * sum((part(seen, row / docs) for seen, row in cells), F.lit(0.0))
+
+
+def log_odds(toxic: float, n: int) -> float:
+    """Of the smoothed share of toxic samples."""
+    rate = (toxic + 0.5) / (n + 1)
+    return float(np.log(rate / (1 - rate)))
+
+
+def nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """No terms, and so no weights."""
+    return np.array([], np.uint32), np.array([], np.float32), np.zeros((0, FACTORS), np.float32)
+
+
+def fit(samples: list[tuple[int, np.ndarray]], terms: np.ndarray) -> Machine:
+    """A machine over these terms from (label, rows of the terms in a text) pairs."""
     labels = np.array([y for y, _ in samples], np.float64)
-    none = np.array([], np.uint32)
-    rate = (labels.sum() + 0.5) / (len(labels) + 1)
-    bias = float(np.log(rate / (1 - rate)))
-    if len(set(labels.tolist())) < 2:
-        return Machine(bias, none, none.astype(np.float32), np.zeros((0, FACTORS), np.float32))
-    terms = telling_terms(samples)
-    rows = []
-    for _, t in samples:
-        at = np.searchsorted(terms, t)
-        at = at[at < len(terms)]
-        rows.append(at[np.isin(terms[at], t)] if len(terms) else at)
+    bias = log_odds(labels.sum(), len(labels))
+    rows = [r for _, r in samples]
     rng = np.random.default_rng(7)
     w, v = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS))
     gw, gv, gb = np.full(len(terms), 1e-8), np.full((len(terms), FACTORS), 1e-8), 1e-8
@@ -130,27 +123,39 @@ def fit(samples: list[tuple[int, np.ndarray]]) -> Machine:
     return Machine(float(bias), terms, w.astype(np.float32), v.astype(np.float32))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFrame:
-    """(toxic, terms) of at most about SAMPLE labelled documents outside the held-out part."""
+def training_texts(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFrame:
+    """(toxic, text) of at most SAMPLE labelled documents outside the held-out part."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"), parts)).withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id"))
-    known = known.orderBy("h", "doc_id").limit(SAMPLE).select("doc_id", "toxic")
+    known = known.where(~held_out(F.col("doc_id"), parts)).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    known = known.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(SAMPLE)
+    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return sampled.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
+
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [np.unique(np.fromiter(chain.from_iterable(map(terms_of, set(words_of(utf8(t))))), np.uint32)).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "terms": found})
+def train(docs: DataFrame, labels: DataFrame, parts: int = 5) -> Machine:
+    """Terms are counted in Spark; the driver gets those that tell about the label and, of each sampled text, which of them it has."""
+    spark = docs.sparkSession
 
-    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    return sampled.dropDuplicates(["doc_id"]).select("toxic", "text").mapInPandas(terms, "toxic int, terms binary")
+    def hashed(texts: pa.Array) -> list[pa.Array]:
+        found = [np.unique(np.fromiter(chain.from_iterable(map(terms_of, set(words_of(utf8(t.as_py()))))), np.int64)) for t in texts]
+        return [pa.array(found, pa.list_(pa.int64()))]
 
+    texts = training_texts(docs, labels, parts)
+    sample = Scratch(spark, "toxicity").write(add_columns(texts, "text", hashed, "terms array<bigint>").select("toxic", "terms"), "sample")
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n or toxic in (0, n):
+        return Machine(log_odds(toxic, n), *nothing())
+    counted = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"))
+    telling = counted.where(g_statistic(F.col("n"), F.col("hits"), n, toxic) >= TELLING).select("term").collect()
+    terms = np.array(sorted(r["term"] for r in telling), np.uint32)
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 5) -> Machine:
-    rows, samples = training_rows(docs, labels, parts).collect(), []
-    while rows:  # freed as they are taken: the driver holds the sample once
-        r = rows.pop()
-        samples.append((r["toxic"], np.frombuffer(bytes(r["terms"]), np.uint32)))
-    return fit(sorted(samples, key=lambda x: (x[0], zlib.crc32(x[1]), len(x[1]))))
+    def present(found: pa.ListArray) -> list[pa.Array]:
+        rows = [np.searchsorted(terms, t)[np.isin(t, terms, assume_unique=True)] for t in (np.array(x.as_py(), np.int64) for x in found)]
+        return [pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())]
+
+    rows = add_columns(sample, "terms", present, "rows binary").select("toxic", "rows").collect()
+    samples = [(r["toxic"], np.frombuffer(bytes(r["rows"]), np.int32).astype(np.int64)) for r in rows]
+    return fit(sorted(samples, key=lambda x: (x[0], len(x[1]), x[1].tobytes())), terms)
 
 
 class Scorer:
@@ -183,7 +188,7 @@ def scorer_of(machine: Machine) -> Scorer:
 
 
 def score_texts(docs: DataFrame, model: Machine, out: str = "score") -> DataFrame:
-    """docs with the model's probability of label 1 in a new last column."""
+    """docs with the model's probability of label 1 in a last column, which replaces any other of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pa.Array) -> list[pa.Array]:
@@ -191,7 +196,7 @@ def score_texts(docs: DataFrame, model: Machine, out: str = "score") -> DataFram
         odds = np.array([scorer.odds(utf8(text.as_py())) for text in texts], np.float64)
         return [pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))]
 
-    return add_columns(docs, "text", score, f"`{out}` double")
+    return add_columns(docs.drop(out), "text", score, T.StructType([T.StructField(out, T.DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
