@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from folium.session import ship_package, table
 
-__all__ = ["WORD", "Scratch", "add_columns", "by_ids", "columns_of", "components", "fresh", "int_array", "map_groups", "number_array", "shared_folder", "table", "utf8", "words_of"]
+__all__ = ["WORD", "Scratch", "add_columns", "by_ids", "columns_of", "components", "fresh", "int_array", "map_groups", "number_array", "plainly_named", "shared_folder", "table", "utf8", "words_of"]
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,6 +92,11 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """df with numbered columns: what hands rows to Python resolves names anew, and fails on those with dots or backticks."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def add_columns(rows: DataFrame, on: str, work: Callable[[pa.Array], list[pa.Array]], added: str | T.StructType) -> DataFrame:
     """rows and, after their columns, those that work makes of each batch of the column `on`.
 
@@ -104,7 +109,7 @@ def add_columns(rows: DataFrame, on: str, work: Callable[[pa.Array], list[pa.Arr
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at))], names=names)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *new]))
+    return plainly_named(rows).mapInArrow(run, T.StructType([*rows.schema.fields, *new]))
 
 
 def map_groups(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.llm.common import Scratch, columns_of, fresh, int_array, table, utf8
+from folium.llm.common import Scratch, columns_of, fresh, int_array, plainly_named, table, utf8
 
 CAPACITY, END = 2048, 0
 #: Words a worker remembers the ids of, and pieces of one length that a window holds, about.
@@ -113,7 +113,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bo
 
     added = T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
     rows = docs.select(*columns_of(docs.drop("text")), "text")
-    return rows.mapInArrow(cut, T.StructType([*rows.schema.fields[:-1], *added.fields]))
+    return plainly_named(rows).mapInArrow(cut, T.StructType([*rows.schema.fields[:-1], *added.fields]))
 
 
 def exact_fill(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -242,7 +242,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
 
     at_length, names = pieces.columns.index("length"), [*pieces.columns, "sequence_id", "offset"]
-    return rows.mapInArrow(look_up, T.StructType([*pieces.schema.fields, *T.StructType.fromDDL("sequence_id long, offset long").fields]))
+    return plainly_named(rows).mapInArrow(look_up, T.StructType([*pieces.schema.fields, *T.StructType.fromDDL("sequence_id long, offset long").fields]))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

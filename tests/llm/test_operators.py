@@ -420,7 +420,7 @@ def test_a_group_larger_than_a_shard_is_subdivided(spark):
 
 
 def test_columns_with_clashing_names_pass_through(spark, odd_docs):
-    names = ["n", "s", "t", "mix", "copy", "__mix", "__size", "__s", "__toxicity", "toxicity", "vertex", "salt", "rank", "first", "we`ird.name"]
+    names = ["n", "s", "t", "mix", "copy", "__mix", "__size", "__s", "__toxicity", "toxicity", "vertex", "salt", "rank", "first", "we`ird.name", "dot.ted"]
     table = spark.read.parquet(f"{odd_docs}/documents.parquet").limit(40)
     table = table.select("doc_id", "text", "source", *[F.lit(i).alias(n) for i, n in enumerate(names)])
     for stage in (corpus_pipeline.reject_toxic, corpus_pipeline.drop_near_duplicates, corpus_pipeline.mask_personal_data, corpus_pipeline.mix):
