@@ -71,34 +71,105 @@ def test_language_model_base_counts(spark, odd_docs, docs):
 
 def test_spelling_is_a_distribution():
     words = [b"abc", b"abd", b"xyz", b"abcabc"] * 5
-    zeros, ones = lm.count_slots(lm.batches_of(words))
-    model = lm.Spelling(zeros, ones, np.full((lm.CONTEXTS, lm.CONTEXTS), 0.3), np.full(lm.CONTEXTS * lm.BUCKETS, 0.5))
-    weights, outcomes, seen = lm.train_mixer(lm.batches_of(words), model)
-    assert seen == 8 * sum(len(w) + 1 for w in words) and outcomes[:, 1].sum() == seen
-    model.weights = weights
-    # the first byte's 256 values share one
+    model = lm.count_slots(lm.batches_of(words))
+    assert model.learn(lm.spelling_steps(lm.batches_of(words))) == 8 * sum(len(w) + 1 for w in words) == model.refine[:, 1].sum()
+    # the first byte's values share one
     raw, contexts, starts = lm.spelled([bytes([b]) for b in range(256) if b != 32])
-    total = 0.0
     logs = np.zeros(len(raw))
     for node, bit in lm.bits(raw):
-        _, gate, mixed = lm.predictions(model, contexts, node, None)
-        p = 0.5 / (1 + np.exp(-mixed)) + 0.5 * model.refine[gate * lm.BUCKETS + lm.bucket_of(mixed)]
+        p = model.probability(lm.slots_of(contexts, node))
         logs += np.log(np.where(bit == 1, p, 1 - p))
-    total = np.exp(logs[starts]).sum()
-    assert 0.9 < total <= 1 + 1e-9
-
-
-def test_history_is_sequential():
-    tokens, lengths = np.array([0, 1, 0, 0, 2], np.int32), np.array([4, 1])
-    p = np.log(np.array([0.5, 0.25, 0.25]))
-    met = lm.Meetings.of(tokens, lengths, 3)
-    got = met.logs(p[met.token])
-    for h, a in enumerate(lm.HISTORY):
-        seen, total = Counter(), 0.0
-        for i, t in enumerate(tokens[:4]):
-            total += math.log((a * math.exp(p[t]) + seen[t]) / (a + i))
+    assert 0.9 < np.exp(logs[starts]).sum() <= 1 + 1e-9
+
+
+def running_bits(texts, taught, phrases_of):
+    """What lm.bits_of_text gives, word by word: per token the ways to tell it, as (kind, bit, share)."""
+    out = []
+    for d, text in enumerate(texts):
+        after, seen = {}, Counter()
+        for i, t in enumerate(text):
+            ways = []
+            if (d, i) in phrases_of and phrases_of[d, i][0] > 0:
+                before, whole = phrases_of[d, i]
+                ways.append(("known", whole > 0, whole / before))
+            if i >= 2 and (text[i - 2], text[i - 1]) in after:
+                ways.append(("follows", after[text[i - 2], text[i - 1]] == t, 1.0))
+            if i:
+                ways.append(("again", seen[t] > 0, seen[t] / i))
+            out.append(ways)
             seen[t] += 1
-        assert got[h, 0] == pytest.approx(total, rel=1e-6)
+            if i >= 2:
+                after[text[i - 2], text[i - 1]] = t
+    return out
+
+
+def test_bits_of_text_in_order():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 6, n).tolist() for n in (40, 1, 300, 7)]
+    lengths, tokens = np.array([len(t) for t in texts]), np.concatenate([np.array(t) for t in texts])
+    opened = np.flatnonzero(rng.random(len(tokens)) < 0.2)
+    before = rng.integers(0, 4, len(opened))
+    whole = np.minimum(rng.integers(0, 3, len(opened)), before)
+    place = [(d, i) for d, t in enumerate(texts) for i in range(len(t))]
+    want = running_bits(texts, None, {place[at]: (b, w) for at, b, w in zip(opened.tolist(), before.tolist(), whole.tolist(), strict=True)})
+    ways, own = lm.bits_of_text(tokens, lengths, np.ones(len(tokens), bool), opened, before, whole)
+    got = [[] for _ in tokens]
+    for name, way in zip(("known", "follows", "again"), ways, strict=True):
+        for at, bit, share in zip(way.at.tolist(), way.bit.tolist(), way.share.tolist(), strict=True):
+            got[at].append((name, bool(bit), share))
+    assert got == want
+    counted = [Counter(t) for t in texts]
+    assert own.tolist() == [counted[d][texts[d][i]] for d, i in place]
+
+
+def test_probabilities_of_all_next_tokens_sum_to_one():
+    """Every token that could come next, each told by its own bits under the same chances."""
+    text, vocabulary = [0, 1, 2, 0, 1, 2, 3, 0, 1], 5
+    word_p = np.array([0.3, 0.3, 0.2, 0.15, 0.05])
+    corpus = {2: 3, 4: 1}  # how often tokens follow the three words before, elsewhere
+    total = 0.0
+    for t in range(vocabulary):
+        tokens = np.array([*text, t])
+        last = len(text)
+        ways, _ = lm.bits_of_text(tokens, np.array([len(tokens)]), np.ones(len(tokens), bool), np.array([last]), np.array([4]), np.array([corpus.get(t, 0)]))
+        chances = [np.full(len(way.at), c) for way, c in zip(ways, (0.5, 0.3, 0.6), strict=True)]
+        total += lm.along_text(word_p[tokens], ways, chances)[last]
+    assert total == pytest.approx(1.0)
+
+
+def test_word_probabilities_token_by_token():
+    """Discounted shares back off from class to all to spelling, and classes are weighted by what they told before."""
+    rng = np.random.default_rng(9)
+    by_class = rng.integers(0, 5, (lm.CLASSES, 12)).astype(np.uint32)
+    spell = np.log(rng.dirichlet(np.ones(12)))
+    every = np.vstack([by_class, by_class.sum(axis=0)]).astype(int)
+    sums = [lm.Sums(int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), int((c == 2).sum())) for c in every]
+    texts = [rng.integers(0, 12, n) for n in (5, 1, 9)]
+    got = lm.word_probabilities(np.concatenate(texts), np.array([5, 1, 9]), np.zeros(15, np.int64), np.zeros(3, np.int64), by_class, spell, sums)
+
+    def backed_off(s, count, lower):
+        return max(count - s.discount, 0) / s.n + s.discount * s.v / s.n * lower
+
+    want = []
+    for text in texts:
+        weight = np.array([(s.n + 1) / (sums[-1].n + lm.CLASSES) for s in sums[:-1]])
+        for t in text:
+            p = [backed_off(s, int(by_class[k, t]), backed_off(sums[-1], int(every[-1, t]), math.exp(spell[t]))) for k, s in enumerate(sums[:-1])]
+            want.append((weight * p).sum() / weight.sum())
+            weight = weight * p
+    assert got == pytest.approx(np.array(want))
+
+
+def test_a_text_that_other_documents_hold_scores_higher(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words[i] for i in rng.zipf(1.3, 400) % 4000) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:20])]
+    rows += [(500 + i, " ".join(rng.permutation(texts[i].split()))) for i in range(20, 40)]
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = [r["score"] / r["n_tokens"] for d, r in got.items() if d < 20 or 120 <= d < 140]
+    once = [r["score"] / r["n_tokens"] for d, r in got.items() if 40 <= d < 120]
+    assert np.quantile(twice, 0.1) > np.quantile(once, 0.9)
 
 
 def test_held_out_documents_beat_the_base(spark, sf_dir):
