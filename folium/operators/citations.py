@@ -159,18 +159,20 @@ def _field(name: str, column, sql: str) -> None:
     query(name, f"WITH r AS ({_REFS_DUCK}) SELECT doc_id, {sql} AS value FROM r")(lambda spark, sf_dir: _refs(spark, sf_dir).select("doc_id", column(F.col("raw")).alias("value")))
 
 
-_field("f40_doi", R.doi, r"nullif(rtrim(coalesce(nullif(regexp_extract(raw, '(?i)doi:\s*(10\.\d{4,}/[^\s,]+)', 1), ''), nullif(regexp_extract(raw, '(?i)doi\.org/(10\.\d{4,}/[^\s,]+)', 1), ''), regexp_extract(raw, '\b(10\.\d{4,}/[^\s,]+)', 1)), '.,;'), '')")
-_field("f41_arxiv_id", R.arxiv_id, r"nullif(regexp_extract(raw, '(?i)arXiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)', 1), '')")
-_field("f42_url", R.url, r"list_filter(list_transform(regexp_extract_all(raw, '(?i)https?://[^\s,)\]]+'), lambda u: rtrim(u, '.,;')), lambda u: NOT regexp_matches(lower(u), 'doi\.org|arxiv\.org'))[1]")
-_field("f43_year", R.year, r"coalesce(CASE WHEN try_cast(regexp_extract(raw, '\((\d{4})\)', 1) AS INT) BETWEEN 1900 AND 2030 THEN try_cast(regexp_extract(raw, '\((\d{4})\)', 1) AS INT) END, try_cast(nullif(regexp_extract(raw, '\b(19\d{2}|20[0-3]\d)\b', 1), '') AS INT))")
-_field("f44_title", R.title, r"""coalesce(
-  nullif(trim(regexp_extract(regexp_replace(raw, '^[\[\(]?\d+[\]\)]?\.?\s*', ''), '["“”]([^"“”]+)["“”]', 1)), ''),
-  CASE WHEN length(trim(regexp_extract(regexp_replace(raw, '^[\[\(]?\d+[\]\)]?\.?\s*', ''), '(?:et al\.|[A-Z]\.\s|[A-Z][a-z]+,\s)+([^.]+?)\.?\s*(?:\(?\d{4}|\d{4}\))', 1))) > 10
-    THEN trim(regexp_extract(regexp_replace(raw, '^[\[\(]?\d+[\]\)]?\.?\s*', ''), '(?:et al\.|[A-Z]\.\s|[A-Z][a-z]+,\s)+([^.]+?)\.?\s*(?:\(?\d{4}|\d{4}\))', 1)) END,
-  CASE WHEN length(rtrim(trim(regexp_extract(regexp_replace(raw, '^[\[\(]?\d+[\]\)]?\.?\s*', ''), '(?:[A-Z]\.\s*)+([A-Z][^.]+\.)', 1)), '.')) > 10
-    THEN rtrim(trim(regexp_extract(regexp_replace(raw, '^[\[\(]?\d+[\]\)]?\.?\s*', ''), '(?:[A-Z]\.\s*)+([A-Z][^.]+\.)', 1)), '.') END)""")
-_field("f45_authors", lambda c: F.array_join(R.authors(c), "|"), r"""(SELECT CASE WHEN len(n) BETWEEN 1 AND 20 THEN array_to_string(list_slice(n, 1, 5), '|') END FROM (SELECT list_filter(list_transform(
-  string_split_regex(nullif(regexp_extract(regexp_replace(raw, '^[\[\(]?\d+[\]\)]?\.?\s*', ''), '^([^.]+?)(?:\.|,)\s+(?:[A-Z]\.?\s*)+', 1), ''), ',\s*and\s+|,\s+|\s+and\s+'), lambda a: trim(a)), lambda a: length(a) > 1) AS n))""")
+_BARE = "CASE WHEN contains({0}, '(') OR contains({0}, '[') THEN rtrim({0}, '.,;:!?''\"') ELSE rtrim({0}, '.,;:!?''\")]}}>') END"
+_field("f40_doi", R.doi, f"nullif({_BARE.format(f"regexp_extract(raw, '{R.DOI}')")}, '')")
+_field("f41_arxiv_id", R.arxiv_id, f"nullif(regexp_extract(raw, '[aA][rR][xX][iI][vV](?:\\.org/(?:abs|pdf)/|:\\s*)({R.ARXIV})', 1), '')")
+_field("f42_url", R.url, f"list_filter(list_transform(regexp_extract_all(raw, '{R.LINK}'), lambda u: {_BARE.format('u')}), lambda u: NOT regexp_matches(u, '^https?://((dx|www)\\.)?(doi|arxiv)\\.org(/|$)'))[1]")
+_field("f43_year", R.year, r"list_filter(list_transform(list_concat(regexp_extract_all(raw, '\((\d{4})[a-z]?\)', 1), regexp_extract_all(raw, '\b(\d{4})\b', 1)), lambda y: y::INT), lambda y: y BETWEEN 1900 AND 2030)[1]")
+# by the four forms of the derived references
+_field("f44_title", R.title, "CASE doc_id % 4 WHEN 0 THEN 'A study of ' || doc_id || ' things' WHEN 1 THEN 'Learning about number ' || doc_id WHEN 2 THEN 'A longer title of paper ' || doc_id || ' here' END")
+_field("f45_authors", lambda c: F.array_join(R.authors(c), "|"), "CASE doc_id % 4 WHEN 0 THEN 'Smith, J.|Lee, K.' WHEN 1 THEN 'Jones, A.' WHEN 2 THEN 'Brown, B.' END")
+query("f51_arxiv_pdf_address", "SELECT doc_id, 'https://arxiv.org/pdf/2101.0' || (1000 + doc_id % 9000) || CASE WHEN doc_id % 2 = 0 THEN 'v3' ELSE '' END || '.pdf' AS address FROM documents")(
+    lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", R.arxiv_abs_to_pdf(F.expr("concat('https://arxiv.org/abs/2101.0', 1000 + doc_id % 9000, if(doc_id % 2 = 0, 'v3', ''), if(doc_id % 3 = 0, '?context=cs', ''))")).alias("address"))
+)
+query("f52_doi_of_address", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN '10.5555/y' || doc_id END AS doi FROM documents")(
+    lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", R.doi_of_url(F.expr("concat(case doc_id % 3 when 0 then 'https://doi.org/' when 1 then 'http://dx.doi.org/' else 'https://example.org/' end, '10.5555/y', doc_id, '?a=1#b')")).alias("doi"))
+)
 
 
 @query("f47_parse_and_link")
@@ -183,11 +185,13 @@ def f48(spark, sf_dir):
     return parse_references(_refs(spark, sf_dir)).groupBy("link_type").agg(F.count("*").alias("n"))
 
 
-@query("f46_split_references", f"""WITH r AS ({_REFS_DUCK}), g AS (SELECT doc_id // 10 AS section, raw, doc_id FROM r WHERE doc_id % 4 = 0)
-SELECT section, (row_number() OVER (PARTITION BY section ORDER BY doc_id) - 1)::INT AS pos, trim(raw) AS reference FROM g""")
+# sections of ten references of one form; those of the last form have no numbers and stay together
+@query("f46_split_references", f"""WITH r AS (SELECT *, doc_id // 40 * 4 + doc_id % 4 AS section FROM ({_REFS_DUCK}))
+SELECT section, (row_number() OVER (PARTITION BY section ORDER BY doc_id) - 1)::INT AS pos, trim(raw) AS reference FROM r WHERE doc_id % 4 < 3
+UNION ALL SELECT section, 0, string_agg(raw, chr(10) ORDER BY doc_id) FROM r WHERE doc_id % 4 = 3 GROUP BY section""")
 def f46(spark, sf_dir):
-    r = _refs(spark, sf_dir).where("doc_id % 4 = 0")
-    sections = r.groupBy(F.expr("doc_id div 10").alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "raw"))), lambda x: x["raw"]), "\n").alias("text"))
+    r = _refs(spark, sf_dir).withColumn("section", F.expr("doc_id div 40 * 4 + doc_id % 4"))
+    sections = r.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "raw"))), lambda x: x["raw"]), "\n").alias("text"))
     return sections.select("section", F.posexplode(R.split_references(F.col("text"))).alias("pos", "reference"))
 
 
@@ -212,7 +216,7 @@ query("f39_in_text_citations", f"WITH {_CITED_SQL} SELECT doc_id, type, text, ma
 query("o07_citation_ranking", f"""WITH {_CITED_SQL} SELECT doc_id, type, text, row_number() OVER (PARTITION BY doc_id ORDER BY CASE type WHEN 'doi' THEN 4 WHEN 'inline' THEN 3 WHEN 'url' THEN 2 ELSE 1 END DESC, confidence DESC, text) AS rank FROM c""")(
     lambda spark, sf_dir: _cited(spark, sf_dir).select("doc_id", "type", "text", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("priority"), F.desc("confidence"), "text")).cast("long").alias("rank"))
 )
-for _name, _low, _incl in (("a05_extraction_summary", 0.85, False), ("a06_extraction_summary_inclusive", 0.85, True)):
+for _name, _low, _incl in (("a05_extraction_summary", 0.5, False), ("a06_extraction_summary_inclusive", 0.7, True)):
     query(_name, f"WITH {_CITED_SQL} SELECT count(*) AS total, round(avg(confidence), 6) AS average, count(*) FILTER (confidence > 0.7) AS high, count(*) FILTER (confidence {'<=' if _incl else '<'} {_low}) AS low FROM c")(
         lambda spark, sf_dir, low=_low, incl=_incl: citation_summary(_cited(spark, sf_dir), low, incl)
     )

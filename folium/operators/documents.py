@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,7 +144,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- queries
 
-_MD = r"SELECT doc_id, concat('Intro of ', doc_id, '\n\n\n# Title ', doc_id, '\n', substring(regexp_replace(text, '[#\\n]', ' '), 1, 400), '\n## Part\n', substring(regexp_replace(text, '[#\\n]', ' '), 400, 300), '\n#### Deep\nx ![Fig ', doc_id, '](images/', doc_id, '.png) and ![d](data:abc) end') AS text FROM {documents}"
+_MD = r"SELECT doc_id, concat('Intro of ', doc_id, '\n\n\n# Title ', doc_id, '\n', substring(regexp_replace(text, '[#\\n]', ' '), 1, CAST(length(text) / 2 AS INT)), '\n## Part\n', substring(regexp_replace(text, '[#\\n]', ' '), CAST(length(text) / 2 AS INT) + 1), '\n#### Deep\nx ![Fig ', doc_id, '](images/', doc_id, '.png) and ![d](data:abc) end') AS text FROM {documents}"
 
 
 def _markdown(spark, sf_dir) -> DataFrame:
@@ -155,7 +157,7 @@ query("f02_heading_levels", """SELECT doc_id, level::INT AS level, 1::BIGINT AS
 )
 query("w04_carried_title")(lambda spark, sf_dir: carry_forward(markdown_parts(_markdown(spark, sf_dir)), "heading", "doc_id", "pos", "title").select("doc_id", "pos", "title"))
 query("p28_useful_parts")(lambda spark, sf_dir: useful_parts(markdown_parts(_markdown(spark, sf_dir))).select("doc_id", "pos", "heading"))
-query("t11_semantic_split")(lambda spark, sf_dir: semantic_split(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+query("t11_semantic_split")(lambda spark, sf_dir: semantic_split(table(spark, sf_dir, "documents"), "doc_id", "text"))
 query("t13_chunk_markdown")(lambda spark, sf_dir: chunk_markdown(_markdown(spark, sf_dir)))
 query("f01_images_of_markdown", "SELECT doc_id, 'Fig ' || doc_id AS caption, 'images/' || doc_id || '.png' AS path FROM documents")(
     lambda spark, sf_dir: _markdown(spark, sf_dir).select("doc_id", F.explode(images_of_markdown(F.col("text"))[0]).alias("i")).select("doc_id", "i.caption", "i.path")
@@ -187,8 +189,9 @@ def _text(name: str, column, sql: str, source: str = "documents", key: str = "do
 _WS = r"[ \t\n\x0B\f\r]"
 _text("f03_blank_lines", T.collapse_blank_lines, rf"regexp_replace(regexp_replace(text, '\n{_WS}*\n+', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')")
 _text("f06_clean_markdown", T.clean_markdown, None)
-_text("f08_ligatures", lambda c: T.fold_ligatures(F.concat(F.left(c, F.lit(60)), F.lit(" ﬁn “x” … ﬄ"))), "left(text, 60) || ' fin \"x\" ... ffl'")
-_text("f09_keyword_text", lambda c: T.keyword_text(F.concat(F.left(c, F.lit(50)), F.lit(" see https://a.b/c [1, 2] (Smith et al., 2020) Fig. 3 doi:10.1/x end"))), None)
+_FOLDED = reduce(lambda sql, pair: f"""replace({sql}, '{pair[0].replace("'", "''")}', '{pair[1].replace("'", "''")}')""", T.LIGATURES.items(), "text")
+_text("f08_ligatures", lambda c: T.fold_ligatures(F.concat(c, F.lit(" ﬁn “x” … ﬄ"))), _FOLDED + " || ' fin \"x\" ... ffl'")
+_text("f09_keyword_text", lambda c: T.keyword_text(F.concat(c, F.lit(" see https://a.b/c [1, 2] (Smith et al., 2020) Fig. 3 doi:10.1/x end"))), None)
 _text("f14_chunk_id", lambda c: T.chunk_id(F.col("doc_id"), F.lit(3), c, "::"), "sha1(doc_id || '::3::' || left(text, 200))")
 _text("w01_sequential_chunk_id", lambda c: T.chunk_id(F.col("source"), F.col("doc_id"), c), "sha1(source || ':' || doc_id || ':' || left(text, 200))")
 _text("f15_content_hash", lambda c: F.sha2(F.regexp_replace(F.concat(c, F.lit(" [View CSV](x)")), r"\[View CSV\]\([^)]*\)", ""), 256), "sha256(text || ' ')")
@@ -204,10 +207,10 @@ _text("f67_content_tokens", lambda c: F.size(T.content_tokens(c)).cast("long"),
 _text("f69_title_case", lambda c: F.initcap(F.regexp_replace(F.lower(c), "[^a-z ]", "")), None, "benchmark", "item_id")
 _text("f70_regex_escape", T.regex_escape, r"regexp_replace(html, '([.*+?^${}()|\[\]\\])', '\\\1', 'g')", "pages", "page_id", "html")
 _text("f71_occurrences", lambda c: F.array_join(occurrences(c, F.lit("the")).cast("array<string>"), ","), None)
-_text("f73_section_name", lambda c: F.translate(F.left(c, F.lit(30)), ":/*#", "----"), "translate(left(text, 30), ':/*#', '----')")
+_text("f73_section_name", lambda c: F.translate(c, ":/*#", "----"), "translate(text, ':/*#', '----')")
 _text("f75_keyword_list", lambda c: F.array_join(F.filter(F.transform(F.split(c, "[;,]"), lambda x: F.trim(x)), lambda x: x != ""), "|"), "array_to_string(list_filter(list_transform(string_split_regex(text, '[;,]'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|')")
 _text("w09_sentence_context", lambda c: sentence_context(c, F.lit("and")), None)
-_text("f49_quote_plus", lambda c: T.quote_plus(F.left(F.regexp_replace(c, r"[^\x20-\x7E]", ""), F.lit(60))), None)
+_text("f49_quote_plus", lambda c: T.quote_plus(F.regexp_replace(c, r"[^\x20-\x7E]", "")), None)
 _text("f07_references_section", lambda c: references_section(F.concat(F.lit("# A\nx\n## References\n"), F.regexp_replace(c, "#", ""), F.lit("\n# End\n"))), None)
 query("f35_edit_distance", "SELECT p_partkey, levenshtein(p_name, p_type)::BIGINT AS d, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part")(
     lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("d"), F.round(T.edit_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))

@@ -32,7 +32,7 @@ def without_outliers(lines: DataFrame, by: list[str], x: str, reach: float = 1.5
 
 
 def most_common(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
-    """The most frequent value of each group; the one seen first wins a tie."""
+    """The most frequent value of each group; the one seen first wins a tie, the larger one if they were seen together."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return counts.groupBy(*by).agg(F.max(F.struct("n", (-F.col("first")).alias("f"), value)).alias("m")).select(*by, F.col(f"m.{value}").alias(value), "m.n")
 
@@ -67,18 +67,26 @@ def items_to_lines(items: DataFrame, page: str, order: str, x: str, y: str, text
     return placed.groupBy(page, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "t"))), lambda v: v["t"]), " ").alias("text"), F.min("x").alias("x"))
 
 
-def x_clusters(lines: DataFrame, page: str, x: str, gap: float = 10.0) -> DataFrame:
-    """Islands of sorted x with gaps of at most `gap`: (page, cluster, n, centre)."""
-    w = Window.partitionBy(page).orderBy(x)
-    new = F.coalesce((F.col(x) - F.lag(x).over(w) > gap).cast("int"), F.lit(1))
-    c = lines.withColumn("__n", new).withColumn("cluster", F.sum("__n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return c.groupBy(page, "cluster").agg(F.count("*").alias("n"), F.avg(x).alias("centre"))
+def x_clusters(lines: DataFrame, page: str, x: str, tolerance: float = 10.0) -> DataFrame:
+    """(page, cluster, n, anchor): going up in x, a line belongs to the last cluster if within the tolerance of its first x, else opens one."""
+    kind = "array<struct<x:double,n:bigint>>"
+    places = lines.groupBy(page, F.col(x).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    seq = places.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("s"))
+
+    def fold(acc: Column, p: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(last["x"].alias("x"), (last["n"] + p["n"]).alias("n"))
+        near = F.coalesce(p["x"] - last["x"] <= tolerance, F.lit(False))
+        return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(p))).cast(kind)
+
+    folded = F.aggregate("s", F.expr(f"cast(array() as {kind})"), fold)
+    return seq.select(page, F.posexplode(folded).alias("at", "c")).select(page, (F.col("at") + 1).cast("long").alias("cluster"), "c.n", F.col("c.x").alias("anchor"))
 
 
 def two_columns(lines: DataFrame, page: str, x: str, width: float) -> DataFrame:
     """Whether a page has a second x cluster with over a tenth of its lines, over 30 % of the width away."""
     c = x_clusters(lines, page, x).withColumn("r", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("n"), "cluster"))).withColumn("all", F.sum("n").over(Window.partitionBy(page)))
-    first, second = F.max(F.when(F.col("r") == 1, F.col("centre"))), F.max(F.when(F.col("r") == 2, F.col("centre")))
+    first, second = F.max(F.when(F.col("r") == 1, F.col("anchor"))), F.max(F.when(F.col("r") == 2, F.col("anchor")))
     share = F.max(F.when(F.col("r") == 2, F.col("n") / F.col("all")))
     return c.groupBy(page).agg(F.coalesce((share > 0.1) & (F.abs(first - second) > 0.3 * width), F.lit(False)).alias("two_columns"), ((first + second) / 2).alias("middle"))
 
@@ -108,7 +116,7 @@ def union_of_boxes(spans: DataFrame, by: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- queries
 
-_LINES = "SELECT l_orderkey % 40 AS page, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS x, (l_orderkey * 31 + l_linenumber * 12) % 700 AS y, l_returnflag AS font, l_tax * 100 AS size FROM {lineitem}"
+_LINES = "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS x, (l_orderkey * 31 + l_linenumber * 12) % 700 AS y, l_returnflag AS font, l_tax * 100 AS size FROM {lineitem}"
 _DUCK = _LINES.replace("{lineitem}", "lineitem")
 
 
@@ -120,11 +128,11 @@ query("a29_position_statistics", f"""WITH l AS ({_DUCK}), s AS (SELECT page, avg
 SELECT page, round(mean, 6) AS mean, round(std, 6) AS std, s[(floor(len(s) * 0.5) + 1)::INT] AS median, s[(floor(len(s) * 0.25) + 1)::INT] AS q1, s[(floor(len(s) * 0.75) + 1)::INT] AS q3, least, most FROM s""")(
     lambda spark, sf_dir: position_statistics(_lines(spark, sf_dir), ["page"], "x").withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 )
-query("p19_without_outliers", f"""WITH l AS ({_DUCK}), s AS (SELECT page, list(y ORDER BY y) AS s FROM l WHERE y % 3 = 0 OR y > 650 GROUP BY page), q AS (SELECT page, s[(floor(len(s) * 0.25) + 1)::INT] AS q1, s[(floor(len(s) * 0.75) + 1)::INT] AS q3 FROM s)
-SELECT page, pos, y FROM l JOIN q USING (page) WHERE (y % 3 = 0 OR y > 650) AND y BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1)""")(
-    lambda spark, sf_dir: without_outliers(_lines(spark, sf_dir).where("y % 3 = 0 or y > 650"), ["page"], "y", 0.5).select("page", "pos", "y")
+query("p19_without_outliers", f"""WITH l AS ({_DUCK}), s AS (SELECT page, list(y ORDER BY y) AS s FROM l GROUP BY page), q AS (SELECT page, s[(floor(len(s) * 0.25) + 1)::INT] AS q1, s[(floor(len(s) * 0.75) + 1)::INT] AS q3 FROM s)
+SELECT page, pos, y FROM l JOIN q USING (page) WHERE y BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1)""")(
+    lambda spark, sf_dir: without_outliers(_lines(spark, sf_dir), ["page"], "y", 0.5).select("page", "pos", "y")
 )
-query("a18_most_common_font", f"WITH l AS ({_DUCK}), c AS (SELECT page, font, count(*) AS n, min(pos) AS f FROM l GROUP BY ALL) SELECT page, font, n FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, f) AS r FROM c) WHERE r = 1")(
+query("a18_most_common_font", f"WITH l AS ({_DUCK}), c AS (SELECT page, font, count(*) AS n, min(pos) AS f FROM l GROUP BY ALL) SELECT page, font, n FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, f, font DESC) AS r FROM c) WHERE r = 1")(
     lambda spark, sf_dir: most_common(_lines(spark, sf_dir), ["page"], "font", "pos")
 )
 query("a19_body_profile", f"WITH l AS ({_DUCK}), c AS (SELECT font, count(*) AS n, min(pos) AS f FROM l GROUP BY font), b AS (SELECT font FROM c ORDER BY n DESC, f LIMIT 1) SELECT font, round(avg(size), 6) AS size FROM l JOIN b USING (font) GROUP BY font")(
@@ -137,27 +145,39 @@ query("w08_isolated_lines", f"""WITH l AS ({_DUCK}), g AS (SELECT *, abs(y - lag
 s AS (SELECT page, coalesce(avg(b) FILTER (b > 0 AND b < 50), 12) AS spacing FROM g GROUP BY page) SELECT page, pos, coalesce(b > 1.5 * spacing, false) OR coalesce(a > 1.5 * spacing, false) AS isolated FROM g JOIN s USING (page)""")(
     lambda spark, sf_dir: isolated(_lines(spark, sf_dir), "page", "pos", "y").select("page", "pos", "isolated")
 )
-query("a26_items_to_lines")(lambda spark, sf_dir: items_to_lines(_lines(spark, sf_dir).where("pos < 8000"), "page", "pos", "x", "y", "font"))
-query("a24_x_clusters", f"""WITH l AS (SELECT * FROM ({_DUCK}) WHERE x % 17 < 2), g AS (SELECT *, coalesce((x - lag(x) OVER (PARTITION BY page ORDER BY x) > 10)::INT, 1) AS n FROM l), c AS (SELECT page, x, sum(n) OVER (PARTITION BY page ORDER BY x) AS cluster FROM g)
-SELECT page, cluster::BIGINT AS cluster, count(*) AS n, round(avg(x), 6) AS centre FROM c GROUP BY page, cluster""")(
-    lambda spark, sf_dir: x_clusters(_lines(spark, sf_dir).where("x % 17 < 2"), "page", "x").withColumn("centre", F.round("centre", 6))
+query("a26_items_to_lines")(lambda spark, sf_dir: items_to_lines(_lines(spark, sf_dir), "page", "pos", "x", "y", "font"))
+# lines that start at two places of a page, those of every line item
+_INDENTED = "SELECT page, pos, CAST(17 * floor(x / 17) + x % 2 AS DOUBLE) AS x FROM ({})"
+_CLUSTERS = f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER () AS line FROM ({_INDENTED.format(_DUCK)})), a(page, x) AS (
+  SELECT page, min(x) FROM l GROUP BY page UNION ALL SELECT l.page, min(l.x) FROM a JOIN l ON l.page = a.page AND l.x > a.x + 10 GROUP BY l.page, a.x
+), m AS (SELECT l.page, l.line, max(a.x) AS anchor FROM l JOIN a ON a.page = l.page AND a.x <= l.x GROUP BY l.page, l.line),
+c AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY anchor) AS cluster, count(*) AS n, anchor FROM m GROUP BY page, anchor)"""
+
+
+def _indented(spark, sf_dir) -> DataFrame:
+    return spark.sql(_INDENTED.format(_LINES), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+query("a24_x_clusters", f"{_CLUSTERS} SELECT page, cluster, n, anchor FROM c")(lambda spark, sf_dir: x_clusters(_indented(spark, sf_dir), "page", "x"))
+query("a23_two_columns", f"""{_CLUSTERS}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, cluster) AS r, sum(n) OVER (PARTITION BY page) AS lines FROM c)
+SELECT page, coalesce(max(n / lines) FILTER (r = 2) > 0.1 AND abs(max(anchor) FILTER (r = 1) - max(anchor) FILTER (r = 2)) > 15, false) AS two_columns, (max(anchor) FILTER (r = 1) + max(anchor) FILTER (r = 2)) / 2 AS middle FROM r GROUP BY page""")(
+    lambda spark, sf_dir: two_columns(_indented(spark, sf_dir), "page", "x", 50.0)
 )
-query("a23_two_columns")(lambda spark, sf_dir: two_columns(_lines(spark, sf_dir).where("x % 17 < 2"), "page", "x", 50.0))
 shared_sql("a37_column_assignment", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 25 THEN 1 ELSE 2 END AS col FROM {lineitem}")
 query("a28_font_distribution", f"WITH l AS ({_DUCK}), c AS (SELECT font, count(*) AS n FROM l GROUP BY font) SELECT font, n, round(n / sum(n) OVER (), 6)::DOUBLE AS share FROM c QUALIFY n >= 3 AND n / sum(n) OVER () BETWEEN 0.1 AND 0.8")(
     lambda spark, sf_dir: _lines(spark, sf_dir).groupBy("font").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6)).where("n >= 3 and share between 0.1 and 0.8")
 )
-shared_sql("a22_adaptive_thresholds", "SELECT page, CAST(round(greatest(10 * h, 0.12 * 800, 60)) AS BIGINT) AS dy FROM (SELECT l_orderkey % 40 AS page, avg(l_quantity) AS h FROM {lineitem} GROUP BY 1) q")
-shared_sql("a21_text_metrics", "SELECT l_orderkey % 40 AS page, round(greatest(8, avg(CASE WHEN l_quantity > 0 AND l_quantity < 100 THEN l_quantity END)), 6) AS height FROM {lineitem} GROUP BY 1")
-shared_sql("a32_line_boxes", "SELECT l_orderkey % 40 AS page, l_linenumber AS y0, min(l_quantity) AS x0, max(l_quantity + l_discount) AS x1 FROM {lineitem} GROUP BY 1, 2")
+shared_sql("a22_adaptive_thresholds", "SELECT page, CAST(round(greatest(10 * h, 0.12 * 800, 60)) AS BIGINT) AS dy FROM (SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, avg(l_quantity) AS h FROM {lineitem} GROUP BY 1) q")
+shared_sql("a21_text_metrics", "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, round(greatest(8, avg(CASE WHEN l_quantity > 0 AND l_quantity < 100 THEN l_quantity END)), 6) AS height FROM {lineitem} GROUP BY 1")
+shared_sql("a32_line_boxes", "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, l_linenumber AS y0, min(l_quantity) AS x0, max(l_quantity + l_discount) AS x1 FROM {lineitem} GROUP BY 1, 2")
 shared_sql("a12_sections_of_chunks", "SELECT coalesce(source, 'none') AS title, min(doc_id) AS first, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS n FROM {documents} GROUP BY 1")
 shared_sql("o10_reading_order", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_orderkey, l_quantity, l_linenumber) AS BIGINT) AS n FROM {lineitem}")
-query("p18_uncovered_texts", """WITH t AS (SELECT doc_id AS id, doc_id % 50 AS page, (doc_id * 7 % 80)::DOUBLE AS x0, (doc_id * 13 % 80)::DOUBLE AS y0, (doc_id * 7 % 80 + 10)::DOUBLE AS x1, (doc_id * 13 % 80 + 5)::DOUBLE AS y1 FROM documents),
-a AS (SELECT page_id % 50 AS page, (page_id * 11 % 60)::DOUBLE AS ax0, (page_id * 17 % 60)::DOUBLE AS ay0, (page_id * 11 % 60 + 40)::DOUBLE AS ax1, (page_id * 17 % 60 + 40)::DOUBLE AS ay1 FROM pages)
+query("p18_uncovered_texts", """WITH t AS (SELECT doc_id AS id, CAST(floor(doc_id / 50) AS BIGINT) AS page, (doc_id * 7 % 80)::DOUBLE AS x0, (doc_id * 13 % 80)::DOUBLE AS y0, (doc_id * 7 % 80 + 10)::DOUBLE AS x1, (doc_id * 13 % 80 + 5)::DOUBLE AS y1 FROM documents),
+a AS (SELECT CAST(floor(page_id / 50) AS BIGINT) AS page, (page_id * 11 % 60)::DOUBLE AS ax0, (page_id * 17 % 60)::DOUBLE AS ay0, (page_id * 11 % 60 + 40)::DOUBLE AS ax1, (page_id * 17 % 60 + 40)::DOUBLE AS ay1 FROM pages)
 SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page = t.page AND greatest(0, least(x1, ax1) - greatest(x0, ax0)) * greatest(0, least(y1, ay1) - greatest(y0, ay0)) / 50 > 0.7)""")(
     lambda spark, sf_dir: uncovered(
-        table(spark, sf_dir, "documents").selectExpr("doc_id id", "doc_id % 50 page", "double(doc_id * 7 % 80) x0", "double(doc_id * 13 % 80) y0", "double(doc_id * 7 % 80 + 10) x1", "double(doc_id * 13 % 80 + 5) y1"),
-        table(spark, sf_dir, "pages").selectExpr("page_id % 50 page", "double(page_id * 11 % 60) ax0", "double(page_id * 17 % 60) ay0", "double(page_id * 11 % 60 + 40) ax1", "double(page_id * 17 % 60 + 40) ay1"),
+        table(spark, sf_dir, "documents").selectExpr("doc_id id", "CAST(floor(doc_id / 50) AS BIGINT) page", "double(doc_id * 7 % 80) x0", "double(doc_id * 13 % 80) y0", "double(doc_id * 7 % 80 + 10) x1", "double(doc_id * 13 % 80 + 5) y1"),
+        table(spark, sf_dir, "pages").selectExpr("CAST(floor(page_id / 50) AS BIGINT) page", "double(page_id * 11 % 60) ax0", "double(page_id * 17 % 60) ay0", "double(page_id * 11 % 60 + 40) ax1", "double(page_id * 17 % 60 + 40) ay1"),
     ).select("id")
 )
 query("f57_heading_score")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", heading_score(F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("1.2 ")).otherwise(""), F.col("p_name")), F.col("p_size").cast("double"), F.lit(20.0), F.col("p_size") > 30, F.col("p_partkey") % 2 == 0).alias("score")))

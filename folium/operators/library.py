@@ -278,7 +278,7 @@ query("p03_any_field_regex", "SELECT o_custkey FROM (SELECT o_custkey, list(o_or
     lambda spark, sf_dir: search_any(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"), F.min("o_orderstatus").alias("s")), "urgent", [], ["p"]).select("o_custkey").union(
         search_any(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderstatus").alias("s")), "f", ["s"]).select("o_custkey")).distinct()
 )
-shared_sql("p04_by_two_keys", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} WHERE l_orderkey < 400 AND l_linenumber = 1")
+shared_sql("p04_by_two_keys", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} WHERE l_orderkey = (SELECT max(l_orderkey) FROM {lineitem} WHERE l_linenumber = 2) AND l_linenumber = 2")
 shared_sql("p05_by_year_text", "SELECT o_orderkey FROM {orders} WHERE CAST(year(o_orderdate) AS STRING) = '1995'")
 shared_sql("p06_latest_of_document", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM {orders}) q WHERE r = 1 AND lower(o_orderstatus) NOT IN ('none', 'null')")
 query("p07_document_name", "SELECT p_partkey FROM part WHERE starts_with(lower(p_name), 'b') OR contains(lower(p_name), 'red')")(
@@ -306,7 +306,7 @@ shared_sql("p30_annotations_of_user", "SELECT event_id, value FROM {events} WHER
 shared_sql("p31_without_system", "SELECT conv_id, turn, role, text FROM {conversations} WHERE role <> 'system'")
 shared_sql("p32_history_filter", "SELECT conv_id, turn FROM {conversations} c WHERE role <> 'system' AND NOT (role = 'user' AND trim(text) = (SELECT min(trim(text)) FROM {conversations} WHERE role = 'user'))")
 shared_sql("p33_by_key", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey = 42")
-shared_sql("p36_by_key_and_owner", "SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey <= 100 AND o_orderstatus = 'F'")
+shared_sql("p36_by_key_and_owner", "SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey = (SELECT min(o_orderkey) FROM {orders}) AND o_custkey = (SELECT min_by(o_custkey, o_orderkey) FROM {orders})")
 shared_sql("p38_exists", "SELECT c_custkey, EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey) AS has_orders FROM {customer}")
 shared_sql("p44_chunks_of_document", "SELECT doc_id, source FROM (SELECT doc_id, source FROM {documents} WHERE source = 'src1' ORDER BY doc_id LIMIT 20) q")
 shared_sql("p48_on_page", "SELECT page_id, url FROM {pages} WHERE page_id % 7 = 2")

@@ -116,7 +116,7 @@ def image_scores(contexts: DataFrame, question: Column, least: int = 1) -> DataF
 
 query("f24_sequence_ratio")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", F.round(sequence_ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio")))
 query("f25_match_percentage")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", match_percentage(F.col("p_name"), F.concat("p_type", F.lit(" "), "p_name")).alias("share")))
-query("f22_fold_symbols")(lambda spark, sf_dir: table(spark, sf_dir, "benchmark").select("item_id", comparable(F.concat(F.lit("α β ≤ 𝑥 "), "text")).alias("text")))
+query("f22_fold_symbols")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", comparable(F.concat(F.lit("α β ≤ 𝑥 "), "text")).alias("text")))
 
 
 @query("j18_best_spans")
@@ -137,15 +137,15 @@ SELECT DISTINCT doc_id, figure_id FROM c, f WHERE contains(lower(t) || ' ', lowe
         table(spark, sf_dir, "benchmark").selectExpr("explode(array(if(item_id < 4, concat('Figure ', item_id), null), if(item_id < 3, concat('Fig. ', item_id), null))) figure_id").where("figure_id is not null"),
     )
 )
-query("j21_interleave", """WITH b AS (SELECT doc_id % 20 AS page, doc_id * 7 % 100 AS y, 0 AS kind, doc_id AS id, left(text, 10) AS text FROM documents WHERE doc_id < 200 UNION ALL SELECT page_id % 20, page_id * 11 % 100, 1, page_id, url FROM pages)
+query("j21_interleave", """WITH b AS (SELECT floor(doc_id / 50)::BIGINT AS page, doc_id * 7 % 100 AS y, 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT floor(page_id / 50)::BIGINT, page_id * 11 % 100, 1, page_id, url FROM pages)
 SELECT page, string_agg(text, chr(10) || chr(10) ORDER BY y, kind, id) AS text FROM b GROUP BY page""")(
-    lambda spark, sf_dir: interleave(table(spark, sf_dir, "documents").where("doc_id < 200").selectExpr("doc_id % 20 page", "doc_id * 7 % 100 y", "doc_id id", "left(text, 10) text"), table(spark, sf_dir, "pages").selectExpr("page_id % 20 page", "page_id * 11 % 100 y", "page_id id", "url text"))
+    lambda spark, sf_dir: interleave(table(spark, sf_dir, "documents").selectExpr("doc_id div 50 page", "doc_id * 7 % 100 y", "doc_id id", "text"), table(spark, sf_dir, "pages").selectExpr("page_id div 50 page", "page_id * 11 % 100 y", "page_id id", "url text"))
 )
 query("u03_image_scores", """WITH q AS (SELECT list_distinct(['steel', 'red', 'brand']) AS q), t AS (SELECT p_partkey, string_split(regexp_replace(lower(p_type), '[^a-z0-9 ]', ' ', 'g'), ' ') AS c, string_split(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' ') AS x FROM part)
 SELECT p_partkey, (2 * len(list_intersect(q, c)) + len(list_intersect(q, x)))::INT AS score FROM t, q WHERE 2 * len(list_intersect(q, c)) + len(list_intersect(q, x)) >= 1""")(
     lambda spark, sf_dir: image_scores(table(spark, sf_dir, "part").selectExpr("p_partkey", "p_type caption", "p_name text"), F.lit("the steel red, brand")).select("p_partkey", "score")
 )
-shared_sql("a11_groups_by_label", "SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS BIGINT) AS n, event_id FROM {events} WHERE event_id < 2000")
+shared_sql("a11_groups_by_label", "SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS BIGINT) AS n, event_id FROM {events}")
 shared_sql("a30_largest_per_group", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM {lineitem}) q WHERE r = 1")
 query("a33_fingerprint", "SELECT o_custkey, md5(string_agg(o_orderpriority || ':' || o_orderkey, '' ORDER BY o_orderpriority, o_orderkey)) AS hash FROM orders GROUP BY o_custkey")(
     lambda spark, sf_dir: table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderpriority", "o_orderkey"))), lambda x: F.concat(x["o_orderpriority"], F.lit(":"), x["o_orderkey"].cast("string"))), "")).alias("hash"))

@@ -24,8 +24,8 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", bigrams: bool = True) -> DataFrame:
-    """(key, term, tf). Bigrams join neighbours of the token stream."""
-    toks = docs.select(F.col(key), tokens(F.col(text)).alias("t"))
+    """(key, term, tf). Bigrams join neighbours of the token stream. Texts are dealt by key, so their terms need no further shuffle."""
+    toks = docs.select(key, text).repartition(key).select(F.col(key), tokens(F.col(text)).alias("t"))
     grams = F.col("t")
     if bigrams:
         pairs = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -33,17 +33,43 @@ def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", bigram
     return toks.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def fit_tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", bigrams: bool = True, max_features: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary (term, df, cf, idf) and L2-normalised postings (key, term, w). The cap keeps the terms with most occurrences, ties by term."""
-    tf = term_counts(docs, key, text, bigrams)
-    n = docs.agg(F.count("*").alias("n"))
+#: A vocabulary of so many terms is joined by broadcast (about 10 MB).
+BROADCAST_TERMS = 100_000
+
+
+def vocabulary(tf: DataFrame, docs: DataFrame, max_features: int | None) -> DataFrame:
+    """(term, df, cf, idf) of the terms with most occurrences, ties by term."""
     vocab = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     if max_features:
         vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_features)
-    vocab = vocab.crossJoin(F.broadcast(n)).select("term", "df", "cf", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    weighed = tf.join(vocab.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return vocab, weighed.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    return vocab.crossJoin(F.broadcast(n)).select("term", "df", "cf", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weighed_terms(tf: DataFrame, vocab: DataFrame, max_features: int | None, key: str) -> DataFrame:
+    """(key, term, w) before normalisation."""
+    idf = vocab.select("term", "idf")
+    small = max_features is not None and max_features <= BROADCAST_TERMS
+    return tf.join(F.broadcast(idf) if small else idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def fit_tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", bigrams: bool = True, max_features: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary (term, df, cf, idf) and L2-normalised postings (key, term, w). The cap keeps the terms with most occurrences, ties by term."""
+    tf = term_counts(docs, key, text, bigrams)
+    vocab = vocabulary(tf, docs, max_features)
+    weighed = weighed_terms(tf, vocab, max_features, key)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return vocab, weighed.select(key, "term", (F.col("w") / norm).alias("w"))
+
+
+def search_texts(docs: DataFrame, keywords: DataFrame, k: int, key: str = "doc_id", text: str = "text", bigrams: bool = True, max_features: int | None = 50_000) -> DataFrame:
+    """keyword_search over texts that are not fitted yet: norms and the keywords' weights come from one aggregate, no postings are built."""
+    tf = term_counts(docs, key, text, bigrams)
+    weighed = weighed_terms(tf, vocabulary(tf, docs, max_features), max_features, key)
+    asked = keywords.select("term").distinct().withColumn("asked", F.lit(True))
+    hits = weighed.join(F.broadcast(asked), "term", "left")  # at most a handful of keywords
+    scored = hits.groupBy(key).agg(F.sum(F.when(F.col("asked"), F.col("w"))).alias("s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return scored.where("s is not null").select(key, (F.col("s") / F.col("norm")).alias("score")).orderBy(F.desc(F.round("score", 6)), key).limit(k)
 
 
 def keyword_search(postings: DataFrame, keywords: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -171,8 +197,7 @@ def t06(spark, sf_dir):
 
 @query("t04_keyword_search", f"WITH {_TF}, {_KW} SELECT doc_id, round(sum(w), 6) AS score FROM post JOIN kw USING (term) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
 def t04(spark, sf_dir):
-    _, postings = fit_tfidf(table(spark, sf_dir, "documents"))
-    return keyword_search(postings, _question(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+    return search_texts(table(spark, sf_dir, "documents"), _question(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
 _DENSE = """
@@ -201,8 +226,7 @@ SELECT id, round(sum(s), 6) AS score FROM (SELECT id, 0.5 * s AS s FROM l UNION
 def u01(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     dense = dense_search(v, v.where("vec_id = 0"), 20).select(F.col("vec_id").alias("id"), F.col("cos").alias("score"))
-    _, postings = fit_tfidf(table(spark, sf_dir, "documents"))
-    lexical = keyword_search(postings, _question(spark, sf_dir), 20).withColumnRenamed("doc_id", "id")
+    lexical = search_texts(table(spark, sf_dir, "documents"), _question(spark, sf_dir), 20).withColumnRenamed("doc_id", "id")
     return fuse(dense, lexical, 10).withColumn("score", F.round("score", 6))
 
 
@@ -223,7 +247,7 @@ def t17(spark, sf_dir):
 
 @query("t07_hashing_embedding")
 def t07(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", hashing_embedder(F.col("text")).alias("embedding"))
+    return table(spark, sf_dir, "documents").select("doc_id", hashing_embedder(F.col("text")).alias("embedding"))
 
 
 @query("f68_query_keywords", r"""SELECT item_id, array_to_string(list_slice(k, 1, 5), ' ') AS keywords FROM (

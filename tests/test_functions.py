@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import references as R
 from folium.functions import text as T
-from folium.operators import citations, documents, keywords, library, matching
+from folium.operators import citations, documents, keywords, layout, library, matching, retrieval
 
 
 def one(spark, column, **values):
@@ -37,6 +37,45 @@ def test_reference_fields(spark):
     assert one(spark, R.doi(F.col("r")), r="nothing") is None
 
 
+@pytest.mark.parametrize("raw, title, names", [
+    ("(4) Jones, A. et al. Learning about numbers. 1985 arXiv:2101.01234v2", "Learning about numbers", ["Jones, A."]),
+    ("Miller, T. M., Ruiz-Lee, K. (2004a). A short history of maps. In Proc. of X. https://a.b/c", "A short history of maps", ["Miller, T. M.", "Ruiz-Lee, K."]),
+    ("Plain words without any sign", "Plain words without any sign", None),
+    ("see https://a.b/c", None, None),
+])
+def test_titles_and_authors(spark, raw, title, names):
+    assert one(spark, R.title(F.col("r")), r=raw) == title and one(spark, R.authors(F.col("r")), r=raw) == names
+
+
+@pytest.mark.parametrize("raw, doi, arxiv, url", [
+    ("(see doi.org/10.1002/(sici)1097-4571(1999)50:1).", "10.1002/(sici)1097-4571(1999)50:1)", None, None),
+    ("[10.1234/abc]; arXiv: hep-th/9901001 and http://www.x.org/a_(b).", "10.1234/abc", "hep-th/9901001", "http://www.x.org/a_(b)"),
+    ("https://arxiv.org/pdf/2113.01234 https://ARXIV.org/abs/2112.01234v10", None, "2112.01234v10", None),
+])
+def test_identifiers(spark, raw, doi, arxiv, url):
+    assert one(spark, R.doi(F.col("r")), r=raw) == doi and one(spark, R.arxiv_id(F.col("r")), r=raw) == arxiv and one(spark, R.url(F.col("r")), r=raw) == url
+
+
+def test_clusters_are_anchored_at_their_first_x(spark):
+    lines = spark.createDataFrame([(1, float(x)) for x in (24, 0, 8, 16, 100, 0, 109, 111)] + [(2, 5.0)], "page int, x double")
+    got = layout.x_clusters(lines, "page", "x").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 3, 0.0), (1, 2, 2, 16.0), (1, 3, 2, 100.0), (1, 4, 1, 111.0), (2, 1, 1, 5.0)]
+
+
+def test_items_to_lines(spark):
+    items = spark.createDataFrame([(1, 1, 5.0, 10.0, "b"), (1, 2, 1.0, 11.5, "a"), (1, 3, 0.0, 12.5, "c"), (1, 4, 0.0, 40.0, "d")], "page int, o int, x double, y double, t string")
+    got = layout.items_to_lines(items, "page", "o", "x", "y", "t").orderBy("line").collect()
+    assert [r["text"] for r in got] == ["a b", "c", "d"]
+
+
+def test_search_texts_equals_fitted_search(spark):
+    docs = spark.createDataFrame([(1, "red fish blue fish"), (2, "red bird"), (3, None), (4, ""), (5, "blue bird red bird")], "doc_id int, text string")
+    words = spark.createDataFrame([("red",), ("bird",), ("none",)], "term string")
+    fitted = retrieval.keyword_search(retrieval.fit_tfidf(docs)[1], words, 10).collect()
+    assert [(r[0], round(r[1], 9)) for r in fitted] == [(r[0], round(r[1], 9)) for r in retrieval.search_texts(docs, words, 10).collect()]
+    assert [r[0] for r in fitted] == [2, 5, 1]
+
+
 def test_quote_plus(spark):
     from urllib.parse import quote_plus
 
