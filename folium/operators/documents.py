@@ -1,4 +1,4 @@
-"""Document text: sections and chunks, clean-up, hashes, images and tables in text, web pages; scans of files."""
+"""Document text: sections and chunks, clean-up, hashes, images and tables in text, web pages."""
 
 from __future__ import annotations
 
@@ -112,36 +112,6 @@ def scrape_results(html: Column, most: int = 5) -> Column:
     return F.slice(found, 1, most)
 
 
-# ---------------------------------------------------------------- scans
-
-
-def read_parsed_json(spark: SparkSession, path: str, schema: str, name_contains: str = "") -> DataFrame:
-    """Parsed JSON files; records that don't parse keep their text in _corrupt_record, unreadable files are skipped."""
-    df = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).json(path)
-    return df.withColumn("file", F.input_file_name()).where(F.col("file").contains(name_contains))
-
-
-def read_whole_texts(spark: SparkSession, path: str, name_prefix: str = "") -> DataFrame:
-    """(file, text) of Markdown or text files."""
-    df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return df.where(F.element_at(F.split("file", "/"), -1).startswith(name_prefix))
-
-
-def read_tei_references(spark: SparkSession, path: str) -> DataFrame:
-    """biblStruct rows of TEI files: title, first author's surname and the year."""
-    schema = "analytic struct<title:array<string>,author:array<struct<persName:struct<surname:string>>>>, monogr struct<title:array<string>,imprint:struct<date:struct<_when:string>>>"
-    rows = spark.read.format("xml").option("rowTag", "biblStruct").schema(schema).load(path)
-    return rows.select(
-        F.coalesce(F.try_element_at("analytic.title", F.lit(1)), F.try_element_at("monogr.title", F.lit(1))).alias("title"),
-        F.transform("analytic.author", lambda a: a["persName"]["surname"]).alias("authors"), F.left(F.col("monogr.imprint.date._when"), F.lit(4)).alias("year"),
-    )
-
-
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modified), newest first, without reading contents."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
-
-
 # ---------------------------------------------------------------- queries
 
 _MD = r"SELECT doc_id, concat('Intro of ', doc_id, '\n\n\n# Title ', doc_id, '\n', substring(regexp_replace(text, '[#\\n]', ' '), 1, CAST(length(text) / 2 AS INT)), '\n## Part\n', substring(regexp_replace(text, '[#\\n]', ' '), CAST(length(text) / 2 AS INT) + 1), '\n#### Deep\nx ![Fig ', doc_id, '](images/', doc_id, '.png) and ![d](data:abc) end') AS text FROM {documents}"

@@ -1 +1 @@
-
+"""Scans and sinks of files."""

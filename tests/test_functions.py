@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folium.functions import references as R
 from folium.functions import text as T
 from folium.operators import citations, documents, keywords, layout, library, matching, retrieval
+from folium.sources import files, sinks
 
 
 def one(spark, column, **values):
@@ -153,11 +154,11 @@ def test_streamed_state_equals_the_table(spark, sf_dir, tmp_path):
 def test_scans(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": 1,\n "t": "x"}')
     (tmp_path / "b.json").write_text('{"id": broken')
-    rows = documents.read_parsed_json(spark, str(tmp_path), "id long, t string").collect()
+    rows = files.read_parsed_json(spark, str(tmp_path), "id long, t string").collect()
     assert sorted((r["id"] is None, r["t"]) for r in rows if r["t"] or r["id"] is None) == [(False, "x"), (True, None)]
     (tmp_path / "r.xml").write_text('<a><biblStruct><analytic><title>T</title><author><persName><surname>S</surname></persName></author></analytic><monogr><imprint><date when="2019-01"/></imprint></monogr></biblStruct></a>')
-    assert tuple(documents.read_tei_references(spark, str(tmp_path / "r.xml")).first()) == ("T", ["S"], "2019")
-    assert documents.list_files(spark, str(tmp_path / "*.json")).count() == 2
+    assert tuple(files.read_tei_references(spark, str(tmp_path / "r.xml")).first()) == ("T", ["S"], "2019")
+    assert files.list_files(spark, str(tmp_path / "*.json")).count() == 2
 
 
 def test_partition_overwrite_leaves_other_partitions(spark, tmp_path):
@@ -192,3 +193,28 @@ def test_best_spans_against_all_runs(spark):
     got = {tuple(r) for r in matching.best_spans(chunks, spans).collect()}
     assert got == want
     assert {(p, a, b) for p, _, a, b, _ in got} >= {(1, 1, 4), (4, 0, 99)}
+
+
+def test_whole_texts_by_the_start_of_their_names(spark, tmp_path):
+    for name in ("paper-1.md", "paper-2.md", "other.md"):
+        (tmp_path / name).write_text(f"# {name}\n")
+    assert sorted(r["text"] for r in files.read_whole_texts(spark, str(tmp_path), "paper-").collect()) == ["# paper-1.md\n", "# paper-2.md\n"]
+
+
+def test_file_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "b", c\nd', None), (2, "", "x")], "id int, text string, note string")
+    sinks.write_table(rows, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv")).where("id = '1'").first()["text"] == 'a "b", c\nd'
+    for _ in range(2):
+        sinks.write_chunks(rows, str(tmp_path / "json"), "id")
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "json")).select("id", "text", "note").collect())) == [(1, 'a "b", c\nd', None), (2, "", "x")]
+    found = spark.createDataFrame([(1, "doi", "10.1/x", 0.95), (1, "inline", "(A, 2000)", 0.4), (1, "inline", "(B, 2001)", 0.9)], "doc_id int, type string, text string, confidence double")
+    sinks.write_reports(found, str(tmp_path / "reports"))
+    report = spark.read.json(str(tmp_path / "reports")).first()
+    assert (report["summary"]["total"], report["summary"]["average"], report["summary"]["high"], report["summary"]["low"]) == (3, 0.75, 2, 1)
+    assert report["summary"]["by_type"].asDict() == {"doi": 1, "inline": 2} and len(report["citations"]) == 3
+    hits = spark.createDataFrame([(1, "b"), (0, "a")], "rank int, id string")
+    for _ in range(2):
+        sinks.append_retrieval_log(hits, "why", str(tmp_path / "log"))
+    logged = spark.read.json(str(tmp_path / "log")).collect()
+    assert len(logged) == 2 and [h["id"] for h in logged[0]["hits"]] == ["a", "b"]
