@@ -175,6 +175,43 @@ query("f52_doi_of_address", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN '10.55
 )
 
 
+# references whose authors and year stand in the title
+_MIXED = r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('Anna Smith and Bert K. Lee. ', 1990 + doc_id % 30, '. A study of things.') WHEN 1 THEN concat('J. Brown, and K. Lee. ', 1990 + doc_id % 30, '. More things')
+  WHEN 2 THEN concat(1990 + doc_id % 30, 'a. Late things. ', 1980 + doc_id % 9, '.') ELSE ' Plain things. ' END AS title, CASE WHEN doc_id % 3 = 0 THEN concat('in ', 1970 + doc_id % 20) WHEN doc_id % 3 = 1 THEN 'soon' END AS year FROM {documents}"""
+query("f53_clean_title", f"WITH r AS ({_MIXED.replace('{documents}', 'documents')}) SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'A study of things' WHEN 1 THEN 'More things' WHEN 2 THEN 'Late things' ELSE 'Plain things' END AS title, CASE doc_id % 4 WHEN 0 THEN 'Anna Smith|Bert K. Lee' WHEN 1 THEN 'J. Brown|K. Lee' ELSE '' END AS authors FROM r")(
+    lambda spark, sf_dir: spark.sql(_MIXED, documents=table(spark, sf_dir, "documents")).select("doc_id", R.clean_title(F.col("title")).alias("title"), F.array_join(R.title_authors(F.col("title")), "|").alias("authors"))
+)
+
+
+@query("f54_repaired_references", f"""WITH r AS ({_MIXED.replace('{documents}', 'documents')}) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (1970 + doc_id % 20)::VARCHAR WHEN 1 THEN NULL ELSE CASE doc_id % 4 WHEN 3 THEN NULL WHEN 2 THEN (1980 + doc_id % 9)::VARCHAR ELSE (1990 + doc_id % 30)::VARCHAR END END AS year,
+CASE WHEN doc_id % 5 = 0 THEN 'X' WHEN doc_id % 4 = 0 THEN 'Anna Smith|Bert K. Lee' WHEN doc_id % 4 = 1 THEN 'J. Brown|K. Lee' ELSE '' END AS authors FROM r""")
+def f54(spark, sf_dir):
+    r = spark.sql(_MIXED, documents=table(spark, sf_dir, "documents")).withColumn("authors", F.expr("if(doc_id % 5 = 0, array(' ', 'X'), cast(array() as array<string>))"))
+    _, year, authors, _ = R.repair(F.col("title"), F.col("year"), F.col("authors"), F.lit(None).cast("string"))
+    return r.select("doc_id", year.alias("year"), F.array_join(authors, "|").alias("authors"))
+
+
+_POPUP = "SELECT doc_id, concat('[', doc_id % 9, '] Smith J, Lee K and Roe M. ', CASE WHEN doc_id % 2 = 0 THEN concat(1990 + doc_id % 30, '. ') ELSE '' END, 'On the nature of things x', doc_id, '. Journal. Press') AS raw FROM {documents}"
+_POPUP_SQL = "SELECT doc_id, 'On the nature of things x' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.  Journal' END AS title, 'Smith J|Lee K|Roe M' AS authors, CASE WHEN doc_id % 2 = 0 THEN 1990 + doc_id % 30 END AS year FROM documents"
+
+
+@query("f55_popup_fields", _POPUP_SQL)
+def f55(spark, sf_dir):
+    title, authors, year = R.popup_fields(F.col("raw"))
+    return spark.sql(_POPUP, documents=table(spark, sf_dir, "documents")).select("doc_id", title.alias("title"), F.array_join(authors, "|").alias("authors"), year.alias("year"))
+
+
+_LAID = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('[3] Smith J and Lee K (', 1990 + doc_id % 30, '). A study of things. Venue') WHEN 1 THEN concat('2. A study  of things. Smith J, ', 1990 + doc_id % 30, '. Venue.') WHEN 2 THEN concat('Smith J Lee K Roe M ', 1990 + doc_id % 30, ' Venue.') ELSE 'Nothing known.' END AS raw FROM {documents}"
+query("f56_components", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'authorYear' WHEN 1 THEN 'titleFirst' WHEN 2 THEN 'simple' ELSE 'unknown' END AS format, CASE doc_id % 4 WHEN 0 THEN 'Smith J and Lee K' WHEN 1 THEN 'Smith J' WHEN 2 THEN 'Smith J Lee K Roe M' ELSE '' END AS authors,
+CASE WHEN doc_id % 4 < 2 THEN 'A study of things' ELSE '' END AS title, CASE doc_id % 4 WHEN 2 THEN ' Venue' WHEN 3 THEN 'Nothing known' ELSE 'Venue' END AS venue,
+CASE doc_id % 4 WHEN 0 THEN '"A study of things" Smith J and ' || (1990 + doc_id % 30) WHEN 1 THEN '"A study of things" Smith J ' || (1990 + doc_id % 30) WHEN 2 THEN 'Smith J Lee ' || (1990 + doc_id % 30) ELSE 'Nothing known' END AS query FROM documents""")(
+    lambda spark, sf_dir: spark.sql(_LAID, documents=table(spark, sf_dir, "documents")).select("doc_id", R.components(F.col("raw")).alias("c"), R.search_query(F.col("raw")).alias("query")).select("doc_id", "c.format", "c.authors", "c.title", "c.venue", "query")
+)
+query("f64_search_text", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Smith J and Lee K (' || (1990 + doc_id % 30) || '). A study of things. Venue' WHEN 1 THEN 'A study of things. Smith J, ' || (1990 + doc_id % 30) || '. Venue' WHEN 2 THEN 'Smith J Lee K Roe M ' || (1990 + doc_id % 30) || ' Venue' ELSE 'Nothing known' END AS text FROM documents")(
+    lambda spark, sf_dir: spark.sql(_LAID, documents=table(spark, sf_dir, "documents")).select("doc_id", R.search_text(F.col("raw")).alias("text"))
+)
+
+
 @query("f47_parse_and_link")
 def f47(spark, sf_dir):
     return parse_references(_refs(spark, sf_dir)).withColumn("authors", F.array_join("authors", "|"))

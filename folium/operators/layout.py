@@ -6,9 +6,11 @@ items at a time, which is bounded by the page.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions import text as T
 from folium.plans.registry import query, shared_sql
 from folium.session import table
 
@@ -67,6 +69,91 @@ def items_to_lines(items: DataFrame, page: str, order: str, x: str, y: str, text
     return placed.groupBy(page, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "t"))), lambda v: v["t"]), " ").alias("text"), F.min("x").alias("x"))
 
 
+def numbered_lines(items: DataFrame, page: str, order: str, x: str, y: str, width: str, tolerance: float = 2.0, gap: float | None = None, in_order: bool = False) -> DataFrame:
+    """Items with the number of their line on the page and that line's y (its first item's).
+
+    From the top down (larger y first), or with in_order as they come, an item within the tolerance of the line's y belongs to it.
+    A line ends at a horizontal gap above `gap`: between neighbours by x, or with in_order between an item and the one before.
+    One page is handled at a time; items without a place are left out."""
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([order] if in_order else [y, order], ascending=[True] if in_order else [False, True], kind="stable")
+        at, ends, lines, tops = None, 0.0, [], []
+        line = -1
+        for px, py, w in zip(rows[x].astype(float), rows[y].astype(float), rows[width].fillna(0).astype(float), strict=True):
+            far = in_order and gap is not None and px - ends > gap
+            if at is None or abs(py - at) > tolerance or far:
+                at, line = py, line + 1
+            ends = px + w
+            lines.append(line)
+            tops.append(at)
+        rows["line"], rows["line_y"] = lines, tops
+        if gap is not None and not in_order:
+            rows = rows.sort_values(["line", x, order], kind="stable")
+            before = (rows[x].astype(float) + rows[width].fillna(0).astype(float)).shift()
+            new = (rows["line"] != rows["line"].shift()) | (rows[x].astype(float) - before > gap)
+            rows["line"] = new.cumsum() - 1
+        return rows
+
+    schema = f"{items.select(page, order, x, y, width, *[c for c in items.columns if c not in (page, order, x, y, width)])._jdf.schema().toDDL()}, line long, line_y double"
+    placed = items.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return placed.groupBy(page).applyInPandas(number, schema)
+
+
+def text_lines(items: DataFrame, page: str, order: str, x: str, text: str, font: str, size: str) -> DataFrame:
+    """(page, line, y, x, text, fonts, font, size) of numbered items: texts by x, blanks left out; the most frequent font, the first of
+    equals; the mean of sizes above 0, else 0."""
+    rows = items.groupBy(page, "line").agg(
+        F.first("line_y").alias("y"), F.min(x).alias("x"), F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(order).alias("o"), F.trim(text).alias("t"), F.col(font).alias("f")))).alias("i"),
+        F.coalesce(F.avg(F.when(F.col(size) > 0, F.col(size))), F.lit(0.0)).cast("double").alias("size"),
+    )
+    named = F.filter(F.transform("i", lambda v: v["f"]), lambda f: f.isNotNull() & (f != ""))
+    rows = rows.withColumn("all", named).withColumn("fonts", F.array_distinct("all"))
+    counts = F.transform("fonts", lambda f, i: F.struct(F.size(F.filter("all", lambda a: a == f)).alias("n"), (-i).alias("first"), f.alias("f")))
+    words = F.filter(F.transform("i", lambda v: v["t"]), lambda t: t.isNotNull() & (t != ""))
+    return rows.select(page, "line", "y", "x", F.array_join(words, " ").alias("text"), "fonts", F.coalesce(F.array_max(counts)["f"], F.lit("")).alias("font"), "size")
+
+
+def lines_in_fonts(lines: DataFrame, fonts: DataFrame, group: str | None = None) -> DataFrame:
+    """Lines (font, fonts) with a font of `fonts` (font), a list per `group` where one is given."""
+    by = [group] if group else []
+    wanted = fonts.groupBy(*by).agg(F.collect_set("font").alias("__wanted"))
+    joined = lines.join(wanted, group) if group else lines.crossJoin(F.broadcast(wanted))  # one row
+    return joined.where(F.array_contains("__wanted", F.col("font")) | F.arrays_overlap("__wanted", "fonts")).drop("__wanted")
+
+
+def near_margins(lines: DataFrame, margins: DataFrame, group: str, x: str, before: float = 3.0, inside: float = 40.0, start: float = 8.0) -> DataFrame:
+    """Lines from `before` left of a common x of their group (a short list) to `inside` right of it, with is_start up to `start` right
+    of the first such x."""
+    common = margins.groupBy(group).agg(F.array_sort(F.collect_list("anchor")).alias("__common"))
+    fits = F.filter("__common", lambda c: F.col(x).between(c - before, c + inside))
+    rows = lines.join(common, group).withColumn("margin", F.try_element_at(fits, F.lit(1))).drop("__common")
+    return rows.where("margin is not null").withColumn("is_start", F.col(x) <= F.col("margin") + start)
+
+
+def merge_rectangles(shapes: DataFrame, page: str, order: str, reach: float = 30.0) -> DataFrame:
+    """(page, cluster, n, x0, y0, x1, y1): in order, a rectangle with an area joins the first cluster whose box, widened by the reach, it
+    overlaps, and widens that box; else it opens one. One page is handled at a time."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        boxes: list[list[float]] = []
+        for x0, y0, x1, y1 in rows.sort_values(order)[["x0", "y0", "x1", "y1"]].astype(float).itertuples(index=False):
+            if not (x1 > x0 and y1 > y0):
+                continue
+            for b in boxes:
+                if x0 < b[2] + reach and x1 > b[0] - reach and y0 < b[3] + reach and y1 > b[1] - reach:
+                    b[:] = [min(b[0], x0), min(b[1], y0), max(b[2], x1), max(b[3], y1), b[4] + 1]
+                    break
+            else:
+                boxes.append([x0, y0, x1, y1, 1])
+        out = pd.DataFrame([(i, int(b[4]), *b[:4]) for i, b in enumerate(boxes)], columns=["cluster", "n", "x0", "y0", "x1", "y1"])
+        out.insert(0, page, rows[page].iloc[0])
+        return out
+
+    kind = shapes.schema[page].dataType.simpleString()
+    return shapes.groupBy(page).applyInPandas(merge, f"{page} {kind}, cluster long, n long, x0 double, y0 double, x1 double, y1 double")
+
+
 def x_clusters(lines: DataFrame, page: str, x: str, tolerance: float = 10.0) -> DataFrame:
     """(page, cluster, n, anchor): going up in x, a line belongs to the last cluster if within the tolerance of its first x, else opens one."""
     kind = "array<struct<x:double,n:bigint>>"
@@ -110,6 +197,70 @@ def heading_score(text: Column, size: Column, body_size: Column, bold: Column, i
     return by_size * 0.25 + F.when(bold, 100).otherwise(0) * 0.1 + numbered * 0.35 + cased * 0.1 + short * 0.1 + F.when(isolated, 100).otherwise(0) * 0.1
 
 
+def font_style_score(font: Column, body_font: Column) -> Column:
+    """100 for a font that is not the body's or is bold, slanted or a heading's by name, else 0."""
+    return F.when((font != body_font) | font.rlike(r"(?i)bold|heavy|black|demi|italic|oblique|heading|title|h[1-6]"), 100).otherwise(0)
+
+
+def case_score(text: Column) -> Column:
+    """100 for letters and blanks in title case, of at most 8 words and 50 characters, or 3 to 31 capitals and blanks, else 0."""
+    words = F.split(text, " ")
+    titled = text.rlike(r"^[A-Z][a-zA-Z\s]*$") & (F.size(words) <= 8) & F.forall(words, lambda w: (w == "") | (F.left(w, F.lit(1)) == F.upper(F.left(w, F.lit(1))))) & (F.length(text) <= 50)
+    return F.when(titled | text.rlike(r"^[A-Z][A-Z\s]{2,30}$"), 100).otherwise(0)
+
+
+# Headings of papers; those that count without a number.
+SECTION_NAMES = [
+    "abstract", "introduction", "intro", "literature review", "related work", "background", "prior work", "state of the art", "methodology", "methods", "method",
+    "approach", "framework", "model", "algorithm", "technique", "experimental setup", "experiment", "experiments", "experimental design", "implementation",
+    "system design", "architecture", "design", "data", "dataset", "datasets", "data collection", "data preparation", "analysis", "statistical analysis",
+    "data analysis", "results", "findings", "experimental results", "outcomes", "evaluation", "performance", "validation", "testing", "discussion",
+    "interpretation", "implications", "case study", "use case", "application", "applications", "limitations", "constraints", "challenges", "conclusion",
+    "conclusions", "summary", "future work", "future directions", "recommendations", "acknowledgments", "acknowledgements", "thanks", "references",
+    "bibliography", "citations", "appendix", "appendices", "supplementary", "supplement",
+]
+STANDALONE_NAMES = [
+    "abstract", "introduction", "background", "methodology", "methods", "results", "discussion", "conclusion", "conclusions", "references", "bibliography",
+    "acknowledgments", "acknowledgements", "appendix", "appendices",
+]
+
+
+def section_number(text: Column) -> Column:
+    """(kind, number, rest, level, score) of a line that may be a numbered heading.
+
+    The first form that fits counts: 1.2, A.1, IV, a) or (a), before the rest. Its number must be in range (20 at most) and the rest
+    look like a heading: up to 80 characters and 10 words, no full stop, no small letter first, and after digits or a letter also
+    words and no marks of code. Such lines score 100, or 150 where the rest is one of SECTION_NAMES; a line without a number scores
+    100 where it is one of STANDALONE_NAMES; others 0."""
+    forms = [
+        ("arabic", r"^([0-9]{1,2}(?:\.[0-9]{1,2})*)\.?\s+(.+)$"), ("letter", r"^([A-Z](?:\.[0-9]{1,2})?)\.?\s+(.+)$"), ("roman", r"^([IVX]+)\.?\s+(.+)$"),
+        ("sub", r"^([a-z]|[ivx]+)\)\s+(.+)$"), ("parentheses", r"^\(([A-Za-z0-9]+)\)\s+(.+)$"),
+    ]
+    kind, number, rest = F.lit(""), F.lit(""), text
+    for name, pattern in reversed(forms):
+        hit = text.rlike(pattern)
+        kind = F.when(hit, name).otherwise(kind)
+        number = F.when(hit, F.regexp_extract(text, pattern, 1)).otherwise(number)
+        rest = F.when(hit, F.regexp_extract(text, pattern, 2)).otherwise(rest)
+    words = T.word_list(rest)
+    singles = F.size(F.filter(words, lambda w: w.rlike("^[A-Za-z]$")))
+    coded = rest.rlike(r"[@#$%^&*+=|\\/<>{}\[\]`]")
+    in_range = (
+        F.when(kind == "arabic", F.split_part(number, F.lit("."), F.lit(1)).cast("int") <= 20)
+        .when(kind == "letter", F.coalesce(F.nullif(F.split_part(number, F.lit("."), F.lit(2)), F.lit("")).cast("int"), F.lit(0)) <= 20)
+        .when(kind == "roman", number.rlike("^(?:X{0,1}(?:IX|IV|V?I{0,3})|XX)$"))
+        .when(kind == "sub", number.rlike("^(?:[a-z]|i{1,3}|iv|vi{0,3}|ix)$")).when(kind == "parentheses", number.rlike("^(?:[A-Za-z]|[0-9]{1,2})$")).otherwise(False)
+    )
+    lettered = F.exists(words, lambda w: (F.length(w) > 1) | (w != F.left(number, F.lit(1)))) & ~((F.size(words).between(2, 4)) & (singles > F.size(words) / 2)) & ~coded
+    digits = F.exists(words, lambda w: w.rlike("^[A-Za-z].")) & ~text.rlike(r"[0-9]+\.?[0-9]*\s*[^\w\s.]") & ~coded
+    fits = F.when(kind == "arabic", digits).when(kind == "letter", lettered).when(kind == "roman", ~coded).otherwise(True)
+    heading = (F.length(rest) <= 80) & ~rest.contains(".") & ~rest.rlike("^[a-z]") & (F.size(F.split(rest, " ")) <= 10) & (F.trim(rest) != "")
+    known, alone = (F.lower(F.regexp_replace(F.trim(rest), r"\s+", " ")).isin(names) for names in (SECTION_NAMES, STANDALONE_NAMES))
+    score = F.when((kind != "") & fits, F.when(in_range & heading, F.when(known, 150).otherwise(100)).otherwise(0)).when((kind == "") & alone, 100).otherwise(0)
+    level = F.when(kind.isin("sub", "parentheses"), 2).when(kind.isin("arabic", "letter"), F.size(F.split(number, r"\."))).otherwise(1)
+    return F.struct(kind.alias("kind"), number.alias("number"), rest.alias("rest"), level.alias("level"), score.alias("score"))
+
+
 def union_of_boxes(spans: DataFrame, by: list[str]) -> DataFrame:
     return spans.groupBy(*by, "y0", "y1").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
@@ -181,3 +332,49 @@ SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page = t.page AND gre
     ).select("id")
 )
 query("f57_heading_score")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", heading_score(F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("1.2 ")).otherwise(""), F.col("p_name")), F.col("p_size").cast("double"), F.lit(20.0), F.col("p_size") > 30, F.col("p_partkey") % 2 == 0).alias("score")))
+
+# items of a page in two halves, about ten pixels wide
+_ITEMS = "SELECT page, pos, CAST(x * 10 AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(10 + pos % 13 AS DOUBLE) AS width, font, CAST(size AS DOUBLE) AS size, concat(font, pos % 10) AS text FROM ({})"
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    return spark.sql(_ITEMS.format(_LINES), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+# from the top down, the tops of lines are found one after the other as clusters' anchors are
+_TOPS = f"""WITH RECURSIVE l AS ({_ITEMS.format(_DUCK)}), a(page, y) AS (
+  SELECT page, max(y) FROM l GROUP BY page UNION ALL SELECT l.page, max(l.y) FROM a JOIN l ON l.page = a.page AND l.y < a.y - 2 GROUP BY l.page, a.y
+), m AS (SELECT l.page, l.pos, l.x, l.width, l.font, l.size, l.text, min(a.y) AS top FROM l JOIN a ON a.page = l.page AND a.y >= l.y GROUP BY ALL)"""
+query("a27_sorted_lines", f"{_TOPS} SELECT page, top AS y, string_agg(text, ' ' ORDER BY x, pos, text) AS text, min(x) AS x FROM m GROUP BY page, top")(
+    lambda spark, sf_dir: text_lines(numbered_lines(_items(spark, sf_dir), "page", "pos", "x", "y", "width"), "page", "pos", "x", "text", "font", "size").select("page", "y", "text", "x")
+)
+query("a35_lines_split_at_gaps", f"""{_TOPS}, g AS (SELECT *, coalesce((x - lag(x + width) OVER (PARTITION BY page, top ORDER BY x, pos) > 20)::INT, 0) AS cut FROM m),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY page, top ORDER BY x, pos ROWS UNBOUNDED PRECEDING) AS part FROM g)
+SELECT page, top AS y, min(x) AS x, string_agg(text, ' ' ORDER BY x, pos, text) AS text FROM i GROUP BY page, top, part""")(
+    lambda spark, sf_dir: text_lines(numbered_lines(_items(spark, sf_dir), "page", "pos", "x", "y", "width", gap=20.0), "page", "pos", "x", "text", "font", "size").select("page", "y", "x", "text")
+)
+query("a36_lines_in_order")(
+    lambda spark, sf_dir: text_lines(numbered_lines(_items(spark, sf_dir), "page", "pos", "x", "y", "width", gap=20.0, in_order=True), "page", "pos", "x", "text", "font", "size").drop("fonts")
+)
+query("a39_line_fonts", f"""{_TOPS}, o AS (SELECT *, row_number() OVER (PARTITION BY page, top ORDER BY x, pos, text) AS seen FROM m), f AS (SELECT page, top, font, count(*) AS n, min(seen) AS seen FROM o GROUP BY page, top, font), s AS (SELECT page, top, coalesce(avg(size) FILTER (size > 0), 0) AS size FROM m GROUP BY page, top)
+SELECT page, top AS y, font, round(size, 6) AS size FROM f JOIN s USING (page, top) QUALIFY row_number() OVER (PARTITION BY page, top ORDER BY n DESC, seen) = 1""")(
+    lambda spark, sf_dir: text_lines(numbered_lines(_items(spark, sf_dir), "page", "pos", "x", "y", "width"), "page", "pos", "x", "text", "font", "size").select("page", "y", "font", F.round("size", 6).alias("size"))
+)
+query("p20_lines_in_fonts", f"WITH l AS ({_DUCK}), w AS (SELECT page, max(font) AS font FROM l GROUP BY page) SELECT page, pos FROM l JOIN w USING (page, font)")(
+    lambda spark, sf_dir: lines_in_fonts(_lines(spark, sf_dir).withColumn("fonts", F.array("font")), _lines(spark, sf_dir).groupBy("page").agg(F.max("font").alias("font")), "page").select("page", "pos")
+)
+query("p21_near_margins", f"{_CLUSTERS}, t AS (SELECT page, anchor FROM c WHERE n > 3), k AS (SELECT l.page, pos, x, min(anchor) AS margin FROM l JOIN t ON l.page = t.page AND x BETWEEN anchor - 3 AND anchor + 40 GROUP BY l.page, l.line, pos, x) SELECT page, pos, x <= margin + 8 AS is_start FROM k")(
+    lambda spark, sf_dir: near_margins(_indented(spark, sf_dir), x_clusters(_indented(spark, sf_dir), "page", "x").where("n > 3"), "page", "x").select("page", "pos", "is_start")
+)
+query("a25_merged_rectangles")(
+    lambda spark, sf_dir: merge_rectangles(_items(spark, sf_dir).selectExpr("page", "pos", "x x0", "y y0", "x + width x1", "y + size y1"), "page", "pos")
+)
+_HEADS = "SELECT p_partkey, concat(CASE p_partkey % 5 WHEN 0 THEN 'PART ' WHEN 1 THEN 'Part ' WHEN 2 THEN '' WHEN 3 THEN initcap(p_type) ELSE upper(p_type) END, CASE WHEN p_partkey % 5 > 2 THEN '' ELSE p_name END) AS t FROM {part}"
+query("f59_font_style_score", "SELECT p_partkey, CASE WHEN p_brand <> 'Brand#11' OR regexp_matches(p_brand, '(?i)bold|heavy|black|demi|italic|oblique|heading|title|h[1-6]') THEN 100 ELSE 0 END AS score FROM part")(
+    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", font_style_score(F.col("p_brand"), F.lit("Brand#11")).alias("score"))
+)
+query("f60_case_score")(lambda spark, sf_dir: spark.sql(_HEADS, part=table(spark, sf_dir, "part")).select("p_partkey", case_score(F.col("t")).alias("score")))
+query("f62_section_number", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'arabic' WHEN 1 THEN 'letter' WHEN 2 THEN 'parentheses' ELSE '' END AS kind,
+CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 24 <= 20 THEN 150 ELSE 0 END WHEN 1 THEN 100 WHEN 2 THEN 0 ELSE 100 END AS score FROM part""")(
+    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", section_number(F.expr("case p_partkey % 4 when 0 then concat(p_partkey % 24, '.2 Related work') when 1 then 'B.3 Further thoughts' when 2 then '(a) small things' else 'References' end")).alias("s")).select("p_partkey", "s.kind", "s.score")
+)
