@@ -63,6 +63,21 @@ def ordinal_citations(answers: DataFrame, hits: DataFrame, key: str = "doc_id",
     return marks.join(F.broadcast(hits), "rank").withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy("position")))  # hits are a top-k list
 
 
+def assemble_answers(answers: DataFrame, hits: DataFrame, key: str = "doc_id", answer: str = "answer") -> DataFrame:
+    """(key, answer, citations, confidence, used_history) of generated answers over the hits (rank, text, score) they saw, a top-k list.
+
+    Markers of hits are renumbered by first appearance and listed as (number, rank, score, excerpt); markers of no hit stay as they are.
+    Confidence is the answer's own, else the one of the hits' scores."""
+    confidence, used, clean = answer_flags(F.col(answer))
+    totals = hits.agg((F.max("rank") + 1).alias("n")).crossJoin(score_confidence(hits).withColumnRenamed("confidence", "of_scores"))  # one row
+    known = F.sequence(F.lit(1), F.coalesce(F.col("n"), F.lit(0)).cast("int"), F.lit(1))
+    keep = F.when(F.coalesce(F.col("n"), F.lit(0)) > 0, known).otherwise(F.expr("cast(array() as array<int>)"))
+    cited = ordinal_citations(answers, hits, key, answer)
+    lists = cited.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "rank", "score", T.normalise_excerpt(F.col("text")).alias("excerpt")))).alias("citations"))
+    rows = answers.crossJoin(F.broadcast(totals)).select(key, renumber(clean, keep).alias("answer"), F.coalesce(confidence, "of_scores").alias("confidence"), used.alias("used_history"))
+    return rows.join(lists, key, "left")
+
+
 def collect_mentions(refs: DataFrame, markers: DataFrame) -> DataFrame:
     """Markers (target with a leading #) gathered per reference; references without any keep an empty list."""
     by = markers.select(F.regexp_replace("target", "^#", "").alias("ref_id"), "mention").groupBy("ref_id").agg(F.array_sort(F.collect_list("mention")).alias("mentions"))
@@ -289,6 +304,13 @@ def j13(spark, sf_dir):
     return ordinal_citations(_answers(spark, sf_dir), hits).select("doc_id", "rank", "head", "number")
 
 
+@query("t26_assembled_answers", rf"""WITH a AS ({_ANSWERS_DUCK}), m AS (SELECT doc_id, x, list_filter(list_distinct(x), lambda n: n <= 4) AS known FROM (SELECT doc_id, list_transform(regexp_extract_all(answer, '\[c(\d+)\]', 1), lambda n: n::INT) AS x FROM a))
+SELECT doc_id, len(known)::INT AS cited, (10 + doc_id % 90) / 100.0::DOUBLE AS confidence, doc_id % 2 = 0 AS used_history FROM m""")
+def t26(spark, sf_dir):
+    hits = table(spark, sf_dir, "benchmark").where("item_id < 4").select(F.col("item_id").cast("int").alias("rank"), "text", F.lit(0.5).alias("score"))
+    return assemble_answers(_answers(spark, sf_dir), hits).select("doc_id", F.coalesce(F.size("citations"), F.lit(0)).alias("cited"), "confidence", "used_history")
+
+
 for _name, _chained in (("w02_renumber_citations", False), ("w03_renumber_chained", True)):
     query(_name)(lambda spark, sf_dir, chained=_chained: _answers(spark, sf_dir).select("doc_id", renumber(F.col("answer"), chained=chained).alias("answer")))
 query("w14_renumber_with_gaps")(lambda spark, sf_dir: _answers(spark, sf_dir).select("doc_id", renumber(F.col("answer")).alias("answer"), F.size(F.array_distinct(marker_numbers(F.col("answer")))).alias("numbers")))

@@ -48,19 +48,53 @@ def semantic_split(sections: DataFrame, key: str, text: str = "body", percentile
     return chunked.groupBy(key, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
 
 
+_NO_IMAGES = "cast(array() as array<struct<caption:string,path:string>>)"
+
+
 def chunk_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, chunk, title, text, chunk_id) of Markdown documents."""
+    """(key, pos, chunk, title, text, images, chunk_id) of Markdown documents. Links of images leave the text; the images of a part go to
+    the chunk that names their path, else to the part's last one."""
     parts = useful_parts(carry_forward(markdown_parts(docs, key, text), "heading", key, "pos", "title"))
-    parts = parts.withColumn("section", F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string")))
-    chunks = semantic_split(parts, "section").join(parts.select("section", key, "pos", "title"), "section")
+    found, plain = images_of_markdown(F.col("body"))
+    parts = parts.withColumn("section", F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string"))).withColumn("found", found).withColumn("body", plain)
+    chunks = semantic_split(parts, "section").join(parts.select("section", key, "pos", "title", "found"), "section")
     index = F.row_number().over(Window.partitionBy(key).orderBy("pos", "chunk")) - 1
-    return chunks.withColumn("index", index).select(key, "pos", "chunk", "title", "text", T.chunk_id(F.col(key), F.col("index"), F.col("text")).alias("chunk_id"))
+    placed = with_images(chunks, "section", "chunk", "found").withColumn("index", index)
+    return placed.select(key, "pos", "chunk", "title", "text", "images", T.chunk_id(F.col(key), F.col("index"), F.col("text")).alias("chunk_id"))
+
+
+def with_images(chunks: DataFrame, section: str, order: str, found: str) -> DataFrame:
+    """Chunks with the images (caption, path) of their section (`found`, the same in all its chunks): those whose path the text names,
+    and in the last chunk those that none names. Named paths leave the text."""
+    w = Window.partitionBy(section)
+    every = F.coalesce(F.col(found), F.expr(_NO_IMAGES))
+    rows = chunks.withColumn("images", F.filter(every, lambda i: F.col("text").contains(i["path"])))
+    rows = rows.withColumn("__named", F.flatten(F.collect_set(F.transform("images", lambda i: i["path"])).over(w))).withColumn("__last", F.row_number().over(w.orderBy(F.desc(order))) == 1)
+    left = F.filter(every, lambda i: ~F.array_contains("__named", i["path"]))
+    text = F.when(F.size("images") > 0, without_paths(F.col("text"), F.transform("images", lambda i: i["path"]))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).withColumn("images", F.when(F.col("__last"), F.concat("images", left)).otherwise(F.col("images"))).drop("__named", "__last", found)
+
 
+def without_paths(text: Column, paths: Column) -> Column:
+    """Without these paths and with single blanks."""
+    return T.squeeze(F.aggregate(paths, text, lambda t, p: F.replace(t, p, F.lit(" "))))
 
-def leftovers_to_last(chunks: DataFrame, leftovers: DataFrame, section: str, order: str) -> DataFrame:
-    """Images of a section that no chunk names go to its last chunk."""
-    last = F.row_number().over(Window.partitionBy(section).orderBy(F.desc(order))) == 1
-    return chunks.withColumn("__last", last).join(leftovers, section, "left").withColumn("images", F.when(F.col("__last") & F.col("left_images").isNotNull(), F.concat("images", "left_images")).otherwise(F.col("images"))).drop("__last", "left_images")
+
+def chunk_sections(sections: DataFrame, key: str = "doc_id", order: str = "pos", text: str = "text") -> DataFrame:
+    """(key, order, chunk, title, page, text, images) of sections (key, order, title, page, text, figures: array of (figure_id, path)).
+
+    Links of images leave the text. A chunk has the figures that its text names, and null where it names none; a section with images
+    or figures but no text is one empty chunk with all of them; one with neither is left out."""
+    linked, plain = images_of_markdown(F.coalesce(F.col(text), F.lit("")))
+    as_figures = F.transform(linked, lambda i: F.struct(i["caption"].alias("figure_id"), i["path"].alias("path")))
+    kind = "array<struct<figure_id:string,path:string>>"
+    figures = F.concat(F.coalesce(F.col("figures").cast(kind), F.array().cast(kind)), as_figures.cast(kind))
+    rows = sections.select(key, order, "title", "page", figures.alias("__figures"), plain.alias("body")).withColumn("section", F.concat_ws(":", F.col(key).cast("string"), F.col(order).cast("string")))
+    blank = T.strip(F.col("body")) == ""
+    empty = rows.where(blank & (F.size("__figures") > 0)).select(key, order, F.lit(0).cast("long").alias("chunk"), "title", "page", F.lit("").alias("text"), F.col("__figures").alias("images"))
+    chunks = semantic_split(rows.where(~blank), "section").join(rows.drop("body"), "section")
+    named = F.filter("__figures", lambda f: F.coalesce((f["figure_id"] != "") & F.col("text").contains(f["figure_id"]), F.lit(False)))
+    return chunks.select(key, order, "chunk", "title", "page", "text", F.when(F.size(named) > 0, named).alias("images")).unionByName(empty)
 
 
 def adjacent_groups(rows: DataFrame, group: str, title: str, order: str, text: str) -> DataFrame:
@@ -129,6 +163,17 @@ query("w04_carried_title")(lambda spark, sf_dir: carry_forward(markdown_parts(_m
 query("p28_useful_parts")(lambda spark, sf_dir: useful_parts(markdown_parts(_markdown(spark, sf_dir))).select("doc_id", "pos", "heading"))
 query("t11_semantic_split")(lambda spark, sf_dir: semantic_split(table(spark, sf_dir, "documents"), "doc_id", "text"))
 query("t13_chunk_markdown")(lambda spark, sf_dir: chunk_markdown(_markdown(spark, sf_dir)))
+query("t12_chunk_sections")(
+    lambda spark, sf_dir: chunk_sections(table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit(0).alias("pos"), F.col("source").alias("title"), F.lit(1).alias("page"), F.when(F.col("doc_id") % 3 > 0, F.concat("text", F.lit(" Fig 1. ![Fig 1](images/a.png)"))).otherwise(F.when(F.col("doc_id") % 2 == 0, "![Fig 2](images/b.png)")).alias("text"),
+        F.expr("cast(null as array<struct<figure_id:string,path:string>>)").alias("figures")))
+)
+query("w12_leftover_images", "SELECT doc_id, 'images/' || doc_id || '.png' AS path FROM documents")(
+    lambda spark, sf_dir: chunk_markdown(_markdown(spark, sf_dir)).select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.path")
+)
+query("f04_without_paths", rf"SELECT doc_id, regexp_replace(regexp_replace(text || ' a b', '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ +| +$', '', 'g') AS text FROM documents")(
+    lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", without_paths(F.concat("text", F.lit(" a images/1.png  b images/2.png")), F.array(F.lit("images/1.png"), F.lit("images/2.png"))).alias("text"))
+)
 query("f01_images_of_markdown", "SELECT doc_id, 'Fig ' || doc_id AS caption, 'images/' || doc_id || '.png' AS path FROM documents")(
     lambda spark, sf_dir: _markdown(spark, sf_dir).select("doc_id", F.explode(images_of_markdown(F.col("text"))[0]).alias("i")).select("doc_id", "i.caption", "i.path")
 )

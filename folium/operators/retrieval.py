@@ -129,6 +129,13 @@ RETRIEVERS: dict[str, Callable] = {"dense": dense_search, "keyword": keyword_sea
 RERANKERS: dict[str, Callable[[DataFrame, int], DataFrame]] = {"none": lambda hits, k: hits.orderBy("rank").limit(k)}
 
 
+def build_store(chunks: DataFrame, key: str = "doc_id", text: str = "text", embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors (key, embedding), vocabulary and postings of chunks; those without text are in none of them."""
+    filled = chunks.where(F.coalesce(F.trim(text), F.lit("")) != "")
+    vocab, postings = fit_tfidf(filled.select(key, text), key, text)
+    return filled.select(key, (embed or EMBEDDERS["hashing"])(F.col(text)).alias("embedding")), vocab, postings
+
+
 def rerank(hits: DataFrame, question: Column, k: int, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Hits by a scorer of (question, text); without one they pass through in rank order."""
     if scorer is None:
@@ -200,6 +207,12 @@ def t04(spark, sf_dir):
     return search_texts(table(spark, sf_dir, "documents"), _question(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
+@query("t25_build_store", f"WITH {_TF} SELECT doc_id, count(*) AS terms, 64::BIGINT AS width FROM wt GROUP BY doc_id")
+def t25(spark, sf_dir):
+    vectors, _, postings = build_store(table(spark, sf_dir, "documents"))
+    return postings.groupBy("doc_id").agg(F.count("*").alias("terms")).join(vectors.select("doc_id", F.size("embedding").cast("long").alias("width")), "doc_id")
+
+
 _DENSE = """
 q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
 cosine AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS cos FROM embeddings, q)
@@ -212,6 +225,13 @@ def t01(spark, sf_dir):
     return dense_search(v, v.where("vec_id = 0"), 10).select("vec_id", F.round("cos", 6).alias("cos"), F.round("score", 6).alias("score"))
 
 
+@query("t03_dense_search", f"WITH {_DENSE} SELECT vec_id, row_number() OVER (ORDER BY round(cos, 6) DESC, vec_id) - 1 AS rank FROM cosine ORDER BY rank LIMIT 25")
+def t03(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    hits = ranked(dense_search(v, v.where("vec_id = 0"), 25), "cos", "vec_id")
+    return hits.select("vec_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("t02_cosine_similarity", f"WITH {_DENSE} SELECT vec_id, round(cos, 6) AS cos FROM cosine")
 def t02(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")

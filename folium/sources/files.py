@@ -28,6 +28,18 @@ def read_tei_references(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_page_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, page, w, h) of the surfaces of TEI files; those without a whole page number or with sizes that are no numbers are left out."""
+    rows = spark.read.format("xml").option("rowTag", "surface").schema("_n string, _lrx string, _lry string").load(path)
+    sizes = rows.select(F.input_file_name().alias("file"), F.col("_n").try_cast("int").alias("page"), F.col("_lrx").try_cast("double").alias("w"), F.col("_lry").try_cast("double").alias("h"))
+    return sizes.where("page is not null and w is not null and h is not null")
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(name, url, short_definition) of a dictionary, a JSON array; terms without a name are left out."""
+    return spark.read.schema("name string, url string, short_definition string").option("multiLine", True).json(path).where("trim(name) <> ''")
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modified), newest first, without reading contents."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
