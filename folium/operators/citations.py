@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folium.functions import references as R
 from folium.functions import text as T
-from folium.plans.registry import query, shared_sql
+from folium.operators import lookups as L
+from folium.plans.registry import query
 from folium.session import table
 
 # ---------------------------------------------------------------- operators
@@ -396,5 +397,7 @@ def j20(spark, sf_dir):
     return best_candidate(p, title, 2001, "brand").select("pos", "title", "score")
 
 
-shared_sql("j25_metadata_fallback", """SELECT c_custkey, coalesce(CASE WHEN length(c_mktsegment) > 8 THEN c_mktsegment END, own.o_orderpriority, 'none') AS abstract
-FROM {customer} LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS o_orderpriority FROM {orders} GROUP BY o_custkey) own ON own.o_custkey = c_custkey""")
+query("j25_metadata_fallback", """SELECT c_custkey, coalesce(CASE WHEN length(c_mktsegment) > 8 THEN c_mktsegment END, own.o_orderpriority, 'none') AS abstract
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_custkey) own ON own.o_custkey = c_custkey""")(
+    lambda spark, sf_dir: L.look_up_first(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), [(table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("priority")), F.col("c_custkey"), "priority")], "abstract", F.lit("none"), F.when(F.length("c_mktsegment") > 8, F.col("c_mktsegment"))).select("c_custkey", "abstract")
+)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
+from folium.operators import lookups as L
 from folium.operators.retrieval import cosine, hashing_embedder
-from folium.plans.registry import query, shared_sql
+from folium.plans.registry import query
 from folium.session import table
 
 # ---------------------------------------------------------------- sections and chunks
@@ -237,10 +238,24 @@ query("s24_scraped_links")(lambda spark, sf_dir: table(spark, sf_dir, "pages").s
 query("f72_table_text", "SELECT doc_id, md5(text || chr(10) || chr(10) || 'Table 1:' || chr(10) || left(text, 4000)) AS value FROM documents")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.md5(with_tables(F.col("text"), F.array(F.lit("1")), F.array(F.col("text")))).alias("value"))
 )
-shared_sql("f76_creation_year", "SELECT o_orderkey, substring(concat('D:', CAST(year(o_orderdate) AS STRING), '0101'), 3, 4) AS year FROM {orders}")
-shared_sql("f79_distance", "SELECT c_custkey, round(sqrt(power(c_nationkey - 5, 2) + power(c_acctbal - 100, 2)), 6) AS d FROM {customer}")
-shared_sql("f29_rounded_box", "SELECT event_id, round(value / 7, 4) AS l, round(value / 11, 4) AS t FROM {events}")
-shared_sql("f82_clean_arxiv_id", "SELECT doc_id, trim(regexp_replace(concat('arXiv:2101.', doc_id), '^arXiv:', '')) AS id FROM {documents}")
-shared_sql("f83_best_pdf_link", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN concat('https://arxiv.org/pdf/2101.', doc_id) END, CASE WHEN doc_id % 3 = 1 THEN concat('https://doi.org/10.1/', doc_id) END, concat('https://example.org/', doc_id)) AS link FROM {documents}")
-shared_sql("f84_confidence_of_distance", "SELECT event_id, CAST(CASE WHEN value < 10 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM {events}")
-shared_sql("f77_metadata", "SELECT c_custkey, coalesce(c_mktsegment, 'Unknown') AS subject, substring('2021-05-06', 1, 4) AS year FROM {customer}")
+query("f76_creation_year", "SELECT o_orderkey, substring(concat('D:', CAST(year(o_orderdate) AS STRING), '0101'), 3, 4) AS year FROM orders")(
+    lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", L.creation_year(F.concat(F.lit("D:"), F.year("o_orderdate").cast("string"), F.lit("0101"))).alias("year"))
+)
+query("f79_distance", "SELECT c_custkey, round(sqrt(power(c_nationkey - 5, 2) + power(c_acctbal - 100, 2)), 6) AS d FROM customer")(
+    lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", F.round(L.distance(F.col("c_nationkey"), F.col("c_acctbal"), F.lit(5), F.lit(100)), 6).alias("d"))
+)
+query("f29_rounded_box", "SELECT event_id, round(value / 7, 4) AS l, round(value / 11, 4) AS t FROM events")(
+    lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", *L.rounded_box(l=F.col("value") / 7, t=F.col("value") / 11))
+)
+query("f82_clean_arxiv_id", "SELECT doc_id, trim(regexp_replace(concat('arXiv:2101.', doc_id), '^arXiv:', '')) AS id FROM documents")(
+    lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", L.clean_arxiv_id(F.concat(F.lit("arXiv:2101."), "doc_id")).alias("id"))
+)
+query("f83_best_pdf_link", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN concat('https://arxiv.org/pdf/2101.', doc_id) END, CASE WHEN doc_id % 3 = 1 THEN concat('https://doi.org/10.1/', doc_id) END, concat('https://example.org/', doc_id)) AS link FROM documents")(
+    lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", L.best_pdf_link(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2101."), "doc_id")), F.lit(None), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("10.1/"), "doc_id")), F.concat(F.lit("https://example.org/"), "doc_id")).alias("link"))
+)
+query("f84_confidence_of_distance", "SELECT event_id, CAST(CASE WHEN value < 10 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM events")(
+    lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", L.confidence_of_distance(F.col("value")).alias("confidence"))
+)
+query("f77_metadata", "SELECT c_custkey, coalesce(c_mktsegment, 'Unknown') AS subject, substring('2021-05-06', 1, 4) AS year FROM customer")(
+    lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", L.known(F.col("c_mktsegment")).alias("subject"), L.year_of_date(F.lit("2021-05-06")).alias("year"))
+)

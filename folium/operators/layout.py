@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
-from folium.plans.registry import query, shared_sql
+from folium.operators import lookups as L
+from folium.plans.registry import query
 from folium.session import table
 
 
@@ -190,7 +191,7 @@ def uncovered(texts: DataFrame, areas: DataFrame, limit: float = 0.7) -> DataFra
 def heading_score(text: Column, size: Column, body_size: Column, bold: Column, isolated: Column) -> Column:
     """Weighted rules: size .25, style .10, number .35, case .10, shortness .10, isolation .10; each 0 to 100."""
     words = F.size(F.split(F.trim(text), r"\s+"))
-    by_size = F.when(size >= body_size * 1.2, 100).when(size >= body_size * 1.05, 60).when(size < body_size * 0.95, 0).otherwise(20)
+    by_size = L.font_size_score(size, body_size)
     numbered = F.when(text.rlike(r"^(\d+(\.\d+)*\.?|[A-Z]\.|[IVX]+\.)\s+\S"), 100).when(text.rlike(r"(?i)^(abstract|introduction|conclusion|references)"), 100).otherwise(0)
     cased = F.when((words <= 8) & ((F.upper(text) == text) | (F.initcap(text) == text)), 100).otherwise(0)
     short = F.when((words > 15) | (F.length(text) > 100), 0).when(words <= 8, 100).otherwise(50)
@@ -271,6 +272,11 @@ _LINES = "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, l_orderkey * 10
 _DUCK = _LINES.replace("{lineitem}", "lineitem")
 
 
+def _paged(spark, sf_dir) -> DataFrame:
+    """Line items of ten orders to a page."""
+    return table(spark, sf_dir, "lineitem").withColumn("page", F.floor(F.col("l_orderkey") / 10))
+
+
 def _lines(spark, sf_dir) -> DataFrame:
     return spark.sql(_LINES, lineitem=table(spark, sf_dir, "lineitem"))
 
@@ -314,15 +320,27 @@ query("a23_two_columns", f"""{_CLUSTERS}, r AS (SELECT *, row_number() OVER (PAR
 SELECT page, coalesce(max(n / lines) FILTER (r = 2) > 0.1 AND abs(max(anchor) FILTER (r = 1) - max(anchor) FILTER (r = 2)) > 15, false) AS two_columns, (max(anchor) FILTER (r = 1) + max(anchor) FILTER (r = 2)) / 2 AS middle FROM r GROUP BY page""")(
     lambda spark, sf_dir: two_columns(_indented(spark, sf_dir), "page", "x", 50.0)
 )
-shared_sql("a37_column_assignment", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 25 THEN 1 ELSE 2 END AS col FROM {lineitem}")
+query("a37_column_assignment", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 25 THEN 1 ELSE 2 END AS col FROM lineitem")(
+    lambda spark, sf_dir: table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", L.side_of(F.col("l_quantity"), 25).alias("col"))
+)
 query("a28_font_distribution", f"WITH l AS ({_DUCK}), c AS (SELECT font, count(*) AS n FROM l GROUP BY font) SELECT font, n, round(n / sum(n) OVER (), 6)::DOUBLE AS share FROM c QUALIFY n >= 3 AND n / sum(n) OVER () BETWEEN 0.1 AND 0.8")(
     lambda spark, sf_dir: _lines(spark, sf_dir).groupBy("font").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6)).where("n >= 3 and share between 0.1 and 0.8")
 )
-shared_sql("a22_adaptive_thresholds", "SELECT page, CAST(round(greatest(10 * h, 0.12 * 800, 60)) AS BIGINT) AS dy FROM (SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, avg(l_quantity) AS h FROM {lineitem} GROUP BY 1) q")
-shared_sql("a21_text_metrics", "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, round(greatest(8, avg(CASE WHEN l_quantity > 0 AND l_quantity < 100 THEN l_quantity END)), 6) AS height FROM {lineitem} GROUP BY 1")
-shared_sql("a32_line_boxes", "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, l_linenumber AS y0, min(l_quantity) AS x0, max(l_quantity + l_discount) AS x1 FROM {lineitem} GROUP BY 1, 2")
-shared_sql("a12_sections_of_chunks", "SELECT coalesce(source, 'none') AS title, min(doc_id) AS first, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS n FROM {documents} GROUP BY 1")
-shared_sql("o10_reading_order", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_orderkey, l_quantity, l_linenumber) AS BIGINT) AS n FROM {lineitem}")
+query("a22_adaptive_thresholds", "SELECT page, CAST(round(greatest(10 * h, 0.12 * 800, 60)) AS BIGINT) AS dy FROM (SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, avg(l_quantity) AS h FROM lineitem GROUP BY 1) q")(
+    lambda spark, sf_dir: _paged(spark, sf_dir).groupBy("page").agg(L.vertical_threshold(F.avg("l_quantity"), 800.0).alias("dy"))
+)
+query("a21_text_metrics", "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, round(greatest(8, avg(CASE WHEN l_quantity > 0 AND l_quantity < 100 THEN l_quantity END)), 6) AS height FROM lineitem GROUP BY 1")(
+    lambda spark, sf_dir: _paged(spark, sf_dir).groupBy("page").agg(F.round(L.line_height(F.col("l_quantity")), 6).alias("height"))
+)
+query("a32_line_boxes", "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, l_linenumber AS y0, min(l_quantity) AS x0, max(l_quantity + l_discount) AS x1 FROM lineitem GROUP BY 1, 2")(
+    lambda spark, sf_dir: union_of_boxes(_paged(spark, sf_dir).select("page", F.col("l_linenumber").alias("y0"), F.col("l_linenumber").alias("y1"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + F.col("l_discount")).alias("x1")), ["page"]).drop("y1")
+)
+query("a12_sections_of_chunks", "SELECT coalesce(source, 'none') AS title, min(doc_id) AS first, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS n FROM documents GROUP BY 1")(
+    lambda spark, sf_dir: L.sections_of_chunks(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+)
+query("o10_reading_order", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_orderkey, l_quantity, l_linenumber) AS BIGINT) AS n FROM lineitem")(
+    lambda spark, sf_dir: L.numbered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_linenumber"), ["l_orderkey", "l_quantity", "l_linenumber"]).select("l_orderkey", "l_linenumber", "n")
+)
 query("p18_uncovered_texts", """WITH t AS (SELECT doc_id AS id, CAST(floor(doc_id / 50) AS BIGINT) AS page, (doc_id * 7 % 80)::DOUBLE AS x0, (doc_id * 13 % 80)::DOUBLE AS y0, (doc_id * 7 % 80 + 10)::DOUBLE AS x1, (doc_id * 13 % 80 + 5)::DOUBLE AS y1 FROM documents),
 a AS (SELECT CAST(floor(page_id / 50) AS BIGINT) AS page, (page_id * 11 % 60)::DOUBLE AS ax0, (page_id * 17 % 60)::DOUBLE AS ay0, (page_id * 11 % 60 + 40)::DOUBLE AS ax1, (page_id * 17 % 60 + 40)::DOUBLE AS ay1 FROM pages)
 SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page = t.page AND greatest(0, least(x1, ax1) - greatest(x0, ax0)) * greatest(0, least(y1, ay1) - greatest(y0, ay0)) / 50 > 0.7)""")(

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
-from folium.plans.registry import query, shared_sql
+from folium.operators import lookups as L
+from folium.plans.registry import query
 from folium.session import table
 
 # ---------------------------------------------------------------- mutations
@@ -256,7 +257,9 @@ def k32(spark, sf_dir):
     return track_retrieval(e, "user_id", "event_id", "found", ["event_type"])
 
 
-shared_sql("k33_retention", "SELECT o_orderkey FROM {orders} WHERE o_orderdate >= (SELECT max(o_orderdate) FROM {orders}) - INTERVAL 30 DAYS")
+query("k33_retention", "SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAYS")(
+    lambda spark, sf_dir: keep_since(table(spark, sf_dir, "orders"), "o_orderdate", 30, table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).scalar()).select("o_orderkey")
+)
 
 
 @query("k42_insert_absent", "SELECT c_custkey, c_name FROM customer")
@@ -272,45 +275,85 @@ def k48(spark, sf_dir):
 
 # ---------------------------------------------------------------- queries: lookups, predicates, joins
 
-shared_sql("p01_documents_of_owner", "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_custkey = 7 AND o_orderkey IN (SELECT l_orderkey FROM {lineitem} WHERE l_linenumber = 1)")
+query("p01_documents_of_owner", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = 7 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")(
+    lambda spark, sf_dir: L.matching(table(spark, sf_dir, "orders").where("o_custkey = 7"), table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))).select("o_orderkey", "o_orderdate")
+)
 query("p02_title_regex", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)RED|blue')")(lambda spark, sf_dir: search_any(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "RED|blue", ["p_name"]))
 query("p03_any_field_regex", "SELECT o_custkey FROM (SELECT o_custkey, list(o_orderpriority) AS p, min(o_orderstatus) AS s FROM orders GROUP BY o_custkey) WHERE regexp_matches(s, '(?i)f') OR len(list_filter(p, lambda x: regexp_matches(x, '(?i)urgent'))) > 0")(
     lambda spark, sf_dir: search_any(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"), F.min("o_orderstatus").alias("s")), "urgent", [], ["p"]).select("o_custkey").union(
         search_any(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderstatus").alias("s")), "f", ["s"]).select("o_custkey")).distinct()
 )
-shared_sql("p04_by_two_keys", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} WHERE l_orderkey = (SELECT max(l_orderkey) FROM {lineitem} WHERE l_linenumber = 2) AND l_linenumber = 2")
-shared_sql("p05_by_year_text", "SELECT o_orderkey FROM {orders} WHERE CAST(year(o_orderdate) AS STRING) = '1995'")
-shared_sql("p06_latest_of_document", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM {orders}) q WHERE r = 1 AND lower(o_orderstatus) NOT IN ('none', 'null')")
+query("p04_by_two_keys", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem WHERE l_linenumber = 2) AND l_linenumber = 2")(
+    lambda spark, sf_dir: L.matching(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "lineitem").where("l_linenumber = 2").agg(F.max("l_orderkey").alias("l_orderkey"), F.max("l_linenumber").alias("l_linenumber"))).select("l_orderkey", "l_linenumber", "l_quantity")
+)
+query("p05_by_year_text", "SELECT o_orderkey FROM orders WHERE CAST(year(o_orderdate) AS STRING) = '1995'")(
+    lambda spark, sf_dir: L.of_year(table(spark, sf_dir, "orders"), "o_orderdate", "1995").select("o_orderkey")
+)
+query("p06_latest_of_document", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) q WHERE r = 1 AND lower(o_orderstatus) NOT IN ('none', 'null')")(
+    lambda spark, sf_dir: L.latest_sessions(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus").select("o_orderkey", "o_custkey")
+)
 query("p07_document_name", "SELECT p_partkey FROM part WHERE starts_with(lower(p_name), 'b') OR contains(lower(p_name), 'red')")(
     lambda spark, sf_dir: table(spark, sf_dir, "part").where(name_matches(F.concat("p_name", F.lit(".PDF")), F.lit("b.pdf")) | name_matches(F.col("p_name"), F.lit(" RED.pdf"))).select("p_partkey")
 )
-shared_sql("p08_key_cascade", "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN CAST(p_partkey AS STRING) = '17' THEN 0 WHEN p_name = '17' THEN 1 WHEN lower(p_name) LIKE '%17%' THEN 2 ELSE 3 END, p_partkey) AS r FROM {part}) q WHERE r = 1")
+query("p08_key_cascade", "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN CAST(p_partkey AS STRING) = '17' THEN 0 WHEN p_name = '17' THEN 1 WHEN lower(p_name) LIKE '%17%' THEN 2 ELSE 3 END, p_partkey) AS r FROM part) q WHERE r = 1")(
+    lambda spark, sf_dir: L.first_by_rank(table(spark, sf_dir, "part"), L.key_tests(F.col("p_partkey"), F.col("p_name"), F.col("p_name"), "17"), ["p_partkey"]).select("p_partkey")
+)
 query("p09_canonical_key", "SELECT c_custkey, regexp_replace(coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_mktsegment || '.PDF' END), ''), c_name), '(?i)\\.pdf$', '') AS k FROM customer")(
     lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", T.document_key(F.coalesce(F.nullif(F.trim(F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(F.concat("c_mktsegment", F.lit(".PDF")))), F.lit("")), F.col("c_name"))).alias("k"))
 )
 query("p10_sentinels", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS v FROM customer")(
     lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", T.blank_to_null(F.when(F.col("c_custkey") % 3 == 0, F.when(F.col("c_custkey") % 2 == 0, " None ").otherwise("")).otherwise(F.col("c_name"))).alias("v"))
 )
-shared_sql("p11_document_response", "SELECT c_custkey AS id, coalesce(c_name, 'Unknown') AS title, concat('/documents/', c_custkey, '/file') AS url FROM {customer}")
+query("p11_document_response", "SELECT c_custkey AS id, coalesce(c_name, 'Unknown') AS title, concat('/documents/', c_custkey, '/file') AS url FROM customer")(
+    lambda spark, sf_dir: L.document_response(table(spark, sf_dir, "customer"), "c_custkey", "c_name")
+)
 query("p14_nested_drop", "SELECT c_custkey, c_name AS caption FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 2 <> 0")(
     lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", F.array(F.struct(F.col("c_name").alias("caption"), F.lit("p").alias("local_path"), F.lit("d").alias("data"))).alias("images")).select(
         "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.transform("images", lambda i: i.dropFields("local_path", "data"))).alias("images")
     ).select("c_custkey", F.try_element_at("images", F.lit(1))["caption"].alias("caption"))
 )
-shared_sql("p22_ordered_dedupe", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, round(l_quantity / 10), l_returnflag ORDER BY l_linenumber) AS r FROM {lineitem}) q WHERE r = 1")
-shared_sql("p23_retry_filter", "SELECT event_id FROM {events} WHERE NOT value > 50 AND event_id % 5 < 3")
-shared_sql("p24_recent_view", "SELECT o_orderkey FROM (SELECT o_orderkey FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) q")
-shared_sql("p25_contains_search", "SELECT p_partkey FROM {part} WHERE lower(p_name) LIKE '%re%' OR lower(p_type) LIKE '%steel%' OR CAST(p_size AS STRING) LIKE '%7%'")
-shared_sql("p27_search_sorted", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size, p_partkey) AS BIGINT) AS n FROM {part} WHERE lower(p_name) LIKE '%a%'")
-shared_sql("p30_annotations_of_user", "SELECT event_id, value FROM {events} WHERE user_id = 3 AND event_type = (SELECT min(event_type) FROM {events})")
-shared_sql("p31_without_system", "SELECT conv_id, turn, role, text FROM {conversations} WHERE role <> 'system'")
-shared_sql("p32_history_filter", "SELECT conv_id, turn FROM {conversations} c WHERE role <> 'system' AND NOT (role = 'user' AND trim(text) = (SELECT min(trim(text)) FROM {conversations} WHERE role = 'user'))")
-shared_sql("p33_by_key", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey = 42")
-shared_sql("p36_by_key_and_owner", "SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey = (SELECT min(o_orderkey) FROM {orders}) AND o_custkey = (SELECT min_by(o_custkey, o_orderkey) FROM {orders})")
-shared_sql("p38_exists", "SELECT c_custkey, EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey) AS has_orders FROM {customer}")
-shared_sql("p44_chunks_of_document", "SELECT doc_id, source FROM (SELECT doc_id, source FROM {documents} WHERE source = 'src1' ORDER BY doc_id LIMIT 20) q")
-shared_sql("p48_on_page", "SELECT page_id, url FROM {pages} WHERE page_id % 7 = 2")
-shared_sql("p50_get_or_compute", "SELECT doc_id, quality AS v, 'saved' AS origin FROM {labels} UNION ALL SELECT d.doc_id, CAST(length(text) % 2 AS INT), 'computed' FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id".replace("LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id", "WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)"))
+query("p22_ordered_dedupe", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, round(l_quantity / 10), l_returnflag ORDER BY l_linenumber) AS r FROM lineitem) q WHERE r = 1")(
+    lambda spark, sf_dir: L.best_per_group(table(spark, sf_dir, "lineitem"), ["l_orderkey", F.round(F.col("l_quantity") / 10), "l_returnflag"], ["l_linenumber"]).select("l_orderkey", "l_linenumber")
+)
+query("p23_retry_filter", "SELECT event_id FROM events WHERE NOT value > 50 AND event_id % 5 < 3")(
+    lambda spark, sf_dir: L.to_retry(table(spark, sf_dir, "events"), F.col("value") > 50, F.col("event_id") % 5).select("event_id")
+)
+query("p24_recent_view", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) q")(
+    lambda spark, sf_dir: L.first_rows(table(spark, sf_dir, "orders"), [F.desc("o_orderdate"), "o_orderkey"], 50).select("o_orderkey")
+)
+query("p25_contains_search", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%re%' OR lower(p_type) LIKE '%steel%' OR CAST(p_size AS STRING) LIKE '%7%'")(
+    lambda spark, sf_dir: L.containing(table(spark, sf_dir, "part"), {"p_name": "re", "p_type": "steel", "p_size": "7"}).select("p_partkey")
+)
+query("p27_search_sorted", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size, p_partkey) AS BIGINT) AS n FROM part WHERE lower(p_name) LIKE '%a%'")(
+    lambda spark, sf_dir: L.numbered(L.containing(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), {"p_name": "a"}), ["p_size", "p_partkey"]).select("p_partkey", "n")
+)
+query("p30_annotations_of_user", "SELECT event_id, value FROM events WHERE user_id = 3 AND event_type = (SELECT min(event_type) FROM events)")(
+    lambda spark, sf_dir: L.matching(table(spark, sf_dir, "events").where("user_id = 3"), table(spark, sf_dir, "events").agg(F.min("event_type").alias("event_type"))).select("event_id", "value")
+)
+query("p31_without_system", "SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'")(
+    lambda spark, sf_dir: L.history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
+)
+query("p32_history_filter", "SELECT conv_id, turn FROM conversations c WHERE role <> 'system' AND NOT (role = 'user' AND trim(text) = (SELECT min(trim(text)) FROM conversations WHERE role = 'user'))")(
+    lambda spark, sf_dir: L.history(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "conversations").where("role = 'user'").agg(F.min(F.trim("text"))).scalar()).select("conv_id", "turn")
+)
+query("p33_by_key", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")(
+    lambda spark, sf_dir: table(spark, sf_dir, "customer").where("c_custkey = 42").select("c_custkey", "c_name")
+)
+query("p36_by_key_and_owner", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders) AND o_custkey = (SELECT min_by(o_custkey, o_orderkey) FROM orders)")(
+    lambda spark, sf_dir: L.matching(table(spark, sf_dir, "orders"), table(spark, sf_dir, "orders").agg(F.min("o_orderkey").alias("o_orderkey"), F.min_by("o_custkey", "o_orderkey").alias("o_custkey"))).select("o_orderkey", "o_custkey", "o_totalprice")
+)
+query("p38_exists", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer")(
+    lambda spark, sf_dir: L.with_exists(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "has_orders")
+)
+query("p44_chunks_of_document", "SELECT doc_id, source FROM (SELECT doc_id, source FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 20) q")(
+    lambda spark, sf_dir: L.first_rows(table(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", "source"), ["doc_id"], 20)
+)
+query("p48_on_page", "SELECT page_id, url FROM pages WHERE page_id % 7 = 2")(
+    lambda spark, sf_dir: table(spark, sf_dir, "pages").where("page_id % 7 = 2").select("page_id", "url")
+)
+query("p50_get_or_compute", "SELECT doc_id, quality AS v, 'saved' AS origin FROM labels UNION ALL SELECT d.doc_id, CAST(length(text) % 2 AS INT), 'computed' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")(
+    lambda spark, sf_dir: L.get_or_compute(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "quality", (F.length("text") % 2).cast("int"))
+)
 
 
 @query("j09_membership_join", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 3 = 0")
@@ -319,7 +362,9 @@ def j09(spark, sf_dir):
     return members.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-shared_sql("j10_owned", "SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_nationkey = 3)")
+query("j10_owned", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")(
+    lambda spark, sf_dir: L.matching(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))).select("o_orderkey")
+)
 
 
 @query("j11_nested_sessions", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
@@ -342,23 +387,57 @@ def w10(spark, sf_dir):
     return recent.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("position"))
 
 
-shared_sql("j02_two_key_fallback", "SELECT d.doc_id, coalesce(a.quality, b.toxic, -1) AS v FROM {documents} d LEFT JOIN {labels} a ON a.doc_id = d.doc_id LEFT JOIN {labels} b ON b.doc_id = d.doc_id + 1")
-shared_sql("j22_seen_by_either_key", "SELECT c.c_custkey, coalesce(a.o_orderkey, b.o_orderkey) AS seen FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey) a ON a.o_custkey = c.c_custkey LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM {orders} GROUP BY o_custkey) b ON b.o_custkey = c.c_custkey + 1")
-shared_sql("j23_zip_by_ordinal", "SELECT d.doc_id, e.vec_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM {documents}) d JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM {embeddings}) e ON d.n = e.n")
-shared_sql("j14_previous_citations", "SELECT c.conv_id, c.turn, CAST(coalesce(CASE WHEN c.turn % 3 = 0 THEN length(p.text) END, length(c.text)) AS BIGINT) AS n FROM {conversations} c LEFT JOIN {conversations} p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
-
-shared_sql("a01_count_per_document", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey")
-shared_sql("a02_stored_or_counted", "SELECT c_custkey, CASE WHEN c_custkey % 4 > 2 THEN c_custkey % 4 ELSE coalesce(n, 0) END AS n FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey")
-shared_sql("a08_reference_stats", "SELECT count(*) AS total, count(CASE WHEN value > 50 THEN 1 END) AS with_abstract, count(CASE WHEN NOT value > 50 THEN 1 END) AS without_abstract, count(CASE WHEN props IS NULL THEN 1 END) AS failed FROM {events}")
-shared_sql("a09_label_counts", "SELECT count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks, count(CASE WHEN event_type = 'view' THEN 1 END) AS views, count(*) AS n FROM {events}")
-shared_sql("a10_largest_groups", "SELECT source, n FROM (SELECT source, count(*) AS n FROM {documents} GROUP BY source ORDER BY n DESC, source LIMIT 5) q")
-shared_sql("a15_grand_total", "SELECT CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM {documents} GROUP BY source) q")
-shared_sql("a31_newest", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM {orders}) q WHERE r = 1")
-shared_sql("a34_embedding_stats", "SELECT count(*) AS total, count(CASE WHEN vec_id IS NULL THEN 1 END) AS unembedded FROM {documents} LEFT JOIN {embeddings} ON vec_id = doc_id")
-shared_sql("o04_paging", "SELECT o_orderkey FROM (SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 100 OFFSET 200) q")
-shared_sql("o05_newest_first", "SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 20) q")
-shared_sql("o11_first_of_either", "SELECT c_custkey FROM (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 5 ORDER BY c_custkey LIMIT 1) q")
-shared_sql("u07_union_of_stores", "SELECT doc_id AS id, lang, CAST(NULL AS STRING) AS url FROM {documents} UNION ALL SELECT page_id, CAST(NULL AS STRING), url FROM {pages}")
-shared_sql("u09_ego_graph", """SELECT id, role FROM (SELECT id, role, row_number() OVER (PARTITION BY id ORDER BY rank, id) AS r FROM (
-  SELECT 5 AS id, 'central' AS role, 0 AS rank FROM (SELECT min(n_nationkey) AS x FROM {nation}) z UNION ALL SELECT n_nationkey, 'sibling', 1 FROM {nation} WHERE n_regionkey = (SELECT n_regionkey FROM {nation} WHERE n_nationkey = 5)
-  UNION ALL SELECT n_nationkey, 'descendant', 2 FROM {nation} WHERE n_nationkey > 10) q) w WHERE r = 1""")
+query("j02_two_key_fallback", "SELECT d.doc_id, coalesce(a.quality, b.toxic, -1) AS v FROM documents d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id + 1")(
+    lambda spark, sf_dir: L.look_up_first(table(spark, sf_dir, "documents").select("doc_id"), [(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "key"), F.col("doc_id"), "quality"), (table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "key"), F.col("doc_id") + 1, "toxic")], "v", F.lit(-1))
+)
+query("j22_seen_by_either_key", "SELECT c.c_custkey, coalesce(a.o_orderkey, b.o_orderkey) AS seen FROM customer c LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) a ON a.o_custkey = c.c_custkey LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey) b ON b.o_custkey = c.c_custkey + 1")(
+    lambda spark, sf_dir: L.look_up_first(table(spark, sf_dir, "customer").select("c_custkey"), [(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderkey").alias("seen")), F.col("c_custkey"), "seen"), (table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderkey").alias("seen")), F.col("c_custkey") + 1, "seen")], "seen")
+)
+query("j23_zip_by_ordinal", "SELECT d.doc_id, e.vec_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) d JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings) e ON d.n = e.n")(
+    lambda spark, sf_dir: L.numbered(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"]).join(L.numbered(table(spark, sf_dir, "embeddings").select("vec_id"), ["vec_id"]), "n").select("doc_id", "vec_id")
+)
+query("j14_previous_citations", "SELECT c.conv_id, c.turn, CAST(coalesce(CASE WHEN c.turn % 3 = 0 THEN length(p.text) END, length(c.text)) AS BIGINT) AS n FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")(
+    lambda spark, sf_dir: L.with_previous(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("own")), "conv_id", "turn", "own", F.col("turn") % 3 == 0, "n").select("conv_id", "turn", "n")
+)
+
+query("a01_count_per_document", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")(
+    lambda spark, sf_dir: L.counts_per(table(spark, sf_dir, "orders"), "o_custkey")
+)
+query("a02_stored_or_counted", "SELECT c_custkey, CASE WHEN c_custkey % 4 > 2 THEN c_custkey % 4 ELSE coalesce(n, 0) END AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")(
+    lambda spark, sf_dir: L.look_up_first(table(spark, sf_dir, "customer").select("c_custkey"), [(L.counts_per(table(spark, sf_dir, "orders"), "o_custkey").withColumnRenamed("o_custkey", "key"), F.col("c_custkey"), "n")], "n", F.lit(0), F.when(F.col("c_custkey") % 4 > 2, F.col("c_custkey") % 4))
+)
+query("a08_reference_stats", "SELECT count(*) AS total, count(CASE WHEN value > 50 THEN 1 END) AS with_abstract, count(CASE WHEN NOT value > 50 THEN 1 END) AS without_abstract, count(CASE WHEN props IS NULL THEN 1 END) AS failed FROM events")(
+    lambda spark, sf_dir: L.count_where(table(spark, sf_dir, "events"), "total", with_abstract=F.col("value") > 50, without_abstract=~(F.col("value") > 50), failed=F.col("props").isNull())
+)
+query("a09_label_counts", "SELECT count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks, count(CASE WHEN event_type = 'view' THEN 1 END) AS views, count(*) AS n FROM events")(
+    lambda spark, sf_dir: L.count_where(table(spark, sf_dir, "events"), "n", clicks=F.col("event_type") == "click", views=F.col("event_type") == "view")
+)
+query("a10_largest_groups", "SELECT source, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5) q")(
+    lambda spark, sf_dir: L.largest_groups(table(spark, sf_dir, "documents"), "source", 5)
+)
+query("a15_grand_total", "SELECT CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM documents GROUP BY source) q")(
+    lambda spark, sf_dir: L.counts_per(table(spark, sf_dir, "documents"), "source").agg(F.sum("n").alias("total"))
+)
+query("a31_newest", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) q WHERE r = 1")(
+    lambda spark, sf_dir: L.best_per_group(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), "o_orderkey"]).select("o_custkey", "o_orderkey")
+)
+query("a34_embedding_stats", "SELECT count(*) AS total, count(CASE WHEN vec_id IS NULL THEN 1 END) AS unembedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id")(
+    lambda spark, sf_dir: L.count_where(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("doc_id"), "left"), "total", unembedded=F.col("vec_id").isNull())
+)
+query("o04_paging", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200) q")(
+    lambda spark, sf_dir: L.first_rows(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 100, 200)
+)
+query("o05_newest_first", "SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20) q")(
+    lambda spark, sf_dir: L.first_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 20)
+)
+query("o11_first_of_either", "SELECT c_custkey FROM (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 5 ORDER BY c_custkey LIMIT 1) q")(
+    lambda spark, sf_dir: L.first_rows(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' or c_nationkey = 5"), ["c_custkey"], 1).select("c_custkey")
+)
+query("u07_union_of_stores", "SELECT doc_id AS id, lang, CAST(NULL AS STRING) AS url FROM documents UNION ALL SELECT page_id, CAST(NULL AS STRING), url FROM pages")(
+    lambda spark, sf_dir: L.union_of_stores(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
+)
+query("u09_ego_graph", """SELECT id, role FROM (SELECT id, role, row_number() OVER (PARTITION BY id ORDER BY rank, id) AS r FROM (
+  SELECT 5 AS id, 'central' AS role, 0 AS rank FROM (SELECT min(n_nationkey) AS x FROM nation) z UNION ALL SELECT n_nationkey, 'sibling', 1 FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 5)
+  UNION ALL SELECT n_nationkey, 'descendant', 2 FROM nation WHERE n_nationkey > 10) q) w WHERE r = 1""")(
+    lambda spark, sf_dir: L.roles_of_nodes("n_nationkey", central=table(spark, sf_dir, "nation").where("n_nationkey = 5"), sibling=L.matching(table(spark, sf_dir, "nation"), table(spark, sf_dir, "nation").where("n_nationkey = 5").select("n_regionkey")), descendant=table(spark, sf_dir, "nation").where("n_nationkey > 10"))
+)

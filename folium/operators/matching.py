@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from folium.functions import text as T
+from folium.operators import lookups as L
 from folium.operators.retrieval import cosine, hashing_embedder
-from folium.plans.registry import query, shared_sql
+from folium.plans.registry import query
 from folium.session import table
 
 # ---------------------------------------------------------------- fuzzy text
@@ -145,15 +146,33 @@ query("u03_image_scores", """WITH q AS (SELECT list_distinct(['steel', 'red', 'b
 SELECT p_partkey, (2 * len(list_intersect(q, c)) + len(list_intersect(q, x)))::INT AS score FROM t, q WHERE 2 * len(list_intersect(q, c)) + len(list_intersect(q, x)) >= 1""")(
     lambda spark, sf_dir: image_scores(table(spark, sf_dir, "part").selectExpr("p_partkey", "p_type caption", "p_name text"), F.lit("the steel red, brand")).select("p_partkey", "score")
 )
-shared_sql("a11_groups_by_label", "SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS BIGINT) AS n, event_id FROM {events}")
-shared_sql("a30_largest_per_group", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM {lineitem}) q WHERE r = 1")
+query("a11_groups_by_label", "SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS BIGINT) AS n, event_id FROM events")(
+    lambda spark, sf_dir: L.ranked_in_groups(table(spark, sf_dir, "events"), "event_type", [F.desc("value"), "event_id"]).select("event_type", "n", "event_id")
+)
+query("a30_largest_per_group", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) q WHERE r = 1")(
+    lambda spark, sf_dir: L.best_per_group(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), "l_linenumber"]).select("l_orderkey", "l_linenumber")
+)
 query("a33_fingerprint", "SELECT o_custkey, md5(string_agg(o_orderpriority || ':' || o_orderkey, '' ORDER BY o_orderpriority, o_orderkey)) AS hash FROM orders GROUP BY o_custkey")(
     lambda spark, sf_dir: table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderpriority", "o_orderkey"))), lambda x: F.concat(x["o_orderpriority"], F.lit(":"), x["o_orderkey"].cast("string"))), "")).alias("hash"))
 )
-shared_sql("o06_chunk_order", "SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) AS BIGINT) AS n FROM {documents}")
-shared_sql("o08_rerank", "SELECT vec_id, label FROM (SELECT vec_id, label FROM {embeddings} ORDER BY label DESC, vec_id LIMIT 10) q")
-shared_sql("f80_rect_to_viewport", "SELECT event_id, round(value * 1.5, 6) AS x, round(792 - value * 1.5, 6) AS y FROM {events}")
-shared_sql("f86_box_to_pixels", "SELECT l_orderkey, l_linenumber, round(l_discount * 612, 4) AS px, round(l_tax * 792, 4) AS py FROM {lineitem}")
-shared_sql("f61_short_line", "SELECT p_partkey, CASE WHEN length(p_name) > 100 THEN 0 WHEN length(p_name) - length(replace(p_name, ' ', '')) + 1 <= 2 THEN 100 ELSE 50 END AS score FROM {part}")
-shared_sql("f58_font_size_rule", "SELECT p_partkey, CASE WHEN p_size >= 24 THEN 100 WHEN p_size >= 21 THEN 60 WHEN p_size < 19 THEN 0 ELSE 20 END AS score FROM {part}")
-shared_sql("j12_session_list", "SELECT o_custkey, count(*) AS n, max(o_orderdate) AS updated FROM {orders} GROUP BY o_custkey")
+query("o06_chunk_order", "SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) AS BIGINT) AS n FROM documents")(
+    lambda spark, sf_dir: L.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"]).select("doc_id", "n")
+)
+query("o08_rerank", "SELECT vec_id, label FROM (SELECT vec_id, label FROM embeddings ORDER BY label DESC, vec_id LIMIT 10) q")(
+    lambda spark, sf_dir: L.first_rows(table(spark, sf_dir, "embeddings").select("vec_id", "label"), [F.desc("label"), "vec_id"], 10)
+)
+query("f80_rect_to_viewport", "SELECT event_id, round(value * 1.5, 6) AS x, round(792 - value * 1.5, 6) AS y FROM events")(
+    lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", *[F.round(v, 6).alias(n) for n, v in zip("xy", L.rect_to_viewport(F.col("value"), F.col("value"), 1.5, 792.0))])
+)
+query("f86_box_to_pixels", "SELECT l_orderkey, l_linenumber, round(l_discount * 612, 4) AS px, round(l_tax * 792, 4) AS py FROM lineitem")(
+    lambda spark, sf_dir: table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[v.alias(n) for n, v in zip(("px", "py"), L.box_to_pixels(F.col("l_discount"), F.col("l_tax"), 612.0, 792.0))])
+)
+query("f61_short_line", "SELECT p_partkey, CASE WHEN length(p_name) > 100 THEN 0 WHEN length(p_name) - length(replace(p_name, ' ', '')) + 1 <= 2 THEN 100 ELSE 50 END AS score FROM part")(
+    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", L.shortness_score(F.col("p_name"), 2).alias("score"))
+)
+query("f58_font_size_rule", "SELECT p_partkey, CASE WHEN p_size >= 24 THEN 100 WHEN p_size >= 21 THEN 60 WHEN p_size < 19 THEN 0 ELSE 20 END AS score FROM part")(
+    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", L.font_size_score(F.col("p_size"), F.lit(20)).alias("score"))
+)
+query("j12_session_list", "SELECT o_custkey, count(*) AS n, max(o_orderdate) AS updated FROM orders GROUP BY o_custkey")(
+    lambda spark, sf_dir: L.session_list(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
+)

@@ -22,17 +22,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
         return build
 
     return register
-
-
-def shared_sql(name: str, sql: str) -> None:
-    """Registers a query whose text Spark and the oracle both run; {table} stands for a table."""
-    import re
-
-    from folium.session import table
-
-    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-
-    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
-
-    query(name, re.sub(r"\{(\w+)\}", r"\1", sql))(build)
