@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.session import ship_package, table
+from folium.session import shared_folder, ship_package, table
 
 __all__ = ["WORD", "Scratch", "add_columns", "by_ids", "columns_of", "components", "fresh", "int_array", "map_groups", "number_array", "plainly_named", "shared_folder", "table", "utf8", "words_of"]
 
@@ -21,19 +20,6 @@ __all__ = ["WORD", "Scratch", "add_columns", "by_ids", "columns_of", "components
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        set_dir = spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        set_dir = "file://" + tempfile.mkdtemp(prefix="folium-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
-
-
 class Scratch:
     """Tables written once to the shared folder, so that lineage ends there and a lost executor costs no rework.
 
