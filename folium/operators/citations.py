@@ -156,6 +156,61 @@ def citation_summary(citations: DataFrame, low: float = 0.5, low_inclusive: bool
     )
 
 
+# How a reference starts, tried in this order, and the headings that close a list of references.
+REFERENCE_STARTS = [
+    ("numbered", r"^\s*\[(\d+)\]"),
+    ("author-year", r"^\s*[A-Z][a-z]+,\s*[A-Z]\..*?\(\d{4}\)"),
+    ("author-year", r"^\s*[A-Z][a-z]+\s+et\s+al\..*?\(\d{4}\)"),
+    ("doi", r"(?i)^\s*(?:doi:|DOI:|\[doi\])"),
+    ("url", r"(?i)^\s*(?:https?:|www\.)"),
+    ("arxiv", r"(?i)^\s*arXiv:"),
+    ("numbered-dot", r"^\s*(\d+)\.\s+"),
+]
+CLOSING_HEADING = r"(?i)^\s*(Appendix|Index|Acknowledgments|Figures|Tables)\s"
+NO_TEXT = "(no text found)"
+
+
+def reference_walk(targets: DataFrame, lines: DataFrame, dx: float = 25.0, dy: float = 60.0, longest: int = 1000) -> DataFrame:
+    """The reference that each target (id, page, x, y) points at, read from lines (page, pos, x, y, text); y grows upwards.
+
+    Lines within dy below the target, and those within dy of the top of the next page, are read from the top if they start within
+    dx of it: from the first that starts a reference to the next start of the same kind (not included) or a closing
+    heading (included). Where none starts one, all of them are taken, in the order of pos, as `proximity` with little confidence; without
+    lines the method is `none`. Only lines of two pages meet a target, and only those of its window are gathered.
+    """
+    text = F.trim("text")
+    kind = F.coalesce(*[F.when(text.rlike(pattern), name) for name, pattern in REFERENCE_STARTS])
+    read = lines.select("page", "pos", F.col("x").alias("lx"), F.col("y").alias("ly"), text.alias("t"), kind.alias("kind"), text.rlike(CLOSING_HEADING).alias("closing"))
+    tops = lines.groupBy("page").agg(F.max("y").alias("top"))
+    here = read.withColumns({"next": F.lit(False), "top": F.lit(None).cast("double")})
+    after = read.join(tops, "page").withColumn("page", F.col("page") - 1).withColumn("next", F.lit(True)).select(*here.columns)
+    met = targets.join(here.unionByName(after), "page").where(F.when(F.col("next"), F.col("ly") >= F.col("top") - dy).otherwise(F.col("ly").between(F.col("y") - dy, F.col("y"))))
+    line = F.struct("next", (-F.col("ly")).alias("down"), "pos", "t", "kind", "closing")
+    aligned = F.abs(F.coalesce("lx", F.lit(0)) - F.col("x")) <= dx
+    walks = met.groupBy("id").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_list(F.when(aligned, line))).alias("all"))
+    walks = walks.withColumn("walk", F.filter("all", lambda l: l["t"] != ""))
+    walks = walks.withColumn("start", F.array_position(F.transform("walk", lambda l: l["kind"].isNotNull()), True))
+    walks = walks.withColumn("of", F.try_element_at("walk", F.nullif(F.col("start").cast("int"), F.lit(0)))["kind"])
+
+    def ends(l: Column, i: Column) -> Column:
+        return (i >= F.col("start")) & (F.col("start") > 0) & F.coalesce(l["kind"] == F.col("of"), l["closing"])
+
+    walks = walks.withColumn("stop", F.array_position(F.transform("walk", ends), True).cast("int"))
+    walks = walks.withColumn("last", F.when(F.col("stop") == 0, F.size("walk")).when(F.try_element_at("walk", F.nullif("stop", F.lit(0)))["kind"].isNull(), F.col("stop")).otherwise(F.col("stop") - 1))
+    in_order = F.array_sort(F.transform("all", lambda l: F.struct(l["pos"].alias("pos"), l["t"].alias("t"))))
+    started = F.transform(F.slice("walk", F.greatest(F.col("start").cast("int"), F.lit(1)), F.greatest(F.col("last") - F.col("start").cast("int") + 1, F.lit(0))), lambda l: l["t"])
+    taken = F.when(F.col("start") > 0, started).otherwise(F.transform(in_order, lambda l: l["t"]))
+    visited = F.when(F.col("stop") == 0, F.col("walk")).otherwise(F.slice("walk", F.lit(1), F.col("stop")))
+    walks = walks.where(F.size("all") > 0).withColumns({"taken": taken, "spans_pages": F.exists(visited, lambda l: l["next"])})
+    joined = F.left(F.trim(F.regexp_replace(F.array_join("taken", " "), r"[\s\u00A0\u2000-\u200B\u2028\u2029]+", " ")), F.lit(longest))
+    found = walks.select(
+        "id", F.when(joined != "", joined).otherwise(NO_TEXT).alias("reference"), F.coalesce("of", F.lit("proximity")).alias("method"), "spans_pages",
+        F.round(F.when(F.col("start") > 0, 0.8).otherwise(0.3) + F.when(F.col("spans_pages"), 0.1).otherwise(0.0), 6).alias("confidence"), F.size("taken").alias("lines_used"),
+    )
+    empty = {"reference": F.lit(NO_TEXT), "method": F.lit("none"), "spans_pages": F.lit(False), "confidence": F.lit(0.0), "lines_used": F.lit(0)}
+    return targets.select("id").join(found, "id", "left").select("id", *[F.coalesce(c, other).alias(c) for c, other in empty.items()])
+
+
 # ---------------------------------------------------------------- queries on derived references
 
 _REFS = r"""SELECT doc_id, CASE doc_id % 4
@@ -401,3 +456,13 @@ query("j25_metadata_fallback", """SELECT c_custkey, coalesce(CASE WHEN length(c_
 FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_custkey) own ON own.o_custkey = c_custkey""")(
     lambda spark, sf_dir: L.look_up_first(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), [(table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("priority")), F.col("c_custkey"), "priority")], "abstract", F.lit("none"), F.when(F.length("c_mktsegment") > 8, F.col("c_mktsegment"))).select("c_custkey", "abstract")
 )
+
+
+@query("w13_reference_walk")
+def w13(spark, sf_dir):
+    """A page per document, its lines 12 apart with every third numbered; each document points at its fourth line."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", r"\n|(?<=[.!?]) ")).alias("pos", "line"))
+    text = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("] "), "line")).otherwise(F.col("line"))
+    lines = docs.select("page", "pos", F.lit(50.0).alias("x"), (700.0 - F.col("pos") * 12).alias("y"), text.alias("text"))
+    targets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("page"), F.lit(52.0).alias("x"), F.lit(664.0).alias("y"))
+    return reference_walk(targets, lines)

@@ -238,10 +238,5 @@ def confidence_of_distance(d: Column) -> Column:
     return F.when(d < 10, 0.9).otherwise(0.5)
 
 
-def yake_relevance(score: Column) -> Column:
-    """Higher is better: 1 - s below 1, 1 / (1 + s) from there on."""
-    return F.round(F.when(score < 1, F.greatest(F.lit(0.0), 1 - score)).otherwise(1 / (1 + score)), 4)
-
-
 def pseudo_count(score: Column) -> Column:
     return F.floor(score * 100 + 0.5)
