@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folium.llm import embeddings, fingerprints, lm, mixing, neardup, packing, pii, sharding, tokencounts, toxicity
+from folium.llm import embeddings, fingerprints, lm, mixing, neardup, negatives, packing, pii, repeats, sharding, spelling, tokencounts, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_token_counts": tokencounts.op9_token_counts,
     "op10_sharding": sharding.op10_sharding,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_repeats": repeats.op13_repeats,
 }
 
 SQL = {
     "op1_embeddings": embeddings.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op8_pii": pii.OP8_SQL,
+    "op11_negatives": negatives.OP11_SQL,
+    "op13_repeats": repeats.OP13_SQL,
 }

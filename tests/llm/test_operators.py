@@ -24,6 +24,8 @@ def docs(spark, odd_docs):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_tables(name, spark, odd_docs):
+    if name in ("op11_negatives", "op12_spelling"):  # rows of pairs and words: test_negatives, test_spelling
+        return
     source = "embeddings" if name.startswith("op1_") else "documents"
     n = spark.read.parquet(f"{odd_docs}/{source}.parquet").count()
     got = QUERIES[name](spark, odd_docs).toPandas()
@@ -35,7 +37,7 @@ def test_empty_tables(name, spark, empty_docs):
     assert QUERIES[name](spark, empty_docs).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - {"op1_embeddings"}))
+@pytest.mark.parametrize("name", sorted(set(SQL) - {"op1_embeddings", "op11_negatives"}))
 def test_sql_on_odd_tables(name, spark, odd_docs, duck):
     assert rows_of(QUERIES[name](spark, odd_docs).toPandas()) == rows_of(duck(SQL[name], odd_docs))
 
