@@ -147,7 +147,8 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 def slices(sorted_keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(key, its slice) of sorted keys."""
     key, first = np.unique(sorted_keys, return_index=True)
-    for k, i, j in zip(key.tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_keys)], strict=True):
+    edges = [*first.tolist(), len(sorted_keys)]
+    for k, i, j in zip(key.tolist(), edges, edges[1:], strict=False):
         yield k, slice(i, j)
 
 

