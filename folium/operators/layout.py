@@ -1,4 +1,4 @@
-"""Page layout: line statistics, grouping of text items to lines and columns, overlaps, heading scores.
+"""Page layout: line statistics, grouping of text items to lines and columns, overlaps.
 
 Statistics are aggregates and windows per page. Folds that depend on order (items to lines, x clusters) run on one page's
 items at a time, which is bounded by the page.
@@ -6,6 +6,8 @@ items at a time, which is bounded by the page.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,6 +173,31 @@ def x_clusters(lines: DataFrame, page: str, x: str, tolerance: float = 10.0) ->
     return seq.select(page, F.posexplode(folded).alias("at", "c")).select(page, (F.col("at") + 1).cast("long").alias("cluster"), "c.n", F.col("c.x").alias("anchor"))
 
 
+def running_clusters(lines: DataFrame, group: str, order: list[str], x: str, tolerance: float = 5.0, most: int = 2) -> DataFrame:
+    """(group, rank, x, n) of the clusters with most lines: line after line, the first cluster whose mean lies within the tolerance takes
+    the line, which moves the mean, or the line opens one. Of equally large ones the earlier comes first; x is rounded to one decimal.
+
+    One group, the lines of a page or the links of a document, is folded at a time; clusters are few."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        sums: list[float] = []
+        sizes: list[int] = []
+        for place in rows.sort_values(order, kind="stable")[x].astype(float).dropna():
+            at = next((k for k, (s, n) in enumerate(zip(sums, sizes, strict=True)) if abs(s / n - place) <= tolerance), None)
+            if at is None:
+                sums.append(place)
+                sizes.append(1)
+            else:
+                sums[at] += place
+                sizes[at] += 1
+        ranked = sorted(range(len(sums)), key=lambda k: -sizes[k])[:most]
+        out = [(rows[group].iloc[0], r, math.floor(sums[k] / sizes[k] * 10 + 0.5) / 10, sizes[k]) for r, k in enumerate(ranked, 1)]
+        return pd.DataFrame(out, columns=[group, "rank", "x", "n"])
+
+    kind = lines.schema[group].dataType.simpleString()
+    return lines.select(group, *dict.fromkeys([*order, x])).groupBy(group).applyInPandas(fold, f"{group} {kind}, rank long, x double, n long")
+
+
 def two_columns(lines: DataFrame, page: str, x: str, width: float) -> DataFrame:
     """Whether a page has a second x cluster with over a tenth of its lines, over 30 % of the width away."""
     c = x_clusters(lines, page, x).withColumn("r", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("n"), "cluster"))).withColumn("all", F.sum("n").over(Window.partitionBy(page)))
@@ -188,80 +215,6 @@ def uncovered(texts: DataFrame, areas: DataFrame, limit: float = 0.7) -> DataFra
     return texts.where(own > 0).join(covered, "id", "left_anti")
 
 
-def heading_score(text: Column, size: Column, body_size: Column, bold: Column, isolated: Column) -> Column:
-    """Weighted rules: size .25, style .10, number .35, case .10, shortness .10, isolation .10; each 0 to 100."""
-    words = F.size(F.split(F.trim(text), r"\s+"))
-    by_size = L.font_size_score(size, body_size)
-    numbered = F.when(text.rlike(r"^(\d+(\.\d+)*\.?|[A-Z]\.|[IVX]+\.)\s+\S"), 100).when(text.rlike(r"(?i)^(abstract|introduction|conclusion|references)"), 100).otherwise(0)
-    cased = F.when((words <= 8) & ((F.upper(text) == text) | (F.initcap(text) == text)), 100).otherwise(0)
-    short = F.when((words > 15) | (F.length(text) > 100), 0).when(words <= 8, 100).otherwise(50)
-    return by_size * 0.25 + F.when(bold, 100).otherwise(0) * 0.1 + numbered * 0.35 + cased * 0.1 + short * 0.1 + F.when(isolated, 100).otherwise(0) * 0.1
-
-
-def font_style_score(font: Column, body_font: Column) -> Column:
-    """100 for a font that is not the body's or is bold, slanted or a heading's by name, else 0."""
-    return F.when((font != body_font) | font.rlike(r"(?i)bold|heavy|black|demi|italic|oblique|heading|title|h[1-6]"), 100).otherwise(0)
-
-
-def case_score(text: Column) -> Column:
-    """100 for letters and blanks in title case, of at most 8 words and 50 characters, or 3 to 31 capitals and blanks, else 0."""
-    words = F.split(text, " ")
-    titled = text.rlike(r"^[A-Z][a-zA-Z\s]*$") & (F.size(words) <= 8) & F.forall(words, lambda w: (w == "") | (F.left(w, F.lit(1)) == F.upper(F.left(w, F.lit(1))))) & (F.length(text) <= 50)
-    return F.when(titled | text.rlike(r"^[A-Z][A-Z\s]{2,30}$"), 100).otherwise(0)
-
-
-# Headings of papers; those that count without a number.
-SECTION_NAMES = [
-    "abstract", "introduction", "intro", "literature review", "related work", "background", "prior work", "state of the art", "methodology", "methods", "method",
-    "approach", "framework", "model", "algorithm", "technique", "experimental setup", "experiment", "experiments", "experimental design", "implementation",
-    "system design", "architecture", "design", "data", "dataset", "datasets", "data collection", "data preparation", "analysis", "statistical analysis",
-    "data analysis", "results", "findings", "experimental results", "outcomes", "evaluation", "performance", "validation", "testing", "discussion",
-    "interpretation", "implications", "case study", "use case", "application", "applications", "limitations", "constraints", "challenges", "conclusion",
-    "conclusions", "summary", "future work", "future directions", "recommendations", "acknowledgments", "acknowledgements", "thanks", "references",
-    "bibliography", "citations", "appendix", "appendices", "supplementary", "supplement",
-]
-STANDALONE_NAMES = [
-    "abstract", "introduction", "background", "methodology", "methods", "results", "discussion", "conclusion", "conclusions", "references", "bibliography",
-    "acknowledgments", "acknowledgements", "appendix", "appendices",
-]
-
-
-def section_number(text: Column) -> Column:
-    """(kind, number, rest, level, score) of a line that may be a numbered heading.
-
-    The first form that fits counts: 1.2, A.1, IV, a) or (a), before the rest. Its number must be in range (20 at most) and the rest
-    look like a heading: up to 80 characters and 10 words, no full stop, no small letter first, and after digits or a letter also
-    words and no marks of code. Such lines score 100, or 150 where the rest is one of SECTION_NAMES; a line without a number scores
-    100 where it is one of STANDALONE_NAMES; others 0."""
-    forms = [
-        ("arabic", r"^([0-9]{1,2}(?:\.[0-9]{1,2})*)\.?\s+(.+)$"), ("letter", r"^([A-Z](?:\.[0-9]{1,2})?)\.?\s+(.+)$"), ("roman", r"^([IVX]+)\.?\s+(.+)$"),
-        ("sub", r"^([a-z]|[ivx]+)\)\s+(.+)$"), ("parentheses", r"^\(([A-Za-z0-9]+)\)\s+(.+)$"),
-    ]
-    kind, number, rest = F.lit(""), F.lit(""), text
-    for name, pattern in reversed(forms):
-        hit = text.rlike(pattern)
-        kind = F.when(hit, name).otherwise(kind)
-        number = F.when(hit, F.regexp_extract(text, pattern, 1)).otherwise(number)
-        rest = F.when(hit, F.regexp_extract(text, pattern, 2)).otherwise(rest)
-    words = T.word_list(rest)
-    singles = F.size(F.filter(words, lambda w: w.rlike("^[A-Za-z]$")))
-    coded = rest.rlike(r"[@#$%^&*+=|\\/<>{}\[\]`]")
-    in_range = (
-        F.when(kind == "arabic", F.split_part(number, F.lit("."), F.lit(1)).cast("int") <= 20)
-        .when(kind == "letter", F.coalesce(F.nullif(F.split_part(number, F.lit("."), F.lit(2)), F.lit("")).cast("int"), F.lit(0)) <= 20)
-        .when(kind == "roman", number.rlike("^(?:X{0,1}(?:IX|IV|V?I{0,3})|XX)$"))
-        .when(kind == "sub", number.rlike("^(?:[a-z]|i{1,3}|iv|vi{0,3}|ix)$")).when(kind == "parentheses", number.rlike("^(?:[A-Za-z]|[0-9]{1,2})$")).otherwise(False)
-    )
-    lettered = F.exists(words, lambda w: (F.length(w) > 1) | (w != F.left(number, F.lit(1)))) & ~((F.size(words).between(2, 4)) & (singles > F.size(words) / 2)) & ~coded
-    digits = F.exists(words, lambda w: w.rlike("^[A-Za-z].")) & ~text.rlike(r"[0-9]+\.?[0-9]*\s*[^\w\s.]") & ~coded
-    fits = F.when(kind == "arabic", digits).when(kind == "letter", lettered).when(kind == "roman", ~coded).otherwise(True)
-    heading = (F.length(rest) <= 80) & ~rest.contains(".") & ~rest.rlike("^[a-z]") & (F.size(F.split(rest, " ")) <= 10) & (F.trim(rest) != "")
-    known, alone = (F.lower(F.regexp_replace(F.trim(rest), r"\s+", " ")).isin(names) for names in (SECTION_NAMES, STANDALONE_NAMES))
-    score = F.when((kind != "") & fits, F.when(in_range & heading, F.when(known, 150).otherwise(100)).otherwise(0)).when((kind == "") & alone, 100).otherwise(0)
-    level = F.when(kind.isin("sub", "parentheses"), 2).when(kind.isin("arabic", "letter"), F.size(F.split(number, r"\."))).otherwise(1)
-    return F.struct(kind.alias("kind"), number.alias("number"), rest.alias("rest"), level.alias("level"), score.alias("score"))
-
-
 def union_of_boxes(spans: DataFrame, by: list[str]) -> DataFrame:
     return spans.groupBy(*by, "y0", "y1").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
@@ -315,7 +268,18 @@ def _indented(spark, sf_dir) -> DataFrame:
     return spark.sql(_INDENTED.format(_LINES), lineitem=table(spark, sf_dir, "lineitem"))
 
 
-query("a24_x_clusters", f"{_CLUSTERS} SELECT page, cluster, n, anchor FROM c")(lambda spark, sf_dir: x_clusters(_indented(spark, sf_dir), "page", "x"))
+query("a23_anchored_clusters", f"{_CLUSTERS} SELECT page, cluster, n, anchor FROM c")(lambda spark, sf_dir: x_clusters(_indented(spark, sf_dir), "page", "x"))
+# line by line: the first cluster whose mean is near takes the line, or a new one does
+query("a24_x_clusters", f"""WITH RECURSIVE l AS (SELECT page, CAST(x AS DOUBLE) AS x, row_number() OVER (PARTITION BY page ORDER BY pos, x) AS i FROM ({_DUCK})),
+f(page, i, s, n) AS (
+  SELECT page, 0::BIGINT, []::DOUBLE[], []::BIGINT[] FROM l GROUP BY page UNION ALL
+  SELECT page, i, CASE WHEN p = 0 THEN list_append(s, x) ELSE list_transform(s, lambda v, k: v + CASE WHEN k = p THEN x ELSE 0 END) END,
+    CASE WHEN p = 0 THEN list_append(n, 1::BIGINT) ELSE list_transform(n, lambda v, k: v + CASE WHEN k = p THEN 1 ELSE 0 END) END
+  FROM (SELECT l.page, l.i, l.x, f.s, f.n, coalesce(list_position(list_transform(f.s, lambda v, k: abs(v / f.n[k] - l.x) <= 5), true), 0) AS p FROM f JOIN l ON l.page = f.page AND l.i = f.i + 1)
+), e AS (SELECT page, unnest(s) AS s, unnest(n) AS n, generate_subscripts(s, 1) AS c FROM f QUALIFY i = max(i) OVER (PARTITION BY page))
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY n DESC, c) AS rank, floor(s / n * 10 + 0.5) / 10 AS x, n FROM e QUALIFY rank <= 2""")(
+    lambda spark, sf_dir: running_clusters(_lines(spark, sf_dir), "page", ["pos", "x"], "x")
+)
 query("a23_two_columns", f"""{_CLUSTERS}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, cluster) AS r, sum(n) OVER (PARTITION BY page) AS lines FROM c)
 SELECT page, coalesce(max(n / lines) FILTER (r = 2) > 0.1 AND abs(max(anchor) FILTER (r = 1) - max(anchor) FILTER (r = 2)) > 15, false) AS two_columns, (max(anchor) FILTER (r = 1) + max(anchor) FILTER (r = 2)) / 2 AS middle FROM r GROUP BY page""")(
     lambda spark, sf_dir: two_columns(_indented(spark, sf_dir), "page", "x", 50.0)
@@ -349,8 +313,6 @@ SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page = t.page AND gre
         table(spark, sf_dir, "pages").selectExpr("CAST(floor(page_id / 50) AS BIGINT) page", "double(page_id * 11 % 60) ax0", "double(page_id * 17 % 60) ay0", "double(page_id * 11 % 60 + 40) ax1", "double(page_id * 17 % 60 + 40) ay1"),
     ).select("id")
 )
-query("f57_heading_score")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", heading_score(F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("1.2 ")).otherwise(""), F.col("p_name")), F.col("p_size").cast("double"), F.lit(20.0), F.col("p_size") > 30, F.col("p_partkey") % 2 == 0).alias("score")))
-
 # items of a page in two halves, about ten pixels wide
 _ITEMS = "SELECT page, pos, CAST(x * 10 AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(10 + pos % 13 AS DOUBLE) AS width, font, CAST(size AS DOUBLE) AS size, concat(font, pos % 10) AS text FROM ({})"
 
@@ -360,9 +322,9 @@ def _items(spark, sf_dir) -> DataFrame:
 
 
 # from the top down, the tops of lines are found one after the other as clusters' anchors are
-_TOPS = f"""WITH RECURSIVE l AS ({_ITEMS.format(_DUCK)}), a(page, y) AS (
+_TOPS = f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER () AS rid FROM ({_ITEMS.format(_DUCK)})), a(page, y) AS (
   SELECT page, max(y) FROM l GROUP BY page UNION ALL SELECT l.page, max(l.y) FROM a JOIN l ON l.page = a.page AND l.y < a.y - 2 GROUP BY l.page, a.y
-), m AS (SELECT l.page, l.pos, l.x, l.width, l.font, l.size, l.text, min(a.y) AS top FROM l JOIN a ON a.page = l.page AND a.y >= l.y GROUP BY ALL)"""
+), m AS (SELECT l.rid, l.page, l.pos, l.x, l.width, l.font, l.size, l.text, min(a.y) AS top FROM l JOIN a ON a.page = l.page AND a.y >= l.y GROUP BY ALL)"""
 query("a27_sorted_lines", f"{_TOPS} SELECT page, top AS y, string_agg(text, ' ' ORDER BY x, pos, text) AS text, min(x) AS x FROM m GROUP BY page, top")(
     lambda spark, sf_dir: text_lines(numbered_lines(_items(spark, sf_dir), "page", "pos", "x", "y", "width"), "page", "pos", "x", "text", "font", "size").select("page", "y", "text", "x")
 )
@@ -387,12 +349,3 @@ query("p21_near_margins", f"{_CLUSTERS}, t AS (SELECT page, anchor FROM c WHERE
 query("a25_merged_rectangles")(
     lambda spark, sf_dir: merge_rectangles(_items(spark, sf_dir).selectExpr("page", "pos", "x x0", "y y0", "x + width x1", "y + size y1"), "page", "pos")
 )
-_HEADS = "SELECT p_partkey, concat(CASE p_partkey % 5 WHEN 0 THEN 'PART ' WHEN 1 THEN 'Part ' WHEN 2 THEN '' WHEN 3 THEN initcap(p_type) ELSE upper(p_type) END, CASE WHEN p_partkey % 5 > 2 THEN '' ELSE p_name END) AS t FROM {part}"
-query("f59_font_style_score", "SELECT p_partkey, CASE WHEN p_brand <> 'Brand#11' OR regexp_matches(p_brand, '(?i)bold|heavy|black|demi|italic|oblique|heading|title|h[1-6]') THEN 100 ELSE 0 END AS score FROM part")(
-    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", font_style_score(F.col("p_brand"), F.lit("Brand#11")).alias("score"))
-)
-query("f60_case_score")(lambda spark, sf_dir: spark.sql(_HEADS, part=table(spark, sf_dir, "part")).select("p_partkey", case_score(F.col("t")).alias("score")))
-query("f62_section_number", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'arabic' WHEN 1 THEN 'letter' WHEN 2 THEN 'parentheses' ELSE '' END AS kind,
-CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 24 <= 20 THEN 150 ELSE 0 END WHEN 1 THEN 100 WHEN 2 THEN 0 ELSE 100 END AS score FROM part""")(
-    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", section_number(F.expr("case p_partkey % 4 when 0 then concat(p_partkey % 24, '.2 Related work') when 1 then 'B.3 Further thoughts' when 2 then '(a) small things' else 'References' end")).alias("s")).select("p_partkey", "s.kind", "s.score")
-)

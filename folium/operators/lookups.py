@@ -167,17 +167,6 @@ def key_tests(id: Column, title: Column, name: Column, key: str) -> list[Column]
     return [id.cast("string") == key, title == key, F.contains(F.lower(name), F.lit(key.lower()))]
 
 
-def font_size_score(size: Column, body_size: Column) -> Column:
-    """100 from 1.2 times the body's size on, 60 from 1.05, 0 below 0.95, else 20."""
-    return F.when(size >= body_size * 1.2, 100).when(size >= body_size * 1.05, 60).when(size < body_size * 0.95, 0).otherwise(20)
-
-
-def shortness_score(text: Column, few: int = 8, many: int = 15) -> Column:
-    """100 up to a few words, 50 up to many, 0 beyond or for more than 100 characters."""
-    words = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
-    return F.when((F.length(text) > 100) | (words > many), 0).when(words <= few, 100).otherwise(50)
-
-
 def rect_to_viewport(x: Column, y: Column, scale: float, height: float) -> tuple[Column, Column]:
     """Points of a page from its lower left to pixels from the upper left."""
     return x * scale, height - y * scale

@@ -1,14 +1,9 @@
-"""Fuzzy span matching, chat history search, interleaving and the smaller joins and aggregates around answers."""
+"""Chat history search, interleaving and the smaller joins and aggregates around answers."""
 
 from __future__ import annotations
 
-import unicodedata
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
 
 from folium.functions import text as T
 from folium.operators import lookups as L
@@ -16,71 +11,6 @@ from folium.operators.retrieval import cosine, hashing_embedder
 from folium.plans.registry import query
 from folium.session import table
 
-# ---------------------------------------------------------------- fuzzy text
-
-
-@F.pandas_udf(StringType())
-def fold_symbols(texts: pd.Series) -> pd.Series:
-    """Greek letters by name and mathematical letters as plain ones, the rest by compatibility."""
-    def fold(text):
-        if text is None:
-            return None
-        out = []
-        for c in text:
-            name = unicodedata.name(c, "")
-            out.append(name.rsplit(" ", 1)[-1].lower() if name.startswith("GREEK ") and "LETTER" in name else unicodedata.normalize("NFKC", c))
-        return "".join(out)
-
-    return texts.map(fold)
-
-
-def comparable(text: Column) -> Column:
-    return T.squeeze(F.regexp_replace(F.lower(fold_symbols(text)), r"[^a-z0-9 .,;:()\[\]{}+\-=/]", " "))
-
-
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over all, by longest matching blocks."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(DoubleType())
-def match_percentage(chunk: pd.Series, span: pd.Series) -> pd.Series:
-    """Matched characters in percent of the chunk, two decimals."""
-    def share(x, y):
-        return round(100 * sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) / len(x), 2) if x else 0.0
-
-    return pd.Series([share(x or "", y or "") for x, y in zip(chunk, span, strict=True)])
-
-
-def best_spans(chunks: DataFrame, spans: DataFrame, threshold: float = 0.75, longest: int = 100) -> DataFrame:
-    """For each chunk (page, chunk_id, text) the run of its page's spans (page, pos, text) that matches it best, in percent
-    of the chunk. Runs start at spans like the chunk's first ten, five or two words, and every run of up to `longest` spans
-    from there is scored; of equal ones the first stays. One page is one group."""
-
-    def search(key: tuple, c: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        s, out = s.sort_values("pos"), []
-        texts, places = s["text"].tolist(), s["pos"].tolist()
-        for chunk_id, chunk in zip(c["chunk_id"], c["text"], strict=True):
-            best, words = (0.0, -1, -1), chunk.split()
-            seeds = [" ".join(words[:n]) for n in (10, 5, 2) if len(words) >= n]
-            starts = [i for i, t in enumerate(texts) if any(SequenceMatcher(None, t, seed, autojunk=False).ratio() >= 0.4 for seed in seeds)] or range(len(texts))
-            for i in starts:
-                run = ""
-                if best[0] >= 100:  # nothing is better
-                    break
-                for j in range(i, min(len(texts), i + longest)):
-                    run = f"{run} {texts[j]}".strip()
-                    score = 100 * sum(m.size for m in SequenceMatcher(None, chunk, run, autojunk=False).get_matching_blocks()) / max(1, len(chunk))
-                    if score > best[0]:
-                        best = (score, places[i], places[j])
-            if best[0] >= threshold:
-                out.append((key[0], chunk_id, best[1], best[2], round(best[0], 2)))
-        return pd.DataFrame(out, columns=["page", "chunk_id", "first", "last", "score"])
-
-    return chunks.select("page", "chunk_id", "text").groupBy("page").cogroup(spans.select("page", "pos", "text").groupBy("page")).applyInPandas(search, "page long, chunk_id long, first long, last long, score double")
-
-
 # ---------------------------------------------------------------- chat and answers
 
 
@@ -115,20 +45,6 @@ def image_scores(contexts: DataFrame, question: Column, least: int = 1) -> DataF
 
 # ---------------------------------------------------------------- queries
 
-query("f24_sequence_ratio")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", F.round(sequence_ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio")))
-query("f25_match_percentage")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", match_percentage(F.col("p_name"), F.concat("p_type", F.lit(" "), "p_name")).alias("share")))
-query("f22_fold_symbols")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", comparable(F.concat(F.lit("α β ≤ 𝑥 "), "text")).alias("text")))
-
-
-@query("j18_best_spans")
-def j18(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), T.squeeze(F.lower("text")).alias("text"))
-    words = F.split("text", " ")
-    spans = b.select("page", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words), F.lit(6)), lambda i: F.array_join(F.slice(words, i, F.lit(6)), " "))).alias("pos", "text"))
-    chunks = b.select("page", F.col("page").alias("chunk_id"), F.array_join(F.slice(words, 7, 12), " ").alias("text")).where("text <> ''")
-    return best_spans(chunks, spans.withColumn("pos", F.col("pos").cast("long")))
-
-
 query("t23_chat_search")(lambda spark, sf_dir: chat_search(table(spark, sf_dir, "conversations"), "what is the answer of this", 10))
 query("t24_chat_context")(lambda spark, sf_dir: chat_search(table(spark, sf_dir, "conversations"), "the", 2000, session=1).select("conv_id", "turn", F.round("score", 6).alias("score")))
 query("j04_figures_in_text", """WITH c AS (SELECT doc_id, 'see Figure ' || doc_id % 7 || ' and fig. ' || doc_id % 5 AS t FROM documents), f AS (SELECT 'Figure ' || item_id AS figure_id FROM benchmark WHERE item_id < 4 UNION ALL SELECT 'Fig. ' || item_id FROM benchmark WHERE item_id < 3)
@@ -167,12 +83,6 @@ query("f80_rect_to_viewport", "SELECT event_id, round(value * 1.5, 6) AS x, roun
 query("f86_box_to_pixels", "SELECT l_orderkey, l_linenumber, round(l_discount * 612, 4) AS px, round(l_tax * 792, 4) AS py FROM lineitem")(
     lambda spark, sf_dir: table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[v.alias(n) for n, v in zip(("px", "py"), L.box_to_pixels(F.col("l_discount"), F.col("l_tax"), 612.0, 792.0))])
 )
-query("f61_short_line", "SELECT p_partkey, CASE WHEN length(p_name) > 100 THEN 0 WHEN length(p_name) - length(replace(p_name, ' ', '')) + 1 <= 2 THEN 100 ELSE 50 END AS score FROM part")(
-    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", L.shortness_score(F.col("p_name"), 2).alias("score"))
-)
-query("f58_font_size_rule", "SELECT p_partkey, CASE WHEN p_size >= 24 THEN 100 WHEN p_size >= 21 THEN 60 WHEN p_size < 19 THEN 0 ELSE 20 END AS score FROM part")(
-    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", L.font_size_score(F.col("p_size"), F.lit(20)).alias("score"))
-)
 query("j12_session_list", "SELECT o_custkey, count(*) AS n, max(o_orderdate) AS updated FROM orders GROUP BY o_custkey")(
     lambda spark, sf_dir: L.session_list(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folium.operators import citations, documents, keywords, layout, library, matching, records, retrieval  # noqa: F401
+from folium.operators import citations, dictionary, documents, headings, index, keywords, layout, library, matching, records, retrieval, spans  # noqa: F401
 from folium.plans.registry import QUERIES, SQL
 from folium.streaming import status  # noqa: F401
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -68,3 +69,8 @@ def shared_folder(spark: SparkSession) -> str:
         set_dir = "file://" + tempfile.mkdtemp(prefix="folium-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"

@@ -1,6 +1,5 @@
 """Text, reference and fold functions on literal rows, with the cases that are easy to get wrong."""
 
-from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import references as R
 from folium.functions import text as T
-from folium.operators import citations, documents, keywords, layout, library, matching, retrieval
+from folium.operators import citations, documents, keywords, layout, library, retrieval
 from folium.sources import files, sinks
 
 
@@ -168,33 +167,6 @@ def test_partition_overwrite_leaves_other_partitions(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
 
 
-def test_best_spans_against_all_runs(spark):
-    """A run interrupted by a foreign span, a chunk that starts late in a span, and a weak page, against every run of up to 100 spans."""
-    chunk = "alpha beta gamma delta eps one two three four five six seven river stone cloud grass amber ivory"
-    w = chunk.split()
-    part = lambda i, j: " ".join(w[i:j])
-    pages = {
-        1: ["## 00", part(0, 6), part(6, 12), "## 99 ## 88", part(12, 18), "## 11"],
-        2: [part(0, 2), "## 7", "zq xk jq zx kq " + part(0, 5), part(5, 12), "## 55", "## 66", part(12, 18)],
-        3: ["## 1", "## 2 " + part(10, 12), "## 3"],
-        4: [part(0, 6), *["##"] * 97, part(6, 12), part(12, 18)],
-    }
-    want = set()
-    for page, spans in pages.items():
-        seeds, best = [part(0, 10), part(0, 5), part(0, 2)], (0.0, -1, -1)
-        starts = [i for i, t in enumerate(spans) if max(SequenceMatcher(None, t, s, autojunk=False).ratio() for s in seeds) >= 0.4]
-        for i in starts or range(len(spans)):
-            for j in range(i, min(len(spans), i + 100)):
-                blocks = SequenceMatcher(None, chunk, " ".join(spans[i : j + 1]), autojunk=False).get_matching_blocks()
-                best = max(best, (100 * sum(m.size for m in blocks) / len(chunk), -i, -j))
-        want.add((page, 7, -best[1], -best[2], round(best[0], 2)))
-    chunks = spark.createDataFrame([(page, 7, chunk) for page in pages], "page long, chunk_id long, text string")
-    spans = spark.createDataFrame([(page, i, t) for page, texts in pages.items() for i, t in enumerate(texts)], "page long, pos long, text string")
-    got = {tuple(r) for r in matching.best_spans(chunks, spans).collect()}
-    assert got == want
-    assert {(p, a, b) for p, _, a, b, _ in got} >= {(1, 1, 4), (4, 0, 99)}
-
-
 def test_whole_texts_by_the_start_of_their_names(spark, tmp_path):
     for name in ("paper-1.md", "paper-2.md", "other.md"):
         (tmp_path / name).write_text(f"# {name}\n")

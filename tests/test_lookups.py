@@ -78,8 +78,7 @@ def test_small_rules(spark):
         (L.clean_arxiv_id(F.lit("arXiv:2101.1 ")), "2101.1"), (L.distance(F.lit(0), F.lit(0), F.lit(3), F.lit(4)), 5.0), (L.confidence_of_distance(F.lit(None).cast("int")), 0.5),
         (L.best_pdf_link(F.lit(None), F.lit("oa"), F.lit("10.1/x"), F.lit("land")), "oa"), (L.best_pdf_link(F.lit(None), F.lit(None), F.lit("10.1/x"), F.lit("land")), "https://doi.org/10.1/x"),
         (L.pseudo_count(F.lit(0.126)), 13), (L.side_of(F.lit(30), 25), 2),
-        (L.shortness_score(F.lit("a b")), 100), (L.shortness_score(F.lit("a " * 9 + "b")), 50), (L.shortness_score(F.lit("a " * 16 + "b")), 0), (L.shortness_score(F.lit("x" * 101)), 0),
-        (L.font_size_score(F.lit(12.0), F.lit(10.0)), 100), (L.font_size_score(F.lit(9.0), F.lit(10.0)), 0), (L.vertical_threshold(F.lit(20.0), 800.0), 200),
+        (L.vertical_threshold(F.lit(20.0), 800.0), 200),
     ]
     values = row.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
     assert list(values) == [v for _, v in cases]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import references as R
 from folium.functions import text as T
-from folium.operators import documents, keywords, layout, records
+from folium.operators import documents, headings, keywords, layout, records
 from folium.sources import files
 
 from .test_functions import one
@@ -57,13 +57,13 @@ def test_components(spark, text, form, title):
     ("(a) small", "parentheses", 2, 0), ("(12) Large", "parentheses", 2, 100), ("References", "", 1, 100), ("Data", "", 1, 0), ("Plain text.", "", 1, 0),
 ])
 def test_section_numbers(spark, line, kind, level, score):
-    s = one(spark, layout.section_number(F.col("t")), t=line)
+    s = one(spark, headings.section_number(F.col("t")), t=line)
     assert (s["kind"], s["level"], s["score"]) == (kind, level, score)
 
 
 @pytest.mark.parametrize("line, score", [("Title Case Here", 100), ("Title case here", 0), ("ALL CAPS", 100), ("AB", 100), ("lower", 0), ("Has 1 digit", 0), ("One Two Three Four Five Six Seven Eight Nine", 0)])
 def test_case_scores(spark, line, score):
-    assert one(spark, layout.case_score(F.col("t")), t=line) == score
+    assert one(spark, headings.case_score(F.col("t")), t=line) == score
 
 
 @pytest.mark.parametrize("word, valid", [("neural nets", True), ("abc", False), ("four words in here", False), ("gpt 4 model", False), ("bengio model", False), ("future working", False), ("Deep Learning", True)])

@@ -4,7 +4,8 @@ import random
 import re
 
 from folium.operators.citations import CLOSING_HEADING, NO_TEXT, REFERENCE_STARTS, reference_walk
-from folium.operators.keywords import prepared_terms, term_matches
+from folium.operators.dictionary import term_matches
+from folium.operators.keywords import prepared_terms
 
 
 def kind_of(text):
