@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,53 +145,81 @@ def repair(title: Column, year: Column, authors: Column, venue: Column) -> tuple
     return clean_title(title), year_of(F.coalesce(_filled(year), year_of(title))), F.coalesce(people, F.expr("cast(array() as array<string>)")), clean_title(venue)
 
 
-def _pieces(text: Column) -> Column:
-    return F.filter(F.split(text, r"\."), lambda p: strip(p) != "")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _but_last(pieces: Column, n: int) -> Column:
-    return strip(F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - n, F.lit(0))), ". "))
+def _sentences(text: Column, last: int) -> Column:
+    """The sentences of a text as one, without so many of the last; a single one stays."""
+    kept = F.filter(F.split(text, r"\."), lambda p: strip(p) != "")
+    some = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - last, F.lit(0)))).otherwise(kept)
+    return strip(F.array_join(some, ". "))
 
 
 def popup_fields(text: Column) -> tuple[Column, Column, Column]:
     """Title, authors and year of a reference by its full stops: authors stand before the first; the title after the year, without
     the last two sentences, or, if that has under 10 characters, between the first sentence and the last; else the first 100 characters."""
-    clean = F.regexp_replace(text, r"^\[[0-9]+\]\s*", "")
-    year = year_of(clean)
-    first = strip(F.substring_index(clean, ".", 1))
-    names = F.when(first == "", F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.split(first, r"(?i),\s*(?:and\s+)?|\s+and\s+"), strip))
-    after = _pieces(F.when(year.isNotNull(), F.substring(clean, F.instr(clean, year) + 4, F.length(clean))))
-    late = F.coalesce(F.when(F.size(after) >= 2, _but_last(after, 2)).when(F.size(after) == 1, strip(F.get(after, F.lit(0)))), F.lit(""))
-    rest = F.filter(F.slice(F.split(clean, r"\."), F.lit(2), F.greatest(F.size(F.split(clean, r"\.")) - 1, F.lit(0))), lambda p: strip(p) != "")
-    middle = F.when(F.size(rest) >= 2, _but_last(rest, 1)).when(F.size(rest) == 1, strip(F.get(rest, F.lit(0)))).otherwise(late)
-    title = F.when(F.length(late) < 10, middle).otherwise(late)
-    return F.when(F.length(title) < 5, strip(F.left(clean, F.lit(100)))).otherwise(title), names, year.cast("int")
+    bare = F.regexp_replace(text, r"^\[[0-9]+\]\s*", "")
+    year = year_of(bare)
+    opening = F.substring_index(bare, ".", 1)
+    people = F.filter(F.array(strip(opening)), lambda o: o != "")
+    names = F.flatten(F.transform(people, lambda o: F.transform(F.split(o, r"(?i),\s*(?:and\s+)?|\s+and\s+"), strip)))
+    beyond = F.coalesce(F.substring(bare, F.instr(bare, year) + 4, F.length(bare)), F.lit(""))
+    inner = F.substring(bare, F.length(opening) + 2, F.length(bare))
+    # the first that is long enough, of what may be the title
+    choices = F.array(
+        F.struct(_sentences(beyond, 2).alias("t"), F.lit(10).alias("least")), F.struct(_sentences(inner, 1).alias("t"), F.when(F.regexp_replace(inner, r"[.\s]", "") == "", 1000).otherwise(0).alias("least")),
+        F.struct(_sentences(beyond, 2).alias("t"), F.lit(0).alias("least")),
+    )
+    title = F.get(F.filter(choices, lambda c: F.length(c["t"]) >= c["least"]), F.lit(0))["t"]
+    return _let(title, lambda t: F.when(F.length(t) < 5, strip(F.left(bare, F.lit(100)))).otherwise(t)), names, year.cast("int")
 
 
 def search_text(text: Column) -> Column:
     """A reference without its number, runs of blanks or final dot."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"^\s*\[[0-9]+\]\s*", ""), r"^\s*[0-9]+\.\s*", "")
-    return F.btrim(F.regexp_replace(F.btrim(F.regexp_replace(plain, r"[\s\u00A0\u2000-\u200B\u2028\u2029]+", " ")), r"\.$", ""))
+    single = F.btrim(F.regexp_replace(text, r"[\s\u00A0\u2000-\u200B\u2028\u2029]+", " "))
+    bare = F.regexp_replace(single, r"^(?:\[[0-9]+\] ?)?(?:[0-9]+\. ?)?", "")
+    return F.btrim(F.when(bare.endswith("."), F.left(bare, F.length(bare) - 1)).otherwise(bare))
+
+
+def _behind(text: Column, part: Column) -> Column:
+    """What follows a part that a text starts with, and the mark after it."""
+    return F.substring(text, F.length(part) + 2, F.length(text))
 
 
 def components(text: Column) -> Column:
-    """(format, authors, year, title, venue) by the first layout that fits: 'Authors (year). Title. Venue', 'Title. Author, year.
-    Venue', 'Words year rest'; else all is the venue. A title runs to its full stop."""
-    clean = search_text(text)
-    layouts = [
-        ("authorYear", r"^([^.(]+?)\s*\(([0-9]{4})\)[\s.]*([^.]+)\.?\s*(.*)$", (1, 2, 3, 4)),
-        ("titleFirst", r"^([^.]+)\.\s*([^,]+),\s*([0-9]{4})[\s.]*(.*)$", (2, 3, 1, 4)),
-        ("simple", r"^(.+?)\s+([0-9]{4})\b(.*)$", (1, 2, None, 3)),
-    ]
-
-    def record(name: str, pattern: str | None, at: tuple) -> Column:
-        parts = [F.regexp_extract(clean, pattern, i) if i else F.lit("") for i in at] if pattern else [F.lit(""), F.lit(""), F.lit(""), clean]
-        return F.struct(F.lit(name).alias("format"), *[c.alias(n) for n, c in zip(("authors", "year", "title", "venue"), parts, strict=True)])
-
-    found = record("unknown", None, ())
-    for name, pattern, at in reversed(layouts):
-        found = F.when(clean.rlike(pattern), record(name, pattern, at)).otherwise(found)
-    return found
+    """(format, authors, year, title, venue) by what stands around the first year: in brackets after names ('Authors (year). Title. Venue'),
+    after a sentence and a name ('Title. Author, year. Venue'), after other words ('Words year rest'); else all is the venue. A
+    title runs to its full stop."""
+    dots = F.lit(". \t\n\r")
+
+    def record(name: str, authors: Column, year: Column, title: Column, venue: Column) -> Column:
+        return F.struct(F.lit(name).alias("format"), authors.alias("authors"), year.alias("year"), title.alias("title"), venue.alias("venue"))
+
+    def bracketed(clean: Column) -> Column:
+        before = F.substring_index(clean, "(", 1)
+        inside = _behind(clean, before)
+        rest = F.ltrim(F.substring(inside, 6, F.length(inside)), dots)
+        title = F.substring_index(rest, ".", 1)
+        fits = (strip(before) != "") & ~before.contains(".") & inside.rlike(r"^[0-9]{4}\)") & (title != "")
+        return F.when(fits, record("authorYear", F.rtrim(before), F.left(inside, F.lit(4)), title, F.ltrim(_behind(rest, title))))
+
+    def after_title(clean: Column) -> Column:
+        title = F.substring_index(clean, ".", 1)
+        rest = F.ltrim(_behind(clean, title))
+        name = F.substring_index(rest, ",", 1)
+        tail = F.ltrim(_behind(rest, name))
+        fits = (title != "") & (name != "") & tail.rlike("^[0-9]{4}")
+        return F.when(fits, record("titleFirst", name, F.left(tail, F.lit(4)), title, F.ltrim(F.substring(tail, 5, F.length(tail)), dots)))
+
+    def after_words(clean: Column) -> Column:
+        cut = F.split(clean, r"\s+(?=[0-9]{4}\b)", 2)
+        rest = F.get(cut, F.lit(1))
+        return F.when((F.size(cut) == 2) & (F.get(cut, F.lit(0)) != ""), record("simple", F.get(cut, F.lit(0)), F.left(rest, F.lit(4)), F.lit(""), F.substring(rest, 5, F.length(rest))))
+
+    none = F.lit("")
+    return _let(search_text(text), lambda c: F.coalesce(bracketed(c), after_title(c), after_words(c), record("unknown", none, none, none, c)))
 
 
 def search_query(text: Column) -> Column:

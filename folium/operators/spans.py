@@ -69,8 +69,13 @@ def matched(a: str, b: str) -> int:
 
 
 def percentage(chunk: str, run: str) -> float:
-    """Matched characters in percent of the chunk, two decimals."""
-    return round(100 * matched(chunk, run) / len(chunk), 2) if chunk and run else 0.0
+    """Matched characters in percent of the chunk, two decimals.
+
+    In 200 characters or more, those that make up over a hundredth begin no block; without others there is nothing to compare.
+    """
+    if not chunk or not run or (len(run) >= 200 and not any(0 < run.count(c) <= len(run) // 100 + 1 for c in set(chunk))):
+        return 0.0
+    return round(100 * matched(chunk, run) / len(chunk), 2)
 
 
 @F.pandas_udf(DoubleType())
@@ -132,18 +137,12 @@ class Page:
             bounds = np.minimum(self.sums[start + 1 : start + 1 + longest] - self.sums[start], own).sum(axis=1)
             for ahead, bound in enumerate(bounds.tolist(), 1):
                 most = round(100 * bound / len(chunk), 2)
-                if most > best[0] and most >= shown and self.tells(start, start + ahead, own):
+                if most > best[0] and most >= shown:
                     score = percentage(chunk, self.run(start, start + ahead))
                     if score > best[0]:
                         best = (score, (start, start + ahead - 1))
         return (*best[1], best[0]) if best[1] else None
 
-    def tells(self, start: int, stop: int, own: np.ndarray) -> bool:
-        """Whether a run can match at all: in 200 characters or more, letters that make up over a hundredth of it begin no block."""
-        counts = self.sums[stop] - self.sums[start]
-        shortest, longest = int(counts[:-1].sum()), int(counts.sum())  # blanks are squeezed
-        return shortest < 200 or bool(((own > 0) & (counts > 0) & (counts <= longest // 100 + 1)).any()) or bool(own[-1] and counts[-1])
-
     def likely(self, chunk: str, starts: list[int], longest: int) -> float:
         """The score of a run that is likely good: from the span most like the longest seed on, about as long as the chunk."""
         seed = seeds_of(chunk)[0]
@@ -174,7 +173,9 @@ def span_runs(chunks: DataFrame, spans: DataFrame, threshold: float | Column = T
     A run is found if its score reaches the threshold, in percent; the score of the best run is told anyway, 0 where there is none.
     """
     pages = spans.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text")))).alias("__spans"))
-    met = chunks.join(pages, list(page), "left").withColumn("__run", _best_run(F.col("__spans.text"), F.col("__spans.pos"), F.col("text"), F.lit(longest)))
+    # few bytes are much work here, so partitions are not to be coalesced by size
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = chunks.join(pages, list(page), "left").repartition(parts, *page).withColumn("__run", _best_run(F.col("__spans.text"), F.col("__spans.pos"), F.col("text"), F.lit(longest)))
     reached = F.coalesce(F.col("__run.score") >= (threshold if isinstance(threshold, Column) else F.lit(threshold)), F.lit(False))
     ends = [F.when(reached, F.col(f"__run.{c}")).alias(c) for c in ("first", "last")]
     return met.select(*[F.col(f"`{c}`") for c in chunks.columns], reached.alias("found"), *ends, F.coalesce("__run.score", F.lit(0.0)).alias("score"))
@@ -227,7 +228,7 @@ def _chunks(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), kept.alias("text"))
 
 
-query("j18_best_spans")(lambda spark, sf_dir: best_spans(_chunks(spark, sf_dir), _spans(spark, sf_dir), longest=20))
+query("j18_best_spans")(lambda spark, sf_dir: best_spans(_chunks(spark, sf_dir), _spans(spark, sf_dir), longest=8))
 query("j24_best_spans_strict")(lambda spark, sf_dir: best_spans(_chunks(spark, sf_dir), _spans(spark, sf_dir), threshold=80.0, longest=8))
 
 
