@@ -1,9 +1,10 @@
 """Stores that grow: a term index that is appended to without a refit, and a cell index for vectors with a number of candidates.
 
-`TermIndex` keeps term counts, which don't change when texts are added, in a Parquet table with a bucket of terms and a segment
-as partitions. Document frequencies and so weights and norms follow from all segments when they are read, and are written
+`TermIndex` keeps term counts, which don't change when texts are added, in a Parquet table with a folder for each segment, whose files
+are sorted by term. Document frequencies and so weights and norms follow from all segments when they are read, and are written
 once for each state of the store; appends only write their own texts. A segment has a name, and a name that is there already
-is not appended again, so a batch that runs twice counts once. A search reads the buckets of its keywords alone.
+is not appended again, so a batch that runs twice counts once. The terms of a search are pushed down to the files, whose
+sorted row groups without them are not read.
 
 `VectorIndex` assigns vectors to cells of a k-means model and writes them by cell. A search visits the cells nearest the query
 until they hold the number of candidates asked for, and ranks what is in them exactly. The exact scan (`dense_search`) stays
@@ -27,12 +28,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folium.operators.retrieval import dense_search, hashing_embedder, term_counts
+from folium.operators.retrieval import BROADCAST_TERMS, dense_search, hashing_embedder, term_counts
 from folium.plans.registry import query
 from folium.session import scratch_path, table
 
-#: Buckets of terms, and vectors that cells are fitted on at most.
-BUCKETS, FITTED = 64, 100_000
+#: Vectors that cells are fitted on at most.
+FITTED = 100_000
 
 
 class TermIndex:
@@ -60,22 +61,29 @@ class TermIndex:
             return False
         named = docs.where(F.col(self.key).isNotNull())
         counts = term_counts(named, self.key, self.text, self.bigrams)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-        rows = counts.select(self.key, "term", "tf", bucket).repartition("bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/terms/segment={segment}")
+        self.write(counts, f"terms/segment={segment}")
         n = named.select(self.key).distinct()
         n.write.mode("overwrite").parquet(f"{self.folder}/keys/segment={segment}")
         self.spark.createDataFrame([(segment,)], "segment string").write.mode("append").parquet(f"{self.folder}/segments")
         return True
 
+    def write(self, counts: DataFrame, name: str) -> None:
+        """Sorted by term, so that readers can leave out what has none of theirs; not shuffled."""
+        counts.select(self.key, "term", "tf").sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}")
+
+    def keys(self) -> DataFrame:
+        return self.table("keys").where(F.col("segment").cast("string").isin(self.segments()))
+
     def counts(self) -> DataFrame | None:
-        """(key, term, tf, bucket) of all segments; a key that is in several counts as one text."""
+        """(key, term, tf) of all segments; a key that is in several counts as one text."""
         there = self.segments()
         found = self.table("terms") if there else None
         if found is None:
             return None
         rows = found.where(F.col("segment").cast("string").isin(there))
-        return rows.groupBy(self.key, "term", "bucket").agg(F.sum("tf").alias("tf")) if len(there) > 1 else rows.select(self.key, "term", "bucket", "tf")
+        rows = rows.select(self.key, "term", "tf")
+        shared = len(there) > 1 and self.keys().groupBy(self.key).count().where("count > 1").limit(1).count()
+        return rows.groupBy(self.key, "term").agg(F.sum("tf").alias("tf")) if shared else rows
 
     def fitted(self) -> tuple[DataFrame, DataFrame] | None:
         """Vocabulary (term, df, cf, idf) and norms (key, norm) of the present state, worked out once and kept in the folder."""
@@ -88,11 +96,11 @@ class TermIndex:
             vocab = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
             if self.max_features:
                 vocab = vocab.orderBy(F.desc("cf"), "term").limit(self.max_features)
-            n = self.table("keys").where(F.col("segment").cast("string").isin(there)).select(self.key).distinct().count()
+            n = self.keys().select(self.key).distinct().count()
             vocab.select("term", "df", "cf", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).write.mode("overwrite").parquet(f"{self.folder}/vocabulary/{state}")
             idf = self.table(f"vocabulary/{state}").select("term", "idf")
             weight = F.col("tf") * F.col("idf")
-            norms = counts.join(idf, "term").groupBy(self.key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+            norms = counts.join(small(idf, self.max_features), "term").groupBy(self.key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
             norms.write.mode("overwrite").parquet(f"{self.folder}/norms/{state}")
         return self.table(f"vocabulary/{state}"), self.table(f"norms/{state}")
 
@@ -102,19 +110,18 @@ class TermIndex:
         if fitted is None:
             return None
         vocab, norms = fitted
-        weighed = self.counts().join(vocab.select("term", "idf"), "term").join(norms, self.key)
+        weighed = self.counts().join(small(vocab.select("term", "idf"), self.max_features), "term").join(norms, self.key)
         return weighed.select(self.key, "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"))
 
     def search(self, keywords: list[str], k: int) -> DataFrame | None:
-        """The k best (key, score): each keyword is a query of one term, and scores are summed. Only the keywords' buckets are read."""
+        """The k best (key, score): each keyword is a query of one term, and scores are summed."""
         fitted = self.fitted()
         if fitted is None:
             return None
         vocab, norms = fitted
-        asked = self.spark.createDataFrame([(w,) for w in dict.fromkeys(keywords)], "term string")
-        buckets = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # a few keywords
-        weights = vocab.join(F.broadcast(asked), "term").select("term", "idf")
-        hits = self.counts().where(F.col("bucket").isin(buckets)).join(F.broadcast(weights), "term")
+        asked = list(dict.fromkeys(keywords))
+        weights = vocab.where(F.col("term").isin(asked)).select("term", "idf")
+        hits = self.counts().where(F.col("term").isin(asked)).join(F.broadcast(weights), "term")  # a few keywords
         sums = hits.groupBy(self.key).agg(F.sum(F.col("tf") * F.col("idf")).alias("s")).join(norms, self.key)
         return sums.select(self.key, (F.col("s") / F.col("norm")).alias("score")).orderBy(F.desc(F.round("score", 6)), self.key).limit(k)
 
@@ -123,12 +130,17 @@ class TermIndex:
         whole = TermIndex(self.spark, into, self.key, self.text, self.bigrams, self.max_features)
         counts = self.counts()
         if counts is not None and not whole.segments():
-            counts.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{whole.folder}/terms/segment=merged")
-            self.table("keys").where(F.col("segment").cast("string").isin(self.segments())).select(self.key).distinct().write.mode("overwrite").parquet(f"{whole.folder}/keys/segment=merged")
+            whole.write(counts.repartitionByRange("term"), "terms/segment=merged")
+            self.keys().select(self.key).distinct().write.mode("overwrite").parquet(f"{whole.folder}/keys/segment=merged")
             self.spark.createDataFrame([("merged",)], "segment string").write.mode("append").parquet(f"{whole.folder}/segments")
         return whole
 
 
+def small(idf: DataFrame, most: int | None) -> DataFrame:
+    """A vocabulary of a bounded number of terms, for a join by broadcast."""
+    return F.broadcast(idf) if most is not None and most <= BROADCAST_TERMS else idf
+
+
 def hash_of(names: list[str]) -> int:
     """A number for a list of names that is the same in every process."""
     return zlib.crc32("\n".join(names).encode())
