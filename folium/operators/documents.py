@@ -38,10 +38,13 @@ def useful_parts(parts: DataFrame, words: int = 20) -> DataFrame:
     return parts.where(F.col("has_heading") | (F.size(F.split("body", r"\s+")) >= words))
 
 
-def semantic_split(sections: DataFrame, key: str, text: str = "body", percentile: float = 0.95, embed=hashing_embedder) -> DataFrame:
-    """(key, chunk, text): sentences are cut where the distance to the next one is above the document's percentile."""
-    sentences = sections.select(key, F.posexplode(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")).alias("i", "sentence")).withColumn("v", embed(F.col("sentence")))
+def semantic_split(sections: DataFrame, key: str, text: str = "body", percentile: float = 0.95, embed=hashing_embedder, buffer: int = 1) -> DataFrame:
+    """(key, chunk, text): sentences are cut where the distance to the next one is above the document's percentile. What is compared of a
+    sentence is its text with `buffer` sentences before and after it."""
     w = Window.partitionBy(key).orderBy("i")
+    sentences = sections.select(key, F.posexplode(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")).alias("i", "sentence"))
+    around = [F.lag("sentence", k).over(w) for k in range(buffer, 0, -1)] + [F.col("sentence")] + [F.lead("sentence", k).over(w) for k in range(1, buffer + 1)]
+    sentences = sentences.withColumn("near", F.concat_ws(" ", *around)).withColumn("v", embed(F.col("near"))).drop("near")
     gaps = sentences.withColumn("d", 1 - F.coalesce(cosine(F.lag("v").over(w), F.col("v")), F.lit(0.0)))
     limit = F.percentile(F.when(F.col("i") > 0, F.col("d")), percentile).over(Window.partitionBy(key))
     breaks = gaps.withColumn("b", ((F.col("i") > 0) & (F.col("d") > limit)).cast("int"))

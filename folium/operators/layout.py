@@ -36,6 +36,38 @@ def without_outliers(lines: DataFrame, by: list[str], x: str, reach: float = 1.5
     return lines.join(s.select(*by, (F.col("q1") - reach * iqr).alias("__lo"), (F.col("q3") + reach * iqr).alias("__hi")), by).where(F.col(x).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
+# Words that make a line with a number no reference, and lines that are headings by themselves.
+NUMBERED_LABELS = ["figure", "table", "equation", "chapter", "section"]
+PLAIN_HEADINGS = ["abstract", "introduction", "conclusion", "discussion", "results"]
+
+
+def is_page_furniture(text: Column, shortest: int = 10, word: int = 15) -> Column:
+    """Whether a line is too short to be a reference, a page number, a numbered label, a heading or one short word."""
+    line = T.strip(F.coalesce(text, F.lit("")))
+    words = T.word_list(F.lower(line))
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    digits = lambda w: w.rlike("^[0-9]+$")
+    tail = F.when(first == "page", F.slice(words, 2, 4)).otherwise(words)
+    numbered = digits(F.get(tail, F.lit(0))) & ((F.size(tail) == 1) | ((F.size(tail) == 3) & (F.get(tail, F.lit(1)) == "of") & digits(F.get(tail, F.lit(2)))))
+    labelled = first.isin(NUMBERED_LABELS) & second.rlike("^[0-9]")
+    alone = (F.size(words) == 1) & ((F.length(line) < word) | first.isin(PLAIN_HEADINGS))
+    return (F.length(line) < shortest) | F.coalesce(numbered, F.lit(False)) | F.coalesce(labelled, F.lit(False)) | F.coalesce(alone, F.lit(False))
+
+
+def reference_lines(lines: DataFrame, by: list[str], x: str, y: str, text: str, x_reach: float = 1.5, y_reach: float = 2.0) -> DataFrame:
+    """Lines that are no outliers of their group: x and y within so many quartile distances of their quartiles, and no page furniture.
+
+    A line without a place counts as at 0, and has no part in the quartiles."""
+    bounds = {}
+    for name, column, reach in (("x", x, x_reach), ("y", y, y_reach)):
+        s = position_statistics(lines.where(F.col(column).isNotNull()), by, column)
+        far = (F.col("q3") - F.col("q1")) * reach
+        bounds[name] = s.select(*by, (F.col("q1") - far).alias(f"__{name}_lo"), (F.col("q3") + far).alias(f"__{name}_hi"))
+    near = lines.join(bounds["x"], by, "left").join(bounds["y"], by, "left")
+    inside = [F.coalesce(F.coalesce(F.col(c), F.lit(0)).between(F.col(f"__{n}_lo"), F.col(f"__{n}_hi")), F.lit(True)) for n, c in (("x", x), ("y", y))]
+    return near.where(inside[0] & inside[1] & ~is_page_furniture(F.col(text))).select(*[lines[c] for c in lines.columns])
+
+
 def most_common(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """The most frequent value of each group; the one seen first wins a tie, the larger one if they were seen together."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
@@ -242,6 +274,12 @@ query("p19_without_outliers", f"""WITH l AS ({_DUCK}), s AS (SELECT page, list(y
 SELECT page, pos, y FROM l JOIN q USING (page) WHERE y BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1)""")(
     lambda spark, sf_dir: without_outliers(_lines(spark, sf_dir), ["page"], "y", 0.5).select("page", "pos", "y")
 )
+_TITLED = "SELECT *, CASE WHEN pos % 11 = 0 THEN 'Page ' || pos % 90 || ' of 90' WHEN pos % 11 = 1 THEN 'Figure ' || pos % 9 || ' shows things' WHEN pos % 11 = 2 THEN 'Introduction' WHEN pos % 11 = 3 THEN 'short' ELSE 'A line of a reference, ' || pos END AS text FROM ({})"
+query("p19_reference_lines", f"""WITH l AS ({_TITLED.format(_DUCK)}), s AS (SELECT page, list(x ORDER BY x) AS xs, list(y ORDER BY y) AS ys FROM l GROUP BY page),
+q AS (SELECT page, xs[(floor(len(xs) * 0.25) + 1)::INT] AS x1, xs[(floor(len(xs) * 0.75) + 1)::INT] AS x3, ys[(floor(len(ys) * 0.25) + 1)::INT] AS y1, ys[(floor(len(ys) * 0.75) + 1)::INT] AS y3 FROM s)
+SELECT page, pos, text FROM l JOIN q USING (page) WHERE x BETWEEN x1 - 1.5 * (x3 - x1) AND x3 + 1.5 * (x3 - x1) AND y BETWEEN y1 - 2 * (y3 - y1) AND y3 + 2 * (y3 - y1) AND pos % 11 > 3""")(
+    lambda spark, sf_dir: reference_lines(spark.sql(_TITLED.format(_LINES), lineitem=table(spark, sf_dir, "lineitem")), ["page"], "x", "y", "text").select("page", "pos", "text")
+)
 query("a18_most_common_font", f"WITH l AS ({_DUCK}), c AS (SELECT page, font, count(*) AS n, min(pos) AS f FROM l GROUP BY ALL) SELECT page, font, n FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, f, font DESC) AS r FROM c) WHERE r = 1")(
     lambda spark, sf_dir: most_common(_lines(spark, sf_dir), ["page"], "font", "pos")
 )
@@ -290,11 +328,18 @@ query("a37_column_assignment", "SELECT l_orderkey, l_linenumber, CASE WHEN l_qua
 query("a28_font_distribution", f"WITH l AS ({_DUCK}), c AS (SELECT font, count(*) AS n FROM l GROUP BY font) SELECT font, n, round(n / sum(n) OVER (), 6)::DOUBLE AS share FROM c QUALIFY n >= 3 AND n / sum(n) OVER () BETWEEN 0.1 AND 0.8")(
     lambda spark, sf_dir: _lines(spark, sf_dir).groupBy("font").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6)).where("n >= 3 and share between 0.1 and 0.8")
 )
-query("a22_adaptive_thresholds", "SELECT page, CAST(round(greatest(10 * h, 0.12 * 800, 60)) AS BIGINT) AS dy FROM (SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, avg(l_quantity) AS h FROM lineitem GROUP BY 1) q")(
-    lambda spark, sf_dir: _paged(spark, sf_dir).groupBy("page").agg(L.vertical_threshold(F.avg("l_quantity"), 800.0).alias("dy"))
+_METRICS = "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, greatest(8, coalesce(avg(CASE WHEN l_quantity > 0 AND l_quantity < 100 THEN l_quantity END), 12)) AS h, greatest(3, coalesce(avg(CASE WHEN l_extendedprice <> 0 THEN l_extendedprice / 1000 / length(CAST(l_orderkey AS VARCHAR)) END), 6)) AS w FROM lineitem GROUP BY 1"
+
+
+def _metrics(spark, sf_dir) -> DataFrame:
+    return _paged(spark, sf_dir).groupBy("page").agg(L.line_height(F.col("l_quantity")).alias("height"), L.char_width(F.col("l_extendedprice") / 1000, F.col("l_orderkey").cast("string")).alias("width"))
+
+
+query("a22_adaptive_thresholds", f"SELECT page, CAST(round(greatest(10 * h, 0.12 * 800, 60)) AS BIGINT) AS dy, CAST(round(greatest(5 * w, 0.03 * 600, 20)) AS BIGINT) AS dx FROM ({_METRICS}) q")(
+    lambda spark, sf_dir: _metrics(spark, sf_dir).select("page", L.vertical_threshold(F.col("height"), 800.0).alias("dy"), L.horizontal_threshold(F.col("width"), 600.0).alias("dx"))
 )
-query("a21_text_metrics", "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, round(greatest(8, avg(CASE WHEN l_quantity > 0 AND l_quantity < 100 THEN l_quantity END)), 6) AS height FROM lineitem GROUP BY 1")(
-    lambda spark, sf_dir: _paged(spark, sf_dir).groupBy("page").agg(F.round(L.line_height(F.col("l_quantity")), 6).alias("height"))
+query("a21_text_metrics", f"SELECT page, round(h, 6) AS height, round(w, 6) AS width FROM ({_METRICS}) q")(
+    lambda spark, sf_dir: _metrics(spark, sf_dir).select("page", F.round("height", 6).alias("height"), F.round("width", 6).alias("width"))
 )
 query("a32_line_boxes", "SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS page, l_linenumber AS y0, min(l_quantity) AS x0, max(l_quantity + l_discount) AS x1 FROM lineitem GROUP BY 1, 2")(
     lambda spark, sf_dir: union_of_boxes(_paged(spark, sf_dir).select("page", F.col("l_linenumber").alias("y0"), F.col("l_linenumber").alias("y1"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + F.col("l_discount")).alias("x1")), ["page"]).drop("y1")

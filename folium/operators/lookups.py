@@ -180,15 +180,27 @@ def side_of(x: Column, middle: float) -> Column:
     return F.when(x < middle, 1).otherwise(2)
 
 
-def line_height(heights: Column, least: float = 8.0) -> Column:
-    """Mean of the heights between 0 and 100, an aggregate."""
-    return F.greatest(F.lit(least), F.avg(F.when((heights > 0) & (heights < 100), heights)))
+def line_height(heights: Column, least: float = 8.0, default: float = 12.0) -> Column:
+    """Mean of the heights between 0 and 100, an aggregate; the default where there is none."""
+    return F.greatest(F.lit(least), F.coalesce(F.avg(F.when((heights > 0) & (heights < 100), heights)), F.lit(default)))
+
+
+def char_width(width: Column, text: Column, least: float = 3.0, default: float = 6.0) -> Column:
+    """Mean width of a character of the items that have text and a width, an aggregate; the default where there is none."""
+    each = F.when((F.length(text) > 0) & (width != 0), width / F.length(text))
+    return F.greatest(F.lit(least), F.coalesce(F.avg(each), F.lit(default)))
 
 
 def vertical_threshold(height: Column, page_height: float) -> Column:
+    """Ten lines, an eighth of the page or so, or 60."""
     return F.round(F.greatest(height * 10, F.lit(0.12 * page_height), F.lit(60.0))).cast("long")
 
 
+def horizontal_threshold(width: Column, page_width: float) -> Column:
+    """Five characters, a little of the page, or 20."""
+    return F.round(F.greatest(width * 5, F.lit(0.03 * page_width), F.lit(20.0))).cast("long")
+
+
 def sections_of_chunks(chunks: DataFrame, title: str, order: str, text: str) -> DataFrame:
     named = F.coalesce(title, F.lit("none")).alias("title")
     return chunks.groupBy(named).agg(F.min(order).alias("first"), F.sum(F.length(text)).cast("long").alias("chars"), F.count("*").alias("n"))

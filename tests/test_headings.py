@@ -78,3 +78,30 @@ def test_clusters_line_by_line(spark):
         clusters.sort(key=lambda c: -len(c))
         want += [(page, k, math.floor(sum(c) / len(c) * 10 + 0.5) / 10, len(c)) for k, c in enumerate(clusters[:2], 1)]
     assert sorted(map(tuple, layout.running_clusters(lines, "page", ["pos"], "x").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("text, out", [
+    ("Page 3 of 12", True), ("1234567890123", True), ("page 12345678901", True), ("Figure 3 shows", True), ("figures 3 shows", False), ("Chapter two of all", False), ("Section 12", True), ("Introduction", True),
+    ("Smith, J. A title.", False), ("short", True), ("internationalization", False), (None, True), ("   ", True), ("12 of 13 of 14 things", False), ("Results", True),
+])
+def test_page_furniture(spark, text, out):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    rows = spark.createDataFrame([(text,)], StructType([StructField("t", StringType())]))
+    assert rows.select(layout.is_page_furniture(F.col("t"))).first()[0] is out
+
+
+def test_reference_lines(spark):
+    rows = [(1, i, 50.0 + i % 3, 700.0 - 10 * i, f"A reference of the list, number {i}") for i in range(20)] + [(1, 20, 300.0, 600.0, "A line far to the right"), (1, 21, 51.0, -900.0, "A line far down the page"), (1, 22, 51.0, 650.0, "Page 2"), (1, 23, None, 650.0, "A line without x, at 0")]
+    lines = spark.createDataFrame(rows, "page long, pos long, x double, y double, text string")
+    assert sorted(r["pos"] for r in layout.reference_lines(lines, ["page"], "x", "y", "text").collect()) == list(range(20))
+
+
+def test_split_with_a_buffer(spark):
+    from folium.operators import documents
+
+    topic = lambda n: F.when(n.contains("cat"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    docs = spark.createDataFrame([(1, "A cat. Some dog. A dog. Last dog. More dog. Old dog."), (2, "One."), (3, "")], "k long, body string")
+    cut = lambda b, q: sorted(tuple(r) for r in documents.semantic_split(docs, "k", percentile=q, embed=topic, buffer=b).collect())
+    assert cut(0, 0.5) == [(1, 0, "A cat."), (1, 1, "Some dog. A dog. Last dog. More dog. Old dog."), (2, 0, "One.")]
+    assert cut(1, 0.5) == [(1, 0, "A cat. Some dog."), (1, 1, "A dog. Last dog. More dog. Old dog."), (2, 0, "One.")]
