@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folium.functions import references as R
 from folium.functions import text as T
 from folium.operators import lookups as L
+from folium.operators.grid import nearest
 from folium.plans.registry import query
 from folium.session import table
 
@@ -87,18 +88,20 @@ def collect_mentions(refs: DataFrame, markers: DataFrame) -> DataFrame:
 
 def match_annotations(annotations: DataFrame, references: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Nearest reference box on the same page, the annotation's y flipped, strictly below the threshold; the first wins a tie."""
-    dx, dy = F.col("ax") - F.col("rx"), (1 - F.col("ay")) - F.col("ry")
-    near = annotations.join(references, "page").withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") < threshold)
-    best = near.groupBy("annotation_id").agg(F.min(F.struct("distance", "ref_order", "ref_id")).alias("b"))
-    return annotations.join(best, "annotation_id", "left").select("annotation_id", F.col("b.ref_id").alias("ref_id"), F.col("b.distance").alias("distance"))
+    flipped = annotations.withColumn("__y", 1 - F.col("ay"))
+    met = nearest(flipped, references, ["page"], ("ax", "__y"), ("rx", "ry"), (threshold,) * 4, ["ref_order", "ref_id"], threshold)
+    return met.select("annotation_id", F.col("nearest.place.ref_id").alias("ref_id"), F.col("nearest.distance").alias("distance"))
 
 
 def starting_line(citations: DataFrame, lines: DataFrame) -> DataFrame:
-    """The line a citation points at: x within -5 and +8, y within 15; starting lines first, then the nearest."""
-    dx, dy = F.col("lx") - F.col("cx"), F.abs(F.col("ly") - F.col("cy"))
-    near = citations.join(lines, "page").where(dx.between(-5, 8) & (dy <= 15)).withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    first = Window.partitionBy("citation_id").orderBy(F.desc("is_start"), "distance", "line_index")
-    return near.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    """The line a citation points at: x within -5 and +8, y within 15; starting lines first, then the nearest. Rows are those of
+    both, with the distance; a null is_start is no start, citations without a line are left out."""
+    kinds = citations.withColumn("__start", F.explode(F.array(F.lit(True), F.lit(False))))
+    marked = lines.withColumn("__start", F.coalesce("is_start", F.lit(False)))
+    met = nearest(kinds, marked, ["page", "__start"], ("cx", "cy"), ("lx", "ly"), (5, 8, 15, 15), ["line_index"]).where("nearest is not null")
+    first = Window.partitionBy("citation_id").orderBy(F.desc("__start"), "nearest.distance", "nearest.place.line_index")
+    taken = met.withColumn("__r", F.row_number().over(first)).where("__r = 1")
+    return taken.select(*citations.columns, *[F.col("nearest.place")[c].alias(c) for c in lines.columns if c != "page"], F.col("nearest.distance").alias("distance"))
 
 
 def references_from_lines(lines: DataFrame, group: str = "doc_id", order: str = "pos") -> DataFrame:
@@ -126,8 +129,20 @@ def consecutive_ids(annotations: DataFrame) -> DataFrame:
 
 
 def merge_boxes(boxes: DataFrame, max_dy: float = 0.008, max_gap: float = 0.05) -> DataFrame:
-    """Boxes of one destination on one line and close together become one; each is compared with the box merged so far."""
-    ordered = boxes.groupBy("dest").agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "x2", "y2"))).alias("b"))
+    """Boxes of one destination on one line and close together become one; each is compared with the box merged so far.
+
+    A box that is too low below the one before it, or too far right of every box of its line so far, opens a new box whatever was merged. Windows
+    find these, and only the boxes between two of them are folded."""
+    above = Window.partitionBy("dest").orderBy("y1", "x1", "x2", "y2")
+    along = Window.partitionBy("dest", "__line").orderBy("y1", "x1", "x2", "y2")
+    so_far = along.rowsBetween(Window.unboundedPreceding, -1)
+
+    def runs(opens: Column, order: Window) -> Column:
+        return F.sum(F.when(opens, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+    lines = boxes.select("dest", "y1", "x1", "x2", "y2", (F.col("y1") - F.lag("y1").over(above) >= max_dy).alias("__low")).withColumn("__line", runs(F.col("__low"), above))
+    parts = lines.withColumn("__far", F.col("x1") - F.max("x2").over(so_far) >= max_gap).withColumn("__part", runs(F.col("__far"), along))
+    ordered = parts.groupBy("dest", "__line", "__part").agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "x2", "y2"))).alias("b"))
     kind = "array<struct<y1:double,x1:double,x2:double,y2:double>>"
 
     def fold(acc: Column, b: Column) -> Column:
@@ -147,13 +162,15 @@ def best_candidate(papers: DataFrame, title: str, year: int, author: str) -> Dat
     return scored.orderBy(F.desc(F.when(F.col("score") > 20, F.col("score")).otherwise(-1)), "pos").limit(1)
 
 
-def citation_summary(citations: DataFrame, low: float = 0.5, low_inclusive: bool = False) -> DataFrame:
-    """Total, mean confidence, counts above 0.7 and below `low`."""
-    c = F.col("confidence")
-    return citations.agg(
-        F.count("*").alias("total"), F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias("average"), F.count_if(c > 0.7).alias("high"),
-        F.count_if(c <= low if low_inclusive else c < low).alias("low"),
-    )
+def citation_summary(citations: DataFrame, low: float = 0.5, low_inclusive: bool = False, method: str | None = None) -> DataFrame:
+    """Total, mean confidence, counts above 0.7 and below `low`; with a column `method`, also a map by_method of its counts, null as 'unknown'.
+    A null confidence counts as 0."""
+    c = F.coalesce("confidence", F.lit(0.0))
+    figures = [F.sum("n"), F.round(F.sum("s") / F.sum("n"), 6), F.sum("high"), F.sum("low")]
+    named = F.coalesce(F.nullif(F.col(method), F.lit("")), F.lit("unknown")) if method else F.lit("")
+    per = citations.groupBy(named.alias("method")).agg(F.count("*").alias("n"), F.sum(c).alias("s"), F.count_if(c > 0.7).alias("high"), F.count_if(c <= low if low_inclusive else c < low).alias("low"))
+    of_methods = [F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "n")))).alias("by_method")] if method else []
+    return per.agg(*[F.coalesce(f, F.lit(0.0 if k == "average" else 0)).alias(k) for f, k in zip(figures, ("total", "average", "high", "low"), strict=True)], *of_methods)
 
 
 # How a reference starts, tried in this order, and the headings that close a list of references.
@@ -325,8 +342,10 @@ query("o07_citation_ranking", f"""WITH {_CITED_SQL} SELECT doc_id, type, text, r
     lambda spark, sf_dir: _cited(spark, sf_dir).select("doc_id", "type", "text", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("priority"), F.desc("confidence"), "text")).cast("long").alias("rank"))
 )
 for _name, _low, _incl in (("a05_extraction_summary", 0.5, False), ("a06_extraction_summary_inclusive", 0.7, True)):
-    query(_name, f"WITH {_CITED_SQL} SELECT count(*) AS total, round(avg(confidence), 6) AS average, count(*) FILTER (confidence > 0.7) AS high, count(*) FILTER (confidence {'<=' if _incl else '<'} {_low}) AS low FROM c")(
-        lambda spark, sf_dir, low=_low, incl=_incl: citation_summary(_cited(spark, sf_dir), low, incl)
+    query(_name, f"""WITH {_CITED_SQL}, m AS (SELECT string_agg(concat(type, ':', n), ',' ORDER BY type) AS methods FROM (SELECT type, count(*) AS n FROM c GROUP BY type))
+SELECT count(*) AS total, round(avg(confidence), 6) AS average, count(*) FILTER (confidence > 0.7) AS high, count(*) FILTER (confidence {'<=' if _incl else '<'} {_low}) AS low, any_value(methods) AS methods FROM c, m""")(
+        lambda spark, sf_dir, low=_low, incl=_incl: citation_summary(_cited(spark, sf_dir), low, incl, "type")
+        .withColumn("methods", F.array_join(F.transform(F.map_entries("by_method"), lambda m: F.concat(m["key"], F.lit(":"), m["value"].cast("string"))), ",")).drop("by_method")
     )
 query("a07_citations_by_type", f"WITH {_CITED_SQL} SELECT type, count(*) AS n, round(avg(confidence), 6) AS average, count(*) FILTER (confidence > 0.8) AS confident FROM c GROUP BY type")(
     lambda spark, sf_dir: _cited(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("average"), F.count_if(F.col("confidence") > 0.8).alias("confident"))
@@ -377,7 +396,7 @@ def a16(spark, sf_dir):
     return score_confidence(table(spark, sf_dir, "lineitem"), "l_discount").withColumn("confidence", F.round("confidence", 6))
 
 
-_BOXES = "SELECT doc_id, doc_id % 20 AS page, (doc_id * 37 % 101) / 101.0D AS x, (doc_id * 53 % 103) / 103.0D AS y FROM {documents}"
+_BOXES = "SELECT doc_id, CAST(floor(doc_id / 50) AS BIGINT) AS page, (doc_id * 37 % 101) / 101.0D AS x, (doc_id * 53 % 103) / 103.0D AS y FROM {documents}"
 _BOXES_DUCK = _BOXES.replace("{documents}", "documents").replace("101.0D", "101.0::DOUBLE").replace("103.0D", "103.0::DOUBLE")
 
 
@@ -392,14 +411,14 @@ def j06(spark, sf_dir):
     return match_annotations(a, r).withColumn("distance", F.round("distance", 6))
 
 
-@query("j07_starting_line", """WITH c AS (SELECT doc_id AS citation_id, doc_id % 20 AS page, doc_id * 7 % 60 AS cx, doc_id * 11 % 700 AS cy FROM documents WHERE doc_id % 3 = 0),
-l AS (SELECT doc_id AS line_index, doc_id % 20 AS page, doc_id * 13 % 60 AS lx, doc_id * 17 % 700 AS ly, doc_id % 4 = 0 AS is_start FROM documents),
+@query("j07_starting_line", """WITH c AS (SELECT doc_id AS citation_id, doc_id // 50 AS page, doc_id * 7 % 60 AS cx, doc_id * 11 % 700 AS cy FROM documents WHERE doc_id % 3 = 0),
+l AS (SELECT doc_id AS line_index, doc_id // 50 AS page, doc_id * 13 % 60 AS lx, doc_id * 17 % 700 AS ly, doc_id % 4 = 0 AS is_start FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY is_start DESC, sqrt((lx - cx) * (lx - cx) + abs(ly - cy) * abs(ly - cy)), line_index) AS r FROM c JOIN l USING (page) WHERE lx - cx BETWEEN -5 AND 8 AND abs(ly - cy) <= 15)
 SELECT citation_id, line_index FROM n WHERE r = 1""")
 def j07(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    c = d.where("doc_id % 3 = 0").selectExpr("doc_id citation_id", "doc_id % 20 page", "doc_id * 7 % 60 cx", "doc_id * 11 % 700 cy")
-    lines = d.selectExpr("doc_id line_index", "doc_id % 20 page", "doc_id * 13 % 60 lx", "doc_id * 17 % 700 ly", "doc_id % 4 = 0 is_start")
+    c = d.where("doc_id % 3 = 0").selectExpr("doc_id citation_id", "doc_id div 50 page", "doc_id * 7 % 60 cx", "doc_id * 11 % 700 cy")
+    lines = d.selectExpr("doc_id line_index", "doc_id div 50 page", "doc_id * 13 % 60 lx", "doc_id * 17 % 700 ly", "doc_id % 4 = 0 is_start")
     return starting_line(c, lines).select("citation_id", "line_index")
 
 
@@ -431,16 +450,21 @@ def w11(spark, sf_dir):
     return references_from_lines(lines_of(table(spark, sf_dir, "documents")).withColumn("is_start", F.col("pos") % 3 == 0))
 
 
-@query("w07_consecutive_ids", """WITH a AS (SELECT doc_id AS id, doc_id % 2 AS suffix, doc_id // 50 AS dest FROM documents WHERE doc_id % 7 <> 3), i AS (SELECT *, id - row_number() OVER (PARTITION BY suffix, dest ORDER BY id) AS g FROM a)
+@query("w07_consecutive_ids", """WITH a AS (SELECT doc_id + doc_id // 7 AS id, doc_id // 10 % 2 AS suffix, doc_id // 50 AS dest FROM documents), i AS (SELECT *, id - row_number() OVER (PARTITION BY suffix, dest ORDER BY id) AS g FROM a)
 SELECT suffix, dest, min(id) AS first_id, count(*) AS n FROM i GROUP BY suffix, dest, g""")
 def w07(spark, sf_dir):
-    return consecutive_ids(table(spark, sf_dir, "documents").where("doc_id % 7 <> 3").selectExpr("doc_id id", "doc_id % 2 suffix", "doc_id div 50 dest"))
+    """Ids with a gap after every seven."""
+    return consecutive_ids(table(spark, sf_dir, "documents").selectExpr("doc_id + doc_id div 7 id", "doc_id div 10 % 2 suffix", "doc_id div 50 dest"))
 
 
-@query("w06_merge_boxes")
+@query("w06_merge_boxes", f"""WITH b AS (SELECT page AS dest, x AS x1, x + 0.03 AS x2, floor(y * 20) / 20 AS y1, floor(y * 20) / 20 + 0.01 AS y2 FROM ({_BOXES_DUCK})),
+g AS (SELECT *, CASE WHEN x1 - max(x2) OVER (PARTITION BY dest, y1 ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 0.05 THEN 0 ELSE 1 END AS opens FROM b),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY dest, y1 ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+SELECT dest, y1, min(x1) AS x1, max(x2) AS x2, max(y2) AS y2 FROM r GROUP BY dest, y1, run""")
 def w06(spark, sf_dir):
+    """Fifty boxes to a destination; those of one line have the same y."""
     b = spark.sql(_BOXES, documents=table(spark, sf_dir, "documents"))
-    return merge_boxes(b.selectExpr("page dest", "x x1", "x + 0.03 x2", "floor(y * 20) / 20 y1", "floor(y * 20) / 20 + 0.01 y2"))
+    return merge_boxes(b.selectExpr("page dest", "x x1", "x + 0.03D x2", "double(floor(y * 20)) / 20 y1", "double(floor(y * 20)) / 20 + 0.01D y2"))
 
 
 @query("j20_best_candidate", """WITH p AS (SELECT p_name AS title, 1990 + p_partkey % 30 AS year, p_brand AS author, p_partkey AS pos FROM part), q AS (SELECT title AS qt FROM p WHERE pos = (SELECT min(pos) FROM p)),

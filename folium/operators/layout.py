@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import text as T
 from folium.operators import lookups as L
+from folium.operators.grid import uncovered
 from folium.plans.registry import query
 from folium.session import table
 
@@ -238,15 +239,6 @@ def two_columns(lines: DataFrame, page: str, x: str, width: float) -> DataFrame:
     return c.groupBy(page).agg(F.coalesce((share > 0.1) & (F.abs(first - second) > 0.3 * width), F.lit(False)).alias("two_columns"), ((first + second) / 2).alias("middle"))
 
 
-def uncovered(texts: DataFrame, areas: DataFrame, limit: float = 0.7) -> DataFrame:
-    """Text boxes (page, id, x0, y0, x1, y1) of which no area of the page covers more than the limit; boxes without area go."""
-    w = F.greatest(F.lit(0.0), F.least("x1", "ax1") - F.greatest("x0", "ax0"))
-    h = F.greatest(F.lit(0.0), F.least("y1", "ay1") - F.greatest("y0", "ay0"))
-    own = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    covered = texts.where(own > 0).join(areas, "page").where(w * h / own > limit).select("id").distinct()
-    return texts.where(own > 0).join(covered, "id", "left_anti")
-
-
 def union_of_boxes(spans: DataFrame, by: list[str]) -> DataFrame:
     return spans.groupBy(*by, "y0", "y1").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
@@ -350,14 +342,23 @@ query("a12_sections_of_chunks", "SELECT coalesce(source, 'none') AS title, min(d
 query("o10_reading_order", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_orderkey, l_quantity, l_linenumber) AS BIGINT) AS n FROM lineitem")(
     lambda spark, sf_dir: L.numbered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_linenumber"), ["l_orderkey", "l_quantity", "l_linenumber"]).select("l_orderkey", "l_linenumber", "n")
 )
-query("p18_uncovered_texts", """WITH t AS (SELECT doc_id AS id, CAST(floor(doc_id / 50) AS BIGINT) AS page, (doc_id * 7 % 80)::DOUBLE AS x0, (doc_id * 13 % 80)::DOUBLE AS y0, (doc_id * 7 % 80 + 10)::DOUBLE AS x1, (doc_id * 13 % 80 + 5)::DOUBLE AS y1 FROM documents),
-a AS (SELECT CAST(floor(page_id / 50) AS BIGINT) AS page, (page_id * 11 % 60)::DOUBLE AS ax0, (page_id * 17 % 60)::DOUBLE AS ay0, (page_id * 11 % 60 + 40)::DOUBLE AS ax1, (page_id * 17 % 60 + 40)::DOUBLE AS ay1 FROM pages)
-SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page = t.page AND greatest(0, least(x1, ax1) - greatest(x0, ax0)) * greatest(0, least(y1, ay1) - greatest(y0, ay0)) / 50 > 0.7)""")(
-    lambda spark, sf_dir: uncovered(
-        table(spark, sf_dir, "documents").selectExpr("doc_id id", "CAST(floor(doc_id / 50) AS BIGINT) page", "double(doc_id * 7 % 80) x0", "double(doc_id * 13 % 80) y0", "double(doc_id * 7 % 80 + 10) x1", "double(doc_id * 13 % 80 + 5) y1"),
-        table(spark, sf_dir, "pages").selectExpr("CAST(floor(page_id / 50) AS BIGINT) page", "double(page_id * 11 % 60) ax0", "double(page_id * 17 % 60) ay0", "double(page_id * 11 % 60 + 40) ax1", "double(page_id * 17 % 60 + 40) ay1"),
-    ).select("id")
+_TEXT_BOXES = "SELECT doc_id AS id, CAST(floor(doc_id / 50) AS BIGINT) AS page, CAST(doc_id * 7 % 80 AS DOUBLE) AS x0, CAST(doc_id * 13 % 80 AS DOUBLE) AS y0, CAST(doc_id * 7 % 80 + 10 AS DOUBLE) AS x1, CAST(doc_id * 13 % 80 + 5 AS DOUBLE) AS y1 FROM {documents}"
+_AREAS = "SELECT page_id, CAST(floor(page_id / 50) AS BIGINT) AS page, CAST(page_id * 11 % 60 AS DOUBLE) AS ax0, CAST(page_id * 17 % 60 AS DOUBLE) AS ay0, CAST(page_id * 11 % 60 + 40 AS DOUBLE) AS ax1, CAST(page_id * 17 % 60 + 40 AS DOUBLE) AS ay1 FROM {pages}"
+_BOXES_SQL = f"t AS ({_TEXT_BOXES.replace('{documents}', 'documents')}), a AS ({_AREAS.replace('{pages}', 'pages')})"
+_COVERS = "a.page = t.page AND greatest(0, least(x1, ax1) - greatest(x0, ax0)) * greatest(0, least(y1, ay1) - greatest(y0, ay0)) / 50 >"
+
+query("p18_uncovered_texts", f"WITH {_BOXES_SQL} SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_COVERS} 0.7)")(
+    lambda spark, sf_dir: uncovered(spark.sql(_TEXT_BOXES, documents=table(spark, sf_dir, "documents")), spark.sql(_AREAS, pages=table(spark, sf_dir, "pages"))).select("id")
 )
+
+
+@query("j08_outside_images_and_tables", f"WITH {_BOXES_SQL} SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE page_id % 3 = 0 AND {_COVERS} 0.7) AND NOT EXISTS (SELECT 1 FROM a WHERE page_id % 3 > 0 AND {_COVERS} 0.95)")
+def j08(spark, sf_dir):
+    """A third of the areas are images, the rest tables, which must cover more."""
+    texts, areas = spark.sql(_TEXT_BOXES, documents=table(spark, sf_dir, "documents")), spark.sql(_AREAS, pages=table(spark, sf_dir, "pages"))
+    return uncovered(uncovered(texts, areas.where("page_id % 3 = 0")), areas.where("page_id % 3 > 0"), 0.95).select("id")
+
+
 # items of a page in two halves, about ten pixels wide
 _ITEMS = "SELECT page, pos, CAST(x * 10 AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(10 + pos % 13 AS DOUBLE) AS width, font, CAST(size AS DOUBLE) AS size, concat(font, pos % 10) AS text FROM ({})"
 
