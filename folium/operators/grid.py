@@ -30,7 +30,7 @@ def nearest(points: DataFrame, places: DataFrame, by: Sequence[str], point: tupl
     places on one spot only the first can be nearest; so neither makes a hot cell.
 
     A page whose cells, as large as the reach, hold more than `full` spots has finer levels. One place of each fine cell tells each
-    point how far the nearest can be at most; then it looks only at the at most four cells, of the level fit for that distance, that are so near.
+    point how far the nearest can be at most; then it looks only at the at most four cells, of the level fit for that distance, that are so near. Whether any page is that full is asked first.
     """
     by, (left, right, below, above) = list(by), reach
     width, height, none = left + right, below + above, F.lit(float("inf"))
@@ -45,11 +45,16 @@ def nearest(points: DataFrame, places: DataFrame, by: Sequence[str], point: tupl
     keyed = places.select(*by, F.col(place[0]).cast("double").alias("__x"), F.col(place[1]).cast("double").alias("__y"), F.struct(*order).alias("__order"), F.struct(*places.columns).alias("__place"))
     spots = keyed.where(inside(x, y)).groupBy(*by, "__x", "__y").agg(F.min("__order").alias("__order"), F.min_by("__place", "__order").alias("__place"))
     fullest = spots.groupBy(*by, *cell(x, y, F.lit(0))).agg(F.count("*").alias("__n")).groupBy(*by).agg(F.max("__n").alias("__n"))
+    deep = (fullest.agg(F.max("__n")).first()[0] or 0) > full
     depths = fullest.where(F.col("__n") > full).select(*by, F.least(F.ceil(F.log2(F.col("__n") / full) / 2), F.lit(30)).cast("int").alias("__depth"))
-    dealt = spots.join(depths, by, "left").withColumn("__level", F.explode(F.sequence(F.lit(0), F.coalesce("__depth", F.lit(0))))).select("*", *cell(x, y, F.col("__level")))
+
+    def with_depth(rows: DataFrame) -> DataFrame:
+        return rows.join(depths, by, "left").withColumn("__depth", F.coalesce("__depth", F.lit(0))) if deep else rows.withColumn("__depth", F.lit(0))
+
+    dealt = with_depth(spots).withColumn("__level", F.explode(F.sequence(F.lit(0), "__depth"))).select("*", *cell(x, y, F.col("__level"))).drop("__depth")
 
     from_x, from_y = (F.col(c).cast("double") for c in point)
-    asked = points.select(*by, from_x.alias("__px"), from_y.alias("__py")).where(inside(px, py)).distinct().join(depths, by, "left")
+    asked = with_depth(points.select(*by, from_x.alias("__px"), from_y.alias("__py")).where(inside(px, py)).distinct())
     dx, dy = x - px, y - py
     distance = F.sqrt(dx * dx + dy * dy)
     fits = dx.between(-left, right) & dy.between(-below, above)
@@ -63,14 +68,16 @@ def nearest(points: DataFrame, places: DataFrame, by: Sequence[str], point: tupl
         across = F.explode(_cells(px - F.least(F.lit(left), radius), px + F.least(F.lit(right), radius), F.lit(width) / scale))
         return rows.withColumn("__cx", across).withColumn("__cy", F.explode(_cells(py - F.least(F.lit(below), radius), py + F.least(F.lit(above), radius), F.lit(height) / scale)))
 
-    shown = dealt.where("__level > 0").groupBy(*by, *at).agg(F.min(F.struct("__x", "__y")).alias("s")).select(*by, *at, "s.*")
-    fine = asked.where("__depth > 0").withColumn("__level", F.explode(F.sequence(F.lit(1), F.col("__depth"))))
-    fine = looked_at(fine, F.lit(min(width, height)) / F.pow(F.lit(2.0), F.col("__level")))
-    bounds = fine.join(shown, [*by, *at]).where(fits).groupBy(*key).agg(F.min(distance).alias("__bound"))
-    bounded = asked.join(bounds, key, "left").withColumn("__bound", F.least(F.coalesce("__bound", none), F.lit(limit) if limit is not None else none))
-    level = F.floor(F.log2(F.lit(min(width, height)) / (2 * F.greatest("__bound", F.lit(1e-300)))))
-    level = F.when(F.col("__bound") == none, 0).otherwise(F.greatest(F.lit(0), F.least(level, F.coalesce("__depth", F.lit(0)))))
-    met = looked_at(bounded.withColumn("__level", level.cast("int")), F.col("__bound")).drop("__depth").join(dealt.drop("__depth"), [*by, *at]).where(fits)
+    farthest, bounded = none if limit is None else F.lit(float(limit)), asked
+    if deep:
+        shown = dealt.where("__level > 0").groupBy(*by, *at).agg(F.min(F.struct("__x", "__y")).alias("s")).select(*by, *at, "s.*")
+        fine = asked.where("__depth > 0").withColumn("__level", F.explode(F.sequence(F.lit(1), "__depth")))
+        fine = looked_at(fine, F.lit(min(width, height)) / F.pow(F.lit(2.0), F.col("__level")))
+        bounded = asked.join(fine.join(shown, [*by, *at]).where(fits).groupBy(*key).agg(F.min(distance).alias("__bound")), key, "left")
+    bound = F.least(F.coalesce("__bound", none), farthest) if deep else farthest
+    level = F.floor(F.log2(F.lit(min(width, height)) / (2 * F.greatest(bound, F.lit(1e-300)))))
+    level = F.when(bound == none, 0).otherwise(F.greatest(F.lit(0), F.least(level, F.col("__depth"))))
+    met = looked_at(bounded.withColumn("__level", level.cast("int")), bound).join(dealt, [*by, *at]).where(fits)
     found = met.groupBy(*key).agg(F.min_by(F.struct(distance.alias("distance"), F.col("__place").alias("place")), F.struct(distance, F.col("__order"))).alias("nearest"))
     kept = points.withColumns({"__px": from_x, "__py": from_y})
     return kept.join(found, key, "left").select(*points.columns, "nearest")
