@@ -7,14 +7,16 @@ items at a time, which is bounded by the page.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from folium.functions import text as T
 from folium.operators import lookups as L
 from folium.operators.grid import uncovered
+from folium.operators.grouped import dealt, fold_groups, walk
 from folium.plans.registry import query
 from folium.session import table
 
@@ -112,28 +114,44 @@ def numbered_lines(items: DataFrame, page: str, order: str, x: str, y: str, widt
     A line ends at a horizontal gap above `gap`: between neighbours by x, or with in_order between an item and the one before.
     One page is handled at a time; items without a place are left out."""
 
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([order] if in_order else [y, order], ascending=[True] if in_order else [False, True], kind="stable")
-        at, ends, lines, tops = None, 0.0, [], []
-        line = -1
-        for px, py, w in zip(rows[x].astype(float), rows[y].astype(float), rows[width].fillna(0).astype(float), strict=True):
+    def number() -> Callable[..., tuple[int, float]]:
+        on, at, ends, line = None, None, 0.0, -1
+
+        def step(p, px: float, py: float, w: float | None) -> tuple[int, float]:
+            nonlocal on, at, ends, line
+            if p != on or at is None:
+                on, at, ends, line = p, None, 0.0, -1
             far = in_order and gap is not None and px - ends > gap
             if at is None or abs(py - at) > tolerance or far:
                 at, line = py, line + 1
-            ends = px + w
-            lines.append(line)
-            tops.append(at)
-        rows["line"], rows["line_y"] = lines, tops
-        if gap is not None and not in_order:
-            rows = rows.sort_values(["line", x, order], kind="stable")
-            before = (rows[x].astype(float) + rows[width].fillna(0).astype(float)).shift()
-            new = (rows["line"] != rows["line"].shift()) | (rows[x].astype(float) - before > gap)
-            rows["line"] = new.cumsum() - 1
-        return rows
-
-    schema = f"{items.select(page, order, x, y, width, *[c for c in items.columns if c not in (page, order, x, y, width)])._jdf.schema().toDDL()}, line long, line_y double"
-    placed = items.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return placed.groupBy(page).applyInPandas(number, schema)
+            ends = px + (w if w is not None and w == w else 0.0)
+            return line, at
+
+        return step
+
+    def split() -> Callable[..., tuple[int]]:
+        on, ends, part = None, 0.0, -1
+
+        def step(p, line: int, px: float, w: float | None) -> tuple[int]:
+            nonlocal on, ends, part
+            if on is None or p != on[0]:
+                part = -1
+            if (p, line) != on or px - ends > gap:
+                part += 1
+            on, ends = (p, line), px + (w if w is not None and w == w else 0.0)
+            return (part,)
+
+        return step
+
+    rows = items.select(page, order, x, y, width, *[c for c in items.columns if c not in (page, order, x, y, width)])
+    place, start, above = F.col(x).cast("double"), F.col(width).cast("double"), F.col(y).cast("double")
+    rows = rows.where(place.isNotNull() & above.isNotNull()).withColumns({"__x": place, "__y": above, "__w": start})
+    numbered = walk(dealt(rows, page, [order] if in_order else [F.desc("__y"), order]), [page, "__x", "__y", "__w"], number, StructType().add("line", "long").add("line_y", "double"))
+    if gap is not None and not in_order:
+        # rows are still dealt by page
+        parts = walk(numbered.sortWithinPartitions(page, "line", "__x", order), [page, "line", "__x", "__w"], split, StructType().add("__part", "long"))
+        numbered = parts.withColumn("line", F.col("__part")).drop("__part")
+    return numbered.drop("__x", "__y", "__w")
 
 
 def text_lines(items: DataFrame, page: str, order: str, x: str, text: str, font: str, size: str) -> DataFrame:
@@ -171,10 +189,10 @@ def merge_rectangles(shapes: DataFrame, page: str, order: str, reach: float = 30
     """(page, cluster, n, x0, y0, x1, y1): in order, a rectangle with an area joins the first cluster whose box, widened by the reach, it
     overlaps, and widens that box; else it opens one. One page is handled at a time."""
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+    def merge(rows: list[tuple]) -> list[tuple]:
         boxes: list[list[float]] = []
-        for x0, y0, x1, y1 in rows.sort_values(order)[["x0", "y0", "x1", "y1"]].astype(float).itertuples(index=False):
-            if not (x1 > x0 and y1 > y0):
+        for _, _, x0, y0, x1, y1 in rows:
+            if None in (x0, y0, x1, y1) or not (x1 > x0 and y1 > y0):
                 continue
             for b in boxes:
                 if x0 < b[2] + reach and x1 > b[0] - reach and y0 < b[3] + reach and y1 > b[1] - reach:
@@ -182,12 +200,11 @@ def merge_rectangles(shapes: DataFrame, page: str, order: str, reach: float = 30
                     break
             else:
                 boxes.append([x0, y0, x1, y1, 1])
-        out = pd.DataFrame([(i, int(b[4]), *b[:4]) for i, b in enumerate(boxes)], columns=["cluster", "n", "x0", "y0", "x1", "y1"])
-        out.insert(0, page, rows[page].iloc[0])
-        return out
+        return [(rows[0][0], i, b[4], *b[:4]) for i, b in enumerate(boxes)]
 
-    kind = shapes.schema[page].dataType.simpleString()
-    return shapes.groupBy(page).applyInPandas(merge, f"{page} {kind}, cluster long, n long, x0 double, y0 double, x1 double, y1 double")
+    sides = ["x0", "y0", "x1", "y1"]
+    schema = StructType([shapes.schema[page], *[StructField(c, LongType()) for c in ("cluster", "n")], *[StructField(c, DoubleType()) for c in sides]])
+    return fold_groups(shapes.select(page, order, *[F.col(c).cast("double").alias(c) for c in sides]), page, [order], merge, schema)
 
 
 def x_clusters(lines: DataFrame, page: str, x: str, tolerance: float = 10.0) -> DataFrame:
@@ -212,10 +229,13 @@ def running_clusters(lines: DataFrame, group: str, order: list[str], x: str, tol
 
     One group, the lines of a page or the links of a document, is folded at a time; clusters are few."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[tuple]) -> list[tuple]:
         sums: list[float] = []
         sizes: list[int] = []
-        for place in rows.sort_values(order, kind="stable")[x].astype(float).dropna():
+        for row in rows:
+            place = row[-1]
+            if place is None or place != place:
+                continue
             at = next((k for k, (s, n) in enumerate(zip(sums, sizes, strict=True)) if abs(s / n - place) <= tolerance), None)
             if at is None:
                 sums.append(place)
@@ -224,11 +244,11 @@ def running_clusters(lines: DataFrame, group: str, order: list[str], x: str, tol
                 sums[at] += place
                 sizes[at] += 1
         ranked = sorted(range(len(sums)), key=lambda k: -sizes[k])[:most]
-        out = [(rows[group].iloc[0], r, math.floor(sums[k] / sizes[k] * 10 + 0.5) / 10, sizes[k]) for r, k in enumerate(ranked, 1)]
-        return pd.DataFrame(out, columns=[group, "rank", "x", "n"])
+        return [(rows[0][0], r, math.floor(sums[k] / sizes[k] * 10 + 0.5) / 10, sizes[k]) for r, k in enumerate(ranked, 1)]
 
-    kind = lines.schema[group].dataType.simpleString()
-    return lines.select(group, *dict.fromkeys([*order, x])).groupBy(group).applyInPandas(fold, f"{group} {kind}, rank long, x double, n long")
+    schema = StructType([lines.schema[group], StructField("rank", LongType()), StructField("x", DoubleType()), StructField("n", LongType())])
+    keys = [F.col(c).alias(f"__{i}") for i, c in enumerate(order)]
+    return fold_groups(lines.select(group, *keys, F.col(x).cast("double").alias("__place")), group, [f"__{i}" for i in range(len(order))], fold, schema)
 
 
 def two_columns(lines: DataFrame, page: str, x: str, width: float) -> DataFrame:

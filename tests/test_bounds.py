@@ -2,7 +2,11 @@
 
 import re
 
-from folium.operators import keywords
+from pyspark.sql.types import StructType
+
+from folium.operators import keywords, layout
+from folium.operators.grouped import fold_groups
+from folium.plans.catalogue import QUERIES
 from folium.session import table
 
 
@@ -15,3 +19,30 @@ def exchanges(frame) -> int:
 def test_keyword_texts_are_dealt_once(spark, sf_dir):
     scored = keywords.best_distinct(keywords.yake_scores(table(spark, sf_dir, "documents")), 30)
     assert exchanges(scored) == 1
+
+
+def test_no_frame_for_each_group(spark, sf_dir):
+    for name in ("t20_merge_synonyms", "t21_select_diverse", "t22_refined_concepts", "a24_x_clusters", "a25_merged_rectangles", "a27_sorted_lines", "a36_lines_in_order", "a39_line_fonts"):
+        assert "FlatMapGroupsInPandas" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_groups_go_on_over_batches(spark):
+    rows = spark.range(0, 5000).selectExpr("if(id % 3 = 2, null, id % 3) g", "id").repartition(3)
+    schema = StructType().add("g", "long").add("n", "long").add("rising", "boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = fold_groups(rows, "g", ["id"], lambda r: [(r[0][0], len(r), all(a[1] < b[1] for a, b in zip(r, r[1:], strict=False)))], schema).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((tuple(r) for r in got), key=str) == [(0, 1667, True), (1, 1667, True), (None, 1666, True)]
+
+
+def test_lines_go_on_over_batches(spark):
+    items = spark.createDataFrame([(p, i, float(i * 10), 100.0 - i // 4 * 12, 5.0 if i % 2 else None) for p in range(3) for i in range(12)], "page long, pos long, x double, y double, width double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r["page"], r["pos"]): (r["line"], r["line_y"]) for r in layout.numbered_lines(items, "page", "pos", "x", "y", "width", gap=7.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # a gap of 10 follows items without a width, one of 5 the others
+    assert got == {(p, i): (i // 4 * 3 + (0, 1, 1, 2)[i % 4], 100.0 - i // 4 * 12) for p in range(3) for i in range(12)}
