@@ -6,7 +6,7 @@ from pyspark.sql.types import StructType
 
 from folium.operators import keywords, layout
 from folium.operators.grouped import fold_groups
-from folium.plans.catalogue import QUERIES
+from folium.plans.catalogue import QUERIES, SQL
 from folium.session import table
 
 
@@ -46,3 +46,9 @@ def test_lines_go_on_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     # a gap of 10 follows items without a width, one of 5 the others
     assert got == {(p, i): (i // 4 * 3 + (0, 1, 1, 2)[i % 4], 100.0 - i // 4 * 12) for p in range(3) for i in range(12)}
+
+
+def test_pages_of_places_fill_up(spark):
+    """Twenty pages at any size, as many rows as the table has to a page."""
+    for name in ("j06_nearest_reference", "j07_starting_line"):
+        assert SQL[name].count("doc_id % 20 AS page") >= 1 and "50" not in SQL[name], name
