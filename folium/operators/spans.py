@@ -4,8 +4,9 @@ A run's score is the share of the chunk's characters that longest matching block
 that are like one of the chunk's seeds (its first ten, five and two words) and have up to `longest` spans; the best score wins,
 of equal ones the earliest start and then the shortest run. Comparing texts block by block is costly, so counts come first: a
 run can match no more of a character than both sides have, which bounds its score from above. The counts of all runs of a page
-are differences of running sums, one small table for each page; only runs whose bound beats the best score so far, and
-reaches what a likely run has already shown, are compared. No run that could win is left out.
+are differences of running sums, one small table for each page. Nor can it match more than the longest common subsequence,
+which one pass over a start's longest run tells for all its runs. Runs are compared from the largest bound down until the rest
+cannot win. No run that could win is left out.
 
 A page's spans are one row, as a page is bounded; chunks meet their page in a join and are worked on row by row, so that
 tasks hold a batch of chunks and their pages.
@@ -108,47 +109,85 @@ class Page:
     def __init__(self, texts: list[str | None]):
         self.texts = [t or "" for t in texts]
         self.plain = [plain(t) for t in self.texts]
+        self.runs: dict[tuple[int, int], str] = {}
         self.counts = np.array([letter_counts(t) for t in self.texts]).reshape(len(texts), len(LETTERS) + 1)
         self.sums = np.concatenate([np.zeros((1, len(LETTERS) + 1), np.int64), np.cumsum(self.counts, axis=0)])
 
+    def seeds(self, chunk: str) -> list[tuple[np.ndarray, dict[str, int], SequenceMatcher, int]]:
+        """For each seed of a chunk how many letters each span shares with it, the places of its letters, a matcher and its size."""
+        return [(np.minimum(self.counts, letter_counts(s)).sum(axis=1), letter_places(s), SequenceMatcher(None, "", s), len(s)) for s in seeds_of(chunk)]
+
+    def begins(self, i: int, seeds: list[tuple[np.ndarray, dict[str, int], SequenceMatcher, int]]) -> bool:
+        """Whether a span is like a seed; what shares too few characters with it is not compared."""
+        span = self.plain[i]
+        for shared, masks, matcher, size in seeds:
+            least = LIKE * (len(span) + size) - 1e-9
+            if 2 * shared[i] >= least and 2 * common(masks, size, span)[-1] >= least:
+                matcher.set_seq1(span)
+                if matcher.ratio() >= LIKE:
+                    return True
+        return False
+
     def starts(self, chunk: str) -> list[int]:
-        """Spans that are like a seed; what shares too few characters with it is not compared."""
-        found: set[int] = set()
-        sizes = np.array([len(t) for t in self.plain], np.int64)
-        for seed in seeds_of(chunk):
-            shared = np.minimum(self.counts, letter_counts(seed)).sum(axis=1)
-            for i in np.flatnonzero(2 * shared >= LIKE * (sizes + len(seed)) - 1e-9).tolist():
-                if i not in found and SequenceMatcher(None, self.plain[i], seed).ratio() >= LIKE:
-                    found.add(i)
-        return sorted(found)
+        """Spans that are like a seed."""
+        seeds = self.seeds(chunk)
+        return [i for i in range(len(self.texts)) if self.begins(i, seeds)]
 
     def run(self, start: int, stop: int) -> str:
-        return plain("".join(self.texts[start:stop]))
+        if (start, stop) not in self.runs:
+            self.runs[start, stop] = plain("".join(self.texts[start:stop]))
+        return self.runs[start, stop]
 
     def best(self, text: str | None, longest: int = LONGEST) -> tuple[int, int, float] | None:
-        """(first span, last span, score) of the best run for a chunk, or None where no span is like its seeds."""
+        """(first span, last span, score) of the best run for a chunk, or None where no span is like its seeds.
+
+        Runs are compared from the largest bound down, until none that is left could win or be an earlier equal."""
         chunk = plain(text)
-        starts = self.starts(chunk) if chunk else []
-        if not starts:
+        if not chunk:
             return None
-        own = letter_counts(chunk)
-        shown, best = self.likely(chunk, starts, longest), (0.0, None)
-        for start in starts:
-            bounds = np.minimum(self.sums[start + 1 : start + 1 + longest] - self.sums[start], own).sum(axis=1)
-            for ahead, bound in enumerate(bounds.tolist(), 1):
-                most = round(100 * bound / len(chunk), 2)
-                if most > best[0] and most >= shown:
-                    score = percentage(chunk, self.run(start, start + ahead))
-                    if score > best[0]:
-                        best = (score, (start, start + ahead - 1))
-        return (*best[1], best[0]) if best[1] else None
-
-    def likely(self, chunk: str, starts: list[int], longest: int) -> float:
-        """The score of a run that is likely good: from the span most like the longest seed on, about as long as the chunk."""
-        seed = seeds_of(chunk)[0]
-        start = max(starts, key=lambda i: SequenceMatcher(None, self.plain[i], seed).ratio())
-        sizes = np.cumsum([len(t) for t in self.plain[start : start + longest]])
-        return percentage(chunk, self.run(start, start + min(int(np.searchsorted(sizes, len(chunk))) + 1, len(sizes))))
+        own, masks, open_runs = letter_counts(chunk), letter_places(chunk), []
+        for start in self.starts(chunk):
+            counted = np.minimum(self.sums[start + 1 : start + 1 + longest] - self.sums[start], own).sum(axis=1).tolist()
+            shared, whole = common(masks, len(chunk), self.run(start, start + len(counted))), self.run(start, start + len(counted))
+            for ahead, bound in enumerate(counted, 1):
+                run = self.run(start, start + ahead)
+                if whole.startswith(run):
+                    bound = min(bound, shared[len(run)])
+                open_runs.append((-bound, start, ahead))
+        score, at = 0.0, None
+        for bound, start, ahead in sorted(open_runs):
+            most = round(100 * -bound / len(chunk), 2)
+            if most < score or most == 0:
+                break
+            if most == score and (start, ahead) > at:
+                continue
+            found = percentage(chunk, self.run(start, start + ahead))
+            if found > score or (found == score and at is not None and (start, ahead) < at):
+                score, at = found, (start, ahead)
+        return (at[0], at[0] + at[1] - 1, score) if at else None
+
+
+def letter_places(text: str) -> dict[str, int]:
+    """Where a text has each of its letters, as bits."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(text):
+        places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
+def common(masks: dict[str, int], size: int, run: str) -> list[int]:
+    """The length of the longest common subsequence of a text of `size` letters, whose places are `masks`, and each beginning of the run.
+
+    Matching blocks stand in the same order on both sides, so they have no more letters than that. A bit for each letter of the
+    text is cleared where the sequence gets longer."""
+    every = (1 << size) - 1
+    left, out = every, [0]
+    for c in run:
+        meet = left & masks.get(c, 0)
+        if meet:
+            left = ((left + meet) | (left - meet)) & every
+        out.append(size - left.bit_count())
+    return out
 
 
 @F.pandas_udf(RANGE)

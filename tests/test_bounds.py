@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql.types import StructType
 
-from folium.operators import keywords, layout
+from folium.operators import keywords, layout, spans
 from folium.operators.grouped import fold_groups
 from folium.plans.catalogue import QUERIES, SQL
 from folium.session import table
@@ -52,3 +52,34 @@ def test_pages_of_places_fill_up(spark):
     """Twenty pages at any size, as many rows as the table has to a page."""
     for name in ("j06_nearest_reference", "j07_starting_line"):
         assert SQL[name].count("doc_id % 20 AS page") >= 1 and "50" not in SQL[name], name
+
+
+def test_common_subsequence_bounds_runs():
+    """One pass tells the longest common subsequence with each beginning of a run, which no score exceeds, and few runs are compared."""
+    chunk, run = "a quick brown fox ran over it", "the quick brawn fox, and a dog ran it over"
+
+    def plainly(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    shared = spans.common(spans.letter_places(chunk), len(chunk), run)
+    assert shared == [plainly(chunk, run[:i]) for i in range(len(run) + 1)]
+    assert all(spans.matched(chunk, run[:i]) <= n for i, n in enumerate(shared))
+
+
+def test_few_runs_are_compared(monkeypatch):
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud", "amber", "tiger", "lemon") for b in ("mark", "field", "son", "wick", "ton")]
+    texts = [" ".join(words[(i * 7 + j * 11) % 30] for j in range(6)) for i in range(40)]
+    page, chunk = spans.Page(texts), " ".join(texts[9:11])
+    runs = [(i, n) for i in page.starts(chunk) for n in range(1, min(8, len(texts) - i) + 1)]
+    score, start, size = max((spans.percentage(chunk, page.run(i, i + n)), -i, -n) for i, n in runs)
+    calls = []
+    compared = spans.percentage
+    monkeypatch.setattr(spans, "percentage", lambda a, b: calls.append(1) or compared(a, b))
+    assert page.best(chunk, 8) == (-start, -start - size - 1, score)
+    assert len(calls) < len(runs) / 4
