@@ -84,6 +84,18 @@ def test_spelling_is_a_distribution():
     assert 0.9 < np.exp(logs[starts]).sum() <= 1 + 1e-9
 
 
+def test_phrases_are_looked_for_at_every_word():
+    rng = np.random.default_rng(5)
+    lengths, hashed = np.array([1, 40, 3, 60]), rng.integers(0, 1 << 63, 30).astype(np.uint64)
+    tokens, ends = rng.integers(0, 30, lengths.sum()), np.cumsum(lengths)
+    at, keys, number = lm.phrase_keys(hashed, tokens, lengths)
+    want = [i for j, n in zip(ends, lengths, strict=True) for i in range(j - n + 3, j)]
+    assert at.tolist() == want
+    assert (lm.keys_of(lm.packed_keys(keys)) == keys).all()
+    grams = [tuple(tokens[i - 3 : i].tolist()) for i in want] + [tuple(tokens[i - 3 : i + 1].tolist()) for i in want]
+    assert len(set(zip(grams, number.tolist(), strict=True))) == len(set(grams)) == len(keys)
+
+
 def running_bits(texts, taught, phrases_of):
     """What lm.bits_of_text gives, word by word: per token the ways to tell it, as (kind, bit, share)."""
     out = []
