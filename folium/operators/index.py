@@ -28,12 +28,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folium.operators.retrieval import BROADCAST_TERMS, dense_search, hashing_embedder, term_counts
+from folium.operators.retrieval import BROADCAST_NORMS, BROADCAST_TERMS, dense_search, hashing_embedder, most_frequent, term_counts
 from folium.plans.registry import query
 from folium.session import scratch_path, table
 
-#: Vectors that cells are fitted on at most.
-FITTED = 100_000
+#: Vectors that cells are fitted on at most, and bytes of texts whose terms are sorted together in one task's memory.
+FITTED, SORTED_BYTES = 100_000, 8_000_000
 
 
 class TermIndex:
@@ -60,7 +60,8 @@ class TermIndex:
         if segment in self.segments():
             return False
         named = docs.where(F.col(self.key).isNotNull())
-        counts = term_counts(named, self.key, self.text, self.bigrams)
+        size = named.agg(F.sum(F.octet_length(self.text))).first()[0] or 0
+        counts = term_counts(named, self.key, self.text, self.bigrams, 1 + size // SORTED_BYTES)
         self.write(counts, f"terms/segment={segment}")
         n = named.select(self.key).distinct()
         n.write.mode("overwrite").parquet(f"{self.folder}/keys/segment={segment}")
@@ -68,7 +69,7 @@ class TermIndex:
         return True
 
     def write(self, counts: DataFrame, name: str) -> None:
-        """Sorted by term, so that readers can leave out what has none of theirs; not shuffled."""
+        """Sorted by term, so that readers can leave out what has none of theirs; terms are not shuffled."""
         counts.select(self.key, "term", "tf").sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}")
 
     def keys(self) -> DataFrame:
@@ -93,9 +94,7 @@ class TermIndex:
             return None
         state = f"state={len(there)}-{hash_of(there)}"
         if self.table(f"norms/{state}") is None:
-            vocab = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-            if self.max_features:
-                vocab = vocab.orderBy(F.desc("cf"), "term").limit(self.max_features)
+            vocab = most_frequent(counts, self.max_features)
             n = self.keys().select(self.key).distinct().count()
             vocab.select("term", "df", "cf", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).write.mode("overwrite").parquet(f"{self.folder}/vocabulary/{state}")
             idf = self.table(f"vocabulary/{state}").select("term", "idf")
@@ -110,7 +109,8 @@ class TermIndex:
         if fitted is None:
             return None
         vocab, norms = fitted
-        weighed = self.counts().join(small(vocab.select("term", "idf"), self.max_features), "term").join(norms, self.key)
+        weighed = self.counts().join(small(vocab.select("term", "idf"), self.max_features), "term")
+        weighed = weighed.join(F.broadcast(norms) if norms.count() <= BROADCAST_NORMS else norms, self.key)
         return weighed.select(self.key, "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"))
 
     def search(self, keywords: list[str], k: int) -> DataFrame | None:

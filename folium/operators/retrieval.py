@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folium.functions.text import query_keywords
 from folium.plans.registry import query
-from folium.session import table
+from folium.session import scratch_path, table
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -23,25 +22,68 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", bigrams: bool = True) -> DataFrame:
-    """(key, term, tf). Bigrams join neighbours of the token stream. Texts are dealt by key, so their terms need no further shuffle."""
-    toks = docs.select(key, text).repartition(key).select(F.col(key), tokens(F.col(text)).alias("t"))
-    grams = F.col("t")
-    if bigrams:
-        pairs = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-        grams = F.concat(F.col("t"), F.when(F.size("t") > 1, pairs).otherwise(F.expr("cast(array() as array<string>)")))
-    return toks.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def terms_of(docs: DataFrame, key: str, text: str, bigrams: bool, parts: int | None = None) -> DataFrame:
+    """(key, t): the terms of each text. Bigrams join neighbours of the token stream. Texts are dealt by key."""
+    toks = docs.select(key, text).repartition(*([parts] if parts else []), key).select(F.col(key), tokens(F.col(text)).alias("t"))
+    if not bigrams:
+        return toks
+    pairs = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return toks.select(key, F.concat(F.col("t"), F.when(F.size("t") > 1, pairs).otherwise(F.expr("cast(array() as array<string>)"))).alias("t"))
+
+
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", bigrams: bool = True, parts: int | None = None) -> DataFrame:
+    """(key, term, tf). A text's terms are sorted and counted within its row, so that none is held or shuffled; only where a key is in
+    several rows, their terms are added up."""
+    terms = terms_of(docs, key, text, bigrams, parts).select(key, F.sort_array("t").alias("t"))
+    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1))
+    terms = terms.select(key, "t", F.filter(places, lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1))).alias("first"))
+    behind = F.concat(F.slice("first", 2, F.size("first")), F.array(F.size("t")))
+    runs = F.zip_with("first", behind, lambda i, j: F.struct(F.get("t", i).alias("term"), (j - i).cast("long").alias("tf")))
+    tf = terms.select(key, F.inline(runs))
+    repeated = docs.groupBy(key).count().where("count > 1").limit(1).count()
+    return tf.groupBy(key, "term").agg(F.sum("tf").alias("tf")) if repeated else tf
 
 
 #: A vocabulary of so many terms is joined by broadcast (about 10 MB).
 BROADCAST_TERMS = 100_000
+#: Hashes of terms and norms of texts are, up to so many (at most 100 MB); hashes taken beyond the cap, more than ever collide.
+BROADCAST_HASHES, BROADCAST_NORMS, SPARE = 1_000_000, 5_000_000, 1000
+
+
+def often_enough(tf: DataFrame, hashed: DataFrame, most: int) -> DataFrame:
+    """Rows of tf without most of the terms that are not among the `most` terms with most occurrences; hashed: (h, n), counts of hashes of terms.
+
+    Occurrences are counted by the terms' hashes first, which are narrow. A hash counts no less than each of its terms, so if more hashes
+    than asked for (by SPARE, for those that terms share) reach a count, the terms asked for reach it too, and so do their hashes.
+    """
+    spark, path = tf.sparkSession, scratch_path(tf.sparkSession, "hashes")
+    hashed.groupBy("h").agg(F.sum("n").alias("cf")).write.option("compression", "zstd").parquet(path)
+    counted = spark.read.schema("h long, cf long").parquet(path)
+    there, least = 0, 0
+    for r in sorted(counted.groupBy("cf").count().collect(), reverse=True):  # a row for each number of occurrences, about the root of all at most
+        there, least = there + r["count"], r["cf"]
+        if there >= most + SPARE:
+            break
+    enough = counted.where(F.col("cf") >= least).select("h")
+    return tf.withColumn("h", F.xxhash64("term")).join(F.broadcast(enough) if there <= BROADCAST_HASHES else enough, "h", "left_semi").drop("h")
+
+
+def most_frequent(tf: DataFrame, max_features: int | None, hashed: DataFrame | None = None) -> DataFrame:
+    """(term, df, cf) of the terms with most occurrences, ties by term."""
+    if max_features:
+        tf = often_enough(tf, tf.select(F.xxhash64("term").alias("h"), F.col("tf").alias("n")) if hashed is None else hashed, max_features)
+    counted = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return counted.orderBy(F.desc("cf"), "term").limit(max_features) if max_features else counted
+
 
+def hashed_terms(docs: DataFrame, key: str, text: str, bigrams: bool) -> DataFrame:
+    """(h, n): a row for each term of the texts."""
+    return terms_of(docs, key, text, bigrams).select(F.explode(F.transform("t", lambda t: F.xxhash64(t))).alias("h")).withColumn("n", F.lit(1))
 
-def vocabulary(tf: DataFrame, docs: DataFrame, max_features: int | None) -> DataFrame:
+
+def vocabulary(tf: DataFrame, docs: DataFrame, max_features: int | None, hashed: DataFrame | None = None) -> DataFrame:
     """(term, df, cf, idf) of the terms with most occurrences, ties by term."""
-    vocab = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    if max_features:
-        vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_features)
+    vocab = most_frequent(tf, max_features, hashed)
     n = docs.agg(F.count("*").alias("n"))  # one row
     return vocab.crossJoin(F.broadcast(n)).select("term", "df", "cf", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -56,7 +98,7 @@ def weighed_terms(tf: DataFrame, vocab: DataFrame, max_features: int | None, key
 def fit_tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", bigrams: bool = True, max_features: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
     """Vocabulary (term, df, cf, idf) and L2-normalised postings (key, term, w). The cap keeps the terms with most occurrences, ties by term."""
     tf = term_counts(docs, key, text, bigrams)
-    vocab = vocabulary(tf, docs, max_features)
+    vocab = vocabulary(tf, docs, max_features, hashed_terms(docs, key, text, bigrams))
     weighed = weighed_terms(tf, vocab, max_features, key)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return vocab, weighed.select(key, "term", (F.col("w") / norm).alias("w"))
@@ -65,7 +107,7 @@ def fit_tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", bigrams:
 def search_texts(docs: DataFrame, keywords: DataFrame, k: int, key: str = "doc_id", text: str = "text", bigrams: bool = True, max_features: int | None = 50_000) -> DataFrame:
     """keyword_search over texts that are not fitted yet: norms and the keywords' weights come from one aggregate, no postings are built."""
     tf = term_counts(docs, key, text, bigrams)
-    weighed = weighed_terms(tf, vocabulary(tf, docs, max_features), max_features, key)
+    weighed = weighed_terms(tf, vocabulary(tf, docs, max_features, hashed_terms(docs, key, text, bigrams)), max_features, key)
     asked = keywords.select("term").distinct().withColumn("asked", F.lit(True))
     hits = weighed.join(F.broadcast(asked), "term", "left")  # at most a handful of keywords
     scored = hits.groupBy(key).agg(F.sum(F.when(F.col("asked"), F.col("w"))).alias("s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -109,19 +151,20 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int, alpha: float = 0.5, key:
 def hashing_embedder(text: Column, width: int = 64) -> Column:
     """The offline default of the embedder interface: signed hashed tokens, L2-normalised; blank texts are all zeros."""
 
+    def code(word: Column) -> Column:
+        h = F.crc32(word.cast("binary"))
+        return (h % width * 2 + F.shiftright(h, 16).bitwiseAND(1)).cast("int")
+
     @F.pandas_udf("array<double>")
-    def embed(toks: pd.Series) -> pd.Series:
+    def embed(coded: pd.Series) -> pd.Series:
         out = []
-        for words in toks:
-            v = np.zeros(width)
-            for word in words if words is not None else ():
-                h = zlib.crc32(word.encode())
-                v[h % width] += 1.0 if h >> 16 & 1 else -1.0
+        for codes in coded:
+            v = np.zeros(width) if codes is None else np.bincount(codes >> 1, codes % 2 * 2.0 - 1, width)
             norm = np.linalg.norm(v)
             out.append(v / norm if norm else v)
         return pd.Series(out)
 
-    return embed(tokens(text))
+    return embed(F.transform(tokens(text), code))
 
 
 EMBEDDERS: dict[str, Callable[[Column], Column]] = {"hashing": hashing_embedder}

@@ -76,6 +76,34 @@ def test_search_texts_equals_fitted_search(spark):
     assert [r[0] for r in fitted] == [2, 5, 1]
 
 
+def test_frequent_terms_are_counted_by_hash_first(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SPARE", 1)
+    docs = spark.createDataFrame([(1, "aa bb aa cc"), (2, "aa bb dd"), (2, "bb aa"), (3, None), (None, "cc ee"), (4, "ff gg hh")], "doc_id int, text string")
+    tf = retrieval.term_counts(docs, bigrams=False)
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in tf.where("doc_id = 2").collect()} == {(2, "aa"): 2, (2, "bb"): 2, (2, "dd"): 1}  # a key in two rows
+    tf = retrieval.term_counts(docs.where("doc_id <> 2 or text like '%dd'"), bigrams=False)
+    assert "Aggregate" not in tf._jdf.queryExecution().optimizedPlan().toString()  # terms are counted within their rows
+    few = retrieval.often_enough(tf, retrieval.hashed_terms(docs, "doc_id", "text", False), 2)
+    assert {r["term"] for r in few.collect()} == {"aa", "bb", "cc"}  # the two asked for, and what else reaches the count
+    assert [tuple(r) for r in retrieval.most_frequent(tf, 3).collect()] == [("aa", 2, 3), ("bb", 2, 2), ("cc", 1, 1)]
+
+
+def test_embedder_hands_over_numbers(spark):
+    import zlib
+
+    import numpy as np
+
+    texts = ["red fish blue fish", "", None, "é ñandú x 12"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("v", retrieval.hashing_embedder(F.col("text")))
+    assert "array<int>" in str(got._jdf.queryExecution().executedPlan().toString()) or "crc32" in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        v = np.zeros(64)
+        for w in {0: ["red", "fish", "blue", "fish"], 3: ["ñandú", "12"]}.get(r["i"], []):
+            h = zlib.crc32(w.encode())
+            v[h % 64] += 1 if h >> 16 & 1 else -1
+        assert r["v"] == (v / (np.linalg.norm(v) or 1)).tolist()
+
+
 def test_quote_plus(spark):
     from urllib.parse import quote_plus
 
