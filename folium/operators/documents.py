@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import text as T
 from folium.operators import lookups as L
-from folium.operators.retrieval import cosine, hashing_embedder
+from folium.operators.retrieval import hashing_embedder, vector_cosine
 from folium.plans.registry import query
 from folium.session import table
 
@@ -38,18 +38,24 @@ def useful_parts(parts: DataFrame, words: int = 20) -> DataFrame:
     return parts.where(F.col("has_heading") | (F.size(F.split("body", r"\s+")) >= words))
 
 
-def semantic_split(sections: DataFrame, key: str, text: str = "body", percentile: float = 0.95, embed=hashing_embedder, buffer: int = 1) -> DataFrame:
+def semantic_split(sections: DataFrame, key: str | list[str], text: str = "body", percentile: float = 0.95, embed=hashing_embedder, buffer: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, chunk, text): sentences are cut where the distance to the next one is above the document's percentile. What is compared of a
-    sentence is its text with `buffer` sentences before and after it."""
-    w = Window.partitionBy(key).orderBy("i")
-    sentences = sections.select(key, F.posexplode(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")).alias("i", "sentence"))
-    around = [F.lag("sentence", k).over(w) for k in range(buffer, 0, -1)] + [F.col("sentence")] + [F.lead("sentence", k).over(w) for k in range(1, buffer + 1)]
-    sentences = sentences.withColumn("near", F.concat_ws(" ", *around)).withColumn("v", embed(F.col("near"))).drop("near")
-    gaps = sentences.withColumn("d", 1 - F.coalesce(cosine(F.lag("v").over(w), F.col("v")), F.lit(0.0)))
-    limit = F.percentile(F.when(F.col("i") > 0, F.col("d")), percentile).over(Window.partitionBy(key))
+    sentence is its text with `buffer` sentences before and after it. Columns to keep, the same in all of a key, follow.
+
+    A distance is worked out in the row of its sentence, so that sentences are dealt by key and vectors are not."""
+    keys = [key] if isinstance(key, str) else key
+    w = Window.partitionBy(*keys).orderBy("i")
+    parted = sections.select(*keys, *keep, F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "").alias("sentences"))
+    near = lambda i: F.array_join(F.slice("sentences", F.greatest(i - buffer, F.lit(0)) + 1, i + buffer + 1 - F.greatest(i - buffer, F.lit(0))), " ")
+    places = F.when(F.size("sentences") > 0, F.sequence(F.lit(0), F.size("sentences") - 1))
+    rows = F.transform(places, lambda i: F.struct(i.alias("i"), F.get("sentences", i).alias("sentence"), F.when(i > 0, near(i - 1)).alias("last"), near(i).alias("here")))
+    sentences = parted.select(*keys, *keep, F.inline(rows))
+    gaps = sentences.select(*keys, *keep, "i", "sentence", (1 - F.coalesce(vector_cosine(embed(F.col("last")), embed(F.col("here"))), F.lit(0.0))).alias("d"))
+    limit = F.percentile(F.when(F.col("i") > 0, F.col("d")), percentile).over(Window.partitionBy(*keys))
     breaks = gaps.withColumn("b", ((F.col("i") > 0) & (F.col("d") > limit)).cast("int"))
     chunked = breaks.withColumn("chunk", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return chunked.groupBy(key, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ")
+    return chunked.groupBy(*keys, "chunk").agg(joined.alias("text"), *[F.first(c).alias(c) for c in keep])
 
 
 _NO_IMAGES = "cast(array() as array<struct<caption:string,path:string>>)"
@@ -60,17 +66,17 @@ def chunk_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     the chunk that names their path, else to the part's last one."""
     parts = useful_parts(carry_forward(markdown_parts(docs, key, text), "heading", key, "pos", "title"))
     found, plain = images_of_markdown(F.col("body"))
-    parts = parts.withColumn("section", F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string"))).withColumn("found", found).withColumn("body", plain)
-    chunks = semantic_split(parts, "section").join(parts.select("section", key, "pos", "title", "found"), "section")
+    parts = parts.select(key, "pos", "title", found.alias("found"), plain.alias("body"))
+    chunks = semantic_split(parts, [key, "pos"], keep=("title", "found"))
     index = F.row_number().over(Window.partitionBy(key).orderBy("pos", "chunk")) - 1
-    placed = with_images(chunks, "section", "chunk", "found").withColumn("index", index)
+    placed = with_images(chunks, [key, "pos"], "chunk", "found").withColumn("index", index)
     return placed.select(key, "pos", "chunk", "title", "text", "images", T.chunk_id(F.col(key), F.col("index"), F.col("text")).alias("chunk_id"))
 
 
-def with_images(chunks: DataFrame, section: str, order: str, found: str) -> DataFrame:
+def with_images(chunks: DataFrame, section: str | list[str], order: str, found: str) -> DataFrame:
     """Chunks with the images (caption, path) of their section (`found`, the same in all its chunks): those whose path the text names,
     and in the last chunk those that none names. Named paths leave the text."""
-    w = Window.partitionBy(section)
+    w = Window.partitionBy(*[section] if isinstance(section, str) else section)
     every = F.coalesce(F.col(found), F.expr(_NO_IMAGES))
     rows = chunks.withColumn("images", F.filter(every, lambda i: F.col("text").contains(i["path"])))
     rows = rows.withColumn("__named", F.flatten(F.collect_set(F.transform("images", lambda i: i["path"])).over(w))).withColumn("__last", F.row_number().over(w.orderBy(F.desc(order))) == 1)
@@ -93,10 +99,10 @@ def chunk_sections(sections: DataFrame, key: str = "doc_id", order: str = "pos",
     as_figures = F.transform(linked, lambda i: F.struct(i["caption"].alias("figure_id"), i["path"].alias("path")))
     kind = "array<struct<figure_id:string,path:string>>"
     figures = F.concat(F.coalesce(F.col("figures").cast(kind), F.array().cast(kind)), as_figures.cast(kind))
-    rows = sections.select(key, order, "title", "page", figures.alias("__figures"), plain.alias("body")).withColumn("section", F.concat_ws(":", F.col(key).cast("string"), F.col(order).cast("string")))
+    rows = sections.select(key, order, "title", "page", figures.alias("__figures"), plain.alias("body"))
     blank = T.strip(F.col("body")) == ""
     empty = rows.where(blank & (F.size("__figures") > 0)).select(key, order, F.lit(0).cast("long").alias("chunk"), "title", "page", F.lit("").alias("text"), F.col("__figures").alias("images"))
-    chunks = semantic_split(rows.where(~blank), "section").join(rows.drop("body"), "section")
+    chunks = semantic_split(rows.where(~blank), [key, order], keep=("title", "page", "__figures"))
     named = F.filter("__figures", lambda f: F.coalesce((f["figure_id"] != "") & F.col("text").contains(f["figure_id"]), F.lit(False)))
     return chunks.select(key, order, "chunk", "title", "page", "text", F.when(F.size(named) > 0, named).alias("images")).unionByName(empty)
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from folium.functions.text import query_keywords
 from folium.plans.registry import query
@@ -130,6 +131,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+@F.pandas_udf(DoubleType())
+def vector_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """`cosine` of vectors without nulls, for many of them: the same sums in the same order, over all rows at once; null where a vector is null or zero."""
+    out, there = np.full(len(a), np.nan), np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    if len(there):
+        x, y = np.stack(a.iloc[there].to_numpy()).astype(float).T, np.stack(b.iloc[there].to_numpy()).astype(float).T
+        xy, xx, yy = (np.zeros(len(there)) for _ in range(3))
+        for p, q in zip(x, y, strict=True):
+            xy, xx, yy = xy + p * q, xx + p * p, yy + q * q
+        size = np.sqrt(xx) * np.sqrt(yy)
+        out[there] = np.divide(xy, size, out=np.full(len(there), np.nan), where=size != 0)
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+
 def normalise(v: Column) -> Column:
     norm = F.sqrt(dot(v, v))
     return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), x))

@@ -104,6 +104,18 @@ def test_embedder_hands_over_numbers(spark):
         assert r["v"] == (v / (np.linalg.norm(v) or 1)).tolist()
 
 
+def test_sentences_are_dealt_without_vectors(spark):
+    rows = [(1, [1.0, 2.0, 0.3]), (2, [0.1, -5.0, 7.0]), (3, [0.0, 0.0, 0.0]), (4, None)]
+    both = spark.createDataFrame(rows, "i int, v array<double>").crossJoin(spark.createDataFrame(rows, "j int, w array<double>"))
+    got = both.select(retrieval.cosine(F.col("v"), F.col("w")).alias("a"), retrieval.vector_cosine(F.col("v"), F.col("w")).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and sum(r["a"] is None for r in got) == 12
+    docs = spark.createDataFrame([(1, "# A\nOne two three. Four five. Six ![c](i/a.png) seven! i/b.png ![d](i/b.png)"), (2, None)], "doc_id int, text string")
+    chunks = documents.chunk_markdown(docs)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") < 5  # parts are not joined to their chunks again
+    assert {i["path"] for r in chunks.collect() for i in r["images"]} == {"i/a.png", "i/b.png"}
+
+
 def test_quote_plus(spark):
     from urllib.parse import quote_plus
 
