@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -60,9 +61,14 @@ def plain(text: str | None) -> str:
     return _BLANKS.sub(" ", _OTHER.sub(" ", folded_text(text).lower())).strip()
 
 
-@F.pandas_udf(StringType())
-def comparable(texts: pd.Series) -> pd.Series:
-    return texts.map(plain)
+#: Texts that are Python's at a time.
+TEXTS = 256
+
+
+@F.arrow_udf(StringType())
+def comparable(texts: pa.Array) -> pa.Array:
+    parts = [pa.array(map(plain, texts.slice(i, TEXTS).to_pylist()), pa.string()) for i in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
 
 
 def matched(a: str, b: str) -> int:

@@ -4,6 +4,8 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from folium.operators import spans
 
@@ -83,3 +85,11 @@ def test_boxes(spark):
 
 def test_folding():
     assert spans.plain("Ά α β\n≤𝐀𝑥  Q r—s") == "alpha with tonos alpha beta ax q r s" and spans.plain(None) == ""
+
+
+def test_texts_are_compared_in_slices(spark):
+    texts = [None, "", "α ≤ 𝑥  A-b"] + [f"Text {i} ﬁn" for i in range(2 * spans.TEXTS)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).withColumn("c", spans.comparable(F.col("text")))
+    assert [r["c"] for r in rows.orderBy("i").collect()] == [spans.plain(t) for t in texts]
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
+    assert spans.comparable.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
