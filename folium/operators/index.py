@@ -34,6 +34,8 @@ from folium.session import scratch_path, table
 
 #: Vectors that cells are fitted on at most, and bytes of texts whose terms are sorted together in one task's memory.
 FITTED, SORTED_BYTES = 100_000, 8_000_000
+#: Queries that meet a slice of a cell in one task, about.
+ASKED = 16_384
 
 
 class TermIndex:
@@ -218,7 +220,7 @@ def recall(exact: DataFrame, found: DataFrame, key: str = "vec_id") -> float:
 def search_all(index: VectorIndex, queries: DataFrame, k: int, candidates: int | None = None, slice_rows: int = 4096) -> DataFrame:
     """(query, rank, key, cos) for many queries (query, q) at once: each query meets only the rows of the cells it visits.
 
-    A cell is dealt in slices of bounded size, so that a large one is many tasks; each gives the best of each query.
+    A cell is dealt in slices of bounded size, and queries in blocks, so that a large one is many tasks; each gives the best of each query.
     """
     spark, candidates = index.spark, candidates or min(max(10 * k, 100), 1000)
     sizes = spark.read.parquet(f"{index.folder}/sizes").where("cell >= 0")
@@ -248,14 +250,15 @@ def search_all(index: VectorIndex, queries: DataFrame, k: int, candidates: int |
             out.append(pd.DataFrame({"query": np.repeat(part["query"].to_numpy(), top.shape[1]), "key": keys[top].ravel(), "cos": np.take_along_axis(cos, top, axis=1).ravel()}))
         return pd.concat(out)
 
+    blocks = max(1, -(-queries.count() // ASKED))
     fields = f"query {queries.schema['query'].dataType.simpleString()}, q array<double>, cell int"
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / slice_rows)).cast("int")
     sized = F.broadcast(sizes.select("cell", slices.alias("slices")))
     asked = queries.select("query", F.transform("q", lambda x: x.cast("double")).alias("q")).mapInPandas(visits, fields)
-    asked = asked.join(sized, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    asked = asked.join(sized, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
     rows = spark.read.parquet(f"{index.folder}/vectors").where("cell >= 0").select(F.col(index.key).alias("key"), F.transform(index.vector, lambda x: x.cast("double")).alias("v"), "cell")
-    rows = rows.join(sized, "cell").withColumn("slice", F.pmod(F.xxhash64("key"), "slices").cast("int")).drop("slices")
-    found = asked.groupBy("cell", "slice").cogroup(rows.groupBy("cell", "slice")).applyInPandas(best, schema)
+    rows = rows.join(sized, "cell").withColumn("slice", F.pmod(F.xxhash64("key"), "slices").cast("int")).drop("slices").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = asked.groupBy("cell", "slice", "block").cogroup(rows.groupBy("cell", "slice", "block")).applyInPandas(best, schema)
     order = Window.partitionBy("query").orderBy(F.desc(F.round("cos", 6)), "key")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select("query", (F.col("rank") - 1).alias("rank"), F.col("key").alias(index.key), "cos")

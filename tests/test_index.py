@@ -85,6 +85,17 @@ def test_candidates_have_the_nearest(spark, clustered, tmp_path):
         assert [(r["vec_id"], round(r["cos"], 5)) for r in got.where(F.col("query") == k).orderBy("rank").collect()] == [(r["vec_id"], round(r["cos"], 5)) for r in index.search(v, 10, 450).collect()]
 
 
+def test_queries_meet_cells_in_blocks(spark, sf_dir, tmp_path, monkeypatch):
+    index = I.VectorIndex(spark, str(tmp_path / "v")).build(table(spark, sf_dir, "embeddings"), cells=3)
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    rows = lambda f: sorted((r["query"], r["rank"], r["vec_id"], round(r["cos"], 6)) for r in f.collect())
+    whole = rows(I.search_all(index, asked, 3, 100))
+    monkeypatch.setattr(I, "ASKED", 7)
+    parted = I.search_all(index, asked, 3, 100)
+    assert rows(parted) == whole and len(whole) == 75
+    assert "block" in parted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_recall_on_the_given_vectors(spark, sf_dir, tmp_path):
     """Ten nearest of every twentieth vector, against the exact scan."""
     v = table(spark, sf_dir, "embeddings")
