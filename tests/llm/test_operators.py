@@ -96,6 +96,28 @@ def test_phrases_are_looked_for_at_every_word():
     assert len(set(zip(grams, number.tolist(), strict=True))) == len(set(grams)) == len(keys)
 
 
+def test_phrases_are_counted_whole_though_few_keys_are_sent(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:6], "w1 w2 w3 w4", "w1", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes = lm.Classes(np.zeros(lm.CLASSES), np.zeros((lm.CLASSES, lm.HASHED), np.float32))
+    data = lm.Scratch(spark, "few-keys").write(lm.chunks_of(docs, 4, classes), "chunks").select("chunk", "docs", "flags", "sizes", "tokens", "words")
+    here = {r["chunk"]: lm.Phrases.of(lm.Chunk.of(r)) for r in data.collect()}
+    assert len(here) == 3
+    total = Counter()
+    for chunk in here.values():
+        total.update(dict(zip(chunk.keys.tolist(), chunk.times.tolist(), strict=True)))
+    for kept in (lm.upper_bits(len(total)), 6):  # with few bits, most are asked for in vain
+        requests = lm.phrase_requests(data, lm.hints(lm.hints_wanted(data, 4, kept)), 4, kept)
+        replies = lm.phrase_answers(requests).toPandas().sort_values("block")
+        for k, chunk in here.items():
+            assert chunk.counts(replies[replies["chunk"] == k], kept).tolist() == [total[x] for x in chunk.keys.tolist()]
+        sent = sum(len(lm.keys_of(r["keys"])) for r in requests.collect())
+        assert sent < sum(len(c.keys) for c in here.values()) / 3 or kept == 6
+
+
 def running_bits(texts, taught, phrases_of):
     """What lm.bits_of_text gives, word by word: per token the ways to tell it, as (kind, bit, share)."""
     out = []
