@@ -11,7 +11,8 @@ their own with the automaton, and one text's candidates with the n-grams, so key
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ from folium.operators.keywords import candidates, count_terms, leftmost_longest,
 from folium.plans.registry import query
 from folium.session import table
 
-#: Words of all terms up to which the automaton is broadcast (about 200 bytes each), and lemmas that a task remembers.
-MAX_TERMS, KEPT = 1_000_000, 200_000
+#: Words of all terms up to which the automaton is broadcast (about 200 bytes each), lemmas that a task remembers, and texts that it scans at a time.
+MAX_TERMS, KEPT, SLICE = 1_000_000, 50_000, 256
 
 Match = tuple[int, int]
 
@@ -125,6 +126,22 @@ def by_length(found: Iterable[Match]) -> list[Match]:
 TAKES = {"leftmost": (from_the_left, leftmost_longest), "longest": (by_length, longest_first)}
 
 
+def scan_texts(batches: Iterator[pa.RecordBatch], automaton: Automaton, take: Callable[[Iterable[Match]], list[Match]], key: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Matches in batches of (key, words joined by blanks), a batch for each SLICE texts: no more are Python strings at a time."""
+    lemmas = Lemmas()
+    for batch in chain.from_iterable((whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)) for whole in batches):
+        row, start, size, form = [], [], [], []
+        for i, text_of in enumerate(batch.column(1).to_pylist()):
+            words = [lemmas[w] for w in text_of.split(" ")] if text_of else []
+            for first, n in take(automaton.matches(words)):
+                row.append(i)
+                start.append(first + 1)
+                size.append(n)
+                form.append(" ".join(words[first : first + n]))
+        keys = batch.column(0).take(pa.array(row, pa.int64())).cast(kind)
+        yield pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(form, pa.string())], names=[key, "start", "n", "form"])
+
+
 def find_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", take: str = "leftmost", method: str = "automaton") -> DataFrame:
     """(key, start, n, form): where terms (`prepared_terms`) stand in texts, first word from 1 and number of words, without overlaps.
 
@@ -140,18 +157,7 @@ def find_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
     kind = to_arrow_type(docs.schema[key].dataType)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lemmas, automaton = Lemmas(), machine.value
-        for batch in batches:
-            row, start, size, form = [], [], [], []
-            for i, text_of in enumerate(batch.column(1).to_pylist()):
-                words = [lemmas[w] for w in text_of.split(" ")] if text_of else []
-                for first, n in here(automaton.matches(words)):
-                    row.append(i)
-                    start.append(first + 1)
-                    size.append(n)
-                    form.append(" ".join(words[first : first + n]))
-            keys = batch.column(0).take(pa.array(row, pa.int64())).cast(kind)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(form, pa.string())], names=[key, "start", "n", "form"])
+        return scan_texts(batches, machine.value, here, key, kind)
 
     plain = docs.select(key, T.plain_words(F.col(text)).alias("__words"))
     return plain.mapInArrow(scan, f"`{key}` {docs.schema[key].dataType.simpleString()}, start int, n int, form string")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,12 @@ def test_large_dictionaries_are_joined(spark, monkeypatch):
     assert rows(find_terms(docs, terms, "k", "t")) == want
     monkeypatch.setattr(dictionary, "MAX_TERMS", 1)
     assert rows(find_terms(docs, terms, "k", "t")) == want
+
+
+def test_texts_are_scanned_in_slices():
+    texts = [None if i % 97 == 0 else f"the cats {i}" for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["doc_id", "words"])
+    found = list(dictionary.scan_texts(iter([batch, batch.slice(0, 0)]), Automaton([["cat"]]), from_the_left, "doc_id", pa.int64()))
+    assert len(found) > 1 and max(b.num_rows for b in found) <= dictionary.SLICE
+    rows = [r for b in found for r in b.to_pylist()]
+    assert rows == [{"doc_id": i, "start": 2, "n": 1, "form": "cat"} for i in range(1000) if i % 97]
