@@ -36,6 +36,8 @@ from folium.session import scratch_path, table
 FITTED, SORTED_BYTES = 100_000, 8_000_000
 #: Queries that meet a slice of a cell in one task, about.
 ASKED = 16_384
+#: Queries that are worked out together.
+TOGETHER = 256
 
 
 class TermIndex:
@@ -167,7 +169,7 @@ class VectorIndex:
         if cells > 1:
             fit_on = stored.where("__v is not null").select(array_to_vector("__v").alias("features"), F.xxhash64(self.key).alias("__h"))
             if n > FITTED:
-                fit_on = fit_on.orderBy("__h").limit(FITTED)
+                fit_on = fit_on.orderBy("__h").limit(FITTED).repartition("__h")  # the limit leaves them in one partition
             model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=15).fit(fit_on)
             centres = [c.tolist() for c in model.clusterCenters()]
             good = model.transform(stored.where("__v is not null").withColumn("features", array_to_vector("__v"))).withColumnRenamed("prediction", "cell").drop("features", "__v")
@@ -220,7 +222,8 @@ def recall(exact: DataFrame, found: DataFrame, key: str = "vec_id") -> float:
 def search_all(index: VectorIndex, queries: DataFrame, k: int, candidates: int | None = None, slice_rows: int = 4096) -> DataFrame:
     """(query, rank, key, cos) for many queries (query, q) at once: each query meets only the rows of the cells it visits.
 
-    A cell is dealt in slices of bounded size, and queries in blocks, so that a large one is many tasks; each gives the best of each query.
+    Cells that follow each other are dealt to slices of about `slice_rows` rows, a larger cell to several. A query goes once to each slice
+    with cells it visits, which it names, and queries in blocks, so that a task holds a slice and a block; it gives the best of each query.
     """
     spark, candidates = index.spark, candidates or min(max(10 * k, 100), 1000)
     sizes = spark.read.parquet(f"{index.folder}/sizes").where("cell >= 0")
@@ -229,41 +232,71 @@ def search_all(index: VectorIndex, queries: DataFrame, k: int, candidates: int |
     if not held:
         return spark.createDataFrame([], "query long, rank int, key long, cos double").withColumnRenamed("key", index.key)
     centres = index.centres()
+    dealt, edges = slices_of(held, len(centres), slice_rows)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes, first, last = np.array([held.get(c, 0) for c in range(len(centres))]), *edges.T
         for batch in batches:
-            near = np.argsort(-(unit(np.array(batch["q"].tolist(), float).reshape(len(batch), -1)) @ centres.T), axis=1, kind="stable") if len(batch) else np.zeros((0, 1), int)
-            before = np.cumsum(np.array([held.get(c, 0) for c in range(len(centres))])[near], axis=1)
-            i, j = np.nonzero(np.concatenate([np.zeros((len(batch), 1)), before[:, :-1]], axis=1) < candidates)
-            yield pd.DataFrame({"query": batch["query"].to_numpy()[i], "q": batch["q"].to_numpy()[i], "cell": near[i, j]})
+            for at in range(0, len(batch), TOGETHER):
+                part = batch.iloc[at : at + TOGETHER]
+                near = np.argsort(-(unit(np.array(part["q"].tolist(), float)) @ centres.T), axis=1, kind="stable")
+                before = np.cumsum(sizes[near], axis=1) - sizes[near]
+                visited = np.zeros(near.shape, bool)
+                np.put_along_axis(visited, near, before < candidates, axis=1)
+                visited &= sizes > 0
+                counted = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(visited, axis=1)], axis=1)
+                i, s = np.nonzero(counted[:, last] > counted[:, first])
+                named = [np.packbits(visited[x, first[y] : last[y]]).tobytes() for x, y in zip(i.tolist(), s.tolist(), strict=True)]
+                yield pd.DataFrame({"query": part["query"].to_numpy()[i], "q": part["q"].to_numpy()[i], "slice": s.astype(np.int32), "named": named})
 
     def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(rows):
-            return pd.DataFrame({"query": [], "key": [], "cos": []})
-        x, keys, out = unit(np.array(rows["v"].tolist(), float)), rows["key"].to_numpy(), []
-        order = np.argsort(keys, kind="stable")
-        x, keys = x[order], keys[order]
-        for at in range(0, len(asked), 512):
-            part = asked.iloc[at : at + 512]
+        out = [pd.DataFrame({"query": asked["query"].to_numpy()[:0], "key": rows["key"].to_numpy()[:0], "cos": np.zeros(0)})]
+        rows = rows.sort_values("key", kind="stable") if len(asked) else rows[:0]
+        x, keys, place = unit(np.array(rows["v"].tolist(), float).reshape(len(rows), -1 if len(rows) else 0)), rows["key"].to_numpy(), rows["place"].to_numpy()
+        for at in range(0, len(asked) if len(rows) else 0, TOGETHER):
+            part = asked.iloc[at : at + TOGETHER]
+            named = np.unpackbits(np.frombuffer(b"".join(part["named"]), np.uint8).reshape(len(part), -1), axis=1)
             cos = unit(np.array(part["q"].tolist(), float)) @ x.T
-            top = np.argsort(-np.round(cos, 6), axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query": np.repeat(part["query"].to_numpy(), top.shape[1]), "key": keys[top].ravel(), "cos": np.take_along_axis(cos, top, axis=1).ravel()}))
+            shown = np.where(named[:, place] == 1, np.round(cos, 6), -np.inf)
+            least = np.partition(shown, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(part), -np.inf)
+            i, j = np.nonzero((shown >= least[:, None]) & (shown > -np.inf))
+            order = np.lexsort((j, -shown[i, j], i))  # equal ones by key
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[first], j[first]
+            out.append(pd.DataFrame({"query": part["query"].to_numpy()[i], "key": keys[j], "cos": cos[i, j]}))
         return pd.concat(out)
 
     blocks = max(1, -(-queries.count() // ASKED))
-    fields = f"query {queries.schema['query'].dataType.simpleString()}, q array<double>, cell int"
-    slices = F.greatest(F.lit(1), F.ceil(F.col("n") / slice_rows)).cast("int")
-    sized = F.broadcast(sizes.select("cell", slices.alias("slices")))
+    fields = f"query {queries.schema['query'].dataType.simpleString()}, q array<double>, slice int, named binary"
+    sized = F.broadcast(spark.createDataFrame(dealt, "cell int, first int, slices int, place int"))  # one row a cell
     asked = queries.select("query", F.transform("q", lambda x: x.cast("double")).alias("q")).mapInPandas(visits, fields)
-    asked = asked.join(sized, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    rows = spark.read.parquet(f"{index.folder}/vectors").where("cell >= 0").select(F.col(index.key).alias("key"), F.transform(index.vector, lambda x: x.cast("double")).alias("v"), "cell")
-    rows = rows.join(sized, "cell").withColumn("slice", F.pmod(F.xxhash64("key"), "slices").cast("int")).drop("slices").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = asked.groupBy("cell", "slice", "block").cogroup(rows.groupBy("cell", "slice", "block")).applyInPandas(best, schema)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    rows = spark.read.parquet(f"{index.folder}/vectors").where("cell >= 0").select(F.col(index.key).alias("key"), F.col(index.vector).alias("v"), "cell")
+    rows = rows.join(sized, "cell").select("key", "v", "place", (F.col("first") + F.pmod(F.xxhash64("key"), "slices")).cast("int").alias("slice"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = asked.groupBy("slice", "block").cogroup(rows.groupBy("slice", "block")).applyInPandas(best, schema)
     order = Window.partitionBy("query").orderBy(F.desc(F.round("cos", 6)), "key")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select("query", (F.col("rank") - 1).alias("rank"), F.col("key").alias(index.key), "cos")
 
 
+def slices_of(held: dict[int, int], cells: int, slice_rows: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """(cell, its first slice, how many it has, its place among the slice's cells) by the rows that cells hold, and the cells from ... to ... of each slice."""
+    dealt, edges, filled = [], [], slice_rows
+    for cell in range(cells):
+        n = held.get(cell, 0)
+        parts = max(1, -(-n // slice_rows))
+        if filled + n > slice_rows:
+            edges += [[cell, cell]] * parts
+            filled = 0
+        filled += n if parts == 1 else slice_rows
+        for edge in range(len(edges) - parts, len(edges)):
+            edges[edge] = [edges[edge][0], cell + 1]
+        dealt.append((cell, len(edges) - parts, parts, cell - edges[-1][0]))
+    return dealt, np.array(edges, np.int64).reshape(-1, 2)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
