@@ -2,14 +2,14 @@
 
 A run's score is the share of the chunk's characters that longest matching blocks find in it, in percent. Runs begin at spans
 that are like one of the chunk's seeds (its first ten, five and two words) and have up to `longest` spans; the best score wins,
-of equal ones the earliest start and then the shortest run. Comparing texts block by block is costly, so counts come first: a
-run can match no more of a character than both sides have, which bounds its score from above. The counts of all runs of a page
-are differences of running sums, one small table for each page. Nor can it match more than the longest common subsequence,
-which one pass over a start's longest run tells for all its runs. Runs are compared from the largest bound down until the rest
-cannot win. No run that could win is left out.
+of equal ones the earliest start and then the shortest run. Comparing texts block by block is costly, so bounds come first: a run
+can match no more than the longest common subsequence. One pass over the chunk's letters tells for all starts of a page at once how
+far a run must go to have all of them, all but one and so on up to a few (MISSING); runs are compared from the fewest missing up
+until the rest cannot win. Only chunks that no run has so nearly are compared with the subsequence of each start's longest run,
+worked out whole. No run that could win is left out, and whether a span is like a seed is asked of those that could.
 
-A page's spans are one row, as a page is bounded; chunks meet their page in a join and are worked on row by row, so that
-tasks hold a batch of chunks and their pages.
+A page's spans are one row, as a page is bounded. Chunks of a page are dealt to blocks of about CHUNKS, fewer where it has many spans,
+and a block meets its page in a join, so that a large page is worked on by many tasks and is not copied for each chunk.
 
 Cases: a null or empty chunk, a chunk of one word, a page without spans and a score under the threshold give found = false; null spans are
 empty ones; spans of equal place keep the order of their text; a null page matches nothing; requests with equal ids
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -29,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from folium.functions import text as T
 from folium.plans.registry import query
@@ -37,6 +36,10 @@ from folium.session import table
 
 #: Words of the seeds, least likeness of a span to a seed, least score in percent, and spans of a run.
 SEEDS, LIKE, THRESHOLD, LONGEST = (10, 5, 2), 0.4, 0.75, 100
+#: Letters of a chunk that runs may lack, step by step, before all runs are bounded one by one.
+MISSING = (3, 12, 30)
+#: Chunks of a page that are worked on together, spans of a page from which on they are fewer, and chunk letters after which starts that are out are dropped.
+CHUNKS, SPANS, LETTERS_A_ROUND = 64, 256, 8
 #: What comparable texts are made of besides the space.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789.,;:()[]{}+-=/"
 _OTHER, _BLANKS = re.compile(r"[^a-z0-9\s.,;:()\[\]{}+\-=/]"), re.compile(r"\s+")
@@ -101,34 +104,64 @@ def seeds_of(chunk: str) -> list[str]:
     return ["".join(words[:n]) for n in SEEDS if len(words) >= n]
 
 
-def letter_counts(text: str) -> np.ndarray:
-    """How often a text that is not yet squeezed has each of LETTERS and, last, what becomes a blank."""
-    counts = Counter(_OTHER.sub(" ", folded_text(text).lower()))
-    out = np.array([counts.pop(c, 0) for c in LETTERS] + [0], np.int64)
-    out[-1] = sum(counts.values())
-    return out
-
-
 class Page:
-    """The spans of a page in their order, with running sums of their letter counts."""
+    """The spans of a page in their order, and where the next one of a letter is."""
 
     def __init__(self, texts: list[str | None]):
         self.texts = [t or "" for t in texts]
         self.plain = [plain(t) for t in self.texts]
         self.runs: dict[tuple[int, int], str] = {}
-        self.counts = np.array([letter_counts(t) for t in self.texts]).reshape(len(texts), len(LETTERS) + 1)
-        self.sums = np.concatenate([np.zeros((1, len(LETTERS) + 1), np.int64), np.cumsum(self.counts, axis=0)])
-
-    def seeds(self, chunk: str) -> list[tuple[np.ndarray, dict[str, int], SequenceMatcher, int]]:
-        """For each seed of a chunk how many letters each span shares with it, the places of its letters, a matcher and its size."""
-        return [(np.minimum(self.counts, letter_counts(s)).sum(axis=1), letter_places(s), SequenceMatcher(None, "", s), len(s)) for s in seeds_of(chunk)]
-
-    def begins(self, i: int, seeds: list[tuple[np.ndarray, dict[str, int], SequenceMatcher, int]]) -> bool:
+        # a run's text is in that of its spans, which may have more blanks where they meet
+        inside = [_BLANKS.sub(" ", _OTHER.sub(" ", folded_text(t).lower())) for t in self.texts]
+        self.edges = np.concatenate([[0], np.cumsum([len(t) for t in inside], dtype=np.int64)]).astype(np.int32)
+        self.letters = np.frombuffer("".join(inside).encode("ascii"), np.uint8)
+        self.after: dict[int, np.ndarray] = {}
+
+    def next_of(self, letter: int) -> np.ndarray:
+        """From each place the place behind the next such letter; one more than there are letters where none follows."""
+        if letter not in self.after:
+            n, at = len(self.letters), np.flatnonzero(self.letters == letter).astype(np.int32)
+            out = np.full(n + 2, n + 1, np.int32)
+            out[at] = at + 1
+            self.after[letter] = np.minimum.accumulate(out[::-1])[::-1].copy()
+        return self.after[letter]
+
+    def reach(self, chunk: str, missing: int, longest: int) -> list[tuple[int, int, int]]:
+        """(letters missing, start, spans) of the runs whose text lacks at most so many of a chunk's letters as a common subsequence."""
+        spans = len(self.texts)
+        start = np.arange(spans)
+        limit = self.edges[np.minimum(start + longest, spans)]
+        ends = np.repeat(self.edges[None, :-1], missing + 1, axis=0)
+        for i, letter in enumerate(chunk.encode("ascii"), 1):
+            found = self.next_of(letter).take(ends)
+            np.minimum(found[1:], ends[:-1], out=found[1:])  # or the letter is missing
+            ends = found
+            if i % LETTERS_A_ROUND == 0:
+                still = ends[-1] <= limit
+                if not still.all():
+                    ends, start, limit = ends[:, still], start[still], limit[still]
+                if not len(start):
+                    return []
+        out = []
+        ahead = np.maximum(np.searchsorted(self.edges, ends) - start, 1)
+        most = np.minimum(longest, spans - start)
+        for first, few, last in zip(start.tolist(), ahead.T.tolist(), most.tolist(), strict=True):
+            stop = last + 1
+            for lacking, n in enumerate(few):
+                out += [(lacking, first, x) for x in range(n, stop)]
+                stop = min(stop, n)
+        return sorted(out)
+
+    def seeds(self, chunk: str) -> list[tuple[dict[str, int], SequenceMatcher, int]]:
+        """For each seed of a chunk the places of its letters, a matcher and its size."""
+        return [(letter_places(s), SequenceMatcher(None, "", s), len(s)) for s in seeds_of(chunk)]
+
+    def begins(self, i: int, seeds: list[tuple[dict[str, int], SequenceMatcher, int]]) -> bool:
         """Whether a span is like a seed; what shares too few characters with it is not compared."""
         span = self.plain[i]
-        for shared, masks, matcher, size in seeds:
+        for masks, matcher, size in seeds:
             least = LIKE * (len(span) + size) - 1e-9
-            if 2 * shared[i] >= least and 2 * common(masks, size, span)[-1] >= least:
+            if 2 * min(len(span), size) >= least and 2 * common(masks, size, span)[-1] >= least:
                 matcher.set_seq1(span)
                 if matcher.ratio() >= LIKE:
                     return True
@@ -151,27 +184,51 @@ class Page:
         chunk = plain(text)
         if not chunk:
             return None
-        own, masks, open_runs = letter_counts(chunk), letter_places(chunk), []
-        for start in self.starts(chunk):
-            counted = np.minimum(self.sums[start + 1 : start + 1 + longest] - self.sums[start], own).sum(axis=1).tolist()
-            shared, whole = common(masks, len(chunk), self.run(start, start + len(counted))), self.run(start, start + len(counted))
-            for ahead, bound in enumerate(counted, 1):
-                run = self.run(start, start + ahead)
-                if whole.startswith(run):
-                    bound = min(bound, shared[len(run)])
-                open_runs.append((-bound, start, ahead))
+        seeds, begun, compared = self.seeds(chunk), {}, set()
         score, at = 0.0, None
-        for bound, start, ahead in sorted(open_runs):
-            most = round(100 * -bound / len(chunk), 2)
-            if most < score or most == 0:
+
+        def compare(runs: list[tuple[int, int, int]]) -> None:
+            nonlocal score, at
+            for lacking, start, ahead in runs:
+                most = bound(lacking)
+                if most < score or most == 0:
+                    break
+                if (most == score and (start, ahead) > at) or (start, ahead) in compared:
+                    continue
+                compared.add((start, ahead))
+                if start not in begun:
+                    begun[start] = self.begins(start, seeds)
+                if not begun[start]:
+                    continue
+                found = percentage(chunk, self.run(start, start + ahead))
+                if found > score or (found == score and at is not None and (start, ahead) < at):
+                    score, at = found, (start, ahead)
+
+        def bound(lacking: int) -> float:
+            return round(100 * (len(chunk) - lacking) / len(chunk), 2)
+
+        for missing in MISSING:
+            missing = min(missing, len(chunk) - 1)
+            compare(self.reach(chunk, missing, longest))
+            if bound(missing + 1) < score or missing == len(chunk) - 1:
                 break
-            if most == score and (start, ahead) > at:
-                continue
-            found = percentage(chunk, self.run(start, start + ahead))
-            if found > score or (found == score and at is not None and (start, ahead) < at):
-                score, at = found, (start, ahead)
+        else:
+            begun |= {i: self.begins(i, seeds) for i in range(len(self.texts)) if i not in begun}
+            compare(self.bounded(chunk, [i for i, like in begun.items() if like], longest))
         return (at[0], at[0] + at[1] - 1, score) if at else None
 
+    def bounded(self, chunk: str, starts: list[int], longest: int) -> list[tuple[int, int, int]]:
+        """(letters missing, start, spans) of all runs of these starts."""
+        masks, out = letter_places(chunk), []
+        for start in starts:
+            stop = min(start + longest, len(self.texts))
+            whole = self.run(start, stop)
+            shared = common(masks, len(chunk), whole)
+            for ahead in range(1, stop - start + 1):
+                run = self.run(start, start + ahead)
+                out.append((len(chunk) - shared[len(run) if whole.startswith(run) else -1], start, ahead))
+        return sorted(out)
+
 
 def letter_places(text: str) -> dict[str, int]:
     """Where a text has each of its letters, as bits."""
@@ -196,20 +253,15 @@ def common(masks: dict[str, int], size: int, run: str) -> list[int]:
     return out
 
 
-@F.pandas_udf(RANGE)
-def _best_run(texts: pd.Series, places: pd.Series, chunks: pd.Series, longest: pd.Series) -> pd.DataFrame:
-    out, last, page = [], None, None
-    for spans, at, chunk, most in zip(texts, places, chunks, longest, strict=True):
-        if spans is None:
-            out.append((None, None, None))
-            continue
-        key = tuple(spans)
-        if key != last:  # chunks of a page often follow each other
-            last, page = key, Page(list(spans))
-        found = page.best(chunk, int(most))
-        out.append((int(at[found[0]]), int(at[found[1]]), found[2]) if found else (None, None, None))
-    frame = pd.DataFrame(out, columns=["first", "last", "score"])
-    return frame.astype({"first": "Int64", "last": "Int64", "score": "float64"})
+@F.arrow_udf(ArrayType(RANGE))
+def _best_runs(texts: pa.Array, places: pa.Array, chunks: pa.Array, longest: pa.Array) -> pa.Array:
+    """The best run of each chunk of a block among the spans of its page; None where there is none."""
+    out = []
+    for spans, at, block, most in zip(texts, places, chunks, longest, strict=True):
+        page, at = Page(spans.as_py()) if spans.is_valid else None, at.as_py()
+        found = [page and page.best(chunk, most.as_py()) for chunk in block.as_py()]
+        out.append([run and {"first": at[run[0]], "last": at[run[1]], "score": run[2]} for run in found])
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])))
 
 
 def span_runs(chunks: DataFrame, spans: DataFrame, threshold: float | Column = THRESHOLD, longest: int = LONGEST, page: tuple[str, ...] = ("page",)) -> DataFrame:
@@ -218,9 +270,16 @@ def span_runs(chunks: DataFrame, spans: DataFrame, threshold: float | Column = T
     A run is found if its score reaches the threshold, in percent; the score of the best run is told anyway, 0 where there is none.
     """
     pages = spans.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text")))).alias("__spans"))
-    # few bytes are much work here, so partitions are not to be coalesced by size
+    names = [F.col(f"`{c}`") for c in chunks.columns]
+    sizes = spans.groupBy(*page).agg(F.count("*").alias("__spans")).join(chunks.groupBy(*page).agg(F.count("*").alias("__chunks")), list(page))
+    blocks = sizes.select(*page, F.ceil(F.greatest(F.col("__spans") / SPANS, F.col("__chunks") / CHUNKS)).alias("__blocks"))
+    block = F.pmod(F.xxhash64(*names), F.coalesce("__blocks", F.lit(1 << 20)))  # chunks without a page lie in few by few
+    dealt = chunks.join(blocks, list(page), "left").groupBy(*page, block.alias("__block")).agg(F.collect_list(F.struct(*names)).alias("__rows"))
+    # few bytes are much work here, so partitions are not to be coalesced by size; by a hash, as the blocks' own grouping is coalesced and would do
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = chunks.join(pages, list(page), "left").repartition(parts, *page).withColumn("__run", _best_run(F.col("__spans.text"), F.col("__spans.pos"), F.col("text"), F.lit(longest)))
+    met = dealt.join(pages, list(page), "left").repartition(parts, F.xxhash64(*page, "__block"))
+    met = met.withColumn("__runs", _best_runs(F.col("__spans.text"), F.col("__spans.pos"), F.col("__rows.text"), F.lit(longest)))
+    met = met.select(F.explode(F.arrays_zip("__rows", "__runs")).alias("x")).select("x.__rows.*", F.col("x.__runs").alias("__run"))
     reached = F.coalesce(F.col("__run.score") >= (threshold if isinstance(threshold, Column) else F.lit(threshold)), F.lit(False))
     ends = [F.when(reached, F.col(f"__run.{c}")).alias(c) for c in ("first", "last")]
     return met.select(*[F.col(f"`{c}`") for c in chunks.columns], reached.alias("found"), *ends, F.coalesce("__run.score", F.lit(0.0)).alias("score"))
